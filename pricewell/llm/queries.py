@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sharding, url_filter
+from . import ngram_join, quality_rules, sharding, url_filter
 from .common import table
 
 
+def op1_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op2_hash_tree_sharding(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -19,7 +23,7 @@ def op6_url_filter(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_hash_tree_sharding, op3_quality_decision_list, op6_url_filter)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_hash_tree_sharding, op3_quality_decision_list, op6_url_filter)}
 
 
 def oracle_sql():
