@@ -3,16 +3,18 @@
 Documents are sets of distinct 5-word shingles (64-bit hashes). All sets follow one global order, rare shingles first.
 With a set of n shingles and the share ``t`` of it that any partner must have, the first ``n - t + l`` shingles
 share at least ``l`` with the like prefix of every partner. Each document chooses its own ``l`` by the estimated cost:
-shingles that the count sketch knows as frequent make long posting lists, and a longer prefix that asks for more
-shared shingles leaves fewer pairs to verify. Two documents are verified if they share the smaller of their ``l``.
+shingles that a first count finds frequent make long posting lists, and a longer prefix that asks for more
+shared shingles leaves fewer pairs to verify. Two documents are verified if they share the smaller of their ``l``, and as much
+more as their sizes ask for.
 
 Skew. Equal sets are one node from the start. A posting list over ``max_list`` nodes is never expanded into pairs: each node in
 one is verified against its best leader, verified links contract nodes into components, and what is left is verified between
 units of at most about ``unit_docs`` nodes, where units of one component are not compared. No link between components is
 lost; links within one component may be left out.
 
-Memory. A task holds about PIECE bytes of text, one bucket of postings, two units, or two sets. The sketch has a fixed size (its
-buckets and only these reach the driver); more input makes it coarser, which costs time and not results.
+Memory. A task holds about PIECE bytes of text, one bucket of postings (their number follows the input), two units, or two
+sets. Only the sketch of frequent shingles and a bitmap reach the driver, both of fixed size; more input makes them coarser, which costs
+time and not results.
 """
 
 from __future__ import annotations
@@ -27,55 +29,86 @@ from .common import keep
 from .components import connected_components
 from .text_hash import fingerprint, mix, shingle_sets
 
-SKETCH_BITS = 18
-BLOCK = 1024
+SKETCH_BITS = 21
 FILTER_BITS = 22
+SLOT = np.uint64((1 << SKETCH_BITS) - 1)
 
 
-def _scan(batches):
-    """Set size and fingerprint of every text; at the end the task's shingle counts, block by block."""
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    for batch in batches:
-        n, hi, lo = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
-        seen: list[np.ndarray] = []
-        held = 0
-        for i, tokens in shingle_sets(batch.column(1)):
-            n[i] = len(tokens)
-            hi[i], lo[i] = fingerprint(tokens)
-            seen.append((tokens & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int32))
-            held += len(tokens)
-            if held > 1 << 20:
-                counts += np.bincount(np.concatenate(seen), minlength=len(counts))
-                seen, held = [], 0
-        if seen:
-            counts += np.bincount(np.concatenate(seen), minlength=len(counts))
-        empty = pa.nulls(batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(hi), pa.array(lo), empty.cast(pa.int32()), empty.cast(pa.binary())], _SCAN)
-    blocks = [(i, c.tobytes()) for i, c in enumerate(counts.reshape(-1, BLOCK)) if c.any()]
-    if blocks:
-        none = pa.nulls(len(blocks), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([i for i, _ in blocks], pa.int32()), pa.array([c for _, c in blocks], pa.binary())], _SCAN)
-
-
-_SCAN = ["id", "n", "hi", "lo", "block", "counts"]
-
-
-def _sum_blocks(batches):
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            sums[block] = sums.get(block, 0) + np.frombuffer(counts.as_buffer(), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], ["block", "counts"])
+def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    return ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _scan(buckets: int, percent: int):
+    """Packed (id, size, fingerprint) rows, and the shingles of prefixes of twice the least length, counted within the task."""
+
+    def run(batches):
+        for batch in batches:
+            found = np.zeros((batch.num_rows, 5), np.int64)
+            ids = batch.column(0)
+            found[:, 0] = ids.fill_null(0).to_numpy()
+            found[:, 4] = np.asarray(ids.is_null())
+            held, size = [], 0
+
+            def counted(held=held):
+                tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+                bucket = _bucket(tokens, buckets)
+                cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+                often = counts > 1
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    part = often[a:b]
+                    yield int(bucket[a]), False, tokens[a:b][~part].tobytes(), np.stack([tokens[a:b][part], counts[a:b][part].astype(np.uint64)]).tobytes()
+
+            out = []
+            for i, tokens in shingle_sets(batch.column(1)):
+                n = len(tokens)
+                found[i, 1], (found[i, 2], found[i, 3]) = n, fingerprint(tokens)
+                if n:
+                    held.append(tokens[: 2 * (n - -(-percent * n // 100) + 1)])
+                    size += len(held[-1])
+                if size > 1 << 19:
+                    out += counted()
+                    held.clear()
+                    size = 0
+            if held:
+                out += counted()
+            out.append((int(mix(found[:1, 2].astype(np.uint64))[0] % np.uint64(buckets)), True, found.tobytes(), b""))
+            k, rows, one, many = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(rows), pa.array(one, pa.binary()), pa.array(many, pa.binary())], ["bucket", "rows", "one", "many"])
+
+    return run
+
+
+def _count(frequent: int):
+    """Of one bucket: the rows, and the shingles counted at least ``frequent`` times."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, tokens = pdf[pdf["rows"]], pdf[~pdf["rows"]]
+        found = np.frombuffer(b"".join(rows["one"]), np.int64).reshape(-1, 5)
+        one = np.frombuffer(b"".join(tokens["one"]), np.uint64)
+        many = [np.frombuffer(m, np.uint64).reshape(2, -1) for m in tokens["many"]]
+        token = np.concatenate([one, *(m[0] for m in many)])
+        times = np.concatenate([np.ones(len(one), np.uint64), *(m[1] for m in many)])
+        order = np.argsort(token, kind="stable")
+        token, times = token[order], times[order]
+        starts = np.flatnonzero(np.diff(token, prepend=token[:1] + np.uint64(1))) if len(token) else np.empty(0, np.int64)
+        sums = np.add.reduceat(times, starts).astype(np.int64) if len(starts) else np.empty(0, np.int64)
+        slots = (token[starts][sums >= frequent] & SLOT).astype(np.int64)
+        sums = sums[sums >= frequent]
+        k = len(sums)
+        ids = pd.array(np.concatenate([found[:, 0], np.zeros(k, np.int64)]), "Int64")
+        ids[np.concatenate([found[:, 4] == 1, np.ones(k, bool)])] = pd.NA
+        more = lambda i: np.concatenate([found[:, i], np.zeros(k, np.int64)])
+        return pd.DataFrame({"id": ids, "n": more(1), "hi": more(2), "lo": more(3), "slot": np.concatenate([np.full(len(found), -1), slots]), "times": np.concatenate([np.zeros(len(found), np.int64), sums])})
+
+    return run
 
 
 def _estimates(scan: DataFrame) -> np.ndarray:
-    """Estimated document frequency by sketch bucket: what a bucket has beyond the common load, 1 at least."""
-    rows = scan.where("block is not null").select("block", "counts").repartition((1 << SKETCH_BITS) // BLOCK, "block").mapInArrow(_sum_blocks, "block int, counts binary").collect()
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in rows:
-        counts[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.int64)
-    load = counts.mean()
-    return np.maximum(1, counts - load - 5 * np.sqrt(load) - 8).astype(np.float32)
+    """Frequency by sketch slot; only frequent shingles are in the sketch, the others count 1. It has 2 ** SKETCH_BITS slots at most."""
+    got = scan.where("slot >= 0").groupBy("slot").agg(F.sum("times").alias("times")).toArrow()
+    out = np.ones(1 << SKETCH_BITS, np.float32)
+    out[got["slot"].to_numpy()] = got["times"].to_numpy()
+    return out
 
 
 def _prefixes(estimates, percent: int, choices: tuple[int, ...], verify_cost: float):
@@ -87,7 +120,7 @@ def _prefixes(estimates, percent: int, choices: tuple[int, ...], verify_cost: fl
                 n = len(tokens)
                 if not n:
                     continue
-                e = est[tokens & np.uint64((1 << SKETCH_BITS) - 1)]
+                e = est[tokens & SLOT]
                 need = -(-percent * n // 100)
                 most = n - need + max(choices)
                 if (e > 1).any():
@@ -130,9 +163,9 @@ def _pack(estimates, buckets: int, hot: float):
                 node = np.repeat(np.array(nodes, np.int64), [len(t) for t in tokens])
                 least = np.repeat(np.array(ls, np.uint8), [len(t) for t in tokens])
                 token = np.concatenate(tokens)
-                frequent = est[token & np.uint64((1 << SKETCH_BITS) - 1)] >= hot
+                frequent = est[token & SLOT] >= hot
                 spread = np.where(frequent, mix(node.astype(np.uint64)), token)
-                bucket = ((spread >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64) * 2 + frequent
+                bucket = _bucket(spread, buckets) * 2 + frequent
                 order = np.argsort(bucket, kind="stable")
                 bucket, token, node, least = bucket[order], token[order], node[order], least[order]
                 cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
@@ -262,7 +295,7 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
 
 
 def similar_components(
-    df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, choices: tuple[int, ...] = (1, 2, 3, 4, 6, 8), verify_cost: float = 16.0, max_list: int = 32, hot: float = 4096.0, unit_docs: int = 32, unit_tokens: int = 1 << 14
+    df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, choices: tuple[int, ...] = (1, 2, 3, 4, 6, 8), verify_cost: float = 16.0, max_list: int = 32, frequent: int = 3, hot: float = 4096.0, unit_docs: int = 32, unit_tokens: int = 1 << 14
 ) -> DataFrame:
     """One row per input row: key, n_shingles, component_id, the smallest key reachable by links (itself included).
 
@@ -272,13 +305,16 @@ def similar_components(
     """
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    scan = keep(docs.mapInArrow(_scan, "id long, n long, hi long, lo long, block int, counts binary"), "scan")
-    rows = scan.where("block is null").select("id", "n", "hi", "lo")
+    buckets = max(512, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) >> 20)
+    scan = keep(
+        docs.mapInArrow(_scan(buckets, percent), "bucket int, rows boolean, one binary, many binary")
+        .groupBy("bucket").applyInPandas(_count(frequent), "id long, n long, hi long, lo long, slot long, times long"),
+        "scan",
+    )
+    rows = scan.where("slot < 0").select("id", "n", "hi", "lo")
     nodes = keep(rows.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     known = nodes.where("id is not null")
     estimates = spark.sparkContext.broadcast(_estimates(scan))
-    postings = known.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
-    buckets = max(512, int(postings) >> 16)
     prefixes = docs.where("id is not null").mapInArrow(_prefixes(estimates, percent, choices, verify_cost), "id long, n long, l int, hi long, lo long, prefix binary")
     packed = prefixes.join(known.select("id", "hi", "lo", "node"), ["id", "hi", "lo"]).select("node", "l", "prefix")
     matched = keep(
@@ -291,9 +327,13 @@ def similar_components(
     def fitting(pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes allow the similarity."""
         both = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-        return both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+        return both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
-    candidates = matched.where("b >= 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b")
+    # What two sets share behind the prefix that ends first is at most t - l, so of the overlap that their sizes ask
+    # for the rest must be shared within the prefixes.
+    overlap = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent) - 1e-9)
+    behind = F.ceil(percent * F.greatest("na", "nb") / 100 - 1e-9) - F.col("need")
+    candidates = fitting(matched.where("b >= 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need")).where(F.col("shared") >= overlap - behind).select("a", "b")
     postings = matched.where("b < 0").select("token", F.col("a").alias("node"))
     hot_nodes = keep(postings.groupBy("node").agg(F.count(F.lit(1)).alias("score")), "hot-nodes")
     any_hot = hot_nodes.limit(1).count() > 0
@@ -301,8 +341,8 @@ def similar_components(
         leaders = postings.join(hot_nodes, "node").groupBy("token").agg(F.max(F.struct("score", "node")).alias("leader"))
         led = keep(postings.join(leaders, "token").groupBy("node").agg(F.max("leader").alias("leader")).select("node", F.col("leader.node").alias("leader")), "led")
         stars = led.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-        candidates = candidates.union(stars).distinct()
-    candidates = keep(fitting(candidates), "candidates")
+        candidates = candidates.union(fitting(stars).select("a", "b")).distinct()
+    candidates = keep(candidates, "candidates")
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("node"))
     if any_hot:
         wanted = wanted.union(hot_nodes.select("node"))
