@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ngram_join, quality_rules, sharding, url_filter
+from . import decontaminate, mixing, ngram_join, quality_rules, sharding, url_filter, warc
 from .common import table
 
 
@@ -18,13 +18,25 @@ def op3_quality_decision_list(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_source_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
+def op7_spaced_seed_decontamination(spark, sf_dir):
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_dictionary_warc(spark, sf_dir):
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_hash_tree_sharding, op3_quality_decision_list, op6_url_filter)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_hash_tree_sharding, op3_quality_decision_list, op4_source_mixing, op6_url_filter, op7_spaced_seed_decontamination, op10_dictionary_warc)}
 
 
 def oracle_sql():
-    return {"op6_url_filter": url_filter.SQL}
+    return {"op4_source_mixing": mixing.SQL, "op6_url_filter": url_filter.SQL, "op10_dictionary_warc": warc.SQL}
