@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, ngram_join, quality_rules, sharding, url_filter, warc
+from . import decontaminate, line_dedup, mixing, ngram_join, quality_rules, quote_links, secret_scan, sharding, url_filter, warc
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op4_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_template_line_dedup(spark, sf_dir):
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
@@ -30,12 +34,20 @@ def op7_spaced_seed_decontamination(spark, sf_dir):
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_secret_forest(spark, sf_dir):
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op9_quotation_linking(spark, sf_dir):
+    return quote_links.link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op10_dictionary_warc(spark, sf_dir):
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_hash_tree_sharding, op3_quality_decision_list, op4_source_mixing, op6_url_filter, op7_spaced_seed_decontamination, op10_dictionary_warc)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_hash_tree_sharding, op3_quality_decision_list, op4_source_mixing, op5_template_line_dedup, op6_url_filter, op7_spaced_seed_decontamination, op8_secret_forest, op9_quotation_linking, op10_dictionary_warc)}
 
 
 def oracle_sql():
