@@ -4,25 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pricewell.llm import quality_rules as q
-from pricewell.llm import sharding
+from pricewell.llm import decontaminate, mixing, ngram_join, quality_rules, sharding
 from pricewell.llm.common import keep, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _only(docs, chosen):
+    """The rows of ``docs`` whose doc_id ``chosen`` holds; a null id is an id like any other."""
+    ids = chosen.select(F.col("doc_id").alias("chosen_id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi").select(*COLUMNS)
+
+
 def quality(spark, docs, sf_dir):
     """Documents that the quality rules keep."""
-    kept = q.quality_rules(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return _only(docs, quality_rules.quality_rules(docs, table(spark, sf_dir, "labels")).where("kept"))
+
+
+def near_copies(spark, docs, sf_dir):
+    """The document with the smallest id of every group of linked documents."""
+    return _only(docs, ngram_join.similar_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def decontaminated(spark, docs, sf_dir):
+    """Documents without passages of the benchmark."""
+    return decontaminate.drop_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark, docs, sf_dir):
+    """Documents that the mixture takes: at most one epoch, four fifths of all tokens."""
+    return _only(docs, mixing.mix(docs, fraction=0.8, max_epochs=1))
 
 
-def shard(spark, docs, sf_dir):
+def sharded(spark, docs, sf_dir):
     """Where each document goes."""
     return sharding.assign_shards(docs)
 
 
-STAGES = [("quality rules", quality), ("sharding", shard)]
+STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_copies), ("benchmark decontamination", decontaminated), ("mixing", mixed), ("sharding", sharded)]
+#: The learned rules, the numpy hashes and the CRC of the last stage are not expressible in SQL.
 ORACLE_SQL = None
 
 
