@@ -39,7 +39,10 @@ def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _scan(buckets: int, percent: int):
-    """Packed (id, size, fingerprint) rows, and the shingles of prefixes of twice the least length, counted within the task."""
+    """Packed (id, size, fingerprint) rows, and the shingles of prefixes of twice the least length, counted within the task.
+
+    A bucket goes by the high bits of a hash, so the low 32 bits do for telling its shingles apart here.
+    """
 
     def run(batches):
         for batch in batches:
@@ -56,7 +59,8 @@ def _scan(buckets: int, percent: int):
                 often = counts > 1
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     part = often[a:b]
-                    yield int(bucket[a]), False, tokens[a:b][~part].tobytes(), np.stack([tokens[a:b][part], counts[a:b][part].astype(np.uint64)]).tobytes()
+                    low = tokens[a:b].astype(np.uint32)
+                    yield int(bucket[a]), False, low[~part].tobytes(), np.stack([low[part], counts[a:b][part].astype(np.uint32)]).tobytes()
 
             out = []
             for i, tokens in shingle_sets(batch.column(1)):
@@ -84,15 +88,15 @@ def _count(frequent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, tokens = pdf[pdf["rows"]], pdf[~pdf["rows"]]
         found = np.frombuffer(b"".join(rows["one"]), np.int64).reshape(-1, 5)
-        one = np.frombuffer(b"".join(tokens["one"]), np.uint64)
-        many = [np.frombuffer(m, np.uint64).reshape(2, -1) for m in tokens["many"]]
+        one = np.frombuffer(b"".join(tokens["one"]), np.uint32)
+        many = [np.frombuffer(m, np.uint32).reshape(2, -1) for m in tokens["many"]]
         token = np.concatenate([one, *(m[0] for m in many)])
-        times = np.concatenate([np.ones(len(one), np.uint64), *(m[1] for m in many)])
+        times = np.concatenate([np.ones(len(one), np.int64), *(m[1].astype(np.int64) for m in many)])
         order = np.argsort(token, kind="stable")
         token, times = token[order], times[order]
-        starts = np.flatnonzero(np.diff(token, prepend=token[:1] + np.uint64(1))) if len(token) else np.empty(0, np.int64)
-        sums = np.add.reduceat(times, starts).astype(np.int64) if len(starts) else np.empty(0, np.int64)
-        slots = (token[starts][sums >= frequent] & SLOT).astype(np.int64)
+        starts = np.flatnonzero(np.diff(token, prepend=token[:1] + np.uint32(1))) if len(token) else np.empty(0, np.int64)
+        sums = np.add.reduceat(times, starts) if len(starts) else np.empty(0, np.int64)
+        slots = (token[starts][sums >= frequent].astype(np.uint64) & SLOT).astype(np.int64)
         sums = sums[sums >= frequent]
         k = len(sums)
         ids = pd.array(np.concatenate([found[:, 0], np.zeros(k, np.int64)]), "Int64")
@@ -146,7 +150,10 @@ def _prefixes(estimates, percent: int, choices: tuple[int, ...], verify_cost: fl
 
 
 def _pack(estimates, buckets: int, hot: float):
-    """Postings by bucket of the shingle; postings of frequent shingles are dealt by node, as they are not paired there."""
+    """Postings by bucket of the shingle; postings of frequent shingles are dealt by node, as they are not paired there.
+
+    Within a bucket the low 32 bits stand for a shingle; two that agree in them can only add a pair to verify.
+    """
 
     def run(batches):
         est = estimates.value
@@ -169,7 +176,7 @@ def _pack(estimates, buckets: int, hot: float):
                 order = np.argsort(bucket, kind="stable")
                 bucket, token, node, least = bucket[order], token[order], node[order], least[order]
                 cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
-                part = [(int(bucket[a]), token[a:b].tobytes(), node[a:b].tobytes(), least[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                part = [(int(bucket[a]), (token[a:b] if bucket[a] % 2 else token[a:b].astype(np.uint32)).tobytes(), node[a:b].tobytes(), least[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 b, t, n, k = zip(*part, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([x // 2 for x in b], pa.int32()), pa.array([x % 2 == 1 for x in b]), pa.array(t, pa.binary()), pa.array(n, pa.binary()), pa.array(k, pa.binary())], ["bucket", "frequent", "tokens", "nodes", "least"])
 
@@ -184,19 +191,20 @@ def _match(max_list: int):
             return np.frombuffer(b"".join(rows[column]), kind)
 
         rare, often = pdf[~pdf["frequent"]], pdf[pdf["frequent"]]
-        token, node, least = joined(rare, "tokens", np.uint64), joined(rare, "nodes", np.int64), joined(rare, "least", np.uint8)
+        token, node, least = joined(rare, "tokens", np.uint32), joined(rare, "nodes", np.int64), joined(rare, "least", np.uint8)
         order = np.lexsort((node, token))
         token, node, least = token[order], node[order], least[order]
         if len(token):  # a document that occurs twice is one node
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
             token, node, least = token[new], node[new], least[new]
-        starts = np.flatnonzero(np.diff(token, prepend=token[:1] + np.uint64(1))) if len(token) else np.empty(0, np.int64)
+        starts = np.flatnonzero(np.diff(token, prepend=token[:1] + np.uint32(1))) if len(token) else np.empty(0, np.int64)
         lengths = np.diff(np.append(starts, len(token)))
         many = np.repeat(lengths, lengths)
         place = np.arange(len(token)) - np.repeat(starts, lengths)
         long = many > max_list
-        hot_t = np.concatenate([token[long], joined(often, "tokens", np.uint64)]).view(np.int64)
+        bucket = np.uint64(pdf["bucket"].iloc[0]) << np.uint64(32)
+        hot_t = np.concatenate([token[long] | bucket, mix(joined(often, "tokens", np.uint64)) | np.uint64(1 << 63)]).view(np.int64)
         hot_n = np.concatenate([node[long], joined(often, "nodes", np.int64)])
         keep_ = (many > 1) & ~long
         node, least, many, place = node[keep_], least[keep_], many[keep_], place[keep_]
@@ -291,7 +299,7 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
         bits[r["w"]] = r["m"]
     wanted = spark.sparkContext.broadcast(bits.view(np.uint64))
     rows = docs.where("id is not null").select("id", "text", bit.alias("bit")).mapInArrow(_set_rows(wanted), "id long, hi long, lo long, tokens binary")
-    return keep(rows.join(needed, ["id", "hi", "lo"]).select("node", "tokens").dropDuplicates(["node"]), "sets")
+    return keep(rows.join(needed, ["id", "hi", "lo"]).dropDuplicates(["id", "hi", "lo"]).select("node", "tokens"), "sets")
 
 
 def similar_components(
