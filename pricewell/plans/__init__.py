@@ -1,4 +1,4 @@
 """Registered queries."""
 
-from . import index_queries  # noqa: F401
+from . import analytics_queries, index_queries, join_queries, series_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -13,7 +13,7 @@ SELECT l_orderkey AS order_id, l_linenumber AS line_no, l_partkey AS part_id, l_
   cast(l_shipdate AS date) AS travel_date,
   r_name || '>' || c_mktsegment AS route, 'C' || cast(s_nationkey % 7 AS string) AS carrier,
   CASE l_linenumber % 5 WHEN 0 THEN 1 WHEN 1 THEN 7 WHEN 2 THEN 15 WHEN 3 THEN 30 ELSE 45 END AS horizon,
-  l_extendedprice / l_quantity AS base_fare, l_extendedprice / l_quantity * (1 + l_tax) AS total_fare,
+  floor(l_extendedprice / l_quantity * 100) / 100 AS base_fare, floor(l_extendedprice / l_quantity * 100) / 100 * (1 + l_tax) AS total_fare,
   CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'SOLD_OUT' ELSE 'AVAILABLE' END AS status,
   CASE l_partkey % 4 WHEN 0 THEN 'CARRIER_DIRECT' WHEN 1 THEN 'RPC_FALLBACK' WHEN 2 THEN 'OTA_AGGREGATOR' ELSE 'SYNTHETIC_BASELINE' END AS feed_type,
   CASE WHEN p_size <= 35 THEN 'BASIC' ELSE 'FLEXI' END AS fare_family,
