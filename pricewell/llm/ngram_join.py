@@ -242,17 +242,31 @@ def _set_rows(wanted):
     return run
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * same >= percent * (len(x) + len(y) - same)
+
+
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
+            sets = lambda c, i: np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64)
+            good = [_similar(sets(2, i), sets(3, i), percent) for i in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def _verify_cluster(percent: int):
+    def run(batches):
+        for batch in batches:
+            found = []
             for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
-                if len(x) > len(y):
-                    x, y = y, x
-                same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                good[i] = 100 * same >= percent * (len(x) + len(y) - same)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+                sets = {m["node"]: np.frombuffer(m["tokens"], np.uint64) for m in batch.column(1)[i].as_py()}
+                found += [(p["a"], p["b"]) for p in batch.column(0)[i].as_py() if _similar(sets[p["a"]], sets[p["b"]], percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
     return run
 
@@ -290,7 +304,7 @@ def _verify_units(percent: int):
 
 
 def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(node, tokens) of the needed nodes. A bitmap of fixed size spares the texts that no needed node has."""
+    """(node, cluster, tokens) of the needed nodes. A bitmap of fixed size spares the texts that no needed node has."""
     spark = docs.sparkSession
     bit = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
     words = needed.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("m")).collect()
@@ -299,7 +313,7 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
         bits[r["w"]] = r["m"]
     wanted = spark.sparkContext.broadcast(bits.view(np.uint64))
     rows = docs.where("id is not null").select("id", "text", bit.alias("bit")).mapInArrow(_set_rows(wanted), "id long, hi long, lo long, tokens binary")
-    return keep(rows.join(needed, ["id", "hi", "lo"]).dropDuplicates(["id", "hi", "lo"]).select("node", "tokens"), "sets")
+    return keep(rows.join(needed, ["id", "hi", "lo"]).dropDuplicates(["id", "hi", "lo"]).select("node", "cluster", "tokens"), "sets")
 
 
 def similar_components(
@@ -351,12 +365,21 @@ def similar_components(
         stars = led.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
         candidates = candidates.union(fitting(stars).select("a", "b")).distinct()
     candidates = keep(candidates, "candidates")
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("node"))
+    # A small cluster of candidates is verified in one row, so that each of its sets is moved once; pairs of larger ones one by one.
+    clusters = connected_components(candidates).toDF("node", "cluster")
+    size = clusters.join(sizes, "node").groupBy("cluster").agg(((F.count(F.lit(1)) <= 2 * unit_docs) & (F.sum("n") <= 8 * unit_tokens)).alias("small"))
+    clusters = clusters.join(size, "cluster")
+    wanted = clusters.select("node", F.when(F.col("small"), F.col("cluster")).alias("cluster"))
     if any_hot:
-        wanted = wanted.union(hot_nodes.select("node"))
-    sets = _sets(docs, known.join(wanted.distinct(), "node").select("id", "hi", "lo", "node"))
-    paired = candidates.join(sets.toDF("b", "y"), "b").select("a", "b", "y").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
-    links = keep(paired.mapInArrow(_verify(percent), "a long, b long"), "verified")
+        wanted = hot_nodes.select("node").join(wanted, "node", "full_outer").select("node", "cluster")
+    sets = _sets(docs, known.join(wanted, "node").select("id", "hi", "lo", "node", "cluster"))
+    placed = keep(candidates.join(clusters.toDF("cluster", "a", "small"), "a").select("a", "b", "small", "cluster"), "placed")
+    pairs = placed.where("small").groupBy("cluster").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+    held = sets.where("cluster is not null").groupBy("cluster").agg(F.collect_list(F.struct("node", "tokens")).alias("held"))
+    together = pairs.join(held, "cluster").select("pairs", "held").mapInArrow(_verify_cluster(percent), "a long, b long")
+    sets = sets.select("node", "tokens")
+    paired = placed.where("not small").select("a", "b").join(sets.toDF("b", "y"), "b").select("a", "b", "y").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
+    links = keep(together.union(paired.mapInArrow(_verify(percent), "a long, b long")), "verified")
     if any_hot:
         links = links.union(_between_units(postings, led, links, sets, sizes, percent, unit_docs, unit_tokens))
     components = connected_components(links)
