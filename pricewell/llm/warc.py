@@ -94,7 +94,7 @@ def write_archives(rows: DataFrame, folder: str, date: str = "2024-01-01T00:00:0
             path = f"{base}/{context.partitionId():06d}-{context.taskAttemptId()}-{made:04d}.warc.zst"
             store.create_dir(base, recursive=True)
             written = 0
-            with store.open_output_stream(path) as out:
+            with store.open_output_stream(path, compression=None) as out:
                 for piece in archive_bytes(held):
                     out.write(piece)
                     written += len(piece)
@@ -146,7 +146,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 rows = []
-                with store.open_input_stream(path) as stream:
+                with store.open_input_stream(path, compression=None) as stream:
                     for f, payload in read_records(stream):
                         digest, length = f["WARC-Payload-Digest"].removeprefix("sha256:"), int(f["X-Payload-Length"])
                         if f["WARC-Type"] == "response" and (len(payload) != length or hashlib.sha256(payload).hexdigest() != digest):

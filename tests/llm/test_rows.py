@@ -1,0 +1,174 @@
+"""Per-row operators: sharding, quality rules, mixing, URL filters, secrets, quotations and archives."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from pricewell.llm import mixing, quality_rules, quote_links, secret_scan, sharding, url_filter, warc
+
+
+def test_shards(spark):
+    rows = [(i, f"text {i % 50}" if i % 7 else None, "c") for i in range(3000)] + [(None, "x", "c"), (5, "twice", "c"), (5, "twice", "c"), (9000, "", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard string")
+    got = sharding.assign_shards(df).collect()
+    assert len(got) == len(rows) and all(0 <= r["shard"] < 24 and r["law"] == "key" for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert all(r["grown_shard"] in (r["shard"], 24) for r in got) and 40 < sum(r["grown_shard"] == 24 for r in got) < 220
+    assert max(map(len, by.values())) < 1.6 * len(rows) / 24
+    texts = {(i, t) for i, t, _ in rows}
+    for r in got:
+        assert (r["doc_id"], r["size"], r["text_crc32"]) in {(i, 8 + len((t or "").encode()), None if t is None else zlib.crc32(t.encode())) for i, t in texts}
+    again = {r["doc_id"]: r["shard"] for r in sharding.assign_shards(df.where("doc_id % 3 = 0")).collect()}
+    assert all(again[r["doc_id"]] == r["shard"] for r in got if r["doc_id"] in again)
+    assert sharding.assign_shards(df.limit(0)).collect() == []
+
+
+def test_weights_move_rows_only_into_their_subtree(spark):
+    df = spark.range(4000).select(F.col("id").alias("k"))
+    tree = sharding.ShardTree.balanced()
+    more = sharding.ShardTree((tuple(tuple((i, w * (2 if i == 3 else 1)) for i, w in rack) for rack in tree.regions[0]), *tree.regions[1:]))
+    both = sharding.place(sharding.place(df, "k", tree, "a"), "k", more, "b").where("a <> b").collect()
+    assert both and all(r["b"] < 8 for r in both)
+    assert sharding.ShardTree.balanced(5).shards() == [0, 1, 2, 3, 4]
+
+
+def stats(text):
+    w = re.findall(r"[^\x20\x09-\x0d]+", text or "")
+    tri = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    covered = {j for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0d]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_text_statistics(spark):
+    rng = random.Random(2)
+    texts = [None, "", " \n\t", "a b", "a b c a b c", "é ü\nx\n x\nx\n\nx", "<a> & #1 $ % | *", *(" ".join(rng.choice("abcd") for _ in range(n)) for n in (3, 30, 400))]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_words int")
+    got = {r["doc_id"]: tuple(r[c] for c in quality_rules.BASE) for r in quality_rules.text_statistics(df).collect()}
+    assert got == {i: stats(t) for i, t in enumerate(texts)}
+
+
+def test_decision_list_on_held_out_rows(spark):
+    rng = random.Random(5)
+    words = ["stone", "river", "cloud", "tree", "light", "water", "road"]
+    rows, truth = [], {}
+    for i in range(600):
+        bad = i % 5 == 0
+        w = [rng.choice(words) + str(rng.randrange(99)) for _ in range(80)]
+        if bad:
+            w = [x + rng.choice("#*$%") for x in w]
+        rows.append((i, " ".join(w)))
+        truth[i] = not bad
+    df = spark.createDataFrame([*rows, (900, None), (901, "short")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(truth[i])) for i in range(0, 600, 2)] + [(901, 1), (None, 0)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(df, labels).collect()}
+    assert all(got[i]["kept"] == truth[i] for i in range(600))
+    assert got[900]["base_failed"] and not got[901]["kept"]
+    none = quality_rules.quality_rules(df, labels.limit(0)).collect()
+    assert all(r["kept"] == (not r["base_failed"]) for r in none)
+    assert str(quality_rules.DecisionList(((quality_rules.Literal("n_words", ">", 3.0),),))) == "if n_words > 3: reject\nelse: keep"
+
+
+def test_water_fill(spark):
+    df = spark.createDataFrame([("p", "a", 1.0, 10.0), ("p", "b", 1.0, 100.0), ("p", "c", 2.0, 30.0), ("q", "d", 1.0, 5.0)], "parent string, node string, w double, c double").withColumn("b", F.lit(100.0))
+    got = {r["node"]: r["x"] for r in mixing.share_out(df, ["parent"], "node", "w", "c", "b", "x").collect()}
+    assert got == {"a": 10.0, "b": 60.0, "c": 30.0, "d": 5.0}
+
+
+def test_mixture(spark):
+    rows = [(i, "w " * (1 + i % 9), ["en", "de", None][i % 3], f"src{i % 6}" if i % 10 else None) for i in range(900)] + [(None, "a b", "en", "src1"), (1000, None, "en", "src1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("epoch", F.lit("x"))
+    got = mixing.mix(df, fraction=0.6, max_epochs=2).collect()
+    total = sum(len((t or "").split()) for _, t, _, _ in rows)
+    spent = sum(r["n_tokens"] for r in got)
+    assert 0.55 * total < spent <= 0.6 * total
+    seen = Counter((r["doc_id"], r["epoch"]) for r in got)
+    assert max(seen.values()) == 1 and {r["epoch"] for r in got} <= {0, 1}
+    assert {r["lang"] for r in got} == {"en", "de"}
+    assert mixing.mix(df.limit(0)).collect() == []
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(df.repartition(7), fraction=0.6, max_epochs=2).collect()), key=str)
+
+
+@pytest.mark.parametrize(("url", "host", "path", "rule", "verdict"), [
+    ("http://WWW.Example.com/en/1?x", "www.example.com", "/en/1", "www.example.com/en/", "allow"), ("http://m.example.com/en/", "m.example.com", "/en/", "example.com/en/", "block"), ("https://a.b.net/fr/x#y", "a.b.net", "/fr/x", "net/fr/", "block"),
+    ("https://a.b.net/de/x", "a.b.net", "/de/x", None, "allow"), ("http://example.com", "example.com", "", None, "allow"), ("nothing", "", "", None, "allow"), (None, "", "", None, "allow"), ("http://xcom/", "xcom", "/", None, "allow"), ("http://com/", "com", "/", "com/", "allow"), ("a://b://c.com/", "b:", "//c.com/", None, "allow"), ("http://x.com\n/en", "x.com\n", "/en", None, "allow"),
+])
+def test_urls(spark, url, host, path, rule, verdict):
+    df = spark.createDataFrame([(1, url, "z"), (1, url, "z")], "page_id long, url string, rule string")
+    for r in url_filter.judge_urls(df, url_filter.rule_table(spark)).collect():
+        assert tuple(r) == (1, host, path, rule, verdict)
+
+
+def test_urls_without_rules_or_rows(spark):
+    df = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
+    assert url_filter.judge_urls(df, url_filter.rule_table(spark).limit(0)).first()["verdict"] == "allow"
+    assert url_filter.judge_urls(df.limit(0), url_filter.rule_table(spark)).collect() == []
+
+
+def test_secret_forest_on_held_out_findings(spark):
+    rng = random.Random(4)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows, label = [], []
+    for i in range(300):
+        if i % 3 == 0:
+            rows.append((i, f'some words then api_key = "{hexes(40)}" and more', "config/env"))
+        elif i % 3 == 1:
+            rows.append((i, f"the commit sha {hexes(40)} was merged", "src"))
+        else:
+            rows.append((i, f"card {rng.randrange(10**15, 10**16)} was used", "web"))
+        label.append((i, int(i % 3 == 0)))
+    df = spark.createDataFrame([*rows, (900, None, None), (901, "", None)], "doc_id long, text string, source string")
+    found = secret_scan.candidates(df).select("doc_id", "word_index")
+    findings = found.join(spark.createDataFrame([x for x in label if x[0] % 2], "doc_id long, label int"), "doc_id")
+    got = {r["doc_id"]: r["is_secret"] for r in secret_scan.scan_secrets(df, findings).collect()}
+    truth = dict(label)
+    assert len(got) == 300 and sum(got[i] == bool(truth[i]) for i in got) >= 297
+    assert all(r["is_secret"] for r in secret_scan.scan_secrets(df, findings.limit(0)).collect())
+    assert secret_scan.scan_secrets(df.limit(0)).collect() == []
+
+
+def test_quotation_links(spark):
+    rows = [
+        ("c", 1, "u", "Hello there everyone\nHow are you today"), ("c", 2, "a", "> Hello there   EVERYONE\nFine thanks to you"), ("c", 3, "u", "> > Hello there everyone\n> Fine thanks to you\nGood to hear"),
+        ("c", 4, "a", "> not said by anyone at all\nhm"), ("c", 5, "u", "> How are you today\n>Good to hear\n> How are you today\nok"), ("c", None, "u", "> Good to hear"), ("c", 6, None, None), (None, 1, "u", "x"), (None, 2, "u", "> x"), ("d", 9, "u", "> Good to hear"),
+    ]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id string, turn long, role string, text string, depth string")
+    got = {(r["conv_id"], r["turn"]): r for r in quote_links.link_quotes(df).collect()}
+    assert len(got) == len(rows)
+    view = {k: (r["text"], r["reply_to"], r["root"], r["depth"], r["path"]) for k, r in got.items()}
+    assert view["c", 2] == ("Fine thanks to you", 1, 1, 1, [1, 2])
+    assert view["c", 3] == ("Good to hear", 2, 1, 2, [1, 2, 3])
+    assert view["c", 4] == ("hm", None, 4, 0, [4])
+    assert view["c", 5][1] == 3 and view["c", 5][4] == [1, 2, 3, 5]
+    assert view["c", 6][0] is None and view["c", None][4] is None and view["d", 9][1] is None and view[None, 2][1] is None
+    assert quote_links.link_quotes(df.limit(0)).collect() == []
+
+
+def test_archives_round_trip(spark, tmp_path):
+    big = "<p>" + "text ä " * 40
+    rows = [(1, "http://a/", big), (2, "http://b/\r\nX: y", big), (3, None, None), (4, "u", "small"), (5, "u", "small"), (None, "n", big), (7, "v", "".join(chr(65 + i % 50) for i in range(200_000))), (1, "http://a/", big)]
+    rows += [(100 + i, f"http://site/{i}", f"<html><body>page number {i} " + "words and more words " * (i % 40)) for i in range(200)]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, record_type string").repartition(3)
+    got = sorted((tuple(r) for r in warc.archive_pages(df, str(tmp_path)).collect()), key=str)
+    first = {}
+    for i, _, h in rows:
+        p = (h or "").encode()
+        if len(p) >= 100 and i is not None:
+            first[p] = min(i, first.get(p, i))
+    want = []
+    for i, _, h in rows:
+        p = (h or "").encode()
+        f = first.get(p)
+        again = f is not None and f != i
+        want.append((i, len(p), hashlib.sha256(p).hexdigest(), "revisit" if again else "response", f if again else None))
+    assert got == sorted(want, key=str)
+    assert all(p.read_bytes()[:4] == warc.DICTIONARY_MAGIC.to_bytes(4, "little") for p in tmp_path.iterdir())
+    assert warc.archive_pages(df.limit(0)).collect() == []
