@@ -119,7 +119,7 @@ def _models(s, d):
 
 
 MODELS = with_views("", "series").rstrip() + ", " + SEAS + f", models AS ({PERS} UNION ALL {SEL.format(4)})"
-add("ensemble", MODELS + " SELECT series, target, " + ", ".join(f"round(sum(w * {q}) / sum(w), 2) AS {q}" for q in ("p10", "p50", "p90")) + ", count(*) AS models FROM (SELECT *, CASE WHEN abs(p90 / p50 - 1.05) < 0.00001 AND abs(p10 / p50 - 0.95) < 0.00001 THEN 0.4 ELSE 0.6 END::DOUBLE AS w FROM models) GROUP BY series, target", lambda s, d: t.ensemble(_models(s, d), ["series", "target"], "model", {"persistence": 0.4, "trend": 0.6}).select("series", "target", *[F.round(q, 2).alias(q) for q in ("p50", "p10", "p90")], "models"))
+add("ensemble", MODELS + " SELECT series, target, " + ", ".join(f"round(sum(w * {q}) / sum(w), 1) AS {q}" for q in ("p10", "p50", "p90")) + ", count(*) AS models FROM (SELECT *, CASE WHEN abs(p90 / p50 - 1.05) < 0.00001 AND abs(p10 / p50 - 0.95) < 0.00001 THEN 0.4 ELSE 0.6 END::DOUBLE AS w FROM models) GROUP BY series, target", lambda s, d: t.ensemble(_models(s, d), ["series", "target"], "model", {"persistence": 0.4, "trend": 0.6}).select("series", "target", *[F.round(q, 1).alias(q) for q in ("p50", "p10", "p90")], "models"))
 add("model_confidence", MODELS + " SELECT series, target, round(round(CASE WHEN count(*) = 1 THEN 0.5 ELSE greatest(0.1, least(1, 1 - stddev_pop(p50) / greatest(abs(avg(p50)), 1))) END, 4), 3) AS confidence FROM models GROUP BY series, target", lambda s, d: t.model_confidence(_models(s, d), ["series", "target"]).withColumn("confidence", F.round("confidence", 3)))
 add("history", with_views("SELECT series, day, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY day DESC) AS r, count(*) OVER (PARTITION BY series) AS c FROM series) WHERE r <= 20 AND c >= 10", "series"), lambda s, d: t.history(series(s, d), K, "day", 20).select("series", "day", F.round("value", 6).alias("value")))
 add("forecast_features", with_views(f"SELECT series, day, round(value, 6) AS value, round(lag(value, 7) OVER w, 6) AS lag_7, round(value / nullif(lag(value, 7) OVER w, 0) - 1, 6) AS mom_7, (isodow(day) - 1)::INTEGER AS dow, round(lead(value, 1) OVER w, 6) AS target_1 FROM series {WD}", "series").replace("SELECT series, day, round(value, 6)", "SELECT * FROM (SELECT series, day, round(value, 6)") + ") WHERE target_1 IS NOT NULL", lambda s, d: t.forecast_features(series(s, d), K, "day", "value").select("series", "day", *[F.round(c, 6).alias(c) for c in ("value", "lag_7", "mom_7")], "dow", F.round("target_1", 6).alias("target_1")))
