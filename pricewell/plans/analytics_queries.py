@@ -37,9 +37,17 @@ def events(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-DIRECT = F.col("feed_type") == "CARRIER_DIRECT"
 FLIGHT = ["flight", "travel_date"]
-THIN = F.col("route").like("%FURNITURE")
+
+
+def direct():
+    return F.col("feed_type") == "CARRIER_DIRECT"
+
+
+def month():
+    return F.date_format("day", "yyyy-MM").alias("month")
+
+
 
 add("corridor_volatility", with_views(VOL, "fares"), lambda s, d: a.corridor_volatility(fares(s, d), ["route", "horizon"], "base_fare"))
 add("network_volatility", with_views(f"SELECT count(*) AS routes, round(avg(spread_pct), 2) AS avg_spread, coalesce(string_agg(CASE WHEN volatility_status = 'SURGE_ALERT' THEN route END, ',' ORDER BY route), '') AS surging FROM ({VOL.replace(', horizon', '')})", "fares"), lambda s, d: a.network_volatility(a.corridor_volatility(fares(s, d), ["route"], "base_fare")))
@@ -51,14 +59,14 @@ add("intraday_stats", INTRA, lambda s, d: a.intraday_stats(events(s, d), ["event
 add("intraday_cv", f"SELECT event_type, count(*) AS buckets, CASE WHEN count(mean) > 1 THEN round(100 * stddev_samp(mean) / nullif(avg(mean), 0), 2) END AS cv_pct FROM ({INTRA}) GROUP BY event_type", lambda s, d: a.intraday_cv(events(s, d), ["event_type"], "ts", "value"))
 add("best_window", f"SELECT event_type, arg_min(bucket, (mean, bucket)) AS best_bucket, min(mean) AS best_mean FROM ({INTRA}) GROUP BY event_type", lambda s, d: a.best_window(a.intraday_stats(events(s, d), ["event_type"], "ts", "value"), ["event_type"]))
 add("affordability", with_views("""SELECT route, round(lo, 2) AS latest_fare, round(av, 2) AS period_avg, round(trunk, 2) AS trunk_median, round(lo / 2500, 2) AS ratio_target, round(lo / trunk, 2) AS ratio_trunk,
- CASE WHEN lo / 2500 > 1.5 OR coalesce(lo / trunk > 1.5, false) THEN 'BREACH' WHEN lo / 2500 > 1 THEN 'ELEVATED' ELSE 'AFFORDABLE' END AS status FROM (SELECT route, min(base_fare) AS lo, avg(base_fare) AS av FROM fares WHERE route LIKE '%FURNITURE' GROUP BY route), (SELECT median(base_fare) AS trunk FROM fares WHERE route NOT LIKE '%FURNITURE')""", "fares"), lambda s, d: a.affordability(fares(s, d), THIN, "route", "base_fare"))
+ CASE WHEN lo / 2500 > 1.5 OR coalesce(lo / trunk > 1.5, false) THEN 'BREACH' WHEN lo / 2500 > 1 THEN 'ELEVATED' ELSE 'AFFORDABLE' END AS status FROM (SELECT route, min(base_fare) AS lo, avg(base_fare) AS av FROM fares WHERE route LIKE '%FURNITURE' GROUP BY route), (SELECT median(base_fare) AS trunk FROM fares WHERE route NOT LIKE '%FURNITURE')""", "fares"), lambda s, d: a.affordability(fares(s, d), F.col("route").like("%FURNITURE"), "route", "base_fare"))
 add("latest_date", with_views("SELECT route, max(obs_date) AS latest FROM fares GROUP BY route", "fares"), lambda s, d: a.latest_date(fares(s, d), ["route"], "obs_date"))
 add("canonical_price", with_views("""SELECT flight, travel_date, round(median(total_fare), 6) AS median, round(min(total_fare), 6) AS lowest, round(max(total_fare), 6) AS highest, round(max(total_fare) - min(total_fare), 6) AS spread,
- round(100 * (max(total_fare) - min(total_fare)) / nullif(min(total_fare), 0), 2) AS spread_pct, arg_min(source_id, (total_fare, source_id)) AS cheapest_source, round(min(total_fare) FILTER (feed_type = 'CARRIER_DIRECT'), 6) AS direct, count(DISTINCT source_id) AS sources FROM fares GROUP BY flight, travel_date""", "fares"), lambda s, d: a.canonical_price(fares(s, d), FLIGHT, "source_id", "total_fare", DIRECT))
+ round(100 * (max(total_fare) - min(total_fare)) / nullif(min(total_fare), 0), 2) AS spread_pct, arg_min(source_id, (total_fare, source_id)) AS cheapest_source, round(min(total_fare) FILTER (feed_type = 'CARRIER_DIRECT'), 6) AS direct, count(DISTINCT source_id) AS sources FROM fares GROUP BY flight, travel_date""", "fares"), lambda s, d: a.canonical_price(fares(s, d), FLIGHT, "source_id", "total_fare", direct()))
 MARK = """SELECT carrier, obs_date, feed_type, round(price, 2) AS price, round(price - min(dd) OVER p, 2) AS markup, price = min(price) OVER p AS is_cheapest FROM
  (SELECT carrier, obs_date, feed_type, min(total_fare) AS price, min(total_fare) FILTER (feed_type = 'CARRIER_DIRECT') AS dd FROM fares GROUP BY ALL) WINDOW p AS (PARTITION BY carrier, obs_date)"""
-add("platform_markup", with_views(MARK, "fares"), lambda s, d: a.platform_markup(fares(s, d), ["carrier", "obs_date"], "feed_type", "total_fare", DIRECT))
-add("dispersion_ranking", with_views(f"SELECT feed_type, count(*) AS quotes, round(100 * count(*) FILTER (is_cheapest)::DOUBLE / (SELECT count(*) FROM (SELECT DISTINCT carrier, obs_date FROM fares)), 2) AS win_rate, round(avg(markup), 2) AS avg_markup FROM ({MARK}) GROUP BY feed_type", "fares"), lambda s, d: a.dispersion_ranking(a.platform_markup(fares(s, d), ["carrier", "obs_date"], "feed_type", "total_fare", DIRECT), ["carrier", "obs_date"], "feed_type"))
+add("platform_markup", with_views(MARK, "fares"), lambda s, d: a.platform_markup(fares(s, d), ["carrier", "obs_date"], "feed_type", "total_fare", direct()))
+add("dispersion_ranking", with_views(f"SELECT feed_type, count(*) AS quotes, round(100 * count(*) FILTER (is_cheapest)::DOUBLE / (SELECT count(*) FROM (SELECT DISTINCT carrier, obs_date FROM fares)), 2) AS win_rate, round(avg(markup), 2) AS avg_markup FROM ({MARK}) GROUP BY feed_type", "fares"), lambda s, d: a.dispersion_ranking(a.platform_markup(fares(s, d), ["carrier", "obs_date"], "feed_type", "total_fare", direct()), ["carrier", "obs_date"], "feed_type"))
 add("cluster_flights", with_views("SELECT flight, travel_date, count(*) AS quotes, arg_min(source_id, (search_date, order_id, line_no, supp_id)) AS source_id FROM fares GROUP BY flight, travel_date", "fares"), lambda s, d: a.cluster_flights(fares(s, d), FLIGHT, ["source_id"], ["search_date", "order_id", "line_no", "supp_id"]))
 add("weekly_geomean", with_views("SELECT series, isoyear(day) || '-W' || lpad(weekofyear(day)::VARCHAR, 2, '0') AS week, round(exp(avg(ln(value))), 4) AS value, min(day) AS first_day, max(day) AS last_day, count(*) AS n FROM series WHERE value > 0 GROUP BY 1, 2", "series"), lambda s, d: a.weekly_geomean(series(s, d), ["series"], "day", "value"))
 add("monthly_mean", with_views("SELECT series, strftime(day, '%Y-%m') AS month, round(avg(value), 4) AS value, count(value) AS n FROM series GROUP BY 1, 2", "series"), lambda s, d: a.monthly_mean(series(s, d), ["series"], "day", "value"))
@@ -98,13 +106,12 @@ def pair_sql(body: str) -> str:
     return with_views("", "series").rstrip() + ", " + PAIR + "\n" + body
 
 
-MONTH = F.date_format("day", "yyyy-MM").alias("month")
-add("error_metrics", pair_sql("SELECT strftime(day, '%Y-%m') AS month, round(avg(abs(c - v)), 4) AS mae, round(sqrt(avg((c - v) * (c - v))), 4) AS rmse, round(100 * avg(abs(c - v) / greatest(abs(v), 1)), 4) AS mape, round(avg(c - v), 4) AS bias, count(c - v) AS n FROM pairs GROUP BY 1"), lambda s, d: a.error_metrics(pair(s, d).withColumn("month", MONTH), "v", "c", ["month"]))
-add("pearson", pair_sql(f"SELECT strftime(day, '%Y-%m') AS month, round({corr_sql('v', 'c')}, 4) AS r, count(*) AS n FROM pairs GROUP BY 1"), lambda s, d: a.pearson(pair(s, d).withColumn("month", MONTH), "v", "c", ["month"]))
+add("error_metrics", pair_sql("SELECT strftime(day, '%Y-%m') AS month, round(avg(abs(c - v)), 4) AS mae, round(sqrt(avg((c - v) * (c - v))), 4) AS rmse, round(100 * avg(abs(c - v) / greatest(abs(v), 1)), 4) AS mape, round(avg(c - v), 4) AS bias, count(c - v) AS n FROM pairs GROUP BY 1"), lambda s, d: a.error_metrics(pair(s, d).withColumn("month", month()), "v", "c", ["month"]))
+add("pearson", pair_sql(f"SELECT strftime(day, '%Y-%m') AS month, round({corr_sql('v', 'c')}, 4) AS r, count(*) AS n FROM pairs GROUP BY 1"), lambda s, d: a.pearson(pair(s, d).withColumn("month", month()), "v", "c", ["month"]))
 DIRS = "SELECT *, strftime(day, '%Y-%m') AS month, sign(v - lag(v) OVER w) = sign(c - lag(c) OVER w) AS s FROM pairs WINDOW w AS (PARTITION BY strftime(day, '%Y-%m') ORDER BY day)"
-add("directional_accuracy", pair_sql(f"SELECT month, round(100 * avg(s::INT), 2) AS accuracy, count(s) AS steps FROM ({DIRS}) GROUP BY month"), lambda s, d: a.directional_accuracy(pair(s, d).withColumn("month", MONTH), "v", "c", "day", ["month"]))
+add("directional_accuracy", pair_sql(f"SELECT month, round(100 * avg(s::INT), 2) AS accuracy, count(s) AS steps FROM ({DIRS}) GROUP BY month"), lambda s, d: a.directional_accuracy(pair(s, d).withColumn("month", month()), "v", "c", "day", ["month"]))
 add("comovement", pair_sql(f"""SELECT month, count(*) AS n, CASE WHEN count(*) >= 3 THEN round({corr_sql('v', 'c')}, 3) END AS r, CASE WHEN count(*) >= 3 THEN round(avg(abs(e)), 2) END AS mae, CASE WHEN count(*) >= 3 THEN round(sqrt(avg(e * e)), 2) END AS rmse, CASE WHEN count(*) >= 3 THEN round(100 * avg(s::INT), 1) END AS accuracy
- FROM (SELECT *, 100 * v / first_value(v) OVER (PARTITION BY month ORDER BY day) - 100 * c / first_value(c) OVER (PARTITION BY month ORDER BY day) AS e FROM ({DIRS})) GROUP BY month"""), lambda s, d: a.comovement(pair(s, d).withColumn("month", MONTH), "v", "c", "day", ["month"]))
+ FROM (SELECT *, 100 * v / first_value(v) OVER (PARTITION BY month ORDER BY day) - 100 * c / first_value(c) OVER (PARTITION BY month ORDER BY day) AS e FROM ({DIRS})) GROUP BY month"""), lambda s, d: a.comovement(pair(s, d).withColumn("month", month()), "v", "c", "day", ["month"]))
 EDGES = (0, 3, 7, 14, 21, 30, 45, 60, 90)
 HIST = "SELECT from_day, count(*) AS n, round(100 * count(*)::DOUBLE / sum(count(*)) OVER (), 4) AS share_pct FROM (SELECT CASE " + " ".join(f"WHEN lead >= {e} THEN {e}" for e in reversed(EDGES)) + " END AS from_day FROM (SELECT travel_date - search_date AS lead FROM fares)) WHERE from_day IS NOT NULL GROUP BY from_day"
 

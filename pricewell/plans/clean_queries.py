@@ -33,10 +33,15 @@ nq AS (SELECT order_id, line_no, supp_id, part_id, o AS origin, dd AS destinatio
  CASE WHEN st = 'AVAILABLE' THEN round(tx, 2) ELSE 0 END AS tax_amount, CASE WHEN st <> 'AVAILABLE' THEN 0 WHEN abs(total_fare - bf - tx) > 5 AND abs(total_fare - bf - tx) <= 50 THEN round(total_fare - bf - tx, 2) ELSE 0 END AS other_fee,
  CASE WHEN o = '' OR dd = '' OR o = dd THEN 'INVALID_ROUTE' WHEN cc = '' THEN 'MISSING_CARRIER' WHEN ff = '' THEN 'MISSING_FLIGHT' WHEN st <> 'AVAILABLE' THEN NULL WHEN total_fare < 0 OR bf < 0 THEN 'NEGATIVE_PRICE' END AS reject_reason FROM nz)"""
 AGG = "count(*) AS n, round(sum(base_fare) / 100, 1) AS base, round(sum(other_fare), 1) AS other"
-N = F.count(F.lit(1)).alias("n")
+
+
+def n():
+    return F.count(F.lit(1)).alias("n")
+
+
 R1 = lambda x: F.round(F.sum(x) / 100, 1).alias(x)
-add("bucket_horizon", raw_sql(f"SELECT advance_purchase_days AS d, ({H.format('advance_purchase_days')})::INTEGER AS h, count(*) AS n FROM raw GROUP BY 1, 2"), lambda s, d: raw(s, d).groupBy(F.col("advance_purchase_days").alias("d"), fn.bucket_horizon(F.col("advance_purchase_days")).alias("h")).agg(N))
-add("normalize_quotes", raw_sql("SELECT reject_reason, availability_status, advance_purchase_days::INTEGER AS advance_purchase_days, count(*) AS n, round(sum(base_fare) / 100, 1) AS base_fare, round(sum(total_fare) / 100, 1) AS total_fare, round(sum(other_fee) / 100, 1) AS other_fee FROM nq GROUP BY 1, 2, 3", NORM), lambda s, d: c.normalize_quotes(raw(s, d)).groupBy("reject_reason", "availability_status", "advance_purchase_days").agg(N, R1("base_fare"), R1("total_fare"), R1("other_fee")))
+add("bucket_horizon", raw_sql(f"SELECT advance_purchase_days AS d, ({H.format('advance_purchase_days')})::INTEGER AS h, count(*) AS n FROM raw GROUP BY 1, 2"), lambda s, d: raw(s, d).groupBy(F.col("advance_purchase_days").alias("d"), fn.bucket_horizon(F.col("advance_purchase_days")).alias("h")).agg(n()))
+add("normalize_quotes", raw_sql("SELECT reject_reason, availability_status, advance_purchase_days::INTEGER AS advance_purchase_days, count(*) AS n, round(sum(base_fare) / 100, 1) AS base_fare, round(sum(total_fare) / 100, 1) AS total_fare, round(sum(other_fee) / 100, 1) AS other_fee FROM nq GROUP BY 1, 2, 3", NORM), lambda s, d: c.normalize_quotes(raw(s, d)).groupBy("reject_reason", "availability_status", "advance_purchase_days").agg(n(), R1("base_fare"), R1("total_fare"), R1("other_fee")))
 add("null_unavailable", raw_sql("SELECT upper(trim(availability_status)) AS st, count(total_fare) FILTER (upper(trim(availability_status)) <> 'SOLD_OUT') AS fares FROM raw GROUP BY 1"), lambda s, d: c.null_unavailable(raw(s, d).withColumn("availability_status", F.trim("availability_status"))).groupBy(F.upper("availability_status").alias("st")).agg(F.count("total_fare").alias("fares")))
 add("rebalance_components", raw_sql("SELECT count(*) FILTER (g) AS moved, round(sum(CASE WHEN g THEN total_fare - base_fare - tax_amount ELSE 0 END) / 100, 1) AS other_fee FROM (SELECT *, abs(total_fare - base_fare - tax_amount) > 5 AND abs(total_fare - base_fare - tax_amount) <= 50 AS g FROM raw WHERE base_fare IS NOT NULL)"), lambda s, d: c.rebalance_components(raw(s, d).where("base_fare is not null")).agg(F.count_if(F.col("other_fee") != 0).alias("moved"), R1("other_fee")))
 QUAL = """SELECT CASE WHEN o = '' OR o = dd THEN 'REJECT' WHEN cc = '' THEN 'REJECT' WHEN st <> 'AVAILABLE' THEN 'MISSING_FOR_INDEX' WHEN base_fare IS NULL THEN 'REJECT' WHEN total_fare <= 0 OR base_fare <= 0 THEN 'REJECT' WHEN g > 50 THEN 'REJECT' WHEN g > 5 THEN 'ACCEPT_WITH_WARNING' WHEN total_fare NOT BETWEEN 1200 AND 60000 THEN 'REVIEW' ELSE 'ACCEPT' END AS quality_status,
@@ -48,13 +53,13 @@ def scored(s, d):
     return c.score_quality(x)
 
 
-add("score_quality", raw_sql(QUAL, NORM), lambda s, d: scored(s, d).groupBy("quality_status", "quality_score").agg(N))
+add("score_quality", raw_sql(QUAL, NORM), lambda s, d: scored(s, d).groupBy("quality_status", "quality_score").agg(n()))
 add("decompose_fare", raw_sql("""SELECT feed_type, round(sum(CASE WHEN rl THEN round(base_fare, 2) ELSE round(net - round(net * 0.05, 2) - round(net * 0.15, 2), 2) END) / 100, 1) AS base_fare, round(sum(CASE WHEN rl THEN 0 ELSE conv END) / 100, 1) AS convenience_fee FROM (SELECT *, extraction_method = 'NETWORK_API' AND base_fare IS NOT NULL AS rl, CASE WHEN feed_type = 'RPC_FALLBACK' THEN 299.0 ELSE 0.0 END::DOUBLE AS conv,
  greatest(500, total_fare - 350 - CASE WHEN feed_type = 'RPC_FALLBACK' THEN 299.0 ELSE 0.0 END::DOUBLE) AS net FROM raw) GROUP BY feed_type"""), lambda s, d: c.decompose_fare(raw(s, d)).groupBy("feed_type").agg(R1("base_fare"), R1("convenience_fee")))
-add("resolve_source", raw_sql("SELECT feed_type, CASE WHEN feed_type = 'CARRIER_DIRECT' THEN 1 WHEN feed_type = 'OTA_AGGREGATOR' THEN coalesce(nullif(source_id, 0), 1 + n_regionkey, 2) ELSE 2 END AS resolved, count(*) AS n FROM raw LEFT JOIN nation ON n_name = 'NATION_' || supp_id GROUP BY 1, 2"), lambda s, d: c.resolve_source(raw(s, d).withColumn("source_name", F.concat(F.lit("NATION_"), "supp_id")), read(s, d, "nation").select(F.col("n_name").alias("source_name"), (1 + F.col("n_regionkey")).cast("long").alias("source_id")), 1, 2).groupBy("feed_type", "resolved").agg(N))
+add("resolve_source", raw_sql("SELECT feed_type, CASE WHEN feed_type = 'CARRIER_DIRECT' THEN 1 WHEN feed_type = 'OTA_AGGREGATOR' THEN coalesce(nullif(source_id, 0), 1 + n_regionkey, 2) ELSE 2 END AS resolved, count(*) AS n FROM raw LEFT JOIN nation ON n_name = 'NATION_' || supp_id GROUP BY 1, 2"), lambda s, d: c.resolve_source(raw(s, d).withColumn("source_name", F.concat(F.lit("NATION_"), "supp_id")), read(s, d, "nation").select(F.col("n_name").alias("source_name"), (1 + F.col("n_regionkey")).cast("long").alias("source_id")), 1, 2).groupBy("feed_type", "resolved").agg(n()))
 T = ["order_id", "line_no", "supp_id", "part_id", "total_fare"]
-add("flag_carrier_min", with_views("SELECT route, carrier, count(*) AS n, round(min(base_fare), 4) AS x FROM (SELECT *, row_number() OVER (PARTITION BY route, obs_date, carrier ORDER BY base_fare, order_id, line_no, supp_id, part_id, total_fare) AS k FROM fares) WHERE k = 1 GROUP BY 1, 2", "fares"), lambda s, d: c.flag_carrier_min(fares(s, d), ["route", "obs_date"], "carrier", "base_fare", T).where("is_carrier_min_fare").groupBy("route", "carrier").agg(N, F.round(F.min("base_fare"), 4).alias("x")))
-add("flag_duplicates", with_views("SELECT dup AS is_duplicate, count(*) AS n FROM (SELECT count(*) OVER (PARTITION BY order_id, line_no) > 1 AS dup FROM fares) GROUP BY 1", "fares"), lambda s, d: c.flag_duplicates(fares(s, d), ["order_id", "line_no"]).groupBy("is_duplicate").agg(N))
+add("flag_carrier_min", with_views("SELECT route, carrier, count(*) AS n, round(min(base_fare), 4) AS x FROM (SELECT *, row_number() OVER (PARTITION BY route, obs_date, carrier ORDER BY base_fare, order_id, line_no, supp_id, part_id, total_fare) AS k FROM fares) WHERE k = 1 GROUP BY 1, 2", "fares"), lambda s, d: c.flag_carrier_min(fares(s, d), ["route", "obs_date"], "carrier", "base_fare", T).where("is_carrier_min_fare").groupBy("route", "carrier").agg(n(), F.round(F.min("base_fare"), 4).alias("x")))
+add("flag_duplicates", with_views("SELECT dup AS is_duplicate, count(*) AS n FROM (SELECT count(*) OVER (PARTITION BY order_id, line_no) > 1 AS dup FROM fares) GROUP BY 1", "fares"), lambda s, d: c.flag_duplicates(fares(s, d), ["order_id", "line_no"]).groupBy("is_duplicate").agg(n()))
 
 
 def records(s, d):
@@ -65,18 +70,18 @@ def records(s, d):
 
 
 ISS = "(part_id % 29 = 0)::INT + (part_id % 31 = 0)::INT + (part_id % 37 = 0)::INT"
-add("validate_records", with_views(f"SELECT ({ISS}) AS issues, count(*) AS n FROM fares GROUP BY 1", "fares"), lambda s, d: c.validate_records(records(s, d)).groupBy(F.size("issues").alias("issues")).agg(N))
+add("validate_records", with_views(f"SELECT ({ISS}) AS issues, count(*) AS n FROM fares GROUP BY 1", "fares"), lambda s, d: c.validate_records(records(s, d)).groupBy(F.size("issues").alias("issues")).agg(n()))
 add("drift_report", with_views(f"SELECT count(*) AS records_checked, count(*) FILTER ({ISS} = 0) AS clean_count, count(*) FILTER ({ISS} > 0) AS drift_count, count(*) FILTER ({ISS} > 0) > greatest(2, floor(count(*) * 0.1)) AS is_drifting, count(*) > 0 AND count(*) FILTER ({ISS} > 0) = count(*) AS collapsed FROM fares", "fares"), lambda s, d: c.drift_report(c.validate_records(records(s, d))))
 AGREE = "ag AS (SELECT *, round(avg((abs(base_fare - m) / m <= 0.1)::INT) OVER (PARTITION BY route, horizon), 4) AS agreement FROM (SELECT *, median(base_fare) OVER (PARTITION BY route, horizon) AS m FROM fares))"
 add("agreement", with_views("", "fares").rstrip() + ", " + AGREE + " SELECT DISTINCT route, horizon, agreement FROM ag", lambda s, d: c.agreement(fares(s, d), ["route", "horizon"], "base_fare").select("route", "horizon", "agreement").distinct())
 Q = "CASE feed_type WHEN 'CARRIER_DIRECT' THEN 100.0 WHEN 'RPC_FALLBACK' THEN 90.0 WHEN 'OTA_AGGREGATOR' THEN 70.0 ELSE 30.0 END"
 CONF = f"round(greatest(0, least(100, {Q}::DOUBLE * 0.96 * (0.95 + 0.10 * agreement))), 2)"
-add("score_quotes", with_views("", "fares").rstrip() + ", " + AGREE + f" SELECT feed_type, band, count(*) AS n, round(sum(confidence) / 100, 1) AS confidence FROM (SELECT *, CASE WHEN confidence >= 90 THEN 'HIGH' WHEN confidence >= 70 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM (SELECT *, {CONF} AS confidence FROM ag)) GROUP BY 1, 2", lambda s, d: c.score_quotes(fares(s, d), ["route", "horizon"], "base_fare", F.expr(Q), F.lit("NETWORK")).groupBy("feed_type", "band").agg(N, R1("confidence")))
+add("score_quotes", with_views("", "fares").rstrip() + ", " + AGREE + f" SELECT feed_type, band, count(*) AS n, round(sum(confidence) / 100, 1) AS confidence FROM (SELECT *, CASE WHEN confidence >= 90 THEN 'HIGH' WHEN confidence >= 70 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM (SELECT *, {CONF} AS confidence FROM ag)) GROUP BY 1, 2", lambda s, d: c.score_quotes(fares(s, d), ["route", "horizon"], "base_fare", F.expr(Q), F.lit("NETWORK")).groupBy("feed_type", "band").agg(n(), R1("confidence")))
 add("confidence", with_views(f"SELECT feed_type, round({Q}::DOUBLE * 0.94 * (0.95 + 0.10 * 0.5), 2) AS confidence FROM fares GROUP BY ALL", "fares"), lambda s, d: fares(s, d).select("feed_type", fn.confidence(F.expr(Q), F.lit("rpc"), F.lit(0.5)).alias("confidence")).distinct())
-add("feed_weight", with_views("SELECT feed_type, CASE feed_type WHEN 'CARRIER_DIRECT' THEN 1.0 WHEN 'RPC_FALLBACK' THEN 0.9 WHEN 'OTA_AGGREGATOR' THEN 0.7 ELSE 0.3 END::DOUBLE AS weight, CASE feed_type WHEN 'CARRIER_DIRECT' THEN 100 WHEN 'RPC_FALLBACK' THEN 90 WHEN 'OTA_AGGREGATOR' THEN 70 ELSE 30 END AS score, count(*) AS n FROM fares GROUP BY ALL", "fares"), lambda s, d: fares(s, d).groupBy("feed_type", fn.feed_weight(F.col("feed_type")).alias("weight"), fn.feed_score(F.col("feed_type")).alias("score")).agg(N))
+add("feed_weight", with_views("SELECT feed_type, CASE feed_type WHEN 'CARRIER_DIRECT' THEN 1.0 WHEN 'RPC_FALLBACK' THEN 0.9 WHEN 'OTA_AGGREGATOR' THEN 0.7 ELSE 0.3 END::DOUBLE AS weight, CASE feed_type WHEN 'CARRIER_DIRECT' THEN 100 WHEN 'RPC_FALLBACK' THEN 90 WHEN 'OTA_AGGREGATOR' THEN 70 ELSE 30 END AS score, count(*) AS n FROM fares GROUP BY ALL", "fares"), lambda s, d: fares(s, d).groupBy("feed_type", fn.feed_weight(F.col("feed_type")).alias("weight"), fn.feed_score(F.col("feed_type")).alias("score")).agg(n()))
 add("canonical_flight", "SELECT p_partkey, '6E-' || p_partkey AS flight FROM part WHERE p_partkey > 0", lambda s, d: read(s, d, "part").where("p_partkey > 0").select("p_partkey", fn.canonical_flight(F.expr("CASE p_partkey % 4 WHEN 0 THEN '6e-' || p_partkey WHEN 1 THEN 'IndiGo ' || p_partkey WHEN 2 THEN cast(p_partkey as string) ELSE '6E ' || p_partkey END")).alias("flight")))
 add("carrier_code", "SELECT p_brand, p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'IX' WHEN 1 THEN 'AI' ELSE '6E' END AS code FROM part", lambda s, d: read(s, d, "part").select("p_brand", "p_partkey", fn.carrier_code(F.expr("CASE p_partkey % 3 WHEN 0 THEN 'Air India Express ' WHEN 1 THEN 'air india ' ELSE '' END || p_brand")).alias("code")))
-add("is_synthetic", with_views("SELECT feed_type = 'SYNTHETIC_BASELINE' AS synthetic, count(*) AS n FROM fares GROUP BY 1", "fares"), lambda s, d: fares(s, d).groupBy(fn.is_synthetic(F.col("feed_type"), F.lit(None).cast("string")).alias("synthetic")).agg(N))
+add("is_synthetic", with_views("SELECT feed_type = 'SYNTHETIC_BASELINE' AS synthetic, count(*) AS n FROM fares GROUP BY 1", "fares"), lambda s, d: fares(s, d).groupBy(fn.is_synthetic(F.col("feed_type"), F.lit(None).cast("string")).alias("synthetic")).agg(n()))
 
 
 def sources(s, d):
@@ -87,4 +92,4 @@ BLOCK = "CASE WHEN s_suppkey % 7 = 0 THEN 'disabled' WHEN s_suppkey % 5 = 0 THEN
 add("blocked_reason", f"SELECT s_suppkey, {BLOCK} AS blocked_reason FROM supplier", lambda s, d: c.blocked_reason(sources(s, d)).select("s_suppkey", "blocked_reason"))
 add("can_collect", f"SELECT s_suppkey, {BLOCK} = '' AS can_collect FROM supplier", lambda s, d: c.can_collect(sources(s, d)).select("s_suppkey", "can_collect"))
 add("check_transitions", "SELECT s_suppkey, s_suppkey % 11 <> 0 AS allowed FROM supplier", lambda s, d: c.check_transitions(sources(s, d).withColumn("target", F.lit("DEGRADED")), "health_status", "target").select("s_suppkey", "allowed"))
-add("cleaned_fares", raw_sql("SELECT (base_fare IS NOT NULL AND tax_amount IS NOT NULL AND fuel_surcharge IS NOT NULL) AS has_full_breakdown, feed_type = 'SYNTHETIC_BASELINE' AS is_imputed, count(*) AS n, round(sum(coalesce(tax_amount, 0)) / 100, 1) AS taxes FROM raw GROUP BY 1, 2"), lambda s, d: c.cleaned_fares(raw(s, d).withColumn("stops", F.lit(0)).withColumn("quality_status", F.lit("ACCEPT"))).groupBy("has_full_breakdown", "is_imputed").agg(N, R1("taxes")))
+add("cleaned_fares", raw_sql("SELECT (base_fare IS NOT NULL AND tax_amount IS NOT NULL AND fuel_surcharge IS NOT NULL) AS has_full_breakdown, feed_type = 'SYNTHETIC_BASELINE' AS is_imputed, count(*) AS n, round(sum(coalesce(tax_amount, 0)) / 100, 1) AS taxes FROM raw GROUP BY 1, 2"), lambda s, d: c.cleaned_fares(raw(s, d).withColumn("stops", F.lit(0)).withColumn("quality_status", F.lit("ACCEPT"))).groupBy("has_full_breakdown", "is_imputed").agg(n(), R1("taxes")))

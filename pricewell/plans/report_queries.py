@@ -8,7 +8,7 @@ from pricewell.operators import analytics as a
 from pricewell.operators import composite as k
 from pricewell.operators import index as ix
 
-from .analytics_queries import DIRECT, VOL, add
+from .analytics_queries import VOL, add, direct
 from .index_queries import BASE_DATE, CARRIER, LASPEYRES, based, cell_sql
 from .join_queries import CAL, SCD, calendar, scd
 from .views import fares, read, series, weights, with_views
@@ -56,7 +56,7 @@ add("fuel_overlay", with_views(FO, "series"), lambda s, d: k.fuel_overlay(view_s
 LAST = "lastc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY carrier, horizon ORDER BY obs_date DESC) AS r FROM carrier_index) WHERE r = 1)"
 add("carrier_scorecard", with_views("", "fares", "weights").rstrip() + CARRIER + ", " + LAST + " SELECT horizon, round(max(index_value) - min(index_value), 4) AS spread, arg_max(carrier, (index_value, carrier)) AS leader, arg_min(carrier, (index_value, carrier)) AS value_leader, count(*) AS carriers FROM lastc GROUP BY horizon", lambda s, d: k.carrier_scorecard(carr(s, d)))
 add("trajectory", with_views("SELECT flight, travel_date, base_fare FROM fares WHERE route = 'ASIA>BUILDING'", "fares"), lambda s, d: k.trajectory(fares(s, d), "ASIA>BUILDING", ["base_fare", "flight"]).select("flight", "travel_date", "base_fare"))
-add("common_flights", with_views("SELECT carrier, obs_date, count(DISTINCT source_id) AS sources, round(min(total_fare), 6) AS lowest FROM fares GROUP BY 1, 2 HAVING count(DISTINCT source_id) >= 2", "fares"), lambda s, d: k.common_flights(fares(s, d), ["carrier", "obs_date"], "source_id", "total_fare", DIRECT).select("carrier", "obs_date", "sources", "lowest"))
+add("common_flights", with_views("SELECT carrier, obs_date, count(DISTINCT source_id) AS sources, round(min(total_fare), 6) AS lowest FROM fares GROUP BY 1, 2 HAVING count(DISTINCT source_id) >= 2", "fares"), lambda s, d: k.common_flights(fares(s, d), ["carrier", "obs_date"], "source_id", "total_fare", direct()).select("carrier", "obs_date", "sources", "lowest"))
 LIVE = "SELECT obs_date, median(p) AS v FROM (SELECT obs_date, carrier, min(base_fare) AS p FROM fares GROUP BY ALL) GROUP BY obs_date"
 add("live_series", with_views(f"SELECT obs_date, v AS value, round(100 * v / first_value(v) OVER (ORDER BY obs_date), 4) AS rebased FROM ({LIVE})", "fares"), lambda s, d: k.live_series(fares(s, d)))
 add("index_between", cell_sql(f"SELECT * FROM ({LASPEYRES}) WHERE horizon = 15 AND obs_date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'", "weights"), lambda s, d: k.index_between(lasp(s, d), "obs_date", "1996-01-01", "1997-12-31", horizon=15))

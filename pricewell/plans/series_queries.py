@@ -109,8 +109,13 @@ f3 AS (SELECT f1.series, coalesce(stddev_samp(res - season), 0) AS sd FROM f1 JO
 seas AS (SELECT f4.series, target, ic + sl * (target - DATE '1970-01-01') + coalesce(season, 0) AS p, sd FROM f4 JOIN f3 USING (series) LEFT JOIN f2 ON f2.series = f4.series AND f2.dow = isodow(target))"""
 SEL = "SELECT series, target, round(p, {0}) AS p50, round(p - 1.2816 * sd, {0}) AS p10, round(p + 1.2816 * sd, {0}) AS p90 FROM seas"
 add("persistence", with_views(PERS, "series"), lambda s, d: t.persistence(series(s, d), K, "day", "value"))
-R3 = [F.round(q, 3).alias(q) for q in ("p50", "p10", "p90")]
-add("seasonal_trend", with_views("", "series").rstrip() + ", " + SEAS + " " + SEL.format(4).replace("round(p, 4)", "round(round(p, 4), 3)").replace("round(p - 1.2816 * sd, 4)", "round(round(p - 1.2816 * sd, 4), 3)").replace("round(p + 1.2816 * sd, 4)", "round(round(p + 1.2816 * sd, 4), 3)"), lambda s, d: t.seasonal_trend(series(s, d), K, "day", "value").select("series", "target", *R3))
+
+
+def r3():
+    return [F.round(q, 3).alias(q) for q in ("p50", "p10", "p90")]
+
+
+add("seasonal_trend", with_views("", "series").rstrip() + ", " + SEAS + " " + SEL.format(4).replace("round(p, 4)", "round(round(p, 4), 3)").replace("round(p - 1.2816 * sd, 4)", "round(round(p - 1.2816 * sd, 4), 3)").replace("round(p + 1.2816 * sd, 4)", "round(round(p + 1.2816 * sd, 4), 3)"), lambda s, d: t.seasonal_trend(series(s, d), K, "day", "value").select("series", "target", *r3()))
 
 
 def _models(s, d):

@@ -10,12 +10,17 @@ from pricewell.sources import files as f
 from .analytics_queries import add, events
 from .views import fares, read, with_views
 
-N = F.count(F.lit(1)).alias("n")
-add("scan_fares", with_views("SELECT carrier, count(*) AS n FROM fares WHERE obs_date = DATE '1996-03-01' AND horizon = 15 GROUP BY 1", "fares"), lambda s, d: f.scan_fares(fares(s, d), "1996-03-01", 15).groupBy("carrier").agg(N))
+
+
+def n():
+    return F.count(F.lit(1)).alias("n")
+
+
+add("scan_fares", with_views("SELECT carrier, count(*) AS n FROM fares WHERE obs_date = DATE '1996-03-01' AND horizon = 15 GROUP BY 1", "fares"), lambda s, d: f.scan_fares(fares(s, d), "1996-03-01", 15).groupBy("carrier").agg(n()))
 add("align_schema", "SELECT event_id, event_type, 'INR' AS currency, value FROM events", lambda s, d: f.align_schema(events(s, d), {"event_id": ("long", 0), "event_type": ("string", ""), "currency": ("string", "INR"), "value": ("double", 0.0)}))
 PAY = "to_json(struct(array(struct(o_orderkey as flight, 'ai' as airline_code, o_totalprice as price, cast(o_orderkey % 3 as int) as seats)) as data))"
 add("extract_quote_fields", "SELECT o_orderkey, 'AI' AS carrier, o_totalprice AS total_fare, CASE WHEN o_orderkey % 3 = 0 THEN 'SOLD_OUT' ELSE 'AVAILABLE' END AS availability_status FROM orders", lambda s, d: f.extract_quote_fields(f.read_quotes_json(read(s, d, "orders").select("o_orderkey", F.expr(PAY).alias("payload")))).select("o_orderkey", "carrier", "total_fare", "availability_status"))
-add("read_quotes_json", "SELECT o_orderkey, 1::BIGINT AS n FROM orders", lambda s, d: f.read_quotes_json(read(s, d, "orders").select("o_orderkey", F.expr(PAY).alias("payload"))).groupBy("o_orderkey").agg(N))
+add("read_quotes_json", "SELECT o_orderkey, 1::BIGINT AS n FROM orders", lambda s, d: f.read_quotes_json(read(s, d, "orders").select("o_orderkey", F.expr(PAY).alias("payload"))).groupBy("o_orderkey").agg(n()))
 add("verify_payloads", "SELECT page_id, sha256(html) AS payload_hash, page_id % 5 <> 0 AS intact FROM pages", lambda s, d: f.verify_payloads(f.hashed(read(s, d, "pages").withColumnRenamed("html", "content")).withColumn("content", F.expr("if(page_id % 5 = 0, content || 'x', content)"))).select("page_id", "payload_hash", "intact"))
 add("card_fields", "SELECT p_partkey, p_retailprice AS price, 'DEL' AS origin, 'BOM' AS destination, '6E-' || (100 + p_partkey % 900) AS flight, '06:30' AS departs, '08:45' AS arrives, (p_size % 3)::INTEGER AS stops, 135 AS minutes FROM part", lambda s, d: t.card_fields(read(s, d, "part").select("p_partkey", F.expr("'DEL - BOM 06:30 08:45 2h 15m ' || cast(p_size % 3 as string) || ' stop 6E-' || cast(100 + p_partkey % 900 as string) || ' INR ' || cast(p_retailprice as string)").alias("text")), "text").drop("text"))
 add("card_dates", "SELECT o_orderkey, cast(o_orderdate AS DATE) AS travel_date, cast(o_orderdate + INTERVAL 3 DAY AS DATE) AS return_date FROM orders", lambda s, d: t.card_dates(read(s, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("ref"), F.expr("'from ' || date_format(o_orderdate, 'd MMM yyyy') || ' back ' || date_format(date_add(o_orderdate, 3), 'yyyy-MM-dd')").alias("text")), "text", "ref").select("o_orderkey", "travel_date", "return_date"))
