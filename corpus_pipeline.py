@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from pricewell.llm import decontaminate, mixing, ngram_join, quality_rules, sharding
 from pricewell.llm.common import keep, table
@@ -10,20 +9,15 @@ from pricewell.llm.common import keep, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _only(docs, chosen):
-    """The rows of ``docs`` whose doc_id ``chosen`` holds; a null id is an id like any other."""
-    ids = chosen.select(F.col("doc_id").alias("chosen_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi").select(*COLUMNS)
-
-
 def quality(spark, docs, sf_dir):
     """Documents that the quality rules keep."""
-    return _only(docs, quality_rules.quality_rules(docs, table(spark, sf_dir, "labels")).where("kept"))
+    return quality_rules.keep_good(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark, docs, sf_dir):
-    """The document with the smallest id of every group of linked documents."""
-    return _only(docs, ngram_join.similar_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """The document with the smallest id of every group of linked documents; rows without an id stay."""
+    copies = ngram_join.similar_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(keep(copies, "copies"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontaminated(spark, docs, sf_dir):
@@ -33,7 +27,7 @@ def decontaminated(spark, docs, sf_dir):
 
 def mixed(spark, docs, sf_dir):
     """Documents that the mixture takes: at most one epoch, four fifths of all tokens."""
-    return _only(docs, mixing.mix(docs, fraction=0.8, max_epochs=1))
+    return mixing.take_once(docs.select(*COLUMNS), fraction=0.8)
 
 
 def sharded(spark, docs, sf_dir):

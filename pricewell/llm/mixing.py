@@ -47,6 +47,35 @@ def share_out(nodes: DataFrame, parent: list[str], node: str, weight: str, capac
     return step.withColumn(out, F.greatest(F.lit(0.0), F.least(F.col(capacity), F.col(weight) * F.max("__level").over(group)))).drop("__level")
 
 
+def _leaf_columns(docs: DataFrame, key: str, text: str, lang: str, source: str, *more: Column) -> DataFrame:
+    named = docs.select(F.col(key).alias("k"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.size(words(F.col(text))).cast("long").alias("n_tokens"), *more)
+    return named.withColumn("domain", source_domain(F.col("source")))
+
+
+def _plan(rows: DataFrame, fraction: float, max_epochs: int, domains: dict[str, float], languages: dict[str, float], sources: dict[str, float] | None) -> tuple[DataFrame, DataFrame]:
+    """Token counts of the documents, and every leaf's budget as whole epochs and a rest."""
+    stats = keep(rows, "tokens")
+    leaves = stats.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
+    leaves = leaves.select(
+        *LEAF, "tokens", "docs",
+        (F.col("tokens") * float(max_epochs)).alias("c3"), _weight("source", sources or {}, 1.0).alias("w3"), _weight("lang", languages, 0.0).alias("w2"), _weight("domain", domains, 0.0).alias("w1"),
+    )
+    leaves = keep(leaves, "leaves")
+    usable = leaves.where("w1 > 0 and w2 > 0 and w3 > 0")
+    total = leaves.agg(F.sum("tokens")).first()[0] or 0
+    d = usable.groupBy("domain").agg(F.sum("c3").alias("c"), F.max("w1").alias("w")).withColumn("b", F.lit(float(total) * fraction))
+    d = share_out(d, [], "domain", "w", "c", "b", "b1").select("domain", "b1")
+    lg = usable.groupBy("domain", "lang").agg(F.sum("c3").alias("c"), F.max("w2").alias("w")).join(d, "domain")
+    lg = share_out(lg, ["domain"], "lang", "w", "c", "b1", "b2").select("domain", "lang", "b2")
+    leaf = share_out(usable.join(lg, ["domain", "lang"]), ["domain", "lang"], "source", "w3", "c3", "b2", "b3")
+    budget = F.floor(F.col("b3") + 1e-6).cast("long")
+    plan = keep(
+        leaf.select(*LEAF, budget.alias("budget"), F.when(F.col("tokens") > 0, budget % F.col("tokens")).otherwise(0).alias("rest"), F.when(F.col("tokens") > 0, F.floor(budget / F.col("tokens"))).otherwise(1).cast("int").alias("epochs"), F.greatest(F.lit(1), F.ceil(F.col("docs") / RUN_DOCS)).alias("runs")),
+        "plan",
+    )
+    return stats, plan
+
+
 def mix(
     docs: DataFrame,
     fraction: float = 0.5,
@@ -67,37 +96,40 @@ def mix(
     language or source is a node named ''. Repeated rows are documents of their own; rows of one key
     follow each other. An empty table gives an empty result. Further columns are not read.
     """
-    named = docs.select(F.col(key).alias("k"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.size(words(F.col(text))).cast("long").alias("n_tokens"))
-    stats = keep(named.withColumn("domain", source_domain(F.col("source"))), "tokens")
-    leaves = stats.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    leaves = leaves.select(
-        *LEAF, "tokens", "docs",
-        (F.col("tokens") * float(max_epochs)).alias("c3"), _weight("source", sources or {}, 1.0).alias("w3"), _weight("lang", languages, 0.0).alias("w2"), _weight("domain", domains, 0.0).alias("w1"),
-    )
-    leaves = keep(leaves, "leaves")
-    usable = leaves.where("w1 > 0 and w2 > 0 and w3 > 0")
-    total = leaves.agg(F.sum("tokens")).first()[0] or 0
-    d = usable.groupBy("domain").agg(F.sum("c3").alias("c"), F.max("w1").alias("w")).withColumn("b", F.lit(float(total) * fraction))
-    d = share_out(d, [], "domain", "w", "c", "b", "b1").select("domain", "b1")
-    lg = usable.groupBy("domain", "lang").agg(F.sum("c3").alias("c"), F.max("w2").alias("w")).join(d, "domain")
-    lg = share_out(lg, ["domain"], "lang", "w", "c", "b1", "b2").select("domain", "lang", "b2")
-    leaf = share_out(usable.join(lg, ["domain", "lang"]), ["domain", "lang"], "source", "w3", "c3", "b2", "b3")
-    budget = F.floor(F.col("b3") + 1e-6).cast("long")
-    plan = keep(
-        leaf.select(*LEAF, budget.alias("budget"), F.when(F.col("tokens") > 0, budget % F.col("tokens")).otherwise(0).alias("rest"), F.when(F.col("tokens") > 0, F.floor(budget / F.col("tokens"))).otherwise(1).cast("int").alias("epochs"), F.greatest(F.lit(1), F.ceil(F.col("docs") / RUN_DOCS)).alias("runs")),
-        "plan",
-    )
+    stats, plan = _plan(_leaf_columns(docs, key, text, lang, source), fraction, max_epochs, domains, languages, sources)
     rows = stats.join(plan, LEAF)
     whole = rows.where("epochs > 0").select("k", *LEAF, "n_tokens", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)).alias("epoch"))
-    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("epochs"), F.coalesce(F.col("k").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long")
-    last = rows.where("rest > 0").withColumn("draw", draw).withColumn("run", F.floor(F.col("draw") / float(1 << 48) * F.col("runs")))
+    part = _last_epoch(rows, seed).select("k", *LEAF, "n_tokens", F.col("epochs").alias("epoch"))
+    return whole.union(part).select(F.col("k").alias(key), *LEAF, "n_tokens", "epoch")
+
+
+def _draw(seed: int):
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("epochs"), F.coalesce(F.col("k").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long")
+
+
+def _last_epoch(rows: DataFrame, seed: int) -> DataFrame:
+    """The rows of the longest prefix of each leaf's last epoch that fits the rest of its budget, with their draw."""
+    last = rows.where("rest > 0").withColumn("draw", _draw(seed)).withColumn("run", F.floor(F.col("draw") / float(1 << 48) * F.col("runs")))
     sums = last.groupBy(*LEAF, "run").agg(F.sum("n_tokens").alias("s"))
     before = sums.select(*LEAF, "run", (F.sum("s").over(Window.partitionBy(*LEAF).orderBy("run")) - F.col("s")).alias("before"))
     # Runs that begin behind the budget need no order.
     some = last.join(before, [*LEAF, "run"]).where("before < rest")
     upto = F.sum("n_tokens").over(Window.partitionBy(*LEAF, "run").orderBy("draw", "k", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
-    part = some.withColumn("upto", F.col("before") + upto).where("upto <= rest").select("k", *LEAF, "n_tokens", F.col("epochs").alias("epoch"))
-    return whole.union(part).select(F.col("k").alias(key), *LEAF, "n_tokens", "epoch")
+    return some.withColumn("upto", F.col("before") + upto).where("upto <= rest")
+
+
+def take_once(docs: DataFrame, fraction: float = 0.8, seed: int = 7, domains: dict[str, float] = DOMAINS, languages: dict[str, float] = LANGUAGES, sources: dict[str, float] | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that ``mix`` selects with one epoch.
+
+    A leaf's prefix ends at a last (draw, key, tokens), so that each row is judged against its leaf's end where it is read; only the leaves are joined.
+    """
+    stats, plan = _plan(_leaf_columns(docs, key, text, lang, source), fraction, 1, domains, languages, sources)
+    order = F.struct("draw", "k", "n_tokens")
+    ends = _last_epoch(stats.join(plan, LEAF), seed).groupBy(*LEAF).agg(F.max(order).alias("end"))
+    ends = keep(plan.join(ends, LEAF, "left").select(*[F.col(c).alias(f"__{c}") for c in LEAF], "epochs", "end"), "ends")
+    rows = _leaf_columns(docs, key, text, lang, source, F.struct(*docs.columns).alias("row"))
+    rows = rows.join(ends, [F.col(c) == F.col(f"__{c}") for c in LEAF]).withColumn("draw", _draw(seed))
+    return rows.where((F.col("epochs") > 0) | (order <= F.col("end"))).select("row.*")
 
 
 SQL = """

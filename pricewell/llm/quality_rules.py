@@ -22,15 +22,18 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = ["n_words", "mean_word_chars", "symbols_per_word", "dup_lines_per_line", "repeat_share"]
 
 
-def text_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def text_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """key, the five base statistics of the whole text (long) and n_lines, the lines with a word. A null text has none, all are 0.
 
     n_repeat_words: words within three-word windows that occur at least twice in the text. The windows are
     compared by 64-bit hashes, sorted with their positions, so that a text of n words costs n log n.
+    carry: columns of the input that the result holds as a struct ``row``, instead of the key.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     line_list = F.filter(F.split(t, "\n"), lambda s: F.translate(s, SPACE_CHARS, "") != "")
-    step = docs.select(F.col(key), t.alias("t"), words(F.col(text)).alias("w"), line_list.alias("lines"))
+    held = F.struct(*carry).alias("row") if carry else F.col(key)
+    key = "row" if carry else key
+    step = docs.select(held, t.alias("t"), words(F.col(text)).alias("w"), line_list.alias("lines"))
     n = F.size("w")
     windows = F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.get("w", i - 1), F.get("w", i), F.get("w", i + 1)))).otherwise(F.array().cast("array<bigint>"))
     step = step.select(
@@ -167,10 +170,19 @@ def learn(labelled: DataFrame, key: str = "doc_id", label: str = "quality", bins
     return DecisionList(tuple(rules))
 
 
+def base_failed() -> Column:
+    """Under 50 words, or over half of them in repeated windows."""
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def judge(stats: DataFrame, model: DecisionList, key: str = "doc_id") -> DataFrame:
-    """base_failed: under 50 words, or over half of them in repeated windows. kept: not base_failed and the list keeps it."""
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return stats.select(key, *BASE, failed.alias("base_failed"), (~failed & model.verdict()).alias("kept"))
+    """kept: not base_failed and the list keeps it."""
+    return stats.select(key, *BASE, base_failed().alias("base_failed"), (~base_failed() & model.verdict()).alias("kept"))
+
+
+def _learned(stats: DataFrame, labels: DataFrame, key: str, label: str) -> DecisionList:
+    labelled = stats.where(~base_failed()).join(labels.select(F.col(key), F.col(label)), key)
+    return learn(keep(labelled, "labelled"), key, label)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
@@ -181,6 +193,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     Other columns of either table are not read.
     """
     stats = keep(text_statistics(docs, key, text), "quality")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    labelled = keep(stats.where(~failed).join(labels.select(F.col(key), F.col(label)), key), "labelled")
-    return judge(stats, learn(labelled, key, label), key)
+    return judge(stats, _learned(stats, labels, key, label), key)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that ``quality_rules`` keeps.
+
+    Only labelled texts are read before the list is learned; then each row is judged where it is read, so no text is shuffled to meet its verdict.
+    """
+    known = docs.join(labels.select(key).distinct(), key, "left_semi")
+    model = _learned(text_statistics(known, key, text), labels, key, label)
+    judged = text_statistics(docs, key, text, carry=docs.columns)
+    return judged.where(~base_failed() & model.verdict()).select("row.*")
