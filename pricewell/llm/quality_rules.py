@@ -202,6 +202,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     Only labelled texts are read before the list is learned; then each row is judged where it is read, so no text is shuffled to meet its verdict.
     """
     known = docs.join(labels.select(key).distinct(), key, "left_semi")
-    model = _learned(text_statistics(known, key, text), labels, key, label)
+    model = _learned(keep(text_statistics(known, key, text), "quality"), labels, key, label)
     judged = text_statistics(docs, key, text, carry=docs.columns)
+    # Behind a generator the filter keeps to the finished statistics; pushed below them it would compute each many times.
+    judged = judged.select(F.inline(F.array(F.struct("row", *BASE, "n_lines"))))
     return judged.where(~base_failed() & model.verdict()).select("row.*")
