@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,22 +42,70 @@ def _near(left: DataFrame, right: DataFrame, key: list[str], minutes: str, tol:
     return a.join(b, [*key, "__b"]).withColumn("delta", F.abs(F.col("lm") - F.col("rm"))).where(F.col("delta") <= tol).select(*key, "lid", "rid", "delta")
 
 
-def match_nearest(left: DataFrame, right: DataFrame, key: list[str], minutes: str, tol: int = 35, lid: str = "lid", rid: str = "rid", exact: str | None = None, rounds: int = 4) -> DataFrame:
-    """One-to-one matches (lid, rid, delta): equal ``exact`` columns first, then rounds of pairs that are each other's nearest by (delta, ids).
+def _greedy(left, right, tol: int):
+    """Pairs (lid, rid, delta) of one key, least (rank, delta, lid, rid) first, until no pair is left.
 
-    Malformed times (below 0) match by ``exact`` only. ``rounds`` rounds are made; what they leave unmatched stays unmatched.
+    Quotes wait in one queue per exact value, then in one per minute, so no list of pairs is made: a left quote takes the head of a right queue.
     """
-    near = _near(left, right, key, minutes, tol, lid, rid).select("lid", "rid", "delta", F.lit(1).alias("rank"))
-    if exact:
-        same = left.select(*key, F.col(exact).alias("__x"), F.col(lid).alias("lid")).join(right.select(*key, F.col(exact).alias("__x"), F.col(rid).alias("rid")), [*key, "__x"])
-        near = near.unionByName(same.select("lid", "rid", F.lit(0).alias("delta"), F.lit(0).alias("rank")))
-    done = None
-    for _ in range(rounds):
-        best = lambda side, o: F.row_number().over(Window.partitionBy(side).orderBy("rank", "delta", o))
-        mutual = near.withColumn("__l", best("lid", "rid")).withColumn("__r", best("rid", "lid")).where("__l = 1 and __r = 1").select("lid", "rid", "delta")
-        done = mutual if done is None else done.unionByName(mutual)
-        near = near.join(mutual.select("lid"), "lid", "left_anti").join(mutual.select("rid"), "rid", "left_anti")
-    return done
+    import heapq
+    from collections import defaultdict, deque
+
+    out, used = [], (set(), set())
+
+    def queues(side, ids, by):
+        q = defaultdict(deque)
+        for k, i in sorted(zip(side[by], side[ids]), key=lambda x: x[1]):
+            if k == k and k is not None and i not in used[ids == "rid"]:
+                q[k].append(i)
+        return q
+
+    def pairs(lefts, rights, links, delta):
+        """``links``: left queue -> right queues at ``delta``. Left quotes come by id over all queues, each takes the least right id."""
+        heads = [(lefts[k][0], k) for k in links if lefts[k]]
+        heapq.heapify(heads)
+        while heads:
+            lid, k = heads[0]
+            near = [rights[x] for x in links[k] if rights[x]]
+            if not near:
+                heapq.heappop(heads)
+                continue
+            rid = min(near, key=lambda q: q[0]).popleft()
+            lefts[k].popleft()
+            used[0].add(lid), used[1].add(rid)
+            out.append((lid, rid, float(delta)))
+            heapq.heapreplace(heads, (lefts[k][0], k)) if lefts[k] else heapq.heappop(heads)
+
+    a, b = queues(left, "lid", "x"), queues(right, "rid", "x")
+    pairs(a, b, {k: [k] for k in a if k in b}, 0)
+    a, b = queues(left[left["minutes"] >= 0], "lid", "minutes"), queues(right[right["minutes"] >= 0], "rid", "minutes")
+    tiers, slots = defaultdict(lambda: defaultdict(list)), sorted(b)
+    for m in a:
+        for k in slots[bisect_left(slots, m - tol) : bisect_right(slots, m + tol)]:
+            tiers[abs(m - k)][m].append(k)
+    for delta in sorted(tiers):
+        pairs(a, b, tiers[delta], delta)
+    return out
+
+
+def match_nearest(left: DataFrame, right: DataFrame, key: list[str], minutes: str, tol: int = 35, lid: str = "lid", rid: str = "rid", exact: str | None = None) -> DataFrame:
+    """One-to-one matches (lid, rid, delta): equal ``exact`` columns first, then pairs that are each other's nearest by (delta, ids), until none is left.
+
+    Malformed times (below 0) match by ``exact`` only. An id names one row. The quotes of one key are matched in one task, without their pairs.
+    """
+    import pandas as pd
+
+    def side(df, name, to):
+        x = F.col(exact) if exact else F.lit(None).cast("string")
+        return df.dropna(subset=key).select(*key, F.col(minutes).cast("double").alias("minutes"), x.alias("x"), F.col(name).alias(to))
+
+    a, b = side(left, lid, "lid"), side(right, rid, "rid")
+
+    def match(_, one, two):
+        return pd.DataFrame(_greedy(one, two, tol), columns=["lid", "rid", "delta"])
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    pairs = a.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(match, f"lid {kind(a, 'lid')}, rid {kind(b, 'rid')}, delta double")
+    return pairs.select("lid", "rid", F.col("delta").cast(left.schema[minutes].dataType).alias("delta"))
 
 
 def nearest_min(left: DataFrame, right: DataFrame, key: list[str], minutes: str, price: str, tol: int = 25, lid: str = "lid", rid: str = "rid", band: float = 0.15) -> DataFrame:
@@ -77,13 +126,17 @@ def parity_status(direct: Column, other: Column, tol: float = 50.0) -> Column:
     return F.when(F.abs(d) <= tol, "EXACT_PARITY").when(d > tol, "AGGREGATOR_MARKUP").when(d < -tol, "AGGREGATOR_DISCOUNT")
 
 
-def reconcile(direct: DataFrame, fallback: DataFrame, key: list[str], minutes: str, price: str, exact: str, lid: str = "lid", rid: str = "rid", tol: int = 35, parity: float = 50.0) -> DataFrame:
-    """Audits of matched quotes (status by the difference), then fallback quotes that no direct quote matches."""
+def reconcile(direct: DataFrame, fallback: DataFrame, key: list[str], minutes: str, price: str, exact: str, lid: str = "lid", rid: str = "rid", tol: int = 35, parity: float = 50.0, direct_only: bool = False) -> DataFrame:
+    """Audits of matched quotes (status by the difference), then fallback quotes that no direct quote matches, with ``direct_only`` also direct quotes that no fallback quote matches."""
     m = match_nearest(direct, fallback, key, minutes, tol, lid, rid, exact)
     a = m.join(direct.select(F.col(lid).alias("lid"), F.col(price).alias("lp")), "lid").join(fallback.select(F.col(rid).alias("rid"), F.col(price).alias("rp")), "rid")
     audits = a.select("lid", "rid", F.round(F.col("rp") - F.col("lp"), 2).alias("difference"), F.round(100 * F.abs(F.col("rp") - F.col("lp")) / F.nullif(F.col("lp"), F.lit(0.0)), 2).alias("difference_pct"), parity_status(F.col("lp"), F.col("rp"), parity).alias("status"))
     rest = fallback.select(F.col(rid).alias("rid")).join(m.select("rid"), "rid", "left_anti").withColumn("status", F.lit("FALLBACK_RPC_USED"))
-    return audits.unionByName(rest, allowMissingColumns=True)
+    audits = audits.unionByName(rest, allowMissingColumns=True)
+    if direct_only:
+        alone = direct.select(F.col(lid).alias("lid")).join(m.select("lid"), "lid", "left_anti").withColumn("status", F.lit("DIRECT_ONLY"))
+        audits = audits.unionByName(alone, allowMissingColumns=True)
+    return audits
 
 
 def reconciliation_score(audits: DataFrame) -> DataFrame:
@@ -92,7 +145,7 @@ def reconciliation_score(audits: DataFrame) -> DataFrame:
 
 
 def parity_report(audits: DataFrame) -> DataFrame:
-    seen = F.count_if(F.col("status") != "FALLBACK_RPC_USED")
+    seen = F.count_if(~F.col("status").isin("FALLBACK_RPC_USED", "DIRECT_ONLY"))
     return audits.agg(seen.alias("compared"), F.round(100 * F.count_if(F.col("status") == "EXACT_PARITY") / F.nullif(seen, F.lit(0)), 2).alias("parity_rate"))
 
 

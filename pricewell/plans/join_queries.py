@@ -56,11 +56,12 @@ AUDIT = MATCH + f""", audits AS (SELECT lid, rid, round(r.price - l.price, 2) AS
  FROM m JOIN {SLOT.format('view')} l ON lid = l.id JOIN {SLOT.format('click')} r ON rid = r.id UNION ALL SELECT NULL, id, NULL, NULL, 'FALLBACK_RPC_USED' FROM {SLOT.format('click')} WHERE id NOT IN (SELECT rid FROM m))"""
 
 
-def audits(s, d):
-    return j.reconcile(_slots(s, d, "view", "lid"), _slots(s, d, "click", "rid"), K, "minutes", "price", "flight", parity=5.0)
+def audits(s, d, **more):
+    return j.reconcile(_slots(s, d, "view", "lid"), _slots(s, d, "click", "rid"), K, "minutes", "price", "flight", parity=5.0, **more)
 
 
 add("reconcile", AUDIT + " SELECT * FROM audits", audits)
+add("reconcile_all", AUDIT + f" SELECT * FROM audits UNION ALL SELECT id, NULL, NULL, NULL, 'DIRECT_ONLY' FROM {SLOT.format('view')} WHERE id NOT IN (SELECT lid FROM m)", lambda s, d: audits(s, d, direct_only=True))
 add("reconciliation_score", AUDIT + " SELECT count(*) AS total, count(*) FILTER (status = 'EXACT_PARITY') AS parity, count(*) FILTER (status = 'AGGREGATOR_MARKUP') AS markup, count(*) FILTER (status = 'AGGREGATOR_DISCOUNT') AS discount, count(*) FILTER (status = 'FALLBACK_RPC_USED') AS fallback, round(avg(difference_pct), 2) AS avg_difference_pct FROM audits", lambda s, d: j.reconciliation_score(audits(s, d)))
 add("parity_report", AUDIT + " SELECT count(*) FILTER (status <> 'FALLBACK_RPC_USED') AS compared, round(100 * count(*) FILTER (status = 'EXACT_PARITY')::DOUBLE / nullif(count(*) FILTER (status <> 'FALLBACK_RPC_USED'), 0), 2) AS parity_rate FROM audits", lambda s, d: j.parity_report(audits(s, d)))
 O = "order_id, line_no, supp_id, part_id, base_fare"

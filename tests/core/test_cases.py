@@ -158,6 +158,38 @@ def test_reconcile(spark):
     assert got == {(1, 11): ("AGGREGATOR_MARKUP", 350.0), (2, 12): ("EXACT_PARITY", 10.0), (None, 13): ("FALLBACK_RPC_USED", None)}
 
 
+def test_matches_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    side = lambda n, span: [(rng.randrange(2), rng.choice(["a", "b", "c", None, *"defghijk"]), rng.randrange(-1, span), i) for i in rng.sample(range(1000), n)]
+    for a, b, exact in [(side(150, 90), side(130, 90), "x"), (side(60, 400), side(70, 400), None), ([(0, None, 5, i) for i in range(100)], [(0, None, 5, i) for i in range(100)], "x")]:
+        pairs = [(0, 0, l[3], r[3]) for l in a for r in b if exact and l[0] == r[0] and l[1] and l[1] == r[1]]
+        pairs += [(1, abs(l[2] - r[2]), l[3], r[3]) for l in a for r in b if l[0] == r[0] and min(l[2], r[2]) >= 0 and abs(l[2] - r[2]) <= 35]
+        want = []
+        while pairs:  # pairs that are each other's best, until there is none
+            best_l, best_r = {}, {}
+            for k, d, l, r in pairs:
+                best_l[l] = min(best_l.get(l, (9,)), (k, d, r))
+                best_r[r] = min(best_r.get(r, (9,)), (k, d, l))
+            new = {(l, r, d) for k, d, l, r in pairs if best_l[l] == (k, d, r) and best_r[r] == (k, d, l)}
+            want += new
+            gone_l, gone_r = {x[0] for x in new}, {x[1] for x in new}
+            pairs = [x for x in pairs if x[2] not in gone_l and x[3] not in gone_r]
+        q = lambda rows, i: spark.createDataFrame(rows, f"k int, x string, minutes int, {i} long")
+        got = j.match_nearest(q(a, "lid"), q(b, "rid"), ["k"], "minutes", exact=exact).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+    assert len(got) == 100
+
+
+def test_reconcile_with_direct_only(spark):
+    q = lambda rows, i: spark.createDataFrame(rows, f"carrier string, flight string, minutes int, price double, {i} long")
+    direct = q([("6E", "205", 480, 5000.0, 1), ("AI", "1", -1, 100.0, 3)], "lid")
+    audits = j.reconcile(direct, q([("6E", "205", 700, 5350.0, 11), ("AI", "y", 10, 1.0, 13)], "rid"), ["carrier"], "minutes", "price", "flight", direct_only=True)
+    assert {(r["lid"], r["rid"], r["status"]) for r in audits.collect()} == {(1, 11, "AGGREGATOR_MARKUP"), (None, 13, "FALLBACK_RPC_USED"), (3, None, "DIRECT_ONLY")}
+    assert tuple(j.parity_report(audits).first()) == (1, 0.0)
+
+
 def test_quality_and_drift(spark):
     cols = "origin string, destination string, carrier string, availability_status string, total_fare double, base_fare double, fuel_surcharge double, tax_amount double, development_fee double, convenience_fee double, other_fee double, source_error boolean, is_duplicate boolean"
     row = lambda **k: tuple((dict(origin="DEL", destination="BOM", carrier="6E", availability_status=None, total_fare=5000.0, base_fare=4750.0, fuel_surcharge=0.0, tax_amount=250.0, development_fee=None, convenience_fee=0.0, other_fee=0.0, source_error=False, is_duplicate=False) | k).values())
