@@ -3,7 +3,8 @@
 A line goes down the tree by its number of words and its leading words, in which variable fields (words with a
 digit) are one wildcard. In a leaf, a position whose commonest word stands in at least half of the lines is constant,
 the others are variable. A line fits its leaf if it agrees with the constants on ``similarity`` of all positions.
-Dropped are the lines whose leaf's template, or whose own text with wildcards, occurs in ``min_docs`` documents.
+Dropped are the lines whose leaf's template, or whose own text with wildcards, occurs in ``min_docs`` documents. Apart from templates,
+lines too short for one are counted by their words as they are, and of a long line that recurs only the first document keeps its copy.
 """
 
 from __future__ import annotations
@@ -20,21 +21,40 @@ def masked_words(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.transform(plain, lambda w: F.when(w.rlike("[0-9]"), F.lit("<*>")).otherwise(w))).otherwise(plain)
 
 
+def whole(w: Column) -> Column:
+    """Hash of a line's words as they are, apart from the hashes of masked lines."""
+    return F.xxhash64(F.lit("whole"), F.array_join(w, " "))
+
+
 def _lines(docs: DataFrame, min_words: int, depth: int) -> DataFrame:
     """id, exact and leaf hashes and the masked words of every line that is long enough."""
     rows = docs.select("id", F.explode(F.split("text", "\n")).alias("line")).where("length(line) > 0")
-    rows = rows.select("id", masked_words(F.col("line")).alias("w")).where(F.size("w") >= min_words)
-    return rows.select("id", F.xxhash64(F.array_join("w", " ")).alias("exact"), F.xxhash64(F.size("w"), F.array_join(F.slice("w", 1, depth), " ")).alias("leaf"), "w")
+    rows = rows.select("id", "line", masked_words(F.col("line")).alias("w")).where(F.size("w") >= min_words)
+    return rows.select("id", "line", F.xxhash64(F.array_join("w", " ")).alias("exact"), F.xxhash64(F.size("w"), F.array_join(F.slice("w", 1, depth), " ")).alias("leaf"), "w")
+
+
+def _hashes(docs: DataFrame, min_words: int, depth: int, short_docs: int | None, long_words: int) -> DataFrame:
+    """Distinct (id, exact, leaf, long): every line with its leaf; short and long lines also as they are, with a null leaf."""
+    masked = F.struct("exact", "leaf", F.lit(False).alias("long"))
+    as_is = F.struct(whole(words(F.col("line"))).alias("exact"), F.lit(None).cast("long").alias("leaf"), (F.size("w") > long_words).alias("long"))
+    kinds = F.when(F.size("w") < min_words, F.array(as_is)).when(F.size("w") > long_words, F.array(masked, as_is)).otherwise(F.array(masked))
+    return _lines(docs, min_words if short_docs is None else 1, depth).select("id", F.inline(kinds)).distinct()
 
 
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = 5, min_words: int = 5, depth: int = 4, similarity: float = 0.6) -> DataFrame:
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = 5, min_words: int = 5, depth: int = 4, similarity: float = 0.6, short_docs: int | None = None, long_words: int = 50) -> DataFrame:
     """One row per input row: key, n_lines, n_dropped, text without the dropped lines.
 
-    Lines of under ``min_words`` words are never dropped. A null text stays null and has no lines; an empty text has one
+    Lines of under ``min_words`` words are dropped where the same words are a line of ``short_docs`` documents (None: never). A line of over
+    ``long_words`` words that recurs, be it in two documents, stays only in the one with the least key (all go from ``min_docs`` on). A null text stays null and has no lines; an empty text has one
     empty line. Documents are counted by key, so rows with one key, or without one, count once. Further columns are not read.
     """
     docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    lines = keep(_lines(docs, min_words, depth).select("id", "exact", "leaf").distinct(), "lines")
+    hashes = keep(_hashes(docs, min_words, depth, short_docs, long_words), "lines")
+    lines = hashes.where("leaf is not null").select("id", "exact", "leaf")
+    as_is = hashes.where("leaf is null")
+    again = as_is.groupBy("exact", "long").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"))
+    again = again.where(F.when(F.col("long"), F.col("docs") > 1).otherwise(F.col("docs") >= (short_docs or 1))).select("exact", "first")
+    as_is = as_is.join(again, "exact").where(~F.col("long") | ~F.col("id").eqNullSafe(F.col("first.id"))).select("id", "exact")
     often = keep(lines.groupBy("exact", "leaf").agg(F.count(F.lit(1)).alias("docs")), "exact")
     recurring = often.where(F.col("docs") >= min_docs).select("exact", F.lit(True).alias("alone"))
     # Leaves that several documents reach, counted with other lines than those that recur alone.
@@ -48,9 +68,11 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_docs
     fits = keep(fits, "fits")
     reached = lines.join(fits, ["leaf", "exact"]).select("leaf", "id").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
     dropped = keep(recurring.select("exact").union(fits.join(reached, "leaf").select("exact")).distinct(), "dropped")
-    per_doc = lines.join(dropped, "exact").groupBy("id").agg(F.collect_set("exact").alias("gone")).withColumnRenamed("id", "gone_id")
+    per_doc = lines.join(dropped, "exact").select("id", "exact").union(as_is).groupBy("id").agg(F.collect_set("exact").alias("gone")).withColumnRenamed("id", "gone_id")
     out = docs.join(per_doc, F.col("id").eqNullSafe(F.col("gone_id")), "left").withColumn("all", F.split("text", "\n"))
-    stay = F.filter("all", lambda s: ~F.array_contains(F.col("gone"), F.xxhash64(F.array_join(masked_words(s), " "))) | (F.size(words(s)) < min_words))
+    masked_gone = lambda s: (F.size(words(s)) >= min_words) & F.array_contains(F.col("gone"), F.xxhash64(F.array_join(masked_words(s), " ")))
+    as_is_gone = lambda s: ((F.size(words(s)) < min_words) | (F.size(words(s)) > long_words)) & F.array_contains(F.col("gone"), whole(words(s)))
+    stay = F.filter("all", lambda s: ~masked_gone(s) & ~as_is_gone(s))
     out = out.withColumn("stay", F.when(F.col("gone").isNull(), F.col("all")).otherwise(stay))
     return out.select(
         F.col("id").alias(key),

@@ -23,7 +23,7 @@ def op4_source_mixing(spark, sf_dir):
 
 
 def op5_template_line_dedup(spark, sf_dir):
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), short_docs=5)
 
 
 def op6_url_filter(spark, sf_dir):

@@ -164,3 +164,16 @@ def test_exact_lines_equal_brute_force(spark):
     gone = {k for k, v in docs_of.items() if len(k.split()) >= 5 and len(v) >= 5}
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=5).collect()}
     assert got == {d: "\n".join(x for x in t.split("\n") if x not in gone) for d, t in rows}
+
+
+def test_short_and_long_lines(spark):
+    passage = " ".join(f"word{i % 7} and" for i in range(30))
+    numbers = lambda d: " ".join(str(100 * d + i) for i in range(60))
+    rows = [(d, f"All rights reserved.\npage {d}\n\n{'x' * d} own" + (f"\n{passage}\n{numbers(d)}" if d in (2, 3) else "")) for d in range(1, 6)]
+    rows += [(None, f"{passage}\nrare line"), (9, "rare line")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df, min_docs=5, short_docs=5).collect()}
+    want = {d: t.replace("All rights reserved.\n", "") for d, t in rows}
+    want[3] = want[3].replace(f"{passage}\n", "")
+    want[None] = "rare line"
+    assert got == want
