@@ -1,6 +1,6 @@
 """Secret scans with a random forest against false positives (operator 8).
 
-Candidates are words that hold a long run of key characters. Each gets statistics of its run (length, transitions
+Candidates are the long runs of key characters with a digit in all words, several of a word where it holds them. Each gets statistics of its run (length, transitions
 between kinds of characters, distinct characters, dictionary coverage), of its path and of the words around it. A random forest
 trained from labelled findings gives the probability that it is a secret.
 """
@@ -25,17 +25,26 @@ FEATURES = ["run_length", "kinds", "transitions", "distinct_share", "digit_share
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
-    """One row per candidate: key, word_index (from 0), run, and the features. ``path`` None: no column names where a text is from."""
+    """One row per candidate: key, word_index (from 0), run_index (from 0, of the word's long runs), run, and the features. ``path`` None: no column names where a text is from.
+
+    In front of a run stand the word's characters back to the run before it, that run, and for the first one the words before.
+    """
     rows = docs.select(F.col(key).alias("id"), (F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")).alias("path"), words(F.col(text)).alias("w"))
     at = F.filter(F.transform("w", lambda w, i: F.when((F.length(w) >= 16) & w.rlike(RUN) & w.rlike("[0-9]"), i)), lambda i: i.isNotNull())
     rows = rows.withColumn("at", at).where(F.size("at") > 0).select("id", "path", "w", F.explode("at").alias("i"))
     near = lambda c: lower_ascii(F.regexp_replace(c, r"[^A-Za-z0-9]", ""))
+    word = F.get("w", F.col("i"))
     rows = rows.select(
-        "id", "path", F.col("i").alias("word_index"), F.get("w", F.col("i")).alias("word"),
-        F.regexp_extract(F.get("w", F.col("i")), RUN, 0).alias("run"),
-        F.transform(F.slice("w", F.greatest(F.lit(1), F.col("i") - 2), F.least(F.lit(3), F.col("i"))), near).alias("before"),
+        "id", "path", F.col("i").alias("word_index"), F.regexp_extract_all(word, F.lit(RUN), F.lit(0)).alias("runs"), F.split(word, RUN, -1).alias("gaps"),
+        F.transform(F.slice("w", F.greatest(F.lit(1), F.col("i") - 2), F.least(F.lit(3), F.col("i"))), near).alias("words"),
         F.array_join(F.slice("w", F.greatest(F.lit(1), F.col("i")), F.least(F.lit(1), F.col("i"))), "").alias("last"),
     )
+    each = F.transform("runs", lambda r, k: F.struct(k.alias("run_index"), r.alias("run"), F.get("gaps", k).alias("gap"), F.coalesce(F.get("runs", k - 1), F.lit("")).alias("run_before")))
+    rows = rows.select("id", "path", "word_index", "words", "last", F.inline(F.filter(each, lambda x: x["run"].rlike("[0-9]"))))
+    inside = F.filter(F.split(lower_ascii(F.concat_ws(" ", "run_before", "gap")), "[^a-z0-9]+"), lambda x: x != "")
+    before = F.when(F.col("run_index") == 0, F.concat("words", inside)).otherwise(inside)
+    rows = rows.withColumn("before", before).withColumn("before", F.slice("before", F.greatest(F.lit(1), F.size("before") - 2), F.lit(3)))
+    first = (F.col("run_index") == 0) & ~F.col("gap").rlike("[A-Za-z0-9]")
     n = F.length("run")
     kind = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace("run", "[a-z]", "a"), "[A-Z]", "b"), "[0-9]", "0"), "+/_=-", ".....")
     rows = rows.withColumn("kind", kind)
@@ -45,7 +54,7 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     number = lambda c: c.cast("double")
     any_of = lambda a, names: number(F.arrays_overlap(a, F.array(*map(F.lit, names))))
     return rows.select(
-        F.col("id").alias(key), "word_index", "run",
+        F.col("id").alias(key), "word_index", "run_index", "run",
         number(n).alias("run_length"),
         number(F.size(F.array_distinct(F.split("kind", "")))).alias("kinds"),
         (F.size(F.expr(r"regexp_extract_all(kind, '(.)\\1*', 0)")) / n).alias("transitions"),
@@ -56,8 +65,8 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
         number(F.size(F.array_intersect(F.split(lower_ascii(F.col("path")), "[^a-z]+"), F.array(*map(F.lit, PATH_WORDS))))).alias("path_words"),
         any_of(F.col("before"), SECRET_WORDS).alias("secret_before"),
         any_of(F.col("before"), OTHER_WORDS).alias("other_before"),
-        number(F.col("last").rlike("[=:]$") | F.col("word").rlike(r"^[A-Za-z_]+[=:]")).alias("assigned"),
-        number(F.col("word").rlike("[\"']")).alias("quoted"),
+        number((first & F.col("last").rlike("[=:]$")) | F.col("gap").rlike("[=:][^A-Za-z0-9]*$") | F.col("run").rlike("^[A-Za-z_]+=") | ((F.length("gap") > 0) & F.col("run").rlike("^="))).alias("assigned"),
+        number(F.col("gap").rlike("[\"'][^A-Za-z0-9]*$")).alias("quoted"),
     )
 
 
@@ -66,7 +75,7 @@ def train(found: DataFrame, label: str = "label", max_findings: int = 20_000, tr
 
     ``max_findings``: at most about so many labelled findings are used (chosen by hash); a forest needs no more.
     """
-    rows = found.where(F.col(label).isin(0, 1)).select(*FEATURES, F.col(label).cast("double").alias("label"), F.xxhash64(*FEATURES, label, "word_index").alias("h"))
+    rows = found.where(F.col(label).isin(0, 1)).select(*FEATURES, F.col(label).cast("double").alias("label"), F.xxhash64(*FEATURES, label, "word_index", "run_index").alias("h"))
     n, bad = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("label") == 1, 1))).first()
     if not 0 < bad < n:
         return None
@@ -76,11 +85,11 @@ def train(found: DataFrame, label: str = "label", max_findings: int = 20_000, tr
 
 
 def score(found: DataFrame, model: RandomForestClassificationModel | None, key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
-    """key, word_index, run, score, is_secret. Without a model every candidate scores 1, as nothing tells false ones apart."""
+    """key, word_index, run_index, run, score, is_secret. Without a model every candidate scores 1, as nothing tells false ones apart."""
     if model is None:
-        return found.select(key, "word_index", "run", F.lit(1.0).alias("score"), F.lit(True).alias("is_secret"))
+        return found.select(key, "word_index", "run_index", "run", F.lit(1.0).alias("score"), F.lit(True).alias("is_secret"))
     scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found))
-    return scored.select(key, "word_index", "run", F.round(vector_to_array("probability")[1], 6).alias("score")).withColumn("is_secret", F.col("score") >= threshold)
+    return scored.select(key, "word_index", "run_index", "run", F.round(vector_to_array("probability")[1], 6).alias("score")).withColumn("is_secret", F.col("score") >= threshold)
 
 
 def weak_findings(found: DataFrame) -> DataFrame:
@@ -92,11 +101,14 @@ def weak_findings(found: DataFrame) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
-    """One row per candidate: key, word_index, run, score, is_secret.
+    """One row per candidate: key, word_index, run_index, run, score, is_secret.
 
-    ``findings``: (key, word_index, label) of reviewed candidates; without them ``weak_findings`` labels. Null and empty texts have no candidates;
+    ``findings``: (key, word_index, run_index, label) of reviewed candidates, without run_index of a word's first run; without findings ``weak_findings`` labels. Null and empty texts have no candidates;
     repeated rows repeat theirs; null keys stay. Words of any length are read whole. Other columns are not read.
     """
     found = keep(candidates(docs, key, text, path), "candidates")
-    labelled = weak_findings(found) if findings is None else found.join(findings.select(key, "word_index", "label"), [key, "word_index"])
+    at = [key, "word_index", "run_index"]
+    if findings is not None and "run_index" not in findings.columns:
+        findings = findings.withColumn("run_index", F.lit(0))
+    labelled = weak_findings(found) if findings is None else found.join(findings.select(*at, "label"), at)
     return score(found, train(labelled), key)
