@@ -7,21 +7,27 @@ shingles that a first count finds frequent make long posting lists, and a longer
 shared shingles leaves fewer pairs to verify. Two documents are verified if they share the smaller of their ``l``, and as much
 more as their sizes ask for.
 
+Before two sets are shipped, their signatures are: about one to two bits a shingle, each the parity of the shingles that fall on it. Bits that
+differ bound the shingles that differ from below, so a pair is dropped only if it can't link.
+
 Skew. Equal sets are one node from the start. A posting list over ``max_list`` nodes is never expanded into pairs: each node in
 one is verified against its best leader, verified links contract nodes into components, and what is left is verified between
-units of at most about ``unit_docs`` nodes, where units of one component are not compared. No link between components is
+units of at most about ``unit_docs`` nodes of like size, where units of one component are not compared and signatures are tried first. No link between components is
 lost; links within one component may be left out.
 
-Memory. A task holds about PIECE bytes of text, one bucket of postings (their number follows the input), two units, or two
-sets. Only the sketch of frequent shingles and a bitmap reach the driver, both of fixed size; more input makes them coarser, which costs
+Memory. A task holds about PIECE bytes of text, one bucket of postings, two units, or two sets. Buckets stand for 16 MB of text each up to MOST_BUCKETS of
+them, and for more text beyond. Only the sketch of frequent shingles and a bitmap reach the driver, both of fixed size; more input makes them coarser, which costs
 time and not results.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +37,13 @@ from .text_hash import fingerprint, mix, shingle_sets
 
 SKETCH_BITS = 21
 FILTER_BITS = 22
+#: Shingles that a task packs together, and the bounds of the number of buckets they are packed for.
+FLUSH = 1 << 20
+LEAST_BUCKETS, MOST_BUCKETS = 512, 1 << 18
+#: Parts into which the joins on a shingle with a long list are split.
+SALTS = 16
+#: Fingerprints that a task remembers, so that copies it meets again send no postings.
+SEEN = 1 << 16
 SLOT = np.uint64((1 << SKETCH_BITS) - 1)
 
 
@@ -38,19 +51,41 @@ def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _signature(tokens: np.ndarray) -> bytes:
+    """Parities of the shingles by their low bits; the number of bits is the power of two from the set's size on, 64 at least."""
+    bits = 1 << max(6, int(len(tokens) - 1).bit_length())
+    return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def _folded(signature: np.ndarray, width: int) -> np.ndarray:
+    """The signature of the same set with fewer bits (bytes along the last axis): the halves' parities add up."""
+    while signature.shape[-1] > width:
+        half = signature.shape[-1] // 2
+        signature = signature[..., :half] ^ signature[..., half:]
+    return signature
+
+
+def _may_link(x: np.ndarray, nx, y: np.ndarray, ny, percent: int) -> np.ndarray:
+    """Whether sets of these signatures and sizes can reach the similarity, as far as signatures tell."""
+    width = min(x.shape[-1], y.shape[-1])
+    differ = np.bitwise_count(_folded(x, width) ^ _folded(y, width)).sum(axis=-1, dtype=np.int64)
+    return (100 + percent) * (nx + ny - differ) >= 2 * percent * (nx + ny)
+
+
 def _scan(buckets: int, percent: int):
-    """Packed (id, size, fingerprint) rows, and the shingles of prefixes of twice the least length, counted within the task.
+    """Packed (id, size, fingerprint) rows with their signatures, and the shingles of prefixes of twice the least length, counted within the task.
 
     A bucket goes by the high bits of a hash, so the low 32 bits do for telling its shingles apart here.
     """
 
     def run(batches):
-        for batch in batches:
+        task = TaskContext.get().partitionId() << 32
+        for number, batch in enumerate(batches):
             found = np.zeros((batch.num_rows, 5), np.int64)
             ids = batch.column(0)
             found[:, 0] = ids.fill_null(0).to_numpy()
             found[:, 4] = np.asarray(ids.is_null())
-            held, size = [], 0
+            held, size, signatures = [], 0, []
 
             def counted(held=held):
                 tokens, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -67,15 +102,16 @@ def _scan(buckets: int, percent: int):
                 n = len(tokens)
                 found[i, 1], (found[i, 2], found[i, 3]) = n, fingerprint(tokens)
                 if n:
+                    signatures.append(_signature(tokens))
                     held.append(tokens[: 2 * (n - -(-percent * n // 100) + 1)])
                     size += len(held[-1])
-                if size > 1 << 19:
+                if size > FLUSH:
                     out += counted()
                     held.clear()
                     size = 0
             if held:
                 out += counted()
-            out.append((int(mix(found[:1, 2].astype(np.uint64))[0] % np.uint64(buckets)), True, found.tobytes(), b""))
+            out.append((int(mix(np.array([task + number], np.uint64))[0] % np.uint64(buckets)), True, found.tobytes(), b"".join(signatures)))
             k, rows, one, many = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(rows), pa.array(one, pa.binary()), pa.array(many, pa.binary())], ["bucket", "rows", "one", "many"])
 
@@ -88,6 +124,9 @@ def _count(frequent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, tokens = pdf[pdf["rows"]], pdf[~pdf["rows"]]
         found = np.frombuffer(b"".join(rows["one"]), np.int64).reshape(-1, 5)
+        packed = b"".join(rows["many"])
+        ends = np.cumsum([(1 << max(6, int(n - 1).bit_length())) // 8 if n else 0 for n in found[:, 1]])
+        signatures = [packed[a:b] for a, b in zip(np.append(0, ends), ends, strict=False)]
         one = np.frombuffer(b"".join(tokens["one"]), np.uint32)
         many = [np.frombuffer(m, np.uint32).reshape(2, -1) for m in tokens["many"]]
         token = np.concatenate([one, *(m[0] for m in many)])
@@ -102,7 +141,7 @@ def _count(frequent: int):
         ids = pd.array(np.concatenate([found[:, 0], np.zeros(k, np.int64)]), "Int64")
         ids[np.concatenate([found[:, 4] == 1, np.ones(k, bool)])] = pd.NA
         more = lambda i: np.concatenate([found[:, i], np.zeros(k, np.int64)])
-        return pd.DataFrame({"id": ids, "n": more(1), "hi": more(2), "lo": more(3), "slot": np.concatenate([np.full(len(found), -1), slots]), "times": np.concatenate([np.zeros(len(found), np.int64), sums])})
+        return pd.DataFrame({"id": ids, "n": more(1), "hi": more(2), "lo": more(3), "slot": np.concatenate([np.full(len(found), -1), slots]), "times": np.concatenate([np.zeros(len(found), np.int64), sums]), "signature": signatures + [None] * k})
 
     return run
 
@@ -116,14 +155,20 @@ def _estimates(scan: DataFrame) -> np.ndarray:
 
 
 def _prefixes(estimates, percent: int, choices: tuple[int, ...], verify_cost: float):
+    """(node, l, prefix): the node is one half of the set's fingerprint. Copies that the task remembers are left out."""
+
     def run(batches):
         est = estimates.value
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             rows = []
-            for i, tokens in shingle_sets(batch.column(1)):
+            for _, tokens in shingle_sets(batch.column(0)):
                 n = len(tokens)
-                if not n:
+                if not n or (mark := fingerprint(tokens)) in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(mark)
                 e = est[tokens & SLOT]
                 need = -(-percent * n // 100)
                 most = n - need + max(choices)
@@ -138,13 +183,8 @@ def _prefixes(estimates, percent: int, choices: tuple[int, ...], verify_cost: fl
                     if k <= need:
                         cost = total[n - need + k - 1]
                         best = min(best, (k + cost + verify_cost * cost / k, k))
-                rows.append((i, n, best[1], *fingerprint(tokens), tokens_[: n - need + best[1]].tobytes()))
-            if rows:
-                i, n, k, hi, lo, prefix = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(i)), pa.array(n, pa.int64()), pa.array(k, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(prefix, pa.binary())],
-                    ["id", "n", "l", "hi", "lo", "prefix"],
-                )
+                rows.append((mark[0], best[1], tokens_[: n - need + best[1]].copy()))
+            yield rows
 
     return run
 
@@ -155,17 +195,18 @@ def _pack(estimates, buckets: int, hot: float):
     Within a bucket the low 32 bits stand for a shingle; two that agree in them can only add a pair to verify.
     """
 
-    def run(batches):
+    def run(lists):
         est = estimates.value
-        for batch in batches:
+        for rows in lists:
             at = 0
-            while at < batch.num_rows:
+            while at < len(rows):
                 tokens, size, nodes, ls = [], 0, [], []
-                while at < batch.num_rows and size < 1 << 19:
-                    tokens.append(np.frombuffer(batch.column(2)[at].as_buffer(), np.uint64))
-                    nodes.append(batch.column(0)[at].as_py())
-                    ls.append(batch.column(1)[at].as_py())
-                    size += len(tokens[-1])
+                while at < len(rows) and size < FLUSH:
+                    node, least, prefix = rows[at]
+                    tokens.append(prefix)
+                    nodes.append(node)
+                    ls.append(least)
+                    size += len(prefix)
                     at += 1
                 node = np.repeat(np.array(nodes, np.int64), [len(t) for t in tokens])
                 least = np.repeat(np.array(ls, np.uint8), [len(t) for t in tokens])
@@ -194,10 +235,10 @@ def _match(max_list: int):
         token, node, least = joined(rare, "tokens", np.uint32), joined(rare, "nodes", np.int64), joined(rare, "least", np.uint8)
         order = np.lexsort((node, token))
         token, node, least = token[order], node[order], least[order]
-        if len(token):  # a document that occurs twice is one node
+        if len(token):  # copies that several tasks sent are one node; should two sets share their half of a fingerprint, the smaller l counts
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-            token, node, least = token[new], node[new], least[new]
+            token, node, least = token[new], node[new], np.minimum.reduceat(least, np.flatnonzero(new))
         starts = np.flatnonzero(np.diff(token, prepend=token[:1] + np.uint32(1))) if len(token) else np.empty(0, np.int64)
         lengths = np.diff(np.append(starts, len(token)))
         many = np.repeat(lengths, lengths)
@@ -242,6 +283,41 @@ def _set_rows(wanted):
     return run
 
 
+def _passing(percent: int):
+    """The pairs whose signatures allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint8) for c in (4, 5))
+                good[i] = _may_link(x, na[i], y, nb[i], percent)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    return run
+
+
+def _passing_units(percent: int):
+    """The pairs of units in which some pair of signatures allows a link. Only small blocks of signatures are laid against each other."""
+
+    def blocks(rows):
+        by: dict[int, list] = {}
+        for m in rows:
+            by.setdefault(len(m["signature"]), []).append(m)
+        return [(np.stack([np.frombuffer(m["signature"], np.uint8) for m in ms]), np.array([m["n"] for m in ms], np.int64)) for ms in by.values()]
+
+    def run(batches):
+        for batch in batches:
+            good = []
+            for i in range(batch.num_rows):
+                x, y = blocks(batch.column(2)[i].as_py()), blocks(batch.column(3)[i].as_py())
+                good.append(any(_may_link(p[j : j + 1], n[j], q, m, percent).any() for p, n in x for q, m in y for j in range(len(n))))
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
@@ -313,43 +389,50 @@ def similar_components(
     """
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    buckets = max(512, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) >> 20)
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) >> 24))
     scan = keep(
         docs.mapInArrow(_scan(buckets, percent), "bucket int, rows boolean, one binary, many binary")
-        .groupBy("bucket").applyInPandas(_count(frequent), "id long, n long, hi long, lo long, slot long, times long"),
+        .groupBy("bucket").applyInPandas(_count(frequent), "id long, n long, hi long, lo long, slot long, times long, signature binary"),
         "scan",
     )
     rows = scan.where("slot < 0").select("id", "n", "hi", "lo")
-    nodes = keep(rows.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    sets_of = scan.where("slot < 0 and n > 0").groupBy("hi", "lo", "n").agg(F.min("id").alias("id"), F.max("signature").alias("signature"))
+    nodes = keep(sets_of.withColumn("node", F.monotonically_increasing_id()), "nodes")
     known = nodes.where("id is not null")
     estimates = spark.sparkContext.broadcast(_estimates(scan))
-    prefixes = docs.where("id is not null").mapInArrow(_prefixes(estimates, percent, choices, verify_cost), "id long, n long, l int, hi long, lo long, prefix binary")
-    packed = prefixes.join(known.select("id", "hi", "lo", "node"), ["id", "hi", "lo"]).select("node", "l", "prefix")
+    prefixes, pack = _prefixes(estimates, percent, choices, verify_cost), _pack(estimates, buckets, hot)
+    # Within this step a node is named by half of its fingerprint; ``known`` gives all nodes of that name afterwards.
     matched = keep(
-        packed.mapInArrow(_pack(estimates, buckets, hot), "bucket int, frequent boolean, tokens binary, nodes binary, least binary")
+        docs.where("id is not null").select("text").mapInArrow(lambda batches: pack(prefixes(batches)), "bucket int, frequent boolean, tokens binary, nodes binary, least binary")
         .groupBy("bucket").applyInPandas(_match(max_list), "token long, a long, b long, shared long, need long"),
         "matched",
     )
-    sizes = known.select("node", "n")
+    size = lambda x: known.select(F.col("hi").alias(f"hi_{x}"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}"))
 
     def fitting(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow the similarity."""
-        both = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+        """Pairs (hi_a, hi_b, ...) whose sizes allow the similarity, with their nodes, sizes and signatures."""
+        both = pairs.join(size("a"), "hi_a").join(size("b"), "hi_b")
         return both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
     # What two sets share behind the prefix that ends first is at most t - l, so of the overlap that their sizes ask
     # for the rest must be shared within the prefixes.
     overlap = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent) - 1e-9)
     behind = F.ceil(percent * F.greatest("na", "nb") / 100 - 1e-9) - F.col("need")
-    candidates = fitting(matched.where("b >= 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need")).where(F.col("shared") >= overlap - behind).select("a", "b")
-    postings = matched.where("b < 0").select("token", F.col("a").alias("node"))
+    pair = ["a", "b", "na", "nb", "sa", "sb"]
+    sharing = matched.where("shared > 0").groupBy(F.col("a").alias("hi_a"), F.col("b").alias("hi_b")).agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need")
+    candidates = fitting(sharing).where(F.col("shared") >= overlap - behind).select(*pair)
+    postings = matched.where("shared = 0").select("token", F.col("a").alias("hi")).join(known.select("hi", "node"), "hi").select("token", "node", F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"))
+    postings = keep(postings, "postings")
     hot_nodes = keep(postings.groupBy("node").agg(F.count(F.lit(1)).alias("score")), "hot-nodes")
     any_hot = hot_nodes.limit(1).count() > 0
     if any_hot:
         leaders = postings.join(hot_nodes, "node").groupBy("token").agg(F.max(F.struct("score", "node")).alias("leader"))
-        led = keep(postings.join(leaders, "token").groupBy("node").agg(F.max("leader").alias("leader")).select("node", F.col("leader.node").alias("leader")), "led")
-        stars = led.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-        candidates = candidates.union(fitting(stars).select("a", "b")).distinct()
+        leaders = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        led = keep(postings.join(leaders, ["token", "salt"]).groupBy("node").agg(F.max("leader").alias("leader")).select("node", F.col("leader.node").alias("leader")), "led")
+        by_node = lambda x: known.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}"))
+        stars = led.where("node <> leader").toDF("a", "b").join(by_node("a"), "a").join(by_node("b"), "b")
+        candidates = candidates.union(stars.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select(*pair))
+    candidates = candidates.mapInArrow(_passing(percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     candidates = keep(candidates, "candidates")
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("node"))
     if any_hot:
@@ -358,7 +441,7 @@ def similar_components(
     paired = candidates.join(sets.toDF("b", "y"), "b").select("a", "b", "y").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
     links = keep(paired.mapInArrow(_verify(percent), "a long, b long"), "verified")
     if any_hot:
-        links = links.union(_between_units(postings, led, links, sets, sizes, percent, unit_docs, unit_tokens))
+        links = links.union(_between_units(postings, led, links, sets, known, percent, unit_docs, unit_tokens))
     components = connected_components(links)
     first = known.join(components, "node").groupBy("component").agg(F.min("id").alias("component_id"))
     linked = components.join(first, "component").select("node", "component_id")
@@ -366,27 +449,37 @@ def similar_components(
     return rows.join(labelled, ["hi", "lo", "n"], "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def _between_units(postings, led, links, sets, sizes, percent, unit_docs, unit_tokens) -> DataFrame:
-    """Links between nodes that share a long list and are not in one component yet."""
+def _between_units(postings, led, links, sets, known, percent, unit_docs, unit_tokens) -> DataFrame:
+    """Links between nodes that share a long list and are not in one component yet.
+
+    A unit holds nodes of one component, or of one leader, whose sizes are within a ratio of ``percent``; sizes of linked nodes are in
+    the same or in neighbouring classes.
+    """
     components = connected_components(links).toDF("node", "component")
+    size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col("n")
     grouped = keep(
-        led.join(sizes, "node").join(components, "node", "left")
-        .select("node", "n", F.col("component").isNull().alias("loose"), F.coalesce("component", "leader").alias("group")),
+        led.join(known.select("node", "n", "signature"), "node").join(components, "node", "left")
+        .select("node", "n", "signature", F.col("component").isNull().alias("loose"), F.coalesce("component", "leader").alias("group"), size_class.alias("class")),
         "grouped",
     )
-    parts = grouped.groupBy("loose", "group").agg(F.greatest(F.ceil(F.sum("n") / unit_tokens), F.ceil(F.count(F.lit(1)) / unit_docs)).alias("parts"))
-    members = keep(
-        grouped.join(parts, ["loose", "group"])
-        .select("node", "loose", "group", F.concat_ws("/", "loose", "group", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("unit")),
-        "members",
-    )
-    lists = keep(postings.join(members, "node").select("token", "loose", "group", "unit").distinct(), "lists")
+    by = ["loose", "group", "class"]
+    parts = grouped.groupBy(*by).agg(F.greatest(F.ceil(F.sum("n") / unit_tokens), F.ceil(F.count(F.lit(1)) / unit_docs)).alias("parts"))
+    members = keep(grouped.join(parts, by).withColumn("unit", F.concat_ws("/", *by, F.pmod(F.xxhash64("node"), F.col("parts")))), "members")
+    lists = keep(postings.join(members.select("node", "unit", *by), "node").select("token", *by, "unit").distinct(), "lists")
     main = lists.where("not loose").groupBy("token", "group").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "group")).alias("main"))
-    others = lists.join(main, "token", "left").where("loose or not (group <=> main.group)").select("token", F.col("unit").alias("u"), F.when(~F.col("loose"), F.col("group")).alias("ug"))
+    others = lists.join(main, "token", "left").where("loose or not (group <=> main.group)").select("token", F.col("unit").alias("u"), F.when(~F.col("loose"), F.col("group")).alias("ug"), F.explode(F.array(F.col("class") - 1, "class", F.col("class") + 1)).alias("class"))
     pairs = (
-        others.join(lists, "token").where("ug is null or loose or ug <> group")
+        others.join(lists, ["token", "class"]).where("ug is null or loose or ug <> group")
         .select(F.least("u", "unit").alias("u"), F.greatest("u", "unit").alias("v")).distinct()
     )
-    held = keep(members.join(sets, "node").groupBy("unit").agg(F.collect_list(F.struct("node", "tokens")).alias("held")), "units")
-    both = pairs.join(held.toDF("v", "y"), "v").select("u", "y").join(held.toDF("u", "x"), "u").select("x", "y")
-    return keep(both.mapInArrow(_verify_units(percent), "a long, b long"), "unit-links")
+
+    def held(what: DataFrame, *columns: str) -> DataFrame:
+        return what.groupBy("unit").agg(F.collect_list(F.struct(*columns)).alias("held"))
+
+    def both(pairs: DataFrame, units: DataFrame) -> DataFrame:
+        return pairs.join(units.toDF("v", "y"), "v").join(units.toDF("u", "x"), "u").select("u", "v", "x", "y")
+
+    pairs = keep(both(pairs, held(members, "n", "signature")).mapInArrow(_passing_units(percent), "u string, v string"), "unit-pairs")
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("unit")).distinct()
+    units = keep(held(members.join(needed, "unit").join(sets, "node"), "node", "tokens"), "units")
+    return keep(both(pairs, units).mapInArrow(_verify_units(percent), "a long, b long"), "unit-links")

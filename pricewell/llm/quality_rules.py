@@ -199,11 +199,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """The rows of ``docs``, all columns as they are, that ``quality_rules`` keeps.
 
-    Only labelled texts are read before the list is learned; then each row is judged where it is read, so no text is shuffled to meet its verdict.
+    Texts are read once: every row is written beside its statistics, the list is learned from the keys and statistics of that table joined
+    to the labels, and the filter reads the table again. No text is shuffled.
     """
-    known = docs.join(labels.select(key).distinct(), key, "left_semi")
-    model = _learned(keep(text_statistics(known, key, text), "quality"), labels, key, label)
-    judged = text_statistics(docs, key, text, carry=docs.columns)
-    # Behind a generator the filter keeps to the finished statistics; pushed below them it would compute each many times.
-    judged = judged.select(F.inline(F.array(F.struct("row", *BASE, "n_lines"))))
-    return judged.where(~base_failed() & model.verdict()).select("row.*")
+    stats = keep(text_statistics(docs, key, text, carry=docs.columns), "quality")
+    small = stats.select(F.col("row")[key].alias(key), *BASE, "n_lines")
+    return stats.where(~base_failed() & _learned(small, labels, key, label).verdict()).select("row.*")
