@@ -1,10 +1,15 @@
-"""Five stages over the documents table; each is written as Parquet and reread by the next."""
+"""Five stages over the documents table; each is written as Parquet and reread by the next.
 
-from __future__ import annotations
+Every stage takes the columns of documents, whatever other columns there are, and returns them as they are; the last one returns the shards. Null
+texts fail the quality rules. Rows without a doc_id are judged by their own text in every stage, but are nobody's near copy. Rows that repeat a
+doc_id are one document to the near copies: if one of their texts is a copy of a smaller id's, all of them go, else all stay; in
+all other stages each row counts for itself. An empty table passes through as an empty table.
+"""
 
+from __future__ import annotations
 
 from pricewell.llm import decontaminate, mixing, ngram_join, quality_rules, sharding
-from pricewell.llm.common import keep, table
+from pricewell.llm.common import keep, last_kept, released, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -41,8 +46,10 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """The stages over ``documents``, each one's result written to the shared folder and reread."""
+    """The stages over ``documents``, each one's result written to the shared folder and reread; a stage's own intermediate tables go once it is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with released(spark) as spared:
+            docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            spared.append(last_kept())
     return STAGES[-1][1](spark, docs, sf_dir)
