@@ -21,6 +21,11 @@ def lookup(c: Column, table: dict, default) -> Column:
     return out
 
 
+def money(c: Column, digits: int = 2) -> Column:
+    """Rounded half up to ``digits`` after the noise of binary fractions is gone: 583.8449999999999 is 583.845 and gives 583.85."""
+    return F.round(F.round(c, 8), digits)
+
+
 def feed_weight(c: Column) -> Column:
     return lookup(c, FEED_WEIGHTS, 0.3)
 

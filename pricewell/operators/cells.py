@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricewell.functions.columns import feed_score, feed_weight
+from pricewell.functions.columns import feed_score, feed_weight, money
 
 CELL = ["route", "obs_date", "horizon"]
 
@@ -132,15 +132,15 @@ def cell_report(df: DataFrame, cell: list[str] = CELL, carrier: str = "carrier",
     rows = survivors(df, cell, carrier, price, cabin, family).withColumn("weight", feed_weight(F.col("feed_type")))
     x = F.when(F.col("survives"), F.col("price"))
     return rows.groupBy(*cell).agg(
-        F.round(ESTIMATORS[estimator](x, F.col("weight")), 2).alias("price"),
+        money(ESTIMATORS[estimator](x, F.col("weight"))).alias("price"),
         F.count(F.lit(1)).alias("carriers"),
         F.count(x).alias("carriers_after"),
         F.sum("quotes").alias("n_obs"),
-        F.round(F.min(x), 2).alias("min_price"),
-        F.round(F.max(x), 2).alias("max_price"),
-        F.round(F.stddev_pop(x), 2).alias("std_price"),
-        F.round(F.percentile(x, 0.25), 2).alias("p25"),
-        F.round(F.percentile(x, 0.75), 2).alias("p75"),
+        money(F.min(x)).alias("min_price"),
+        money(F.max(x)).alias("max_price"),
+        money(F.stddev_pop(x)).alias("std_price"),
+        money(F.percentile(x, 0.25)).alias("p25"),
+        money(F.percentile(x, 0.75)).alias("p75"),
         F.round(F.avg(F.when(F.col("survives"), feed_score(F.col("feed_type")))), 1).alias("feed_quality"),
         F.max(F.when(F.col("survives"), F.struct(feed_score(F.col("feed_type")).alias("s"), F.col("feed_type").alias("f"))))["f"].alias("dominant_feed"),
         F.max("outlier_method").alias("outlier_method"),

@@ -105,6 +105,11 @@ def flag_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("is_duplicate", F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1)
 
 
+def unexpected(keys: Column, known: list[str] = KNOWN) -> Column:
+    """The keys that are not known, in order."""
+    return F.array_sort(F.array_except(keys, F.array(*map(F.lit, known))))
+
+
 def validate_records(df: DataFrame, fields: str = "fields", known: list[str] = KNOWN) -> DataFrame:
     """Column ``issues``: what is wrong with a record given as map<string,string>."""
     get = lambda k: F.element_at(fields, k)
@@ -112,7 +117,7 @@ def validate_records(df: DataFrame, fields: str = "fields", known: list[str] = K
     missing = [F.when(value(k) == "", F.lit(f"missing_required_field:{k}")) for k in REQUIRED]
     shape = lambda k, rx, name: F.when((value(k) != "") & ~value(k).rlike(rx), F.concat(F.lit(name), get(k)))
     total, base = get("total_fare").try_cast("double"), get("base_fare").try_cast("double")
-    extra = F.array_sort(F.array_except(F.map_keys(fields), F.array(*map(F.lit, known))))
+    extra = unexpected(F.map_keys(fields), known)
     checks = [
         *missing, *[shape(k, "^[A-Z]{3}$", f"bad_iata:{k}=") for k in ("origin_airport", "destination_airport")], shape("travel_date", r"^\d{4}-\d{2}-\d{2}$", "bad_date:travel_date="), shape("flight_number", r"^[A-Z0-9]{2}-\d{3,4}$", "bad_flight_number:"),
         F.when((value("total_fare") != "") & total.isNull(), F.concat(F.lit("non_numeric:total_fare="), get("total_fare"))), F.when(~((total > 0) & (total <= 200000)), F.concat(F.lit("out_of_range:total_fare="), get("total_fare"))),

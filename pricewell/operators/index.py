@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from statistics import NormalDist
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,44 +78,88 @@ def jackknife(prices: DataFrame, weights: DataFrame, series: list[str] = SERIES,
     )
 
 
-def bootstrap_draws(cells: DataFrame, cell: list[str], replications: int, seed: int) -> DataFrame:
-    """Resampled geometric means: (cell, rep, price). Draw k of a replication takes the value whose rank is a hash of (seed, rep, cell, k).
+#: Fixed by the draws: a prime and the steps of replications and draws. The fifth power permutes the numbers below the prime.
+PRIME, REP_STEP, DRAW_STEP = 2147483647, 1103515245, 1640531527
+REPLICATIONS = 2000
 
-    ``cells`` has one row per cell and carrier with ``price``. Hash draws give the same sample whatever the partitions are.
-    A cell's values travel as one short array (its carriers), so a replication needs no join.
-    """
-    values = cells.groupBy(*cell).agg(F.sort_array(F.collect_list("price")).alias("v"))
-    name = F.concat_ws("/", *[F.col(c).cast("string") for c in cell])
-    rows = values.select(*cell, "v", name.alias("name"), F.explode(F.sequence(F.lit(1), F.lit(replications))).alias("rep"))
-    n = F.size("v")
-    pick = lambda k: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col("rep").cast("string"), F.col("name"), k.cast("string"))), 1, 8), 16, 10).cast("long") % n
-    logs = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda a, k: a + F.ln(F.get("v", pick(k).cast("int"))))
-    return rows.select(*cell, "rep", F.exp(logs / n).alias("price"))
 
+def cell_arrays(cells: DataFrame, cell: list[str], seed: int) -> DataFrame:
+    """One row per cell: its carriers' prices as a sorted array ``v`` and the number ``c`` that its draws start from."""
+    name = F.concat_ws("|", F.lit(seed).cast("string"), F.concat_ws("/", *[F.col(c).cast("string") for c in cell]))
+    start = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % PRIME
+    return cells.groupBy(*cell).agg(F.sort_array(F.collect_list("price")).alias("v")).withColumn("c", start)
+
+
+def _means(v: np.ndarray, c: int, replications: int) -> np.ndarray:
+    """Geometric means of the replications of one cell. Draws depend on the cell's number only, so they are the same whatever the partitions are."""
+    n, logs, out = len(v), np.log(v), np.empty(replications)
+    k = np.arange(1, n + 1, dtype=np.int64) * DRAW_STEP
+    step = max(1, (1 << 18) // n)
+    for a in range(0, replications, step):
+        rep = np.arange(a + 1, min(replications, a + step) + 1, dtype=np.int64)[:, None] * REP_STEP
+        x = (c + rep + k) % PRIME
+        square = x * x % PRIME
+        out[a : a + len(rep)] = logs[square * square % PRIME * x % PRIME * n // PRIME].mean(axis=1)
+    return np.exp(out)
+
+
+def _per_cell(arrays: DataFrame, cell: list[str], f, columns: str, rows: int) -> DataFrame:
+    """``f(prices, start)`` for every cell in Arrow batches of ``rows`` cells: (cell, the columns it gives)."""
+    names = [c.split(" ")[0] for c in columns.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                values, starts = part.column("v"), part.column("c").to_numpy()
+                got = [f(values[i].values.to_numpy(), int(starts[i])) for i in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in cell), *(pa.array(x) for x in zip(*got, strict=True))], [*cell, *names])
+
+    kinds = [f"{c} {arrays.schema[c].dataType.simpleString()}" for c in cell]
+    return arrays.select(*cell, "v", "c").mapInArrow(run, ", ".join([*kinds, columns]))
 
-def bootstrap_index(cells: DataFrame, weights: DataFrame, base: DataFrame, cell: list[str], series: list[str], replications: int = 50, seed: int = 7, level: float = 0.95, route: str = "route") -> DataFrame:
-    """Bootstrap of the national index by series key: standard error and percentile interval.
 
-    ``cells``: (cell, carrier, price) rows that survived the outlier filter; ``base``: (cell without dates, base price). Rows are grouped by
-    series and replication, so a hot series is spread over its replications.
+def bootstrap_index(cells: DataFrame, weights: DataFrame, base: DataFrame, cell: list[str], series: list[str], replications: int = REPLICATIONS, seed: int = 7, level: float = 0.95, route: str = "route") -> DataFrame:
+    """Bootstrap of the national index by series key: standard error, percentile interval (which holds the observed index), bias and normal interval.
+
+    ``cells``: (cell, carrier, price) rows that survived the outlier filter; ``base``: (cell without dates, base price). Each cell draws its
+    replications in one array; rows are then grouped by series and replication, so a hot series is spread over its replications.
     """
-    draws = bootstrap_draws(cells, cell, replications, seed)
-    keys = [c for c in base.columns if c != "base"]
-    rows = draws.join(base, keys).join(weights.select(route, "weight"), route).where("base > 0")
-    each = rows.groupBy(*series, "rep").agg((100 * F.sum(F.col("weight") * F.col("price") / F.col("base")) / F.sum("weight")).alias("i"))
-    tail = (1 - level) / 2
-    return each.groupBy(*series).agg(
-        F.count(F.lit(1)).alias("replications"), F.round(F.avg("i"), 4).alias("mean_index"), F.round(F.median("i"), 4).alias("median_index"), F.round(F.stddev_samp("i"), 4).alias("standard_error"),
-        F.round(F.percentile("i", tail), 4).alias("ci_lower"), F.round(F.percentile("i", 1 - tail), 4).alias("ci_upper"),
+    prices = _per_cell(cell_arrays(cells, cell, seed), cell, lambda v, c: (np.append(np.exp(np.log(v).mean()), _means(v, c, replications)),), "prices array<double>", 64)
+    rows = prices.join(base, [c for c in base.columns if c != "base"]).join(weights.select(route, "weight"), route).where("base > 0")
+    # Replication 0 is the observed index.
+    rows = rows.select(*series, "weight", (F.col("weight") / F.col("base")).alias("by"), F.posexplode("prices").alias("rep", "price"))
+    each = rows.groupBy(*series, "rep").agg((100 * F.sum(F.col("by") * F.col("price")) / F.sum("weight")).alias("i"), F.count(F.lit(1)).alias("routes"))
+    drawn, tail = F.when(F.col("rep") > 0, F.col("i")), (1 - level) / 2
+    out = each.groupBy(*series).agg(
+        F.max("routes").alias("n_routes"), F.count(drawn).alias("replications"), F.avg(drawn).alias("mean"), F.median(drawn).alias("mid"), F.stddev_samp(drawn).alias("sd"), F.percentile(drawn, F.lit(tail)).alias("lo"), F.percentile(drawn, F.lit(1 - tail)).alias("hi"), F.max(F.when(F.col("rep") == 0, F.col("i"))).alias("seen")
     )
+    half = NormalDist().inv_cdf(1 - tail) * F.col("sd")
+    columns = {"mean_index": F.col("mean"), "median_index": F.col("mid"), "standard_error": F.col("sd"), "ci_lower": F.least("lo", "seen"), "ci_upper": F.greatest("hi", "seen"), "observed_index": F.col("seen"), "bias": F.col("mean") - F.col("seen") + 0.0, "normal_lower": F.col("seen") - half, "normal_upper": F.col("seen") + half}
+    return out.select(*series, "n_routes", "replications", *[F.round(c, 4).alias(name) for name, c in columns.items()])
 
 
-def bootstrap_route(cells: DataFrame, base: DataFrame, cell: list[str], replications: int = 50, seed: int = 7, level: float = 0.95) -> DataFrame:
-    """Bootstrap of every route's own index: one row per cell."""
-    keys = [c for c in base.columns if c != "base"]
-    draws = bootstrap_draws(cells, cell, replications, seed).join(base, keys).where("base > 0").withColumn("i", 100 * F.col("price") / F.col("base"))
+def bootstrap_route(cells: DataFrame, base: DataFrame, cell: list[str], replications: int = REPLICATIONS, seed: int = 7, level: float = 0.95) -> DataFrame:
+    """Bootstrap of every route's own index: one row per cell. A cell's replications stay in its row, so nothing is shuffled for them."""
     tail = (1 - level) / 2
-    return draws.groupBy(*cell).agg(F.round(F.avg("i"), 4).alias("mean_index"), F.round(F.stddev_samp("i"), 4).alias("standard_error"), F.round(F.percentile("i", tail), 4).alias("ci_lower"), F.round(F.percentile("i", 1 - tail), 4).alias("ci_upper"))
+
+    def summary(v, c):
+        drawn = _means(v, c, replications)
+        lo, hi = np.quantile(drawn, [tail, 1 - tail])
+        seen = float(np.exp(np.log(v).mean()))
+        return seen, float(drawn.mean()), float(drawn.std(ddof=1)), min(float(lo), seen), max(float(hi), seen)
+
+    rows = _per_cell(cell_arrays(cells, cell, seed), cell, summary, "seen double, mean double, sd double, lo double, hi double", 4096)
+    rows = rows.join(base, [c for c in base.columns if c != "base"]).where("base > 0")
+    columns = {"observed_index": F.col("seen"), "mean_index": F.col("mean"), "standard_error": F.col("sd"), "ci_lower": F.col("lo"), "ci_upper": F.col("hi"), "bias": F.col("mean") - F.col("seen") + 0.0}
+    return rows.select(*cell, *[F.round(100 * c / F.col("base"), 4).alias(name) for name, c in columns.items()])
+
+
+def variance_sample(fares: DataFrame, **options) -> DataFrame:
+    """The carrier prices that variance is estimated from: those that survive the outlier filter, with their cell."""
+    from .cells import survivors
+
+    return survivors(fares, **options).where("survives").drop("survives", "outlier_method")
 
 
 def with_variance(prices: DataFrame, weights: DataFrame, method: str = "JACKKNIFE", series: list[str] = SERIES) -> DataFrame:
@@ -144,12 +193,18 @@ def carrier_index(fares: DataFrame, weights: DataFrame, base_date, keys: list[st
     return rows.groupBy(*keys).agg(F.round(100 * F.sum(F.col("w") * F.col("price") / F.col("base")) / F.sum("w"), 4).alias("index_value"), F.count(F.lit(1)).alias("n_routes"))
 
 
-def index_quality(cells: DataFrame, index: DataFrame, series: list[str] = SERIES, all_routes: int = 10, live: tuple = (90.0, 8), beta: tuple = (80.0, 6)) -> DataFrame:
-    """Quality score (0-100) and status of every index point, from the cell report."""
-    per = cells.groupBy(*series).agg(F.count(F.lit(1)).alias("routes"), F.avg("carriers").alias("carriers"), F.avg("feed_quality").alias("feed"), F.sum("removed").alias("outliers"))
+def quality_of(all_routes: int, live: tuple = (90.0, 8), beta: tuple = (80.0, 6)) -> tuple[Column, Column]:
+    """Score and status from the columns coverage, routes, feed, carriers and outliers."""
     hundred = lambda c: F.least(c, F.lit(100.0))
     score = F.col("coverage") * 0.3 + hundred(F.col("routes") * 100.0 / all_routes) * 0.2 + hundred(F.col("feed")) * 0.2 + hundred(F.col("carriers") * 10) * 0.15 + (100 - hundred(F.col("outliers") * 10.0)) * 0.15
     status = F.when((F.col("coverage") >= live[0]) & (F.col("routes") >= live[1]), "LIVE").when((F.col("coverage") >= beta[0]) & (F.col("routes") >= beta[1]), "BETA").otherwise("EXPERIMENTAL")
+    return score, status
+
+
+def index_quality(cells: DataFrame, index: DataFrame, series: list[str] = SERIES, all_routes: int = 10, live: tuple = (90.0, 8), beta: tuple = (80.0, 6)) -> DataFrame:
+    """Quality score (0-100) and status of every index point, from the cell report."""
+    per = cells.groupBy(*series).agg(F.count(F.lit(1)).alias("routes"), F.avg("carriers").alias("carriers"), F.avg("feed_quality").alias("feed"), F.sum("removed").alias("outliers"))
+    score, status = quality_of(all_routes, live, beta)
     return index.join(per, series).select(*series, F.round(score, 1).alias("quality_score"), status.alias("index_status"), F.round("carriers", 1).alias("carrier_diversity"), "outliers")
 
 
@@ -234,6 +289,25 @@ def core_guard(df: DataFrame, calendar: DataFrame, travel: str = "travel_date",
     return df.join(calendar.select(F.col("day").alias(travel)), travel, "left_anti")
 
 
+def national_rows(cells: DataFrame, weights: DataFrame, series: list[str] = SERIES, route: str = "route", all_routes: int = 25) -> DataFrame:
+    """Index, coverage, jackknife error and quality of every series key from one pass: a window and a group over the same keys, so the cells are shuffled once."""
+    total = weights.agg(F.sum("weight").alias("__total"))
+    rows = cells.join(weights.select(route, "weight"), route, "left").withColumn("__used", (F.col("price") > 0) & (F.col("base") > 0) & F.col("weight").isNotNull())
+    used = lambda c: F.when(F.col("__used"), c)
+    w = Window.partitionBy(*series)
+    rows = rows.withColumn("__wr", used(F.col("weight") * F.col("price") / F.col("base"))).withColumn("__w", used(F.col("weight")))
+    rows = rows.withColumn("__sum_wr", F.sum("__wr").over(w)).withColumn("__sum_w", F.sum("__w").over(w)).withColumn("__n", F.count("__w").over(w))
+    left_out = used(F.when(F.col("__n") > 1, 100 * (F.col("__sum_wr") - F.col("__wr")) / F.nullif(F.col("__sum_w") - F.col("__w"), F.lit(0.0))))
+    rows = rows.withColumn("__pseudo", F.col("__n") * 100 * F.col("__sum_wr") / F.col("__sum_w") - (F.col("__n") - 1) * left_out)
+    out = rows.groupBy(*series).agg(
+        F.max("__sum_wr").alias("S"), F.max("__sum_w").alias("W"), F.max("__n").alias("n_routes"), F.round(F.sqrt(F.var_samp("__pseudo") / F.count("__pseudo")), 4).alias("standard_error"),
+        F.count(F.lit(1)).alias("routes"), F.avg("carriers").alias("carriers"), F.avg("feed_quality").alias("feed"), F.sum("removed").alias("outliers"),
+    )
+    out = out.where("n_routes > 0").crossJoin(F.broadcast(total)).select(*series, "n_routes", "standard_error", "routes", "carriers", "feed", "outliers", F.round(100 * F.col("S") / F.col("W"), 4).alias("index_value"), F.round(100 * F.col("W") / F.col("__total"), 2).alias("coverage"))  # one row
+    score, status = quality_of(all_routes)
+    return out.select(*series, "index_value", "coverage", "n_routes", "standard_error", F.round(score, 1).alias("quality_score"), status.alias("index_status"))
+
+
 def daily_index(fares: DataFrame, weights: DataFrame, base_date: str, price: str = "base_fare", estimator: str = "JEVONS") -> DataFrame:
     """National and route rows of the index for all dates and horizons in one plan: value, coverage, standard error, quality.
 
@@ -242,15 +316,21 @@ def daily_index(fares: DataFrame, weights: DataFrame, base_date: str, price: str
     from .cells import cell_report
 
     report = cell_report(fares, price=price, estimator=estimator)
-    base = report.where(F.col("obs_date") == F.lit(base_date).cast("date"))
+    base = cell_report(fares.where(F.col("obs_date") == F.lit(base_date).cast("date")), price=price, estimator=estimator)
     cells = with_base(report, base.select("route", "horizon", "price"), ["route", "horizon"])
-    national = with_variance(cells, weights).join(index_quality(cells, laspeyres(cells, weights), all_routes=25).select(*SERIES, "quality_score", "index_status"), SERIES)
     columns = ["route", *SERIES, "index_value", "coverage", "n_routes", "standard_error", "quality_score", "index_status"]
-    national = national.withColumn("route", F.lit(None).cast("string")).select(*columns)
+    national = national_rows(cells, weights).withColumn("route", F.lit(None).cast("string")).select(*columns)
     routes = cells.where("price > 0 and base > 0").select("route", *SERIES, F.round(100 * F.col("price") / F.col("base"), 4).alias("index_value"))
     return national.unionByName(routes, allowMissingColumns=True)
 
 
+def index_range(fares: DataFrame, weights: DataFrame, first: str, last: str, prices: tuple = ("base_fare", "total_fare"), estimator: str = "JEVONS") -> DataFrame:
+    """``daily_index`` of every price series over a range of days, against the range's first day; column ``price_series``. Each series is one job over all days."""
+    days = fares.where(F.col("obs_date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    parts = [daily_index(days, weights, first, price, estimator).withColumn("price_series", F.lit(price.upper())) for price in prices]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def coverage_rollup(cells: DataFrame, route: str = "route") -> DataFrame:
     """Cells and observations by route, and of all (null route)."""
     return cells.rollup(route).agg(F.count(F.lit(1)).alias("cells"), F.sum("n_obs").alias("observations"))

@@ -63,8 +63,18 @@ def read_word_rows(spark, path: str) -> DataFrame:
     return rows.where("level = '5' and trim(text) <> ''").select(num("page_num").cast("long").alias("page"), "text", num("left").alias("x1"), num("top").alias("y1"), (num("left") + num("width")).alias("x2"), (num("top") + num("height")).alias("y2"), (num("conf") / 100).alias("score"))
 
 
-def json_values(df: DataFrame, payload: str, key: str, depth: int = 6) -> DataFrame:
-    """Every value under ``key`` at any level down to ``depth``, as text: one row each."""
+def json_depth(payload: Column) -> Column:
+    """How deep the objects and lists of a JSON text are nested; brackets within strings don't count."""
+    brackets = F.regexp_replace(F.regexp_replace(payload, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', ""), r"[^\[\]{}]", "")
+    step = lambda a, c: F.struct((a["at"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("at"), F.greatest(a["top"], a["at"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("top"))
+    chars = F.filter(F.split(brackets, ""), lambda c: c != "")
+    return F.aggregate(chars, F.struct(F.lit(0).alias("at"), F.lit(0).alias("top")), step, lambda a: a["top"])
+
+
+def json_values(df: DataFrame, payload: str, key: str, depth: int | None = None) -> DataFrame:
+    """Every value under ``key`` at any level, as text: one row each. ``depth``: levels to look at, by default those that the deepest payload has."""
+    if depth is None:
+        depth = max(1, df.agg(F.max(json_depth(F.col(payload)))).first()[0] or 1)
     level = df.withColumn("__v", F.try_parse_json(payload)).drop(payload)
     out = None
     base = level.columns[:-1]

@@ -97,7 +97,7 @@ def rolling_vol(df: DataFrame, keys: list[str], date: str, x: str, ks: tuple = (
     return rows.withColumns({f"vol_{k}": F.when(F.count("__c").over(w.rowsBetween(1 - k, 0)) == k, F.stddev_samp("__c").over(w.rowsBetween(1 - k, 0))) for k in ks}).drop("__c")
 
 
-def targets(df: DataFrame, keys: list[str], date: str, x: str, hs: tuple = (1, 7, 15)) -> DataFrame:
+def targets(df: DataFrame, keys: list[str], date: str, x: str, hs: tuple = (1, 7, 15, 30, 45)) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(date)
     return df.withColumns({f"target_{h}": F.lead(x, h).over(w) for h in hs}).dropna("all", subset=[f"target_{h}" for h in hs])
 
@@ -260,6 +260,34 @@ def forecast_accuracy(matured: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def accuracy_by_bucket(matured: DataFrame, horizon: str = "h") -> DataFrame:
+    """``forecast_accuracy`` for each bucket of horizons."""
+    return forecast_accuracy(matured.withColumn("bucket", horizon_bucket(F.col(horizon))), ["bucket"])
+
+
+def accuracy_all(matured: DataFrame, series: list[str]) -> DataFrame:
+    """``forecast_accuracy`` for each series."""
+    return forecast_accuracy(matured, series)
+
+
+def append_snapshot(forecast: DataFrame, path: str, keys: list[str], forecast_date: str, model_weights: dict[str, float] | None = None, **about) -> DataFrame:
+    """Append one row per forecast day (``target``, quantiles) to the snapshots at ``path``, a folder for each date of forecast; the rows of that date.
+
+    ``about`` names further columns with one value. Snapshots of one date replace those that an earlier run of that date wrote.
+    """
+    import json
+
+    day = F.to_date(F.lit(forecast_date))
+    out = forecast.withColumns({"horizon_days": F.datediff("target", day), "ensemble_weights": F.lit(json.dumps(model_weights, sort_keys=True) if model_weights else None).cast("string"), **{k: F.lit(v) for k, v in about.items()}})
+    out.write.mode("overwrite").parquet(f"{path.rstrip('/')}/forecast_date={forecast_date}")
+    return out.sparkSession.read.schema(out.schema).parquet(f"{path.rstrip('/')}/forecast_date={forecast_date}").withColumn("forecast_date", day).select(*keys, "forecast_date", *[c for c in out.columns if c not in keys])
+
+
+def read_snapshots(spark, path: str) -> DataFrame:
+    """All snapshots at ``path`` with their ``forecast_date``."""
+    return spark.read.parquet(path)
+
+
 def forecast_features(df: DataFrame, keys: list[str], date: str, x: str) -> DataFrame:
     """Lags, rolling statistics, momentum, volatility, calendar and targets of every series and day."""
     for f in (lags, rolling, momentum, rolling_vol):
@@ -277,3 +305,15 @@ def fit_gbt(features: DataFrame, target: str, date: str, inputs: list[str], hold
     late = F.datediff(F.lit(last), F.col(date)) < holdout_days
     model = GBTRegressor(labelCol=target, maxIter=params.pop("maxIter", 20), maxDepth=params.pop("maxDepth", 4), seed=7, **params).fit(rows.where(~late))
     return model, model.transform(rows.where(late)).drop("features")
+
+
+def fit_horizons(features: DataFrame, date: str, inputs: list[str], hs: tuple = (1, 7, 15, 30, 45), holdout_days: int = 28, **params) -> DataFrame:
+    """One model for each target ``target_<h>``: its predictions for the held-out days, a row for each horizon (``horizon``, ``target``, ``prediction``)."""
+    parts = []
+    for h in hs:
+        pred = fit_gbt(features, f"target_{h}", date, inputs, holdout_days, **params)[1]
+        parts.append(pred.drop(*[f"target_{k}" for k in hs if k != h]).withColumn("horizon", F.lit(h)).withColumnRenamed(f"target_{h}", "target"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -9,7 +9,7 @@ from pricewell.operators import index as ix
 
 from .index_queries import BASE_DATE, CARRIER, REPORT, cell_sql
 from .registry import query
-from .views import fares, jobs, series, weights, with_views
+from .views import fares, jobs, money_sql, series, weights, with_views
 
 
 def add(name: str, sql: str | None, f):
@@ -18,9 +18,10 @@ def add(name: str, sql: str | None, f):
 
 
 AVAILABLE = "status = 'AVAILABLE'"
-VOL = """SELECT route, horizon, round(min(base_fare), 2) AS min_price, round(max(base_fare), 2) AS max_price, round(avg(base_fare), 2) AS mean_price, round(median(base_fare), 2) AS median_price, round(coalesce(stddev_samp(base_fare), 0), 2) AS std_dev,
- round(100 * (max(base_fare) - min(base_fare)) / avg(base_fare), 2) AS spread_pct, CASE WHEN 100 * (max(base_fare) - min(base_fare)) / avg(base_fare) < 30 THEN 'CALM' WHEN 100 * (max(base_fare) - min(base_fare)) / avg(base_fare) <= 50 THEN 'MODERATE'
- WHEN 100 * (max(base_fare) - min(base_fare)) / avg(base_fare) <= 90 THEN 'HIGH_VOLATILITY' ELSE 'SURGE_ALERT' END AS volatility_status, count(*) AS sample_size FROM fares WHERE base_fare > 0 GROUP BY route, horizon"""
+_SPREAD = "100 * (max(base_fare) - min(base_fare)) / avg(base_fare)"
+VOL = f"""SELECT route, horizon, {money_sql("min(base_fare)")} AS min_price, {money_sql("max(base_fare)")} AS max_price, {money_sql("avg(base_fare)")} AS mean_price, {money_sql("median(base_fare)")} AS median_price,
+ {money_sql("coalesce(stddev_samp(base_fare), 0)")} AS std_dev, {money_sql(_SPREAD)} AS spread_pct, CASE WHEN {_SPREAD} < 30 THEN 'CALM' WHEN {_SPREAD} <= 50 THEN 'MODERATE' WHEN {_SPREAD} <= 90 THEN 'HIGH_VOLATILITY' ELSE 'SURGE_ALERT' END AS volatility_status,
+ count(*) AS sample_size FROM fares WHERE base_fare > 0 GROUP BY route, horizon"""
 HHI = """SELECT route, round(h, 2) AS hhi, firms, quotes, CASE WHEN h < 1500 THEN 'COMPETITIVE' WHEN h <= 2500 THEN 'MODERATE' ELSE 'CONCENTRATED' END AS band FROM
  (SELECT route, 10000 * sum(k * k::DOUBLE) / (sum(k) * sum(k::DOUBLE)) AS h, count(*) AS firms, sum(k)::BIGINT AS quotes FROM (SELECT route, carrier, count(*) AS k FROM fares GROUP BY ALL) GROUP BY route)"""
 AVAIL = """SELECT route, horizon, round(j, 2) AS jevons, round(ratio, 4) AS sold_out_ratio, round(0.35 * least(ratio, 1), 4) AS premium, round(j * (1 + 0.35 * least(ratio, 1)), 2) AS adjusted FROM
@@ -63,7 +64,7 @@ add("affordability", with_views("""SELECT route, round(lo, 2) AS latest_fare, ro
 add("latest_date", with_views("SELECT route, max(obs_date) AS latest FROM fares GROUP BY route", "fares"), lambda s, d: a.latest_date(fares(s, d), ["route"], "obs_date"))
 add("canonical_price", with_views("""SELECT flight, travel_date, round(median(total_fare), 6) AS median, round(min(total_fare), 6) AS lowest, round(max(total_fare), 6) AS highest, round(max(total_fare) - min(total_fare), 6) AS spread,
  round(100 * (max(total_fare) - min(total_fare)) / nullif(min(total_fare), 0), 2) AS spread_pct, arg_min(source_id, (total_fare, source_id)) AS cheapest_source, round(min(total_fare) FILTER (feed_type = 'CARRIER_DIRECT'), 6) AS direct, count(DISTINCT source_id) AS sources FROM fares GROUP BY flight, travel_date""", "fares"), lambda s, d: a.canonical_price(fares(s, d), FLIGHT, "source_id", "total_fare", direct()))
-MARK = """SELECT carrier, obs_date, feed_type, round(price, 2) AS price, round(price - min(dd) OVER p, 2) AS markup, price = min(price) OVER p AS is_cheapest FROM
+MARK = f"""SELECT carrier, obs_date, feed_type, {money_sql("price")} AS price, {money_sql("price - min(dd) OVER p")} AS markup, price = min(price) OVER p AS is_cheapest FROM
  (SELECT carrier, obs_date, feed_type, min(total_fare) AS price, min(total_fare) FILTER (feed_type = 'CARRIER_DIRECT') AS dd FROM fares GROUP BY ALL) WINDOW p AS (PARTITION BY carrier, obs_date)"""
 add("platform_markup", with_views(MARK, "fares"), lambda s, d: a.platform_markup(fares(s, d), ["carrier", "obs_date"], "feed_type", "total_fare", direct()))
 add("dispersion_ranking", with_views(f"SELECT feed_type, count(*) AS quotes, round(100 * count(*) FILTER (is_cheapest)::DOUBLE / (SELECT count(*) FROM (SELECT DISTINCT carrier, obs_date FROM fares)), 2) AS win_rate, round(avg(markup), 2) AS avg_markup FROM ({MARK}) GROUP BY feed_type", "fares"), lambda s, d: a.dispersion_ranking(a.platform_markup(fares(s, d), ["carrier", "obs_date"], "feed_type", "total_fare", direct()), ["carrier", "obs_date"], "feed_type"))

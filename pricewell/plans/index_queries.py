@@ -8,7 +8,7 @@ from pricewell.operators import cells as c
 from pricewell.operators import index as ix
 
 from .registry import query
-from .views import fares, series, weights, with_views
+from .views import fares, money_sql, series, weights, with_views
 
 BASE_DATE = "1995-01-01"
 W = "CASE feed_type WHEN 'CARRIER_DIRECT' THEN 1.0::DOUBLE WHEN 'RPC_FALLBACK' THEN 0.9 WHEN 'OTA_AGGREGATOR' THEN 0.7 ELSE 0.3 END"
@@ -101,9 +101,9 @@ def representative_price(spark, sf_dir):
     return c.representative_price(fares(spark, sf_dir)).withColumn("price", F.round("price", 4))
 
 
-@query(cell_sql(f"""SELECT route, obs_date, horizon, round(exp(avg(ln(price)) FILTER (survives)), 2) AS price, count(*) AS carriers, count(*) FILTER (survives) AS carriers_after, sum(quotes)::BIGINT AS n_obs,
- round(min(price) FILTER (survives), 2) AS min_price, round(max(price) FILTER (survives), 2) AS max_price, round(stddev_pop(price) FILTER (survives), 2) AS std_price,
- round(quantile_cont(price, 0.25) FILTER (survives), 2) AS p25, round(quantile_cont(price, 0.75) FILTER (survives), 2) AS p75, round(avg({SCORE}) FILTER (survives), 1) AS feed_quality,
+@query(cell_sql(f"""SELECT route, obs_date, horizon, {money_sql("exp(avg(ln(price)) FILTER (survives))")} AS price, count(*) AS carriers, count(*) FILTER (survives) AS carriers_after, sum(quotes)::BIGINT AS n_obs,
+ {money_sql("min(price) FILTER (survives)")} AS min_price, {money_sql("max(price) FILTER (survives)")} AS max_price, {money_sql("stddev_pop(price) FILTER (survives)")} AS std_price,
+ {money_sql("quantile_cont(price, 0.25) FILTER (survives)")} AS p25, {money_sql("quantile_cont(price, 0.75) FILTER (survives)")} AS p75, round(avg({SCORE}) FILTER (survives), 1) AS feed_quality,
  arg_max(feed_type, {SCORE}) FILTER (survives) AS dominant_feed, CASE WHEN count(*) FILTER (NOT survives) = 0 THEN 'none' WHEN max(g) > 0 THEN 'mad' ELSE 'iqr' END AS outlier_method,
  count(*) FILTER (NOT survives) AS removed FROM surv GROUP BY route, obs_date, horizon"""))
 def cell_report(spark, sf_dir):
@@ -150,34 +150,45 @@ def valid_cells(spark, sf_dir):
 
 @query(cell_sql("SELECT route, obs_date, horizon, carrier, round(price, 6) AS price FROM surv WHERE survives"))
 def variance_sample(spark, sf_dir):
-    return c.survivors(fares(spark, sf_dir)).where("survives").select(*KEY, "carrier", F.round("price", 6).alias("price"))
+    return ix.variance_sample(fares(spark, sf_dir)).select(*KEY, "carrier", F.round("price", 6).alias("price"))
 
 
-BOOT = """, lists AS (SELECT route, obs_date, horizon, list_sort(list(price)) AS v, route || '/' || obs_date || '/' || horizon AS name FROM surv WHERE survives AND horizon = 15 GROUP BY route, obs_date, horizon),
-reps AS (SELECT *, unnest(range(1, {b} + 1)) AS rep FROM lists),
-picks AS (SELECT route, obs_date, horizon, rep, v[1 + cast('0x' || substr(md5('7|' || rep || '|' || name || '|' || k), 1, 8) AS BIGINT) % len(v)] AS x FROM (SELECT *, unnest(range(1, len(v) + 1)) AS k FROM reps)),
-draws AS (SELECT route, obs_date, horizon, rep, exp(avg(ln(x))) AS price FROM picks GROUP BY ALL),
+#: Every cell's 2,000 replications by the draws of ``operators.index``, as one array per cell and replication.
+BOOT = """, arrays AS (SELECT route, obs_date, horizon, list_sort(list(price)) AS v, cast('0x' || substr(md5('7|' || route || '/' || obs_date || '/' || horizon), 1, 8) AS BIGINT) % 2147483647 AS c,
+  exp(avg(ln(price))) AS seen FROM surv WHERE survives GROUP BY route, obs_date, horizon),
+logs AS (SELECT *, list_transform(v, lambda p: ln(p)) AS l FROM arrays),
+reps AS (SELECT *, unnest(range(1, 2001)) AS rep FROM logs),
+numbers AS (SELECT *, list_transform(range(1, len(l) + 1), lambda k: (c + rep * 1103515245 + k * 1640531527) % 2147483647) AS x FROM reps),
+draws AS (SELECT route, obs_date, horizon, rep, seen,
+  exp(list_avg(list_transform(x, lambda y: l[1 + ((y * y % 2147483647) * (y * y % 2147483647) % 2147483647 * y % 2147483647 * len(l)) // 2147483647]))) AS price FROM numbers),
 b0 AS (SELECT route, horizon, price AS base FROM cells WHERE obs_date = DATE '1995-01-01')"""
+BOOT_INDEX = """, each AS (SELECT horizon, obs_date, rep, 100 * sum(weight * price / base) / sum(weight) AS i, 100 * sum(weight * seen / base) / sum(weight) AS seen, count(*) AS routes
+  FROM draws JOIN b0 USING (route, horizon) JOIN weights USING (route) WHERE base > 0 GROUP BY horizon, obs_date, rep),
+summed AS (SELECT horizon, obs_date, max(routes) AS n_routes, count(*) AS replications, avg(i) AS m, median(i) AS mid, stddev_samp(i) AS sd, quantile_cont(i, 0.025) AS lo, quantile_cont(i, 0.975) AS hi, avg(seen) AS seen
+  FROM each GROUP BY horizon, obs_date)
+SELECT horizon, obs_date, n_routes, replications, round(m, 4) AS mean_index, round(mid, 4) AS median_index, round(sd, 4) AS standard_error, round(least(lo, seen), 4) AS ci_lower, round(greatest(hi, seen), 4) AS ci_upper,
+  round(seen, 4) AS observed_index, round(m - seen, 4) + 0.0 AS bias, round(seen - 1.959963984540054 * sd, 4) AS normal_lower, round(seen + 1.959963984540054 * sd, 4) AS normal_upper FROM summed"""
+BOOT_ROUTE = """, summed AS (SELECT route, obs_date, horizon, avg(price) AS m, stddev_samp(price) AS sd, quantile_cont(price, 0.025) AS lo, quantile_cont(price, 0.975) AS hi, avg(seen) AS seen FROM draws GROUP BY route, obs_date, horizon)
+SELECT route, obs_date, horizon, round(100 * seen / base, 4) AS observed_index, round(100 * m / base, 4) AS mean_index, round(100 * sd / base, 4) AS standard_error, round(100 * least(lo, seen) / base, 4) AS ci_lower,
+  round(100 * greatest(hi, seen) / base, 4) AS ci_upper, round(100 * (m - seen) / base, 4) + 0.0 AS bias FROM summed JOIN b0 USING (route, horizon) WHERE base > 0"""
 
 
 def _boot(spark, sf_dir):
-    """Survivors of the headline horizon, and base prices."""
-    s = c.survivors(fares(spark, sf_dir)).where("survives and horizon = 15").select(*KEY, "carrier", "price")
+    """Survivors of all horizons, and base prices."""
+    s = ix.variance_sample(fares(spark, sf_dir)).select(*KEY, "carrier", "price")
     return s, s.where(F.col("obs_date") == BASE_DATE).groupBy("route", "horizon").agg(c.est_jevons(F.col("price")).alias("base"))
 
 
-@query(cell_sql("", "weights").rstrip() + BOOT.format(b=50) + """ SELECT horizon, obs_date, count(*) AS replications, round(avg(i), 4) AS mean_index, round(median(i), 4) AS median_index, round(stddev_samp(i), 4) AS standard_error,
- round(quantile_cont(i, 0.025), 4) AS ci_lower, round(quantile_cont(i, 0.975), 4) AS ci_upper FROM (SELECT horizon, obs_date, rep, 100 * sum(weight * price / base) / sum(weight) AS i FROM draws JOIN b0 USING (route, horizon) JOIN weights USING (route) WHERE base > 0 GROUP BY ALL) GROUP BY horizon, obs_date""")
+@query(cell_sql("", "weights").rstrip() + BOOT + BOOT_INDEX)
 def bootstrap_index(spark, sf_dir):
     s, base = _boot(spark, sf_dir)
-    return ix.bootstrap_index(s, weights(spark, sf_dir), base, KEY, ix.SERIES, level=0.95)
+    return ix.bootstrap_index(s, weights(spark, sf_dir), base, KEY, ix.SERIES)
 
 
-@query(cell_sql("", "weights").rstrip() + BOOT.format(b=20) + """ SELECT route, obs_date, horizon, round(avg(i), 4) AS mean_index, round(stddev_samp(i), 4) AS standard_error, round(quantile_cont(i, 0.025), 4) AS ci_lower, round(quantile_cont(i, 0.975), 4) AS ci_upper
- FROM (SELECT route, obs_date, horizon, 100 * price / base AS i FROM draws JOIN b0 USING (route, horizon) WHERE base > 0) GROUP BY route, obs_date, horizon""")
+@query(cell_sql("").rstrip() + BOOT + BOOT_ROUTE)
 def bootstrap_route(spark, sf_dir):
     s, base = _boot(spark, sf_dir)
-    return ix.bootstrap_route(s, base, KEY, replications=20)
+    return ix.bootstrap_route(s, base, KEY)
 
 
 @query(with_views("SELECT least(carrier, 'C' || source_id) || '-' || greatest(carrier, 'C' || source_id) AS pair, sum(pax) AS volume FROM fares GROUP BY 1", "fares"))
@@ -216,7 +227,7 @@ def carrier_index(spark, sf_dir):
     return ix.carrier_index(fares(spark, sf_dir), weights(spark, sf_dir), BASE_DATE)
 
 
-REPORT = f"""report AS (SELECT route, obs_date, horizon, round(exp(avg(ln(price)) FILTER (survives)), 2) AS price, count(*) AS carriers, round(avg({SCORE}) FILTER (survives), 1) AS feed_quality, count(*) FILTER (NOT survives) AS removed FROM surv GROUP BY ALL),
+REPORT = f"""report AS (SELECT route, obs_date, horizon, {money_sql("exp(avg(ln(price)) FILTER (survives))")} AS price, count(*) AS carriers, round(avg({SCORE}) FILTER (survives), 1) AS feed_quality, count(*) FILTER (NOT survives) AS removed FROM surv GROUP BY ALL),
 rbased AS (SELECT r.*, coalesce(CASE WHEN b.price > 0 THEN b.price END, r.price) AS base FROM report r LEFT JOIN (SELECT route, horizon, price FROM report WHERE obs_date = DATE '1995-01-01') b USING (route, horizon)),
 qual AS (SELECT horizon, obs_date, count(*) AS routes, avg(carriers) AS carriers, avg(feed_quality) AS feed, sum(removed)::BIGINT AS outliers FROM rbased GROUP BY ALL)"""
 QUALITY = """SELECT horizon, obs_date, round(coverage * 0.3 + least(routes * 100.0::DOUBLE / {n}, 100) * 0.2 + least(feed, 100) * 0.2 + least(carriers * 10, 100) * 0.15 + (100 - least(outliers * 10.0::DOUBLE, 100)) * 0.15, 1) AS quality_score,
@@ -235,12 +246,27 @@ def index_quality(spark, sf_dir):
     return ix.index_quality(r, ix.laspeyres(r, weights(spark, sf_dir)), all_routes=25)
 
 
-@query(cell_sql("", "weights").rstrip() + ", " + REPORT + f"""SELECT NULL::VARCHAR AS route, horizon, obs_date, index_value, coverage, l.n_routes, standard_error, quality_score, index_status FROM ({_R_LASP}) l JOIN (SELECT horizon, obs_date, standard_error FROM ({_R_JACK})) j USING (horizon, obs_date)
- JOIN ({QUALITY.format(n=25, i=_R_LASP)}) q USING (horizon, obs_date) UNION ALL SELECT route, horizon, obs_date, round(100 * price / base, 4), NULL, NULL, NULL, NULL, NULL FROM rbased WHERE price > 0 AND base > 0""")
+DAILY = f"""SELECT NULL::VARCHAR AS route, horizon, obs_date, index_value, coverage, l.n_routes, standard_error, quality_score, index_status FROM ({_R_LASP}) l
+ JOIN (SELECT horizon, obs_date, standard_error FROM ({_R_JACK})) j USING (horizon, obs_date) JOIN ({QUALITY.format(n=25, i=_R_LASP)}) q USING (horizon, obs_date)
+ UNION ALL SELECT route, horizon, obs_date, round(100 * price / base, 4), NULL, NULL, NULL, NULL, NULL FROM rbased WHERE price > 0 AND base > 0"""
+
+
+@query(cell_sql("", "weights").rstrip() + ", " + REPORT + DAILY)
 def daily_index(spark, sf_dir):
     return ix.daily_index(fares(spark, sf_dir), weights(spark, sf_dir), BASE_DATE)
 
 
+def range_sql(price: str) -> str:
+    """``DAILY`` of one price series from 1996 to 1997, against January 1996; the weights are those of all days."""
+    ranged = cell_sql("", "weights").rstrip().replace("valid AS (SELECT", f"ranged AS (SELECT * REPLACE ({price} AS base_fare) FROM fares WHERE obs_date BETWEEN DATE '1996-01-01' AND DATE '1997-12-01'),\nvalid AS (SELECT")
+    return (ranged.replace("AS w FROM fares WHERE", "AS w FROM ranged WHERE") + ", " + REPORT + DAILY).replace("1995-01-01", "1996-01-01")
+
+
+@query(f"SELECT *, 'BASE_FARE' AS price_series FROM ({range_sql('base_fare')}) UNION ALL SELECT *, 'TOTAL_FARE' AS price_series FROM ({range_sql('total_fare')})")
+def index_range(spark, sf_dir):
+    return ix.index_range(fares(spark, sf_dir), weights(spark, sf_dir), "1996-01-01", "1997-12-01")
+
+
 @query(cell_sql("SELECT route, count(*) AS cells, sum(quotes)::BIGINT AS observations FROM (SELECT route, obs_date, horizon, sum(quotes) AS quotes FROM surv GROUP BY ALL) GROUP BY ROLLUP (route)"))
 def coverage_rollup(spark, sf_dir):
     return ix.coverage_rollup(c.cell_report(fares(spark, sf_dir)))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pricewell.operators import analytics as a
+from pricewell.operators import clean
 from pricewell.operators import index as ix
 from pricewell.operators import joins as j
 
@@ -47,7 +49,9 @@ for _i in range(4):
     _src = "near" if _i == 0 else f"n{_i}"
     _r.append(f"m{_i} AS (SELECT lid, rid, delta FROM (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY rank, delta, rid) AS a, row_number() OVER (PARTITION BY rid ORDER BY rank, delta, lid) AS b FROM {_src}) WHERE a = 1 AND b = 1)")
     _r.append(f"n{_i + 1} AS (SELECT * FROM {_src} WHERE lid NOT IN (SELECT lid FROM m{_i}) AND rid NOT IN (SELECT rid FROM m{_i}))")
-MATCH = "WITH " + ", ".join([*_r, "m AS (" + " UNION ALL ".join(f"SELECT * FROM m{_i}" for _i in range(4)) + ")"])
+# Four rounds leave no pair in the given tables. Should there be one, it is added with an impossible distance, so that the comparison fails.
+_r.append("m AS (" + " UNION ALL ".join(f"SELECT * FROM m{_i}" for _i in range(4)) + " UNION ALL SELECT lid, rid, 1000000 + delta FROM n4)")
+MATCH = "WITH " + ", ".join(_r)
 add("match_nearest", MATCH + " SELECT lid, rid, delta::INTEGER AS delta FROM m", lambda s, d: j.match_nearest(_slots(s, d, "view", "lid"), _slots(s, d, "click", "rid"), K, "minutes", exact="flight").withColumn("delta", F.col("delta").cast("int")))
 add("nearest_min", f"""SELECT lid, delta::INTEGER AS delta, round(rp, 4) AS price, CASE WHEN abs((lp - rp) / rp) <= 0.15 THEN 'MATCH' WHEN lp > rp THEN 'HIGHER' ELSE 'LOWER' END AS label FROM (SELECT lid, any_value(lp) AS lp, min((delta, rp)) AS m, m[1] AS delta, m[2] AS rp FROM
  (SELECT l.id AS lid, l.price AS lp, abs(l.minutes - r.minutes) AS delta, r.price AS rp FROM {SLOT.format('view')} l JOIN {SLOT.format('click')} r USING (day, carrier) WHERE abs(l.minutes - r.minutes) <= 25 AND r.price <> 0) GROUP BY lid)""".replace("any_value(lp) AS lp, min((delta, rp)) AS m, m[1] AS delta, m[2] AS rp", "any_value(lp) AS lp, min(struct_pack(delta := delta, rp := rp)).delta AS delta, min(struct_pack(delta := delta, rp := rp)).rp AS rp"), lambda s, d: j.nearest_min(_slots(s, d, "view", "lid"), _slots(s, d, "click", "rid").where("price <> 0"), K, "minutes", "price").withColumn("delta", F.col("delta").cast("int")))
@@ -100,6 +104,7 @@ def _keys(s, d):
 add("common_keys", f"{_A} INTERSECT {_B}", lambda s, d: j.common_keys(*_keys(s, d)))
 add("all_keys", f"{_A} UNION {_B}", lambda s, d: j.all_keys(*_keys(s, d)))
 add("missing_keys", f"{_A} EXCEPT {_B}", lambda s, d: j.missing_keys(*_keys(s, d)))
+add("unexpected", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'fee,mode' WHEN event_id % 3 = 1 THEN 'fee' ELSE '' END AS keys FROM events", lambda s, d: events(s, d).select("event_id", F.array_join(clean.unexpected(F.expr("CASE WHEN event_id % 3 = 0 THEN array('mode', 'total_fare', 'fee') WHEN event_id % 3 = 1 THEN array('fee', 'carrier') ELSE array('total_fare') END"), ["total_fare", "carrier"]), ",").alias("keys")))
 add("combos", with_views("SELECT DISTINCT route, carrier, fare_family FROM fares", "fares"), lambda s, d: j.combos(fares(s, d), ["route", "carrier", "fare_family"]))
 add("timeline", with_views("SELECT day, round(value, 6) AS value, CASE WHEN day < DATE '2024-01-20' THEN 'OBSERVED' ELSE 'FORECAST' END AS type FROM series WHERE series = 'view'", "series"), lambda s, d: j.timeline(S(s, d, "view").where("day < '2024-01-20'").select("day", F.round("value", 6).alias("value")), S(s, d, "view").where("day >= '2024-01-20'").select("day", F.round("value", 6).alias("value"))))
 add("latest_per", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1", lambda s, d: j.latest_per(events(s, d), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type"))
@@ -108,7 +113,7 @@ add("sort_nulls_first", "SELECT event_id, nullif(event_type, 'error') AS kind FR
 add("last_n", "SELECT event_id, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 100", lambda s, d: j.last_n(events(s, d), ["ts", "event_id"], 100).select("event_id", "value"))
 add("page", "SELECT event_id, (SELECT count(*) FROM events) AS total FROM events ORDER BY event_id LIMIT 50 OFFSET 100", lambda s, d: j.page(events(s, d).select("event_id"), ["event_id"], 3, 50))
 add("top_recent", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 50", lambda s, d: j.top_recent(events(s, d), ["ts", "event_id"]).select("event_id"))
-add("top_surges", with_views("SELECT route, round(100 * (max(base_fare) - min(base_fare)) / avg(base_fare), 2) AS spread_pct FROM fares GROUP BY route ORDER BY 2 DESC, 1 LIMIT 3", "fares"), lambda s, d: j.rank_by(fares(s, d).groupBy("route").agg(F.round(100 * (F.max("base_fare") - F.min("base_fare")) / F.avg("base_fare"), 2).alias("spread_pct")), "spread_pct", "route").limit(3))
+add("top_surges", with_views("SELECT route, round(100 * (max(base_fare) - min(base_fare)) / avg(base_fare), 2) AS spread_pct FROM fares GROUP BY route ORDER BY 2 DESC, 1 LIMIT 3", "fares"), lambda s, d: a.top_surges(a.corridor_volatility(fares(s, d), ["route"], "base_fare")))
 add("rank_by", with_views("SELECT route, count(*) AS n FROM fares GROUP BY route ORDER BY n DESC, route", "fares"), lambda s, d: j.rank_by(fares(s, d).groupBy("route").agg(F.count(F.lit(1)).alias("n")), "n", "route"))
 add("where_any", with_views(f"SELECT {SUM} FROM fares WHERE carrier = 'C1' AND horizon = 15 AND obs_date >= DATE '1996-01-01' AND obs_date <= DATE '1998-12-31'", "fares"), lambda s, d: total(j.where_any(fares(s, d), carrier="C1", horizon=15, route=None, obs_date_from="1996-01-01", obs_date_to="1998-12-31")))
 add("where_in", with_views(f"SELECT {SUM} FROM fares WHERE carrier IN ('C1', 'C3')", "fares"), lambda s, d: total(j.where_in(fares(s, d), "carrier", "C1, C3")))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from pricewell.operators import analytics as a
 from pricewell.operators import composite as k
 from pricewell.operators import index as ix
 
-from .analytics_queries import VOL, add, direct
-from .index_queries import BASE_DATE, CARRIER, LASPEYRES, based, cell_sql
+from .analytics_queries import CURVE, VOL, add, corr_sql, direct
+from .index_queries import BASE_DATE, CARRIER, CELL_CTE, DAILY, LASPEYRES, REPORT, based, cell_sql
 from .join_queries import CAL, SCD, calendar, scd
 from .views import fares, read, series, weights, with_views
 
@@ -34,8 +36,19 @@ def core(s, d):
     return k.core_index(fares(s, d), weights(s, d), urgent(s, d), BASE_DATE)
 
 
-add("core_index", None, core)
-add("dual_series", None, lambda s, d: k.dual_series(lasp(s, d), core(s, d), ix.SERIES))
+#: The cells of ``CELL_CTE`` over the fares without peak travel and sold-out flights, each under a name of its own, and their base by anchor.
+_URGENT = "SELECT DISTINCT cast(o_orderdate AS DATE) AS day FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'"
+CORE = f"""urgent AS ({_URGENT}), guarded AS (SELECT * FROM fares WHERE status <> 'SOLD_OUT' AND travel_date NOT IN (SELECT day FROM urgent)),
+{re.sub(r"(?<![.])\b(valid|best|mins|o1|o2|o3|o4|surv|cells)\b", r"core_\1", CELL_CTE.split(",\nbased AS")[0]).replace("FROM fares", "FROM guarded")},
+days AS (SELECT DISTINCT obs_date AS day FROM core_cells),
+near AS (SELECT day, day - DATE '{BASE_DATE}' AS off FROM days WHERE day NOT IN (SELECT day FROM urgent) AND abs(day - DATE '{BASE_DATE}') <= 366),
+anchors AS (SELECT d.day AS obs_date, arg_min(n.day, (abs(off), CASE WHEN off < 0 THEN 1 ELSE 0 END)) AS anchor FROM days d JOIN near n ON n.day <= d.day GROUP BY d.day),
+core_based AS (SELECT c.*, coalesce(CASE WHEN b.price > 0 THEN b.price END, c.price) AS base FROM core_cells c JOIN anchors a USING (obs_date)
+  LEFT JOIN core_cells b ON b.route = c.route AND b.horizon = c.horizon AND b.obs_date = a.anchor)"""
+CORE_LASP = LASPEYRES.replace("FROM based", "FROM core_based")
+add("core_index", with_views("", "fares", "weights").rstrip() + ", " + CORE + " " + CORE_LASP, core)
+DUAL = f"SELECT horizon, obs_date, a.index_value AS a, b.index_value AS b, round(a.index_value - b.index_value, 4) AS gap, round(100 * (a.index_value - b.index_value) / nullif(b.index_value, 0), 4) AS gap_pct FROM ({LASPEYRES}) a FULL OUTER JOIN ({CORE_LASP}) b USING (horizon, obs_date)"
+add("dual_series", cell_sql("", "weights").rstrip() + ", " + CORE + " " + DUAL, lambda s, d: k.dual_series(lasp(s, d), core(s, d), ix.SERIES))
 COH = "SELECT route, round(CASE WHEN count(*) > 1 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) END, 4) AS r, count(*) AS n FROM (SELECT route, obs_date, avg(base_fare) FILTER (feed_type = 'CARRIER_DIRECT') AS a, avg(base_fare) FILTER (feed_type = 'OTA_AGGREGATOR') AS b FROM fares GROUP BY ALL) WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY route"
 add("cohort_correlation", with_views(f"SELECT *, coalesce(r < 0.7, false) AS diverging FROM ({COH})", "fares"), lambda s, d: k.cohort_correlation(fares(s, d), "CARRIER_DIRECT", "OTA_AGGREGATOR", ["route"], "obs_date"))
 add("correlation_history", with_views(f"SELECT *, coalesce(r < 0.7, false) AS flagged FROM ({COH})", "fares"), lambda s, d: k.correlation_history(k.cohort_correlation(fares(s, d), "CARRIER_DIRECT", "OTA_AGGREGATOR", ["route"], "obs_date").drop("diverging"), "route"))
@@ -50,7 +63,14 @@ def explained(s, d):
 
 add("explain", with_views("", "series").rstrip() + ", " + CAL + ", " + EXP + " SELECT *, signals <> '' AS explained FROM ex", explained)
 add("alert_feed", with_views("", "series").rstrip() + ", " + CAL + ", " + EXP + " SELECT day, count(*) AS alerts, count(*) FILTER (signals = '') AS unexplained FROM ex GROUP BY day", lambda s, d: k.alert_feed(explained(s, d), "day"))
-add("leading_indicator", None, lambda s, d: k.leading_indicator(read(s, d, "orders").select(F.to_date("o_orderdate").alias("day"), F.col("o_totalprice").alias("value")), read(s, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.avg("o_totalprice").alias("value")), "day", "value"))
+LEADING = f"""WITH wk AS (SELECT cast(date_trunc('week', o_orderdate) AS DATE) AS week, round(avg(o_totalprice), 4) AS a FROM orders GROUP BY 1),
+mon AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, avg(o_totalprice) AS value FROM orders GROUP BY 1),
+stepped AS (SELECT cast(date_trunc('week', d) AS DATE) AS week, arg_min(value, month) AS b FROM (SELECT month, value, unnest(generate_series((month || '-01')::DATE, last_day((month || '-01')::DATE), INTERVAL 1 DAY)) AS d FROM mon) GROUP BY 1),
+both_ AS (SELECT week, a, b, a - lag(a) OVER (ORDER BY week) AS da, b - lag(b) OVER (ORDER BY week) AS db FROM wk JOIN stepped USING (week)),
+shifted AS ({" UNION ALL ".join(f"SELECT {i} AS lag, a AS x, da AS dx, lead(b, {i}) OVER (ORDER BY week) AS y, lead(db, {i}) OVER (ORDER BY week) AS dy FROM both_" for i in range(5))}),
+res AS (SELECT lag, round(coalesce({corr_sql('x', 'y')}, 0), 3) AS r, round(100 * avg((sign(dx) = sign(dy))::INT), 1) AS accuracy, count(*) AS n FROM shifted WHERE y IS NOT NULL GROUP BY lag)
+SELECT 'all' AS series, lag, r, accuracy, n, row_number() OVER (ORDER BY abs(r) DESC, lag) = 1 AS best FROM res WHERE n >= 3"""
+add("leading_indicator", LEADING, lambda s, d: k.leading_indicator(read(s, d, "orders").select(F.to_date("o_orderdate").alias("day"), F.col("o_totalprice").alias("value")), read(s, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.avg("o_totalprice").alias("value")), "day", "value"))
 FO = "SELECT f.day, round(100 * f.value / first_value(f.value) OVER (ORDER BY f.day), 4) AS fuel_index, pi AS price_index FROM (SELECT * FROM series WHERE series = 'click') f LEFT JOIN (SELECT day, round(100 * value / first_value(value) OVER (ORDER BY day), 4) AS pi FROM series WHERE series = 'view' AND day > DATE '2024-01-10') p USING (day)"
 add("fuel_overlay", with_views(FO, "series"), lambda s, d: k.fuel_overlay(view_series(s, d, "click").select("day", F.col("value").alias("fuel")), view_series(s, d, "view").where("day > '2024-01-10'").select("day", "value"), "day"))
 LAST = "lastc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY carrier, horizon ORDER BY obs_date DESC) AS r FROM carrier_index) WHERE r = 1)"
@@ -63,6 +83,11 @@ add("index_between", cell_sql(f"SELECT * FROM ({LASPEYRES}) WHERE horizon = 15 A
 add("index_now", cell_sql(f"SELECT horizon, obs_date, index_value, CASE WHEN coverage >= 90 THEN 'HIGH' WHEN coverage >= 70 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY obs_date DESC) AS r FROM ({LASPEYRES})) WHERE r = 1", "weights"), lambda s, d: k.index_now(lasp(s, d).withColumnRenamed("coverage", "quality_score"), ["horizon"], "obs_date").select("horizon", "obs_date", "index_value", "band"))
 add("weights_history", with_views(f"SELECT route, round(weight, 6) AS weight, effective_from FROM {SCD}", "weights"), lambda s, d: k.weights_history(scd(s, d)).select("route", F.round("weight", 6).alias("weight"), "effective_from"))
 add("backtest", cell_sql("", "weights").rstrip() + f", ap AS (SELECT strftime(obs_date, '%Y-%m') AS month, avg(index_value) AS a FROM ({LASPEYRES}) GROUP BY 1), ob AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, avg(o_totalprice) AS b FROM orders GROUP BY 1) SELECT count(*) AS months, round(covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)), 3) AS r, round(avg(abs(100 * (a - b) / b)), 3) AS mean_deviation_pct FROM ap JOIN ob USING (month)", lambda s, d: k.backtest(lasp(s, d).groupBy(F.date_format("obs_date", "yyyy-MM").alias("month")).agg(F.avg("index_value").alias("value")), read(s, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.avg("o_totalprice").alias("value"))).withColumns({"r": F.round("r", 3), "mean_deviation_pct": F.round("mean_deviation_pct", 3)}))
-add("briefing", None, lambda s, d: k.briefing(lasp(s, d).where("horizon = 15"), carr(s, d), a.corridor_volatility(fares(s, d), ["route"], "base_fare"), a.lead_time_curve(fares(s, d), ["route"], "base_fare")))
-add("digest", with_views(f"SELECT 'volatility' AS name, count(*) AS n FROM ({VOL}) UNION ALL SELECT 'weights', count(*) FROM weights", "weights"), lambda s, d: k.digest(volatility=a.corridor_volatility(fares(s, d), ["route", "horizon"], "base_fare"), weights=weights(s, d)).groupBy("name").agg(F.count(F.lit(1)).alias("n")))
-add("missing_variance", cell_sql("SELECT 0::BIGINT AS national, count(*) AS routes FROM based WHERE price > 0 AND base > 0"), lambda s, d: a.missing_variance(ix.daily_index(fares(s, d), weights(s, d), BASE_DATE)).withColumn("national", F.lit(0).cast("long")))
+BRIEF = f""", head AS (SELECT obs_date AS as_of, index_value AS headline FROM ({LASPEYRES}) WHERE horizon = 15 ORDER BY obs_date DESC LIMIT 1),
+lastc AS (SELECT carrier, index_value, row_number() OVER (PARTITION BY carrier ORDER BY obs_date DESC) AS r FROM carrier_index WHERE horizon = 15),
+vol AS ({VOL.replace(', horizon', '')}), curve AS ({CURVE})
+SELECT as_of, headline, (SELECT arg_max(carrier, (index_value, carrier)) FROM lastc WHERE r = 1) AS dearest_carrier, (SELECT round(avg(spread_pct), 2) FROM vol) AS avg_spread,
+ (SELECT round(100 * (avg(fare) FILTER (horizon = 1) - avg(fare) FILTER (horizon = 45)) / nullif(avg(fare) FILTER (horizon = 1), 0), 2) FROM curve) AS early_saving_pct FROM head"""
+add("briefing", cell_sql("", "weights").rstrip() + CARRIER + BRIEF, lambda s, d: k.briefing(lasp(s, d).where("horizon = 15"), carr(s, d).where("horizon = 15"), a.corridor_volatility(fares(s, d), ["route"], "base_fare"), a.lead_time_curve(fares(s, d), ["route"], "base_fare")))
+add("digest", with_views(f"SELECT 'volatility' AS name, route, volatility_status, NULL::DOUBLE AS volume FROM ({VOL}) UNION ALL SELECT 'weights', route, NULL, round(volume, 2) FROM weights", "weights"), lambda s, d: k.digest(volatility=a.corridor_volatility(fares(s, d), ["route", "horizon"], "base_fare"), weights=weights(s, d)).withColumns({c: F.get_json_object("row", f"$.{c}") for c in ("route", "volatility_status")}).withColumn("volume", F.round(F.get_json_object("row", "$.volume").cast("double"), 2)).drop("row"))
+add("missing_variance", cell_sql("", "weights").rstrip() + ", " + REPORT + f"SELECT count(*) FILTER (standard_error IS NULL AND route IS NULL) AS national, count(*) FILTER (standard_error IS NULL AND route IS NOT NULL) AS routes FROM ({DAILY})", lambda s, d: a.missing_variance(ix.daily_index(fares(s, d), weights(s, d), BASE_DATE)))

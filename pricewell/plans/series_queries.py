@@ -14,6 +14,7 @@ from .join_queries import CAL, calendar
 from .views import read, series, weights, with_views
 
 K = ["series"]
+HORIZONS = (1, 7, 15, 30, 45)
 
 
 def hourly(s, d):
@@ -58,7 +59,7 @@ _roll = [(n, f, k) for k in (7, 14, 28) for n, f in (("mean", "avg"), ("std", "s
 add("rolling", with_views("SELECT series, day" + "".join(f", CASE WHEN count(value) OVER w{k} = {k} THEN round({f}(value) OVER w{k}, 4) END AS {n}_{k}" for n, f, k in _roll) + " FROM series WINDOW " + ", ".join(f"w{k} AS (PARTITION BY series ORDER BY day ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)" for k in (7, 14, 28)), "series"), lambda s, d: t.rolling(series(s, d), K, "day", "value").select("series", "day", *[F.round(f"{n}_{k}", 4).alias(f"{n}_{k}") for n, _, k in _roll]))
 add("momentum", with_views("SELECT series, day" + "".join(f", round(value / nullif(lag(value, {k}) OVER w, 0) - 1, 6) AS mom_{k}" for k in (7, 14, 28)) + f" FROM series {WD}", "series"), lambda s, d: t.momentum(series(s, d), K, "day", "value").select("series", "day", *[F.round(f"mom_{k}", 6).alias(f"mom_{k}") for k in (7, 14, 28)]))
 add("rolling_vol", with_views("SELECT series, day" + "".join(f", CASE WHEN count(c) OVER w{k} = {k} THEN round(stddev_samp(c) OVER w{k}, 6) END AS vol_{k}" for k in (7, 28)) + " FROM (SELECT *, value / nullif(lag(value) OVER (PARTITION BY series ORDER BY day), 0) - 1 AS c FROM series) WINDOW " + ", ".join(f"w{k} AS (PARTITION BY series ORDER BY day ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)" for k in (7, 28)), "series"), lambda s, d: t.rolling_vol(series(s, d), K, "day", "value").select("series", "day", *[F.round(f"vol_{k}", 6).alias(f"vol_{k}") for k in (7, 28)]))
-add("targets", with_views(f"SELECT * FROM (SELECT series, day, round(lead(value, 1) OVER w, 6) AS target_1, round(lead(value, 7) OVER w, 6) AS target_7, round(lead(value, 15) OVER w, 6) AS target_15 FROM series {WD}) WHERE coalesce(target_1, target_7, target_15) IS NOT NULL", "series"), lambda s, d: t.targets(series(s, d), K, "day", "value").select("series", "day", *[F.round(f"target_{h}", 6).alias(f"target_{h}") for h in (1, 7, 15)]))
+add("targets", with_views(f"SELECT * FROM (SELECT series, day, round(lead(value, 1) OVER w, 6) AS target_1, round(lead(value, 7) OVER w, 6) AS target_7, round(lead(value, 15) OVER w, 6) AS target_15, round(lead(value, 30) OVER w, 6) AS target_30, round(lead(value, 45) OVER w, 6) AS target_45 FROM series {WD}) WHERE coalesce(target_1, target_7, target_15, target_30, target_45) IS NOT NULL", "series"), lambda s, d: t.targets(series(s, d), K, "day", "value").select("series", "day", *[F.round(f"target_{h}", 6).alias(f"target_{h}") for h in HORIZONS]))
 add("calendar_features", "SELECT o_orderkey, (isodow(o_orderdate) - 1)::INTEGER AS dow, week(o_orderdate)::INTEGER AS week, month(o_orderdate)::INTEGER AS month, quarter(o_orderdate)::INTEGER AS quarter, dayofyear(o_orderdate)::INTEGER AS doy, day(o_orderdate) = 1 AS month_start, cast(o_orderdate AS DATE) = last_day(o_orderdate) AS month_end FROM orders", lambda s, d: t.calendar_features(read(s, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day")), "day").drop("day"))
 ELEV = """e0 AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY day) AS i, count(*) OVER (PARTITION BY series) AS nn FROM series),
 e1 AS (SELECT *, median(CASE WHEN i <= greatest(2, nn // 2) THEN value END) OVER (PARTITION BY series) AS base FROM e0),
@@ -99,8 +100,8 @@ def mature_sql(body: str) -> str:
 
 add("mature", mature_sql("SELECT series, day, h, round(p50, 6) AS p50, round(actual, 6) AS actual FROM matured"), lambda s, d: matured(s, d).select("series", "day", "h", F.round("p50", 6).alias("p50"), F.round("actual", 6).alias("actual")))
 add("forecast_accuracy", mature_sql(f"SELECT {ACC} FROM matured"), lambda s, d: t.forecast_accuracy(matured(s, d), []))
-add("accuracy_by_bucket", mature_sql(f"SELECT CASE WHEN h BETWEEN 1 AND 7 THEN '1-7' WHEN h BETWEEN 8 AND 14 THEN '8-14' WHEN h BETWEEN 15 AND 21 THEN '15-21' ELSE 'UNKNOWN' END AS bucket, {ACC} FROM matured GROUP BY 1"), lambda s, d: t.forecast_accuracy(matured(s, d).withColumn("bucket", t.horizon_bucket(F.col("h"))), ["bucket"]))
-add("accuracy_all", mature_sql(f"SELECT series, {ACC} FROM matured GROUP BY series"), lambda s, d: t.forecast_accuracy(matured(s, d), K))
+add("accuracy_by_bucket", mature_sql(f"SELECT CASE WHEN h BETWEEN 1 AND 7 THEN '1-7' WHEN h BETWEEN 8 AND 14 THEN '8-14' WHEN h BETWEEN 15 AND 21 THEN '15-21' ELSE 'UNKNOWN' END AS bucket, {ACC} FROM matured GROUP BY 1"), lambda s, d: t.accuracy_by_bucket(matured(s, d)))
+add("accuracy_all", mature_sql(f"SELECT series, {ACC} FROM matured GROUP BY series"), lambda s, d: t.accuracy_all(matured(s, d), K))
 add("model_metrics", mature_sql("SELECT series, round(avg(abs(p50 - actual)), 4) AS mae, round(sqrt(avg((p50 - actual) * (p50 - actual))), 4) AS rmse, round(100 * avg(abs(p50 - actual) / greatest(abs(actual), 1)), 4) AS mape, round(100 * avg((actual BETWEEN p10 AND p90)::INT), 2) AS coverage, round(avg(p90 - p10), 4) AS width FROM matured GROUP BY series"), lambda s, d: t.model_metrics(matured(s, d), K, "actual", "p50", "p10", "p90"))
 PERS = "SELECT series, cast(last + INTERVAL (h) DAY AS DATE) AS target, round(v, 4) AS p50, round(v * (1 - 0.05), 4) AS p10, round(v * (1 + 0.05), 4) AS p90 FROM (SELECT series, max(day) AS last, arg_max(value, day) AS v, unnest(range(1, 8)) AS h FROM series GROUP BY series)"
 SEAS = """f0 AS (SELECT series, regr_slope(value, day - DATE '1970-01-01') AS sl, regr_intercept(value, day - DATE '1970-01-01') AS ic, max(day) AS last FROM series GROUP BY series),
@@ -130,11 +131,13 @@ add("history", with_views("SELECT series, day, round(value, 6) AS value FROM (SE
 add("forecast_features", with_views(f"SELECT series, day, round(value, 6) AS value, round(lag(value, 7) OVER w, 6) AS lag_7, round(value / nullif(lag(value, 7) OVER w, 0) - 1, 6) AS mom_7, (isodow(day) - 1)::INTEGER AS dow, round(lead(value, 1) OVER w, 6) AS target_1 FROM series {WD}", "series").replace("SELECT series, day, round(value, 6)", "SELECT * FROM (SELECT series, day, round(value, 6)") + ") WHERE target_1 IS NOT NULL", lambda s, d: t.forecast_features(series(s, d), K, "day", "value").select("series", "day", *[F.round(c, 6).alias(c) for c in ("value", "lag_7", "mom_7")], "dow", F.round("target_1", 6).alias("target_1")))
 
 
+INPUTS = [*[f"lag_{k}" for k in (1, 2, 3, 7, 14, 21, 28)], *[f"{n}_{k}" for k in (7, 14, 28) for n in ("mean", "std", "min", "max")], *[f"mom_{k}" for k in (7, 14, 28)], "vol_7", "vol_28", "dow"]
+
+
 def fit_gbt(s, d):
-    h = hourly(s, d).withColumn("day", F.to_date("ts"))
-    w = "over (partition by series order by ts)"
-    x = h.select("series", "ts", "day", "value", *[F.expr(f"lag(value, {k}) {w}").alias(f"lag_{k}") for k in (1, 2, 24)], F.hour("ts").alias("hour"), F.expr(f"lead(value, 1) {w}").alias("target_1"))
-    return t.fit_gbt(x, "target_1", "day", ["lag_1", "lag_2", "lag_24", "hour"], 7, maxIter=5)[1].select("series", "ts", "target_1", "prediction")
+    """A model for each horizon on the hourly series; an hour is one period, so that the series are long enough to hold 28 periods out."""
+    x = hourly(s, d).select("series", F.expr("date_add(date'1970-01-01', cast(unix_timestamp(ts) / 3600 as int))").alias("day"), "value")
+    return t.fit_horizons(t.forecast_features(x, K, "day", "value"), "day", INPUTS, HORIZONS).select("series", "day", "horizon", "target", "prediction")
 
 
 add("fit_gbt", None, fit_gbt)
@@ -146,5 +149,4 @@ def _bench(s, d):
     from pricewell.operators import index as ix
 
     official = read(s, d, "orders").groupBy(F.to_date(F.date_trunc("month", "o_orderdate")).alias("obs_date")).agg(F.avg(F.col("o_totalprice") / 100).alias("official"))
-    rows = ix.laspeyres(based(s, d), weights(s, d)).join(official, "obs_date")
-    return rows.groupBy("horizon").agg(F.round(F.avg(F.abs(F.col("index_value") / 100 * 1500 - F.col("official"))), 3).alias("mae"), F.count(F.lit(1)).alias("n"))
+    return a.fare_benchmark(ix.laspeyres(based(s, d), weights(s, d)), official, "obs_date", ["horizon"])

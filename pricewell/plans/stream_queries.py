@@ -32,7 +32,10 @@ add("stream_window_stats", "SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts,
 add("rate_breaches", "SELECT event_type, s AS start, count(*) AS n FROM (SELECT event_type, unnest(generate_series(time_bucket(INTERVAL 30 MINUTE, ts, TIMESTAMP '1970-01-01') - INTERVAL 30 MINUTE, time_bucket(INTERVAL 30 MINUTE, ts, TIMESTAMP '1970-01-01'), INTERVAL 30 MINUTE)) AS s FROM events) GROUP BY 1, 2 HAVING count(*) > 6", lambda s, d: plain(o.drain(o.rate_breaches(stream(s, d), "event_type", "ts", 6, "60 minutes", "30 minutes"), "complete")))
 add("ttl_dedup", "SELECT DISTINCT user_id, event_type FROM events", lambda s, d: o.drain(o.ttl_dedup(stream(s, d), ["user_id", "event_type"], "ts", "60 days"), "append").select("user_id", "event_type"))
 BREAK = "SELECT user_id, count(*) FILTER (event_type = 'error' AND (ok IS NULL OR (ts, event_id) > ok)) AS run FROM events LEFT JOIN (SELECT user_id, max((ts, event_id)) AS ok FROM events WHERE event_type <> 'error' GROUP BY user_id) USING (user_id) GROUP BY user_id"
-add("breaker_state", f"SELECT user_id, run, CASE WHEN run >= 2 THEN 'OPEN' ELSE 'CLOSED' END AS state FROM ({BREAK})", lambda s, d: o.drain(o.breaker_state(stream(s, d).withColumn("failed", F.col("event_type") == "error"), "user_id", "ts", "failed", 2), "update").select("user_id", "run", "state"))
+#: A breaker is half open once the watermark, an hour behind the last row, is more than a minute past the last failure.
+STREAM_BREAK = f"""SELECT user_id, run, CASE WHEN run < 2 THEN 'CLOSED' WHEN epoch_ms(last_failure) + 60001 < (SELECT epoch_ms(max(ts)) FROM events) - 3600000 THEN 'HALF_OPEN' ELSE 'OPEN' END AS state
+ FROM ({BREAK}) JOIN (SELECT user_id, max(ts) FILTER (event_type = 'error') AS last_failure FROM events GROUP BY user_id) USING (user_id)"""
+add("breaker_state", STREAM_BREAK, lambda s, d: o.latest_state(o.drain(o.breaker_state(stream(s, d).withColumn("failed", F.col("event_type") == "error"), "user_id", "ts", "failed", 2, ttl_s=40 * 86_400), "update"), "user_id").select("user_id", "run", "state"))
 add("breaker_batch", f"SELECT user_id, run, CASE WHEN run < 2 THEN 'CLOSED' ELSE 'HALF_OPEN' END AS state FROM ({BREAK})", lambda s, d: o.breaker_batch(events(s, d).withColumn("failed", F.col("event_type") == "error"), "user_id", "ts", "failed", "2024-03-01", 2))
 add("stream_health", "SELECT user_id AS source, count(*) AS runs, round(avg((event_type <> 'error')::INT), 4) AS success_rate FROM events GROUP BY 1", lambda s, d: o.drain(o.stream_health(jobs(s, d)), "complete"))
 add("stream_sessions", "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM (SELECT *, coalesce((ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR)::INT, 1) AS new FROM events)) GROUP BY user_id, k", lambda s, d: plain(o.drain(o.stream_sessions(stream(s, d), "user_id", "ts", "6 hours"), "complete")))

@@ -72,6 +72,11 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, JOBS)
 
 
+def money_sql(x: str) -> str:
+    """``money`` of ``functions.columns`` in SQL."""
+    return f"round(cast({x} AS DECIMAL(24, 8)), 2)::DOUBLE"
+
+
 def with_views(body: str, *names: str) -> str:
     """Oracle SQL: ``body`` behind the named views."""
     all_views = {"fares": FARES, "weights": WEIGHTS, "series": SERIES, "jobs": JOBS}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,12 @@ MONTHLY = "route_code string, period string, sector string, fare double"
 
 
 def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=schema, enforceSchema=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    """The schema's columns by their names in the header, in whatever order; values that are not of their type are null. A missing column is an error, further ones are left out."""
+    rows = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    wanted = [c.strip().split(" ") for c in schema.split(",")]
+    if missing := [name for name, _ in wanted if name not in rows.columns]:
+        raise ValueError(f"missing columns: {missing}")
+    return rows.select(*[F.col(name).try_cast(kind).alias(name) for name, kind in wanted])
 
 
 def _upsert(rows: DataFrame, old: DataFrame | None, keys: list[str]) -> DataFrame:
@@ -42,12 +49,11 @@ def read_tax(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_monthly_fares(spark: SparkSession, path: str, routes: DataFrame) -> DataFrame:
-    """Known routes only, one row per route, month and sector; a file without the required columns is an error."""
-    have = set(spark.read.csv(path, header=True).columns)
-    if missing := {"route_code", "period", "sector", "fare"} - have:
-        raise ValueError(f"missing columns: {sorted(missing)}")
-    rows = _csv(spark, path, MONTHLY).join(routes.select("route_code"), "route_code", "left_semi")
-    return latest_per(rows, ["route_code", "period", "sector"], ["fare"])
+    """Known routes only, of a route, month and sector the first row of the file; a file without the required columns is an error."""
+    rows = _csv(spark, path, MONTHLY).withColumn("__at", F.monotonically_increasing_id())
+    rows = rows.join(routes.select("route_code"), "route_code", "left_semi")
+    first = rows.groupBy("route_code", "period", "sector").agg(F.min_by("fare", "__at").alias("fare"))
+    return first
 
 
 def scan_fares(df: DataFrame, day=None, horizon: int | None = None, route: str | None = None) -> DataFrame:
@@ -110,13 +116,14 @@ def hashed(df: DataFrame, content: str = "content") -> DataFrame:
 
 
 def store_payloads(df: DataFrame, path: str, ts: str = "ts", content: str = "content", old: DataFrame | None = None) -> DataFrame:
-    """Write each new payload once, by day; what is in the store already is left as it is. The rows written."""
+    """Write each new payload once, by day; what is in the store already is left as it is. The rows written, read back: each run has its number in ``run``."""
+    run = uuid.uuid4().hex
     rows = latest_per(hashed(df, content), ["payload_hash"], [ts])
     if old is not None:
         rows = rows.join(old.select("payload_hash"), "payload_hash", "left_anti")
-    rows = rows.withColumns({"y": F.year(ts), "m": F.month(ts), "d": F.dayofmonth(ts)})
+    rows = rows.withColumns({"y": F.year(ts), "m": F.month(ts), "d": F.dayofmonth(ts), "run": F.lit(run)})
     rows.write.mode("append").partitionBy("y", "m", "d").parquet(path)
-    return rows
+    return df.sparkSession.read.parquet(path).where(F.col("run") == run)
 
 
 def verify_payloads(df: DataFrame, content: str = "content", stored: str | Column = "payload_hash") -> DataFrame:

@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pricewell.operators.clean import drift_report, validate_records
 from pricewell.operators.joins import replace_by_key
 
 
+#: Before all times.
+NEVER = -(1 << 62)
+
+
 def sink_dir(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder, or in a temporary one where none is named (as in local tests)."""
+    """A new folder in the shared checkpoint folder. Only in local mode, where one machine is all there is, that may be unset."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="pricewell-")
     return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
@@ -53,21 +58,54 @@ def ttl_dedup(sdf: DataFrame, keys: list[str], ts: str, ttl: str = "30 minutes")
     return sdf.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(keys)
 
 
-def breaker_state(sdf: DataFrame, source: str, ts: str, failed: str, failures: int = 5) -> DataFrame:
-    """Per source the run of failures at its end and whether it opens the breaker. Late rows count when they come."""
+def breaker_state(sdf: DataFrame, source: str, ts: str, failed: str, failures: int = 5, wait_s: int = 60, delay: str = "1 hour", ttl_s: int = 86_400, order: str = "event_id") -> DataFrame:
+    """Per source and batch: the run of failures since the last success by (time, id), the breaker's state, the last failure, and ``n``, which counts a source's rows.
+
+    OPEN from ``failures`` on; HALF_OPEN once the watermark is ``wait_s`` seconds past the last failure. The state holds the last success
+    and the failures after it, so rows and frames may come in any order; failures that the watermark has passed are only counted,
+    as no row can come between them any more. A closed or half-open source without rows for ``ttl_s`` seconds is forgotten.
+    """
 
     def step(key, frames, state):
-        run, at = state.get if state.exists else (0, None)
+        ok, ok_id, old, recent, last, n = state.get if state.exists else (NEVER, NEVER, 0, b"", NEVER, 0)
+        passed = state.getCurrentWatermarkMs() * 1000
+        if state.hasTimedOut:
+            if old + len(recent) // 16 < failures or passed >= last + (wait_s + ttl_s) * 1_000_000:
+                state.remove()
+                return
+            state.update((ok, ok_id, old, recent, last, n + 1))
+            state.setTimeoutTimestamp(max(passed, last + (wait_s + ttl_s) * 1_000_000) // 1000 + 1)
+            yield pd.DataFrame({source: [key[0]], "run": [old + len(recent) // 16], "state": ["HALF_OPEN"], "last": pd.to_datetime([last], unit="us"), "n": [n + 1]})
+            return
+        parts, top = [np.frombuffer(recent, np.int64).reshape(-1, 2)], NEVER
         for pdf in frames:
-            for r in pdf.sort_values([ts, "event_id"]).itertuples(index=False):
-                run = run + 1 if getattr(r, failed) else 0
-                at = getattr(r, ts)
-        state.update((run, at))
-        yield pd.DataFrame({source: [key[0]], "run": [run], "state": ["OPEN" if run >= failures else "CLOSED"], "last": [at]})
+            at = np.stack([pdf[ts].to_numpy("datetime64[us]").astype(np.int64), pdf[order].to_numpy(np.int64)], 1)
+            bad = pdf[failed].to_numpy(bool)
+            parts.append(at[bad])
+            top = max(top, int(at[:, 0].max()))
+            best = max(map(tuple, at[~bad].tolist()), default=(NEVER, NEVER))
+            if best > (ok, ok_id):
+                (ok, ok_id), old = best, 0
+        run = np.concatenate(parts)
+        run = run[(run[:, 0] > ok) | ((run[:, 0] == ok) & (run[:, 1] > ok_id))]
+        if len(run):
+            last = max(last, int(run[:, 0].max()))
+        old += int((run[:, 0] < passed).sum())
+        run = run[run[:, 0] >= passed]
+        length = old + len(run)
+        state.update((ok, ok_id, old, run.tobytes(), last, n + 1))
+        until = last + wait_s * 1_000_000 if length >= failures else max(top, ok, last) + ttl_s * 1_000_000
+        state.setTimeoutTimestamp(max(until, passed) // 1000 + 1)
+        yield pd.DataFrame({source: [key[0]], "run": [length], "state": ["OPEN" if length >= failures else "CLOSED"], "last": pd.to_datetime([None if last == NEVER else last], unit="us"), "n": [n + 1]})
 
     kind = sdf.schema[source].dataType.simpleString()
-    schema = T.StructType([T.StructField("run", T.LongType()), T.StructField("at", T.TimestampType())])
-    return sdf.groupBy(source).applyInPandasWithState(step, f"{source} {kind}, run long, state string, last timestamp", schema, "update", "NoTimeout")
+    schema = "ok long, ok_id long, old long, recent binary, last long, n long"
+    return sdf.withWatermark(ts, delay).groupBy(source).applyInPandasWithState(step, f"{source} {kind}, run long, state string, last timestamp, n long", schema, "update", "EventTimeTimeout")
+
+
+def latest_state(updates: DataFrame, source: str) -> DataFrame:
+    """The last row of every source among the rows of ``breaker_state``."""
+    return updates.groupBy(source).agg(F.max_by(F.struct("run", "state", "last"), "n").alias("s")).select(source, "s.run", "s.state", "s.last")
 
 
 def breaker_batch(df: DataFrame, source: str, ts: str, failed: str, now, failures: int = 5, wait_s: int = 60) -> DataFrame:
