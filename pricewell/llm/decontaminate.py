@@ -94,7 +94,7 @@ def _overlaps(block: _Block, texts: pa.Array, min_words: int):
 
 def _blocks(items: DataFrame, item_key: str, item_text: str, block_words: int, min_item_words: int):
     spark = items.sparkSession
-    rows = items.select(F.col(item_key).cast("long").alias("id"), F.col(item_text).alias("text"))
+    rows = items.select(F.col(item_key).cast("long").alias("id"), F.col(item_text).alias("text")).distinct()
     total = rows.agg(F.sum(F.size(words(F.col("text"))))).first()[0] or 0
     parts = -(-total // block_words)
     for k in range(parts):

@@ -2,18 +2,24 @@
 
 A line goes down the tree by its number of words and its leading words, in which variable fields (words with a
 digit) are one wildcard. In a leaf, a position whose commonest word stands in at least half of the lines is constant,
-the others are variable. A line fits its leaf if it agrees with the constants on ``similarity`` of all positions.
-Dropped are the lines whose leaf's template, or whose own text with wildcards, occurs in ``min_docs`` documents. Apart from templates,
+the others are variable. A line fits a template if it agrees with the constants on ``similarity`` of all positions. What fits no template of its leaf
+is generalised again among itself, so a leaf can hold several templates.
+Dropped are the lines whose template, or whose own text with wildcards, occurs in ``min_docs`` documents. Apart from templates,
 lines too short for one are counted by their words as they are, and of a long line that recurs only the first document keeps its copy.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep, words
 
+#: Lines that need no splitting for their hashes: single blanks between the words, and no digit.
+UNEVEN = "[0-9\\t\\x0b\\f\\r]|  |^ | $"
+
 
 def masked_words(line: Column) -> Column:
     """Words of a line; those with a digit become ``<*>``."""
@@ -21,32 +27,70 @@ def masked_words(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.transform(plain, lambda w: F.when(w.rlike("[0-9]"), F.lit("<*>")).otherwise(w))).otherwise(plain)
 
 
-def whole(w: Column) -> Column:
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def hashes_of(line: Column, depth: int) -> Column:
+    """(n, exact, leaf): the number of words, the hash of the words with wildcards, and that of their number and the leading ones.
+
+    Even lines without digits are hashed as they are, which is the same and needs no array.
+    """
+    n = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    even = F.struct(n.alias("n"), F.xxhash64(line).alias("exact"), F.xxhash64(n, F.substring_index(line, " ", depth)).alias("leaf"))
+    uneven = _let(masked_words(line), lambda w: F.struct(F.size(w).alias("n"), F.xxhash64(F.array_join(w, " ")).alias("exact"), F.xxhash64(F.size(w), F.array_join(F.slice(w, 1, depth), " ")).alias("leaf")))
+    return F.when(line.rlike(UNEVEN) | (line == ""), uneven).otherwise(even)
+
+
+def whole(line: Column) -> Column:
     """Hash of a line's words as they are, apart from the hashes of masked lines."""
-    return F.xxhash64(F.lit("whole"), F.array_join(w, " "))
+    return F.xxhash64(F.lit("whole"), F.when(line.rlike(UNEVEN), F.array_join(words(line), " ")).otherwise(line))
 
 
 def _lines(docs: DataFrame, min_words: int, depth: int) -> DataFrame:
-    """id, exact and leaf hashes and the masked words of every line that is long enough."""
+    """id, line and n, exact, leaf of every line that is long enough."""
     rows = docs.select("id", F.explode(F.split("text", "\n")).alias("line")).where("length(line) > 0")
-    rows = rows.select("id", "line", masked_words(F.col("line")).alias("w")).where(F.size("w") >= min_words)
-    return rows.select("id", "line", F.xxhash64(F.array_join("w", " ")).alias("exact"), F.xxhash64(F.size("w"), F.array_join(F.slice("w", 1, depth), " ")).alias("leaf"), "w")
+    rows = rows.select("id", "line", hashes_of(F.col("line"), depth).alias("h"))
+    return rows.select("id", "line", "h.n", "h.exact", "h.leaf").where(F.col("n") >= min_words)
 
 
 def _hashes(docs: DataFrame, min_words: int, depth: int, short_docs: int | None, long_words: int) -> DataFrame:
     """Distinct (id, exact, leaf, long): every line with its leaf; short and long lines also as they are, with a null leaf."""
     masked = F.struct("exact", "leaf", F.lit(False).alias("long"))
-    as_is = F.struct(whole(words(F.col("line"))).alias("exact"), F.lit(None).cast("long").alias("leaf"), (F.size("w") > long_words).alias("long"))
-    kinds = F.when(F.size("w") < min_words, F.array(as_is)).when(F.size("w") > long_words, F.array(masked, as_is)).otherwise(F.array(masked))
+    as_is = F.struct(whole(F.col("line")).alias("exact"), F.lit(None).cast("long").alias("leaf"), (F.col("n") > long_words).alias("long"))
+    kinds = F.when(F.col("n") < min_words, F.array(as_is)).when(F.col("n") > long_words, F.array(masked, as_is)).otherwise(F.array(masked))
     return _lines(docs, min_words if short_docs is None else 1, depth).select("id", F.inline(kinds)).distinct()
 
 
+def _templates(texts: DataFrame, similarity: float, min_docs: int) -> DataFrame:
+    """(leaf, exact, round) of the lines that fit a template: one template of each leaf a round, until what is left fits none.
+
+    ``texts``: leaf, exact, docs (how many documents hold the line) and its words ``w``. Each line leaves in one round or the leaf is given up, so rounds end.
+    """
+    rest, found, number = texts, [], 0
+    while True:
+        places = rest.select("leaf", "exact", "docs", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
+        words_ = places.groupBy("leaf", "pos", "word").agg(F.sum("docs").alias("k"))
+        constants = words_.groupBy("leaf", "pos").agg(F.max(F.struct("k", "word")).alias("top"), F.sum("k").alias("all")).where(2 * F.col("top.k") >= F.col("all")).select("leaf", "pos", F.col("top.word").alias("word"))
+        same = places.join(constants, ["leaf", "pos", "word"]).groupBy("leaf", "exact").agg(F.count(F.lit(1)).alias("same"), F.max("n").alias("n"))
+        fits = keep(same.where(F.col("same") >= similarity * F.col("n")).select("leaf", "exact", F.lit(number).alias("round")), "fits")
+        found.append(fits)
+        # Leaves that gave a template go on with the rest, if several lines of enough documents are left.
+        left = rest.join(fits.select("leaf").distinct(), "leaf", "left_semi").join(fits.select("exact"), "exact", "left_anti")
+        enough = left.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("docs").alias("d")).where((F.col("n") > 1) & (F.col("d") >= min_docs)).select("leaf")
+        rest = keep(left.join(enough, "leaf", "left_semi"), "rest")
+        if not rest.limit(1).count():
+            return reduce(DataFrame.union, found)
+        number += 1
+
+
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = 5, min_words: int = 5, depth: int = 4, similarity: float = 0.6, short_docs: int | None = None, long_words: int = 50) -> DataFrame:
     """One row per input row: key, n_lines, n_dropped, text without the dropped lines.
 
     Lines of under ``min_words`` words are dropped where the same words are a line of ``short_docs`` documents (None: never). A line of over
     ``long_words`` words that recurs, be it in two documents, stays only in the one with the least key (all go from ``min_docs`` on). A null text stays null and has no lines; an empty text has one
-    empty line. Documents are counted by key, so rows with one key, or without one, count once. Further columns are not read.
+    empty line. Documents are counted by key, so rows with one key, or without one, count once; each row loses the lines that it holds itself. Further columns are not read.
     """
     docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
     hashes = keep(_hashes(docs, min_words, depth, short_docs, long_words), "lines")
@@ -56,24 +100,23 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_docs
     again = again.where(F.when(F.col("long"), F.col("docs") > 1).otherwise(F.col("docs") >= (short_docs or 1))).select("exact", "first")
     as_is = as_is.join(again, "exact").where(~F.col("long") | ~F.col("id").eqNullSafe(F.col("first.id"))).select("id", "exact")
     often = keep(lines.groupBy("exact", "leaf").agg(F.count(F.lit(1)).alias("docs")), "exact")
-    recurring = often.where(F.col("docs") >= min_docs).select("exact", F.lit(True).alias("alone"))
+    recurring = often.where(F.col("docs") >= min_docs).select("exact")
     # Leaves that several documents reach, counted with other lines than those that recur alone.
     busy = lines.select("leaf", "id").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
     varied = keep(often.join(busy, "leaf").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf"), "varied")
-    texts = _lines(docs, min_words, depth).join(varied, "leaf").groupBy("leaf", "exact").agg(F.first("w").alias("w")).join(often.select("exact", "docs"), "exact")
-    places = keep(texts.select("leaf", "exact", "docs", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word")), "places")
-    words_ = places.groupBy("leaf", "pos", "word").agg(F.sum("docs").alias("k"))
-    constants = words_.groupBy("leaf", "pos").agg(F.max(F.struct("k", "word")).alias("top"), F.sum("k").alias("all")).where(2 * F.col("top.k") >= F.col("all")).select("leaf", "pos", F.col("top.word").alias("word"))
-    fits = places.join(constants, ["leaf", "pos", "word"]).groupBy("leaf", "exact").agg(F.count(F.lit(1)).alias("same"), F.max("n").alias("n")).where(F.col("same") >= similarity * F.col("n")).select("leaf", "exact")
-    fits = keep(fits, "fits")
-    reached = lines.join(fits, ["leaf", "exact"]).select("leaf", "id").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
-    dropped = keep(recurring.select("exact").union(fits.join(reached, "leaf").select("exact")).distinct(), "dropped")
+    texts = _lines(docs, min_words, depth).join(varied, "leaf").groupBy("leaf", "exact").agg(F.first("line").alias("line"))
+    texts = keep(texts.join(often.select("exact", "docs"), "exact").select("leaf", "exact", "docs", masked_words(F.col("line")).alias("w")), "texts")
+    fits = _templates(texts, similarity, min_docs)
+    reached = lines.join(fits, ["leaf", "exact"]).select("leaf", "round", "id").distinct().groupBy("leaf", "round").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("leaf", "round")
+    dropped = keep(recurring.union(fits.join(reached, ["leaf", "round"]).select("exact")).distinct(), "dropped")
     per_doc = lines.join(dropped, "exact").select("id", "exact").union(as_is).groupBy("id").agg(F.collect_set("exact").alias("gone")).withColumnRenamed("id", "gone_id")
     out = docs.join(per_doc, F.col("id").eqNullSafe(F.col("gone_id")), "left").withColumn("all", F.split("text", "\n"))
-    masked_gone = lambda s: (F.size(words(s)) >= min_words) & F.array_contains(F.col("gone"), F.xxhash64(F.array_join(masked_words(s), " ")))
-    as_is_gone = lambda s: ((F.size(words(s)) < min_words) | (F.size(words(s)) > long_words)) & F.array_contains(F.col("gone"), whole(words(s)))
-    stay = F.filter("all", lambda s: ~masked_gone(s) & ~as_is_gone(s))
-    out = out.withColumn("stay", F.when(F.col("gone").isNull(), F.col("all")).otherwise(stay))
+
+    def goes(line: Column) -> Column:
+        masked = _let(hashes_of(line, depth), lambda h: F.when(h["n"] >= min_words, F.array_contains("gone", h["exact"])).otherwise(False) | F.when((h["n"] < min_words) | (h["n"] > long_words), F.array_contains("gone", whole(line))).otherwise(False))
+        return F.when(F.length(line) > 0, masked).otherwise(False)
+
+    out = out.withColumn("stay", F.when(F.col("gone").isNull(), F.col("all")).otherwise(F.filter("all", lambda s: ~goes(s))))
     return out.select(
         F.col("id").alias(key),
         F.when(F.col("text").isNull(), 0).otherwise(F.size("all")).cast("long").alias("n_lines"),

@@ -17,7 +17,7 @@ LEAF = ["domain", "lang", "source"]
 DOMAINS = {"d0": 0.4, "d1": 0.3, "d2": 0.2, "d3": 0.1}
 LANGUAGES = {"en": 0.55, "de": 0.2, "fr": 0.15, "es": 0.1}
 #: Documents of a leaf that are put in order together.
-RUN_DOCS = 4000
+RUN_DOCS = 1000
 
 
 def source_domain(source: Column, domains: int = 4) -> Column:
@@ -121,15 +121,23 @@ def _last_epoch(rows: DataFrame, seed: int) -> DataFrame:
 def take_once(docs: DataFrame, fraction: float = 0.8, seed: int = 7, domains: dict[str, float] = DOMAINS, languages: dict[str, float] = LANGUAGES, sources: dict[str, float] | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``docs``, all columns as they are, that ``mix`` selects with one epoch.
 
-    A leaf's prefix ends at a last (draw, key, tokens), so that each row is judged against its leaf's end where it is read; only the leaves are joined.
+    A leaf's prefix ends at a last (draw, key, tokens), so that each row is judged against its leaf's end where it is read; only the leaves are joined. Of rows that
+    tie with the end, as repeated rows do, as many are taken as ``mix`` takes; only these are shuffled.
     """
     stats, plan = _plan(_leaf_columns(docs, key, text, lang, source), fraction, 1, domains, languages, sources)
     order = F.struct("draw", "k", "n_tokens")
-    ends = _last_epoch(stats.join(plan, LEAF), seed).groupBy(*LEAF).agg(F.max(order).alias("end"))
-    ends = keep(plan.join(ends, LEAF, "left").select(*[F.col(c).alias(f"__{c}") for c in LEAF], "epochs", "end"), "ends")
+    taken = _last_epoch(stats.join(plan, LEAF), seed).groupBy(*LEAF, order.alias("end")).agg(F.count(F.lit(1)).alias("taken"))
+    ends = taken.groupBy(*LEAF).agg(F.max(F.struct("end", "taken")).alias("e"))
+    ends = keep(plan.join(ends, LEAF, "left").select(*[F.col(c).alias(f"__{c}") for c in LEAF], "epochs", F.col("e.end").alias("end"), F.col("e.taken").alias("taken")), "ends")
     rows = _leaf_columns(docs, key, text, lang, source, F.struct(*docs.columns).alias("row"))
     rows = rows.join(ends, [F.col(c) == F.col(f"__{c}") for c in LEAF]).withColumn("draw", _draw(seed))
-    return rows.where((F.col("epochs") > 0) | (order <= F.col("end"))).select("row.*")
+    inside = F.coalesce((F.col("epochs") > 0) | (order < F.col("end")), F.lit(False))
+    tied = F.coalesce((F.col("epochs") == 0) & (order == F.col("end")), F.lit(False))
+    small = stats.join(ends, [F.col(c) == F.col(f"__{c}") for c in LEAF]).withColumn("draw", _draw(seed))
+    if not small.where(tied).groupBy(*LEAF).agg(F.count(F.lit(1)).alias("n"), F.max("taken").alias("taken")).where("n > taken").limit(1).count():
+        return rows.where(inside | tied).select("row.*")
+    number = F.row_number().over(Window.partitionBy(*LEAF).orderBy(F.xxhash64(F.col("row")[text])))
+    return rows.where(inside).select("row.*").union(rows.where(tied).withColumn("number", number).where("number <= taken").select("row.*"))
 
 
 SQL = """

@@ -1,8 +1,9 @@
 """Chat formatting by quotation linking (operator 9).
 
-Lines that begin with ``>`` are quotes; the number of ``>`` is their level. Quoted lines are normalised and hashed and
-joined to the unquoted lines of earlier messages of the same conversation. A message replies to the message that
-most of its level-1 quotes come from. Replies form trees; a message's path is the turns from its root down to it, and sorting
+Lines that begin with ``>`` are quotes; the number of ``>`` is their level. Lines of one level that follow each other, up to a blank one, are a passage.
+Quoted passages of every level, and their single lines, are normalised (white space, capitals, line ends) and hashed, and joined
+to the unquoted passages and lines of earlier messages of the same conversation; a passage that was wrapped anew is still the same. A message replies to the message that
+most of its quotes of the least level with a source come from. Replies form trees; a message's path is the turns from its root down to it, and sorting
 a conversation by path gives it in reply order.
 """
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, keep, lower_ascii
 
+#: Turns of a conversation that are put in order together for one line.
+RUN_TURNS = 4096
 MARKS = r"^[ \t]*((?:>[ \t]?)+)"
 
 
@@ -39,29 +42,62 @@ def _rounds(links: DataFrame) -> DataFrame:
         step = new.drop("moved")
 
 
-def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", min_chars: int = 8) -> DataFrame:
+def pieces(text: Column) -> Column:
+    """(level, h) of every line and passage of a text with something in it, each once: level 0 is what the message says itself."""
+    rows = F.transform(F.split(text, "\n"), lambda s: F.struct(quote_level(s).alias("level"), normalised(s).alias("line")))
+    step = lambda a, r: F.struct(
+        # A passage goes on with a line of its level that is not blank.
+        F.when((r["level"] == a["level"]) & (r["line"] != "") & (a["open"] != ""), a["done"]).otherwise(F.when(a["open"] != "", F.array_append(a["done"], F.struct(a["level"].alias("level"), a["open"].alias("line")))).otherwise(a["done"])).alias("done"),
+        r["level"].alias("level"),
+        F.when((r["level"] == a["level"]) & (r["line"] != "") & (a["open"] != ""), F.concat_ws(" ", a["open"], r["line"])).otherwise(r["line"]).alias("open"),
+    )
+    start = F.struct(F.array().cast("array<struct<level:int,line:string>>").alias("done"), F.lit(-1).alias("level"), F.lit("").alias("open"))
+    passages = F.aggregate(rows, start, step, lambda a: F.when(a["open"] != "", F.array_append(a["done"], F.struct(a["level"].alias("level"), a["open"].alias("line")))).otherwise(a["done"]))
+    both = F.concat(F.filter(rows, lambda r: r["line"] != ""), passages)
+    return F.array_distinct(F.transform(both, lambda r: F.struct(r["level"].alias("level"), F.xxhash64(r["line"]).alias("h"))))
+
+
+def _latest_before(both: DataFrame) -> DataFrame:
+    """For each row that asks (conv, h, turn, level) the latest earlier turn that says h, if any.
+
+    Turns are dealt into runs of RUN_TURNS: within a run a running maximum, and over the runs that of their greatest turns, so a line that
+    a long conversation repeats is spread over tasks.
+    """
+    both = both.withColumn("run", F.floor(F.col("turn") / RUN_TURNS))
+    runs = both.groupBy("conv", "h", "run").agg(F.max(F.when(F.col("level") == 0, F.col("turn"))).alias("top"))
+    carry = F.max("top").over(Window.partitionBy("conv", "h").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select(F.col("conv").alias("c"), F.col("h").alias("x"), F.col("run").alias("r"), carry.alias("carry"))
+    earlier = Window.partitionBy("conv", "h", "run").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    near = both.withColumn("near", F.max(F.when(F.col("level") == 0, F.col("turn"))).over(earlier)).where("level > 0")
+    found = near.join(runs, F.col("conv").eqNullSafe(F.col("c")) & (F.col("h") == F.col("x")) & (F.col("run") == F.col("r")))
+    return found.select("conv", "h", "turn", "level", F.coalesce("near", "carry").alias("src")).where("src is not null")
+
+
+def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per message: conv, turn, role, text without quotes, n_quoted (lines), reply_to, root, depth, path.
 
-    reply_to: null if no quoted line of ``min_chars`` characters occurs in an earlier message. Of several sources the one with most
-    quoted lines counts, then the latest; of a line that several messages hold, the latest earlier one. Rows with one conversation and turn are one message to the links
-    but keep their rows. A null text stays null; null conversations are one conversation; messages without a turn are linked to nothing and have a null path. Further columns are not read.
+    reply_to: null if no quote occurs in an earlier message. The quotes of the least level that has a source count, as a deeper one was quoted by the message
+    replied to. Of several sources the one with most quoted lines and passages counts, then the latest; of a line that several messages hold, the latest earlier one. Quotes of any length count, blank ones don't.
+    Rows with one conversation and turn are one message to the links
+    but keep their rows. A null text stays null; null conversations are one conversation; messages without a turn are linked to nothing and have a null path. A path holds as many
+    turns as its message is deep. Further columns are not read.
     """
     rows = messages.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     split = rows.withColumn("all", F.split("text", "\n"))
-    quotes_of = F.filter("all", lambda s: quote_level(s) > 0)
-    quoted = split.where("turn is not null").select("conv", "turn", F.explode(F.array_distinct(F.transform(F.filter("all", lambda s: quote_level(s) == 1), normalised))).alias("line"))
-    quoted = keep(quoted.where(F.length("line") >= min_chars).select("conv", "turn", F.xxhash64("line").alias("h")).distinct(), "quoted")
+    with_turn = rows.where("turn is not null")
+    has_quotes = F.col("text").rlike(r"(?:^|\n)[ \t]*>")
+    quoted = with_turn.where(has_quotes).select("conv", "turn", F.inline(pieces(F.col("text")))).where("level > 0")
+    quoted = keep(quoted.distinct(), "quoted")
     parents = None
     if quoted.limit(1).count():
         asked = quoted.select("conv", "h").distinct()
-        said = split.where("turn is not null").select("conv", "turn", F.explode(F.array_distinct(F.transform(F.filter("all", lambda s: quote_level(s) == 0), lambda s: F.xxhash64(normalised(s))))).alias("h"))
+        said = with_turn.select("conv", "turn", F.inline(pieces(F.col("text")))).where("level = 0")
         said = said.join(asked.toDF("c", "a"), F.col("conv").eqNullSafe(F.col("c")) & (F.col("h") == F.col("a")), "left_semi").distinct()
-        # Latest earlier message with the line: the running maximum over both kinds of rows, no pairs of them.
-        both = said.select("conv", "h", "turn", F.lit(0).alias("asks")).union(quoted.select("conv", "h", "turn", F.lit(1)))
-        earlier = Window.partitionBy("conv", "h").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-        hits = both.withColumn("src", F.max(F.when(F.col("asks") == 0, F.col("turn"))).over(earlier)).where("asks = 1 and src is not null")
-        parents = hits.groupBy("conv", "turn", "src").agg(F.count(F.lit(1)).alias("k")).groupBy("conv", "turn").agg(F.max(F.struct("k", "src")).alias("best")).select("conv", "turn", F.col("best.src").alias("parent"))
-        parents = keep(parents, "replies")
+        hits = _latest_before(said.select("conv", "h", "turn", "level").union(quoted.select("conv", "h", "turn", "level")))
+        counts = hits.groupBy("conv", "turn", "level", "src").agg(F.count(F.lit(1)).alias("k"))
+        best = counts.groupBy("conv", "turn").agg(F.max(F.struct((-F.col("level")).alias("near"), "k", "src")).alias("best"))
+        parents = keep(best.select("conv", "turn", F.col("best.src").alias("parent")), "replies")
+    quotes_of = F.filter("all", lambda s: quote_level(s) > 0)
     plain = F.array_join(F.filter("all", lambda s: quote_level(s) == 0), "\n")
     out = split.select("conv", "turn", "role", plain.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size(quotes_of)).cast("long").alias("n_quoted"))
     if parents is None:

@@ -1,12 +1,17 @@
 """Secret scans with a random forest against false positives (operator 8).
 
-Candidates are the long runs of key characters with a digit in all words, several of a word where it holds them. Each gets statistics of its run (length, transitions
-between kinds of characters, distinct characters, dictionary coverage), of its path and of the words around it. A random forest
+Candidates are the long runs of key characters in all words, several of a word where it holds them. Each gets statistics of its run (length, transitions
+between kinds of characters, distinct characters, coverage by the corpus's own dictionary), of its path and of the words around it. A random forest
 trained from labelled findings gives the probability that it is a secret.
+
+Where there are no reviewed findings, labels come from evidence that is none of the features: key prefixes of known services, check digits, how many
+documents hold the run, and how surprising its letters are to the corpus (bits a character by pairs of letters).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -15,22 +20,44 @@ from pyspark.sql import functions as F
 
 from .common import keep, lower_ascii, words
 
-RUN = r"[A-Za-z0-9+/_=-]{16,}"
+#: Equal signs belong to a run only where they fill it up at its end; ``name=`` stays in front of the run.
+RUN = r"[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 #: Fixed lists: words that announce a secret, words that announce something else, words of paths with code or settings.
 SECRET_WORDS = ["token", "key", "apikey", "secret", "password", "passwd", "pwd", "credential", "auth", "bearer", "private"]
 OTHER_WORDS = ["sha", "sha1", "sha256", "md5", "hash", "commit", "uuid", "guid", "id", "checksum", "digest", "example", "version"]
 PATH_WORDS = ["config", "env", "settings", "secrets", "deploy", "docker", "code", "src", "git"]
-DICTIONARY = ["the", "and", "for", "with", "that", "this", "from", "have", "not", "are", "was", "you", "your", "http", "https", "www", "com", "org", "example", "test", "user", "name", "value", "data", "file", "path", "page", "index", "image", "version", "number", "string", "type", "class", "public", "static", "return", "function", "key", "token", "secret", "password"]
+#: Fixed: how keys of known services begin.
+KNOWN_KEYS = r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}$|gh[opsu]_[0-9A-Za-z]{36}|glpat-|xox[abpr]-|sk_live_|rk_live_|AIza[0-9A-Za-z_-]{35}$|npm_[0-9A-Za-z]{36}$)"
 FEATURES = ["run_length", "kinds", "transitions", "distinct_share", "digit_share", "hex_only", "dictionary_share", "path_words", "secret_before", "other_before", "assigned", "quoted"]
+#: Letters that pairs are counted of; all other characters are one sign.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def corpus_words(docs: DataFrame, text: str = "text", size: int = 4000) -> dict[str, int]:
+    """The ``size`` most frequent words of 3 to 20 letters in all texts (a-z, any case) with their counts: the dictionary of the features."""
+    found = docs.select(F.explode(words(lower_ascii(F.col(text)))).alias("w")).where(F.col("w").rlike("^[a-z]{3,20}$")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return {r["w"]: r["n"] for r in found.orderBy(F.desc("n"), "w").limit(size).collect()}
+
+
+def pair_bits(counts: dict[str, int]) -> dict[str, float]:
+    """Bits of the second letter of each pair after the first, over the dictionary's words by their counts; every pair is counted once more than it occurs."""
+    signs = LETTERS + "."
+    seen = {a + b: 1 for a in signs for b in signs}
+    for word, n in counts.items():
+        for a, b in zip(word, word[1:], strict=False):
+            seen[a + b] += n
+    return {a + b: math.log2(sum(seen[a + c] for c in signs) / seen[a + b]) for a in signs for b in signs}
 
 
-def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
+def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "source", dictionary: dict[str, int] | None = None) -> DataFrame:
     """One row per candidate: key, word_index (from 0), run_index (from 0, of the word's long runs), run, and the features. ``path`` None: no column names where a text is from.
 
     In front of a run stand the word's characters back to the run before it, that run, and for the first one the words before.
+    ``dictionary``: by default that of the corpus. Null and empty texts have no candidates.
     """
+    dictionary = corpus_words(docs, text) if dictionary is None else dictionary
     rows = docs.select(F.col(key).alias("id"), (F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")).alias("path"), words(F.col(text)).alias("w"))
-    at = F.filter(F.transform("w", lambda w, i: F.when((F.length(w) >= 16) & w.rlike(RUN) & w.rlike("[0-9]"), i)), lambda i: i.isNotNull())
+    at = F.filter(F.transform("w", lambda w, i: F.when((F.length(w) >= 16) & w.rlike(RUN), i)), lambda i: i.isNotNull())
     rows = rows.withColumn("at", at).where(F.size("at") > 0).select("id", "path", "w", F.explode("at").alias("i"))
     near = lambda c: lower_ascii(F.regexp_replace(c, r"[^A-Za-z0-9]", ""))
     word = F.get("w", F.col("i"))
@@ -40,7 +67,7 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
         F.array_join(F.slice("w", F.greatest(F.lit(1), F.col("i")), F.least(F.lit(1), F.col("i"))), "").alias("last"),
     )
     each = F.transform("runs", lambda r, k: F.struct(k.alias("run_index"), r.alias("run"), F.get("gaps", k).alias("gap"), F.coalesce(F.get("runs", k - 1), F.lit("")).alias("run_before")))
-    rows = rows.select("id", "path", "word_index", "words", "last", F.inline(F.filter(each, lambda x: x["run"].rlike("[0-9]"))))
+    rows = rows.select("id", "path", "word_index", "words", "last", F.inline(each))
     inside = F.filter(F.split(lower_ascii(F.concat_ws(" ", "run_before", "gap")), "[^a-z0-9]+"), lambda x: x != "")
     before = F.when(F.col("run_index") == 0, F.concat("words", inside)).otherwise(inside)
     rows = rows.withColumn("before", before).withColumn("before", F.slice("before", F.greatest(F.lit(1), F.size("before") - 2), F.lit(3)))
@@ -48,9 +75,8 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     n = F.length("run")
     kind = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace("run", "[a-z]", "a"), "[A-Z]", "b"), "[0-9]", "0"), "+/_=-", ".....")
     rows = rows.withColumn("kind", kind)
-    chars = F.split("run", "")
-    letters = F.expr("regexp_extract_all(lower(run), '[a-z]{3,}', 0)")
-    known = F.aggregate(letters, F.lit(0), lambda a, x: a + F.when(x.isin(DICTIONARY), F.length(x)).otherwise(0))
+    pieces = F.transform(F.expr("regexp_extract_all(run, '[A-Z]?[a-z]{2,}|[A-Z]{3,}', 0)"), lower_ascii)
+    known = F.aggregate(pieces, F.lit(0), lambda a, x: a + F.when(x.isin(list(dictionary)), F.length(x)).otherwise(0)) if dictionary else F.lit(0)
     number = lambda c: c.cast("double")
     any_of = lambda a, names: number(F.arrays_overlap(a, F.array(*map(F.lit, names))))
     return rows.select(
@@ -58,14 +84,14 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
         number(n).alias("run_length"),
         number(F.size(F.array_distinct(F.split("kind", "")))).alias("kinds"),
         (F.size(F.expr(r"regexp_extract_all(kind, '(.)\\1*', 0)")) / n).alias("transitions"),
-        (F.size(F.array_distinct(chars)) / n).alias("distinct_share"),
+        (F.size(F.array_distinct(F.split("run", ""))) / n).alias("distinct_share"),
         ((n - F.length(F.translate("run", "0123456789", ""))) / n).alias("digit_share"),
         number(F.col("run").rlike("^[0-9a-fA-F]+$")).alias("hex_only"),
         (known / n).alias("dictionary_share"),
         number(F.size(F.array_intersect(F.split(lower_ascii(F.col("path")), "[^a-z]+"), F.array(*map(F.lit, PATH_WORDS))))).alias("path_words"),
         any_of(F.col("before"), SECRET_WORDS).alias("secret_before"),
         any_of(F.col("before"), OTHER_WORDS).alias("other_before"),
-        number((first & F.col("last").rlike("[=:]$")) | F.col("gap").rlike("[=:][^A-Za-z0-9]*$") | F.col("run").rlike("^[A-Za-z_]+=") | ((F.length("gap") > 0) & F.col("run").rlike("^="))).alias("assigned"),
+        number((first & F.col("last").rlike("[=:]$")) | F.col("gap").rlike("[=:][^A-Za-z0-9]*$")).alias("assigned"),
         number(F.col("gap").rlike("[\"'][^A-Za-z0-9]*$")).alias("quoted"),
     )
 
@@ -73,14 +99,13 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
 def train(found: DataFrame, label: str = "label", max_findings: int = 20_000, trees: int = 20, depth: int = 6, seed: int = 11) -> RandomForestClassificationModel | None:
     """A forest from candidates with a 0/1 label, None if not both labels occur.
 
-    ``max_findings``: at most about so many labelled findings are used (chosen by hash); a forest needs no more.
+    ``max_findings``: of each label at most half as many findings are used, and at least one (those with the least hashes); a forest needs no more.
     """
-    rows = found.where(F.col(label).isin(0, 1)).select(*FEATURES, F.col(label).cast("double").alias("label"), F.xxhash64(*FEATURES, label, "word_index", "run_index").alias("h"))
-    n, bad = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("label") == 1, 1))).first()
-    if not 0 < bad < n:
+    rows = found.where(F.col(label).isin(0, 1)).select(*FEATURES, F.col(label).cast("double").alias("label"), F.xxhash64(*FEATURES, label, "run", "word_index", "run_index").alias("h"))
+    some = [keep(rows.where(F.col("label") == x).orderBy("h").limit(max(1, max_findings // 2)), "findings") for x in (0.0, 1.0)]
+    if not all(s.limit(1).count() for s in some):
         return None
-    rows = rows.where(F.pmod("h", F.lit(1_000_000)) < 1_000_000 * min(1.0, max_findings / n))
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(some[0].union(some[1]))
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=2).fit(vectors)
 
 
@@ -92,23 +117,44 @@ def score(found: DataFrame, model: RandomForestClassificationModel | None, key:
     return scored.select(key, "word_index", "run_index", "run", F.round(vector_to_array("probability")[1], 6).alias("score")).withColumn("is_secret", F.col("score") >= threshold)
 
 
-def weak_findings(found: DataFrame) -> DataFrame:
-    """Labelled findings where no reviewed ones exist: 1 for quoted or assigned runs after a word that announces secrets,
-    0 for runs with neither or of digits only; the rest gets no label. A forest then also judges the unlabelled ones."""
-    good = (F.col("secret_before") == 1) & ((F.col("assigned") == 1) | (F.col("quoted") == 1)) & (F.col("dictionary_share") < 0.5)
-    bad = ((F.col("secret_before") == 0) & (F.col("quoted") == 0)) | (F.col("digit_share") == 1)
-    return found.withColumn("label", F.when(bad, 0).when(good, 1))
+def luhn(run: Column) -> Column:
+    """Whether a run is 13 to 19 digits that the Luhn check accepts, as those of cards."""
+    digits = F.transform(F.filter(F.split(F.reverse(run), ""), lambda c: c != ""), lambda c: c.cast("int"))
+    total = F.aggregate(F.transform(digits, lambda d, i: F.when(i % 2 == 0, d).otherwise(d * 2 - F.when(d > 4, 9).otherwise(0))), F.lit(0), lambda a, d: a + d)
+    return F.when(run.rlike("^[0-9]{13,19}$"), total % 10 == 0).otherwise(False)
+
+
+def surprise(run: Column, bits: dict[str, float]) -> Column:
+    """Mean bits of a run's characters after the ones before, by ``pair_bits``."""
+    plain = F.regexp_replace(lower_ascii(run), "[^a-z]", ".")
+    table = F.create_map(*[x for pair, v in bits.items() for x in (F.lit(pair), F.lit(float(v)))])
+    pairs = F.transform(F.sequence(F.lit(1), F.length(plain) - 1), lambda i: F.element_at(table, F.substring(plain, i, F.lit(2))))
+    return F.aggregate(pairs, F.lit(0.0), lambda a, b: a + b) / (F.length(plain) - 1)
+
+
+def weak_findings(found: DataFrame, bits: dict[str, float], recurring: int = 5, low: float = 4.5, high: float = 6.0, key: str = "doc_id") -> DataFrame:
+    """Labelled findings where no reviewed ones exist, from evidence that the forest doesn't see.
+
+    1: the key of a known service, or a run of over ``high`` bits a character. 0: a number with the check digit of cards, a run that ``recurring`` documents
+    hold, or one of under ``low`` bits. In that order, with known services first and surprise last; the rest gets no label.
+    """
+    spread = keep(found.groupBy("run").agg(F.count_distinct(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("docs")).where(F.col("docs") >= recurring).select(F.col("run").alias("r")), "recurring")
+    rows = found.join(spread, F.col("run") == F.col("r"), "left")
+    much = surprise(F.col("run"), bits)
+    label = F.when(F.col("run").rlike(KNOWN_KEYS), 1).when(luhn(F.col("run")) | F.col("r").isNotNull(), 0).when(F.col("run").rlike("^[0-9]+$"), None).when(much > high, 1).when(much < low, 0)
+    return rows.withColumn("label", label).drop("r")
 
 
-def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
+def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, key: str = "doc_id", text: str = "text", path: str | None = "source", max_findings: int = 20_000) -> DataFrame:
     """One row per candidate: key, word_index, run_index, run, score, is_secret.
 
     ``findings``: (key, word_index, run_index, label) of reviewed candidates, without run_index of a word's first run; without findings ``weak_findings`` labels. Null and empty texts have no candidates;
-    repeated rows repeat theirs; null keys stay. Words of any length are read whole. Other columns are not read.
+    repeated rows repeat theirs; null keys stay. Words of any length are read whole. Other columns are not read. An empty table has no candidates.
     """
-    found = keep(candidates(docs, key, text, path), "candidates")
+    dictionary = corpus_words(docs, text)
+    found = keep(candidates(docs, key, text, path, dictionary), "candidates")
     at = [key, "word_index", "run_index"]
     if findings is not None and "run_index" not in findings.columns:
         findings = findings.withColumn("run_index", F.lit(0))
-    labelled = weak_findings(found) if findings is None else found.join(findings.select(*at, "label"), at)
-    return score(found, train(labelled), key)
+    labelled = weak_findings(found, pair_bits(dictionary), key=key) if findings is None else found.join(findings.select(*at, "label"), at)
+    return score(found, train(labelled, max_findings=max_findings), key)

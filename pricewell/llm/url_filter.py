@@ -22,6 +22,10 @@ RULES = [
 ]
 
 
+#: Hex digits of a digest that expressions and rules are joined on.
+PREFIX = 8
+
+
 def url_host(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty without ``://``."""
     return F.coalesce(lower_ascii(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
@@ -45,7 +49,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
 
     A null URL, or one without ``://``, has an empty host and path, fits no rule and gets ``default``. Repeated rows
     and null or repeated keys each keep their row. Of rules of equal length the greatest (host, path, verdict) wins. Repeated rules count
-    once. Further columns are not read. Rules may be any number: their table is broadcast only if Spark finds it small.
+    once. Further columns are not read. Rules may be any number: they are joined by digest prefix, a row for each prefix, and that table is broadcast only if
+    Spark finds it small. Where it is not, the expressions of a very common rule are one key, which adaptive execution splits.
     """
     shape = rules.agg(
         F.collect_set(F.length("rule_path")).alias("lengths"),
@@ -56,7 +61,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
         F.col("rule_path").alias("r_path"),
         F.col("rule_verdict").alias("r_verdict"),
         _digest(F.col("rule_host"), F.col("rule_path")).alias("r_digest"),
-    ).withColumn("r_prefix", F.substring("r_digest", 1, 8))
+    )
+    by_prefix = known.groupBy(F.substring("r_digest", 1, PREFIX).alias("r_prefix")).agg(F.collect_list(F.struct("r_digest", "r_host", "r_path", "r_verdict")).alias("r_rules"))
     rows = pages.select(F.col(key).alias("k"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path")).withColumn("row", F.monotonically_increasing_id())
     labels = F.split("host", r"\.")
     n = F.size(labels)
@@ -67,12 +73,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
     hits = (
         rows.select("k", "host", "path", "row", F.explode_outer(expressions).alias("e"))
         .withColumn("digest", _digest(F.col("e.h"), F.col("e.p")))
-        .join(known, (F.substring("digest", 1, 8) == F.col("r_prefix")) & (F.col("digest") == F.col("r_digest")), "left")
+        .join(by_prefix, F.substring("digest", 1, PREFIX) == F.col("r_prefix"), "left")
     )
-    name = F.concat("r_host", "r_path")
-    best = F.max(F.when(F.col("r_host").isNotNull(), F.struct(F.length(name).alias("n"), F.col("r_host").alias("h"), F.col("r_path").alias("p"), F.col("r_verdict").alias("v"))))
+    confirmed = F.filter("r_rules", lambda r: r["r_digest"] == F.col("digest"))
+    ranked = F.transform(confirmed, lambda r: F.struct(F.length(F.concat(r["r_host"], r["r_path"])).alias("n"), r["r_host"].alias("h"), r["r_path"].alias("p"), r["r_verdict"].alias("v")))
     return (
-        hits.groupBy("row", "k", "host", "path").agg(best.alias("b"))
+        hits.groupBy("row", "k", "host", "path").agg(F.max(F.array_max(ranked)).alias("b"))
         .select(F.col("k").alias(key), "host", "path", F.concat("b.h", "b.p").alias("rule"), F.coalesce("b.v", F.lit(default)).alias("verdict"))
     )
 

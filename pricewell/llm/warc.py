@@ -38,8 +38,9 @@ def with_record_types(pages: DataFrame, key: str = "page_id", url: str = "url",
         rows.where(F.length("payload") >= SMALL).groupBy(F.col("digest").alias("same")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("same", "first"),
         "copies",
     )
-    first = F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
-    return rows.join(copies, F.col("digest") == F.col("same"), "left").select("id", "url", "payload", "digest", first.alias("first"))
+    # Revisits are found by id and digest; payloads meet them on both, so a common payload is spread over its ids.
+    revisits = rows.select("id", "digest").join(copies, F.col("digest") == F.col("same")).where(~F.col("id").eqNullSafe(F.col("first"))).select(F.col("id").alias("r_id"), "same", "first").distinct()
+    return rows.join(revisits, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("same")), "left").select("id", "url", "payload", "digest", "first")
 
 
 def _record(id_, url, payload: bytes, digest: str, first, date: str) -> bytes:
@@ -76,6 +77,8 @@ def archive_bytes(records: list[bytes], level: int = 3, size: int = 1 << 15, sam
 
 
 def _filesystem(folder: str):
+    if folder.startswith(("s3a://", "s3n://")):  # Hadoop's names
+        folder = "s3" + folder[3:]
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 
