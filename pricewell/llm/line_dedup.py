@@ -12,13 +12,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep, words
+from .text_hash import _buffers, line_hashes
 
-#: Lines that need no splitting for their hashes: single blanks between the words, and no digit.
-UNEVEN = "[0-9\\t\\x0b\\f\\r]|  |^ | $"
+
+#: Bits of the filter by which the second pass over the texts finds the leaves whose lines it gives.
+FILTER_BITS = 22
 
 
 def masked_words(line: Column) -> Column:
@@ -27,40 +32,71 @@ def masked_words(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.transform(plain, lambda w: F.when(w.rlike("[0-9]"), F.lit("<*>")).otherwise(w))).otherwise(plain)
 
 
-def _let(value: Column, f) -> Column:
-    """``f`` of a value that is computed once."""
-    return F.transform(F.array(value), f)[0]
-
-
-def hashes_of(line: Column, depth: int) -> Column:
-    """(n, exact, leaf): the number of words, the hash of the words with wildcards, and that of their number and the leading ones.
-
-    Even lines without digits are hashed as they are, which is the same and needs no array.
-    """
-    n = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    even = F.struct(n.alias("n"), F.xxhash64(line).alias("exact"), F.xxhash64(n, F.substring_index(line, " ", depth)).alias("leaf"))
-    uneven = _let(masked_words(line), lambda w: F.struct(F.size(w).alias("n"), F.xxhash64(F.array_join(w, " ")).alias("exact"), F.xxhash64(F.size(w), F.array_join(F.slice(w, 1, depth), " ")).alias("leaf")))
-    return F.when(line.rlike(UNEVEN) | (line == ""), uneven).otherwise(even)
-
-
-def whole(line: Column) -> Column:
-    """Hash of a line's words as they are, apart from the hashes of masked lines."""
-    return F.xxhash64(F.lit("whole"), F.when(line.rlike(UNEVEN), F.array_join(words(line), " ")).otherwise(line))
-
-
-def _lines(docs: DataFrame, min_words: int, depth: int) -> DataFrame:
-    """id, line and n, exact, leaf of every line that is long enough."""
-    rows = docs.select("id", F.explode(F.split("text", "\n")).alias("line")).where("length(line) > 0")
-    rows = rows.select("id", "line", hashes_of(F.col("line"), depth).alias("h"))
-    return rows.select("id", "line", "h.n", "h.exact", "h.leaf").where(F.col("n") >= min_words)
-
-
-def _hashes(docs: DataFrame, min_words: int, depth: int, short_docs: int | None, long_words: int) -> DataFrame:
-    """Distinct (id, exact, leaf, long): every line with its leaf; short and long lines also as they are, with a null leaf."""
-    masked = F.struct("exact", "leaf", F.lit(False).alias("long"))
-    as_is = F.struct(whole(F.col("line")).alias("exact"), F.lit(None).cast("long").alias("leaf"), (F.col("n") > long_words).alias("long"))
-    kinds = F.when(F.col("n") < min_words, F.array(as_is)).when(F.col("n") > long_words, F.array(masked, as_is)).otherwise(F.array(masked))
-    return _lines(docs, min_words if short_docs is None else 1, depth).select("id", F.inline(kinds)).distinct()
+def _hashes(min_words: int, depth: int, short_docs: int | None, long_words: int):
+    """(id, exact, leaf, long) of every line with its leaf; short and long lines also as they are, with a null leaf."""
+
+    def run(batches):
+        for batch in batches:
+            for x in line_hashes(batch.column(1), depth):
+                masked, as_is = x["n"] >= min_words, x["n"] > long_words
+                if short_docs is not None:
+                    as_is |= x["n"] < min_words
+                row = np.concatenate([x["row"][masked], x["row"][as_is]])
+                no_leaf = np.arange(len(row)) >= masked.sum()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row)), pa.array(np.concatenate([x["exact"][masked], x["whole"][as_is]])), pa.array(np.concatenate([x["leaf"][masked], x["leaf"][as_is]]), mask=no_leaf), pa.array(no_leaf & (np.concatenate([x["n"][masked], x["n"][as_is]]) > long_words))],
+                    ["id", "exact", "leaf", "long"],
+                )
+
+    return run
+
+
+def _lines_in(wanted, min_words: int, depth: int):
+    """(leaf, exact, line) of the lines whose leaf may be wanted, each once a slice."""
+
+    def run(batches):
+        bits = wanted.value
+        for batch in batches:
+            data, _ = _buffers(batch.column(0))
+            for x in line_hashes(batch.column(0), depth):
+                bit = x["leaf"].view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+                hit = np.flatnonzero((x["n"] >= min_words) & ((bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1))
+                if len(hit):
+                    hit = hit[np.unique(x["exact"][hit], return_index=True)[1]]
+                    lines = [data[a:b].tobytes().decode() for a, b in zip(x["start"][hit], x["end"][hit], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x["leaf"][hit]), pa.array(x["exact"][hit]), pa.array(lines)], ["leaf", "exact", "line"])
+
+    return run
+
+
+def _stay(min_words: int, depth: int, long_words: int):
+    """(id, n_lines, n_dropped, text) of (id, text, gone): the text without the lines whose hashes are gone."""
+
+    def one(text, gone):
+        lines = text.split("\n")
+        breaks = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 10)
+        for x in line_hashes(pa.array([text]), depth):
+            out = (x["n"] >= min_words) & np.isin(x["exact"], gone)
+            out |= ((x["n"] < min_words) | (x["n"] > long_words)) & np.isin(x["whole"], gone)
+            for i in np.searchsorted(breaks, x["start"][out]):
+                lines[i] = None
+        stay = [x for x in lines if x is not None]
+        return len(lines) - len(stay), "\n".join(stay)
+
+    def run(batches):
+        for batch in batches:
+            text, lists = batch.column(1), batch.column(2)
+            n = pc.fill_null(pc.add(pc.count_substring(text, "\n").cast(pa.int64()), 1), 0)
+            dropped = np.zeros(batch.num_rows, np.int64)
+            some = pc.and_(lists.is_valid(), text.is_valid())
+            at = np.flatnonzero(np.asarray(some))
+            changed = [one(text[i].as_py(), lists[i].values.to_numpy()) for i in at.tolist()]
+            if changed:
+                dropped[at] = [k for k, _ in changed]
+                text = pc.replace_with_mask(text, some, pa.array([t for _, t in changed], text.type))
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(dropped), text], ["id", "n_lines", "n_dropped", "text"])
+
+    return run
 
 
 def _templates(texts: DataFrame, similarity: float, min_docs: int) -> DataFrame:
@@ -93,7 +129,8 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_docs
     empty line. Documents are counted by key, so rows with one key, or without one, count once; each row loses the lines that it holds itself. Further columns are not read.
     """
     docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    hashes = keep(_hashes(docs, min_words, depth, short_docs, long_words), "lines")
+    kind = docs.schema["id"].dataType.simpleString()
+    hashes = keep(docs.where("text <> ''").mapInArrow(_hashes(min_words, depth, short_docs, long_words), f"id {kind}, exact long, leaf long, long boolean").distinct(), "lines")
     lines = hashes.where("leaf is not null").select("id", "exact", "leaf")
     as_is = hashes.where("leaf is null")
     again = as_is.groupBy("exact", "long").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"))
@@ -104,22 +141,20 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_docs
     # Leaves that several documents reach, counted with other lines than those that recur alone.
     busy = lines.select("leaf", "id").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
     varied = keep(often.join(busy, "leaf").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf"), "varied")
-    texts = _lines(docs, min_words, depth).join(varied, "leaf").groupBy("leaf", "exact").agg(F.first("line").alias("line"))
+    # A bitmap of fixed size spares the lines that no wanted leaf has.
+    bit = F.col("leaf").bitwiseAND((1 << FILTER_BITS) - 1)
+    some = varied.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("m")).collect()
+    bits = np.zeros((1 << FILTER_BITS) // 64, np.int64)
+    for r in some:
+        bits[r["w"]] = r["m"]
+    wanted = df.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+    lines_of = docs.where("text <> ''").select("text").mapInArrow(_lines_in(wanted, min_words, depth), "leaf long, exact long, line string")
+    texts = lines_of.join(varied, "leaf").groupBy("leaf", "exact").agg(F.first("line").alias("line"))
     texts = keep(texts.join(often.select("exact", "docs"), "exact").select("leaf", "exact", "docs", masked_words(F.col("line")).alias("w")), "texts")
     fits = _templates(texts, similarity, min_docs)
     reached = lines.join(fits, ["leaf", "exact"]).select("leaf", "round", "id").distinct().groupBy("leaf", "round").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("leaf", "round")
     dropped = keep(recurring.union(fits.join(reached, ["leaf", "round"]).select("exact")).distinct(), "dropped")
     per_doc = lines.join(dropped, "exact").select("id", "exact").union(as_is).groupBy("id").agg(F.collect_set("exact").alias("gone")).withColumnRenamed("id", "gone_id")
-    out = docs.join(per_doc, F.col("id").eqNullSafe(F.col("gone_id")), "left").withColumn("all", F.split("text", "\n"))
-
-    def goes(line: Column) -> Column:
-        masked = _let(hashes_of(line, depth), lambda h: F.when(h["n"] >= min_words, F.array_contains("gone", h["exact"])).otherwise(False) | F.when((h["n"] < min_words) | (h["n"] > long_words), F.array_contains("gone", whole(line))).otherwise(False))
-        return F.when(F.length(line) > 0, masked).otherwise(False)
-
-    out = out.withColumn("stay", F.when(F.col("gone").isNull(), F.col("all")).otherwise(F.filter("all", lambda s: ~goes(s))))
-    return out.select(
-        F.col("id").alias(key),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("all")).cast("long").alias("n_lines"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("all") - F.size("stay")).cast("long").alias("n_dropped"),
-        F.array_join("stay", "\n").alias("text"),
-    )
+    out = docs.join(per_doc, F.col("id").eqNullSafe(F.col("gone_id")), "left").select("id", "text", "gone")
+    out = out.mapInArrow(_stay(min_words, depth, long_words), f"id {kind}, n_lines long, n_dropped long, text string")
+    return out.select(F.col("id").alias(key), "n_lines", "n_dropped", "text")
