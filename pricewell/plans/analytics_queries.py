@@ -94,7 +94,7 @@ def _report(s, d):
     return cell_report(fares(s, d))
 
 
-add("national_rep", cell_sql("SELECT obs_date, round(avg(price), 6) AS price, count(*) AS routes, sum(n_obs)::BIGINT AS observations FROM (SELECT route, obs_date, horizon, round(exp(avg(ln(price)) FILTER (survives)), 2) AS price, sum(quotes) AS n_obs FROM surv GROUP BY ALL) GROUP BY obs_date"), lambda s, d: a.national_rep(_report(s, d)))
+add("national_rep", cell_sql(f"SELECT obs_date, {money_sql('avg(price)', 6)} AS price, count(*) AS routes, sum(n_obs)::BIGINT AS observations FROM (SELECT route, obs_date, horizon, {money_sql('exp(avg(ln(price)) FILTER (survives))')} AS price, sum(quotes) AS n_obs FROM surv GROUP BY ALL) GROUP BY obs_date"), lambda s, d: a.national_rep(_report(s, d)))
 PAIR = "pairs AS (SELECT v.day, v.value AS v, c.value AS c FROM (SELECT * FROM series WHERE series = 'view') v JOIN (SELECT * FROM series WHERE series = 'click') c USING (day))"
 
 

@@ -72,9 +72,9 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, JOBS)
 
 
-def money_sql(x: str) -> str:
+def money_sql(x: str, digits: int = 2) -> str:
     """``money`` of ``functions.columns`` in SQL."""
-    return f"round(cast({x} AS DECIMAL(24, 8)), 2)::DOUBLE"
+    return f"round(cast({x} AS DECIMAL(24, 8)), {digits})::DOUBLE"
 
 
 def with_views(body: str, *names: str) -> str:
