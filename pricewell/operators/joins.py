@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,68 +44,88 @@ def _near(left: DataFrame, right: DataFrame, key: list[str], minutes: str, tol:
 
 
 def _greedy(left, right, tol: int):
-    """Pairs (lid, rid, delta) of one key, least (rank, delta, lid, rid) first, until no pair is left.
+    """Pairs (lid, rid, delta) of one key, least (delta, lid, rid) first, until no pair is left.
 
-    Quotes wait in one queue per exact value, then in one per minute, so no list of pairs is made: a left quote takes the head of a right queue.
+    Quotes wait in one queue per minute, so no list of pairs is made: a left quote takes the head of a right queue.
     """
     import heapq
     from collections import defaultdict, deque
 
-    out, used = [], (set(), set())
-
-    def queues(side, ids, by):
+    def queues(side, ids):
         q = defaultdict(deque)
-        for k, i in sorted(zip(side[by], side[ids]), key=lambda x: x[1]):
-            if k == k and k is not None and i not in used[ids == "rid"]:
-                q[k].append(i)
+        for k, i in sorted(zip(side["minutes"], side[ids]), key=lambda x: x[1]):
+            q[k].append(i)
         return q
 
-    def pairs(lefts, rights, links, delta):
-        """``links``: left queue -> right queues at ``delta``. Left quotes come by id over all queues, each takes the least right id."""
-        heads = [(lefts[k][0], k) for k in links if lefts[k]]
+    a, b = queues(left, "lid"), queues(right, "rid")
+    tiers, slots, out = defaultdict(lambda: defaultdict(list)), sorted(b), []
+    for m in a:
+        for k in slots[bisect_left(slots, m - tol) : bisect_right(slots, m + tol)]:
+            tiers[abs(m - k)][m].append(k)
+    for delta in sorted(tiers):  # left quotes come by id over all queues, each takes the least right id that is ``delta`` away
+        links = tiers[delta]
+        heads = [(a[k][0], k) for k in links if a[k]]
         heapq.heapify(heads)
         while heads:
             lid, k = heads[0]
-            near = [rights[x] for x in links[k] if rights[x]]
+            near = [b[x] for x in links[k] if b[x]]
             if not near:
                 heapq.heappop(heads)
                 continue
-            rid = min(near, key=lambda q: q[0]).popleft()
-            lefts[k].popleft()
-            used[0].add(lid), used[1].add(rid)
-            out.append((lid, rid, float(delta)))
-            heapq.heapreplace(heads, (lefts[k][0], k)) if lefts[k] else heapq.heappop(heads)
-
-    a, b = queues(left, "lid", "x"), queues(right, "rid", "x")
-    pairs(a, b, {k: [k] for k in a if k in b}, 0)
-    a, b = queues(left[left["minutes"] >= 0], "lid", "minutes"), queues(right[right["minutes"] >= 0], "rid", "minutes")
-    tiers, slots = defaultdict(lambda: defaultdict(list)), sorted(b)
-    for m in a:
-        for k in slots[bisect_left(slots, m - tol) : bisect_right(slots, m + tol)]:
-            tiers[abs(m - k)][m].append(k)
-    for delta in sorted(tiers):
-        pairs(a, b, tiers[delta], delta)
+            out.append((lid, min(near, key=lambda q: q[0]).popleft(), float(delta)))
+            a[k].popleft()
+            heapq.heapreplace(heads, (a[k][0], k)) if a[k] else heapq.heappop(heads)
     return out
 
 
+def _pair_off(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Pair the k-th single left row of each ``by`` with the k-th single right one, by id; other rows, and those with a null in ``by``, stay as they are.
+
+    Rows are numbered by a sort, and the pairs are grouped by number as well, so a frequent value is spread again.
+    """
+    open_ = reduce(and_, [F.col(c).isNotNull() for c in by], F.col("lid").isNull() | F.col("rid").isNull())
+    rows = rows.withColumn("__left", F.col("rid").isNull()).withColumn("__open", open_)
+    number = F.row_number().over(Window.partitionBy(*by, "__open", "__left").orderBy("lid", "rid"))
+    # a row that can't pair is a group of its own
+    rows = rows.withColumn("__n", F.when(F.col("__open"), number)).withColumn("__l", F.when(~F.col("__open"), F.col("lid"))).withColumn("__r", F.when(~F.col("__open"), F.col("rid")))
+    rest = [F.max(c).alias(c) for c in rows.columns if c not in by and not c.startswith("__")]
+    return rows.groupBy(*by, "__open", "__n", "__l", "__r").agg(*rest).drop("__open", "__n", "__l", "__r")
+
+
 def match_nearest(left: DataFrame, right: DataFrame, key: list[str], minutes: str, tol: int = 35, lid: str = "lid", rid: str = "rid", exact: str | None = None) -> DataFrame:
     """One-to-one matches (lid, rid, delta): equal ``exact`` columns first, then pairs that are each other's nearest by (delta, ids), until none is left.
 
-    Malformed times (below 0) match by ``exact`` only. An id names one row. The quotes of one key are matched in one task, without their pairs.
+    Rows with a null key match nothing, malformed times (null, NaN or below 0) match by ``exact`` only. An id names one row. Equal ``exact`` values and equal
+    times are paired by number, in order of the ids. Of each minute only one side is left then; these quotes of one key are matched in one task, without their pairs.
     """
     import pandas as pd
 
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    keys = [f"k{i}" for i in range(len(key))]
+
     def side(df, name, to):
         x = F.col(exact) if exact else F.lit(None).cast("string")
-        return df.dropna(subset=key).select(*key, F.col(minutes).cast("double").alias("minutes"), x.alias("x"), F.col(name).alias(to))
+        x = F.nanvl(x, F.lit(None)) if exact and kind(df, exact) in ("double", "float") else x
+        time = F.col(minutes).cast("double")
+        rows = df.dropna(subset=key).select(*[F.col(c).alias(k) for c, k in zip(key, keys, strict=True)], x.alias("x"), F.when((time >= 0) & ~F.isnan(time), time).alias("minutes"), F.col(name).alias(to))
+        return rows.where(F.col(to).isNotNull())
 
-    a, b = side(left, lid, "lid"), side(right, rid, "rid")
+    rows = side(left, lid, "lid").unionByName(side(right, rid, "rid"), allowMissingColumns=True)
+    if exact:
+        rows = _pair_off(rows, [*keys, "x"])
+    rows = _pair_off(rows.drop("x"), [*keys, "minutes"])
+    paired = F.col("lid").isNotNull() & F.col("rid").isNotNull()
 
     def match(_, one, two):
-        return pd.DataFrame(_greedy(one, two, tol), columns=["lid", "rid", "delta"])
-
-    kind = lambda df, c: df.schema[c].dataType.simpleString()
-    pairs = a.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(match, f"lid {kind(a, 'lid')}, rid {kind(b, 'rid')}, delta double")
+        # times are judged here and not in Spark, so that all uses of ``rows`` share one exchange
+        one, two = one.set_axis([*keys, "minutes", "lid"], axis=1), two.set_axis([*keys, "minutes", "rid"], axis=1)
+        return pd.DataFrame(_greedy(one[one["minutes"].notna()], two[two["minutes"].notna()], tol), columns=["lid", "rid", "delta"])
+
+    # names of their own: columns of one origin on both sides would be taken for each other
+    lefts, rights = (rows.where(F.col(other).isNull()).select(*[F.col(c).alias(f"{own}_{c}") for c in (*keys, "minutes", own)]) for own, other in (("lid", "rid"), ("rid", "lid")))
+    groups = lefts.groupBy(*[f"lid_{k}" for k in keys]).cogroup(rights.groupBy(*[f"rid_{k}" for k in keys]))
+    near = groups.applyInPandas(match, f"lid {kind(left, lid)}, rid {kind(right, rid)}, delta double")
+    pairs = rows.where(paired).select("lid", "rid", F.lit(0.0).alias("delta")).unionByName(near)
     return pairs.select("lid", "rid", F.col("delta").cast(left.schema[minutes].dataType).alias("delta"))
 
 

@@ -182,6 +182,15 @@ def test_matches_equal_brute_force(spark):
     assert len(got) == 100
 
 
+def test_matches_with_odd_ids_and_times(spark):
+    big = 2**60
+    q = lambda rows, i: spark.createDataFrame(rows, f"k int, x double, minutes double, {i} long")
+    left = q([(1, None, 10.0, big + 1), (1, float("nan"), float("nan"), big + 2), (None, 1.0, 5.0, big + 3), (1, 7.0, None, big + 4), (1, None, 12.0, big + 5)], "lid")
+    right = q([(1, None, 12.0, big + 7), (1, float("nan"), float("nan"), big + 8), (None, 1.0, 5.0, big + 9), (1, 7.0, -1.0, big + 11), (1, None, 45.0, big + 13)], "rid")
+    assert sorted(map(tuple, j.match_nearest(left, right, ["k"], "minutes", exact="x").collect())) == [(big + 1, big + 13, 35.0), (big + 4, big + 11, 0.0), (big + 5, big + 7, 0.0)]
+    assert j.match_nearest(left.limit(0), right, ["k"], "minutes", exact="x").count() == 0
+
+
 def test_reconcile_with_direct_only(spark):
     q = lambda rows, i: spark.createDataFrame(rows, f"carrier string, flight string, minutes int, price double, {i} long")
     direct = q([("6E", "205", 480, 5000.0, 1), ("AI", "1", -1, 100.0, 3)], "lid")
