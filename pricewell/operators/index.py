@@ -45,6 +45,12 @@ def with_base(prices: DataFrame, base: DataFrame, keys: list[str], price: str =
     return prices.join(b, keys, "left").withColumn("base", F.coalesce(F.when(F.col("__b") > 0, F.col("__b")), F.col(price))).drop("__b")
 
 
+def with_base_date(prices: DataFrame, base_date, keys: list[str], date: str = "obs_date", price: str = "price") -> DataFrame:
+    """``with_base`` for a base period among the prices: one window over the keys' cells, so that the quotes are read once."""
+    at = F.max(F.when((F.col(date) == F.lit(base_date).cast("date")) & (F.col(price) > 0), F.col(price))).over(Window.partitionBy(*keys))
+    return prices.withColumn("base", F.coalesce(at, F.col(price)))
+
+
 def route_relatives(prices: DataFrame, weights: DataFrame, series: list[str] = SERIES, route: str = "route") -> DataFrame:
     """Relative, index and contribution of every route. Weights are renormalised over the routes with a price."""
     rows = prices.join(weights.select(route, "weight"), route).where("price > 0 and base > 0")
@@ -316,8 +322,7 @@ def daily_index(fares: DataFrame, weights: DataFrame, base_date: str, price: str
     from .cells import cell_report
 
     report = cell_report(fares, price=price, estimator=estimator)
-    base = cell_report(fares.where(F.col("obs_date") == F.lit(base_date).cast("date")), price=price, estimator=estimator)
-    cells = with_base(report, base.select("route", "horizon", "price"), ["route", "horizon"])
+    cells = with_base_date(report, base_date, ["route", "horizon"])
     columns = ["route", *SERIES, "index_value", "coverage", "n_routes", "standard_error", "quality_score", "index_status"]
     national = national_rows(cells, weights).withColumn("route", F.lit(None).cast("string")).select(*columns)
     routes = cells.where("price > 0 and base > 0").select("route", *SERIES, F.round(100 * F.col("price") / F.col("base"), 4).alias("index_value"))

@@ -34,7 +34,7 @@ def cell_sql(body: str, *names: str) -> str:
 def based(spark, sf_dir):
     """Jevons cells with their base price."""
     p = c.representative_price(fares(spark, sf_dir), estimator="JEVONS")
-    return ix.with_base(p, p.where(F.col("obs_date") == BASE_DATE).select("route", "horizon", "price"), ["route", "horizon"])
+    return ix.with_base_date(p, BASE_DATE, ["route", "horizon"])
 
 
 KEY = ["route", "obs_date", "horizon"]
@@ -237,7 +237,7 @@ _R_LASP, _R_JACK = LASPEYRES.replace("FROM based", "FROM rbased"), JACK.replace(
 
 def _report(spark, sf_dir):
     r = c.cell_report(fares(spark, sf_dir))
-    return ix.with_base(r, r.where(F.col("obs_date") == BASE_DATE).select("route", "horizon", "price"), ["route", "horizon"])
+    return ix.with_base_date(r, BASE_DATE, ["route", "horizon"])
 
 
 @query(cell_sql("", "weights").rstrip() + ", " + REPORT + QUALITY.format(n=25, i=_R_LASP))

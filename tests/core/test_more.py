@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricewell.functions.columns import money
-from pricewell.operators import clean
+from pricewell.operators import analytics, clean
 from pricewell.operators import index as ix
 from pricewell.operators import text
 from pricewell.operators import timeseries as t
@@ -156,3 +156,24 @@ def test_models_beat_the_mean(spark):
     assert sorted(got["horizon"].unique()) == [1, 7]
     for _, part in got.groupby("horizon"):
         assert ((part["prediction"] - part["target"]) ** 2).mean() < 0.2 * part["target"].var()
+
+
+def test_summary_of_hot_and_odd_groups(spark):
+    rng = np.random.default_rng(3)
+    groups = {"hot": np.round(rng.lognormal(8, 1, 4001), 2), "even": np.array([5.0, 1.0, 9.0, 3.0]), "signs": np.array([-1e9, -0.5, 0.0, 0.5, 2.0, 1e12]), "ties": np.array([7.0] * 6), "one": np.array([4.25]), None: np.array([1.0, 2.0])}
+    data = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("hot", None), ("gone", None)]
+    got = {r["g"]: r for r in analytics.summary(spark.createDataFrame(data, "g string, x double"), ["g"], "x").collect()}
+    assert set(got) == set(groups)
+    for g, v in groups.items():
+        v, r = np.sort(v), got[g]
+        assert (r["n"], r["lo"], r["hi"], r["mid_lo"], r["mid_hi"]) == (len(v), v[0], v[-1], v[(len(v) - 1) // 2], v[len(v) // 2])
+        assert r["m"] == pytest.approx(v.mean(), rel=1e-12)
+        assert r["sd"] == pytest.approx(v.std(ddof=1) if len(v) > 1 else 0.0, rel=1e-9, abs=1e-9)
+
+
+def test_summary_without_keys_or_rows(spark):
+    df = spark.createDataFrame([(3.0,), (1.0,), (float("nan"),)], "x double")
+    assert [(r["n"], r["mid_lo"], r["mid_hi"]) for r in analytics.summary(df, [], "x").collect()] == [(3, 3.0, 3.0)]
+    empty = analytics.summary(df.where("x < 0"), [], "x").collect()
+    assert len(empty) == 1 and empty[0]["mid_lo"] is None
+    assert analytics.summary(df.where("x < 0").selectExpr("x", "'a' AS g"), ["g"], "x").collect() == []
