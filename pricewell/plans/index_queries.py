@@ -31,9 +31,9 @@ def cell_sql(body: str, *names: str) -> str:
     return with_views("", "fares", *names).rstrip() + ", " + CELL_CTE + "\n" + body
 
 
-def based(spark, sf_dir):
+def based(spark, sf_dir, quotes=None):
     """Jevons cells with their base price."""
-    p = c.representative_price(fares(spark, sf_dir), estimator="JEVONS")
+    p = c.representative_price(fares(spark, sf_dir) if quotes is None else quotes, estimator="JEVONS")
     return ix.with_base_date(p, BASE_DATE, ["route", "horizon"])
 
 
@@ -119,7 +119,8 @@ JACK = """SELECT horizon, obs_date, round(100 * max(s) / max(w), 4) AS index_val
 
 @query(cell_sql(LASPEYRES, "weights"))
 def laspeyres(spark, sf_dir):
-    return ix.laspeyres(based(spark, sf_dir), weights(spark, sf_dir))
+    quotes = fares(spark, sf_dir)
+    return ix.laspeyres(based(spark, sf_dir, quotes), weights(spark, sf_dir, quotes))
 
 
 @query(cell_sql("SELECT route, obs_date, horizon, round(base, 4) AS base FROM based"))
@@ -135,7 +136,8 @@ def route_relatives(spark, sf_dir):
 
 @query(cell_sql(JACK, "weights"))
 def jackknife(spark, sf_dir):
-    return ix.jackknife(based(spark, sf_dir), weights(spark, sf_dir))
+    quotes = fares(spark, sf_dir)
+    return ix.jackknife(based(spark, sf_dir, quotes), weights(spark, sf_dir, quotes))
 
 
 @query(cell_sql(f"SELECT a.*, standard_error FROM ({LASPEYRES}) a JOIN ({JACK}) b USING (horizon, obs_date)", "weights"))
@@ -224,7 +226,8 @@ carrier_index AS (SELECT carrier, horizon, obs_date, round(100 * sum(coalesce(we
 
 @query(with_views("", "fares", "weights").rstrip() + CARRIER + " SELECT * FROM carrier_index")
 def carrier_index(spark, sf_dir):
-    return ix.carrier_index(fares(spark, sf_dir), weights(spark, sf_dir), BASE_DATE)
+    quotes = fares(spark, sf_dir)
+    return ix.carrier_index(quotes, weights(spark, sf_dir, quotes), BASE_DATE)
 
 
 REPORT = f"""report AS (SELECT route, obs_date, horizon, {money_sql("exp(avg(ln(price)) FILTER (survives))")} AS price, count(*) AS carriers, round(avg({SCORE}) FILTER (survives), 1) AS feed_quality, count(*) FILTER (NOT survives) AS removed FROM surv GROUP BY ALL),
@@ -253,7 +256,8 @@ DAILY = f"""SELECT NULL::VARCHAR AS route, horizon, obs_date, index_value, cover
 
 @query(cell_sql("", "weights").rstrip() + ", " + REPORT + DAILY)
 def daily_index(spark, sf_dir):
-    return ix.daily_index(fares(spark, sf_dir), weights(spark, sf_dir), BASE_DATE)
+    quotes = fares(spark, sf_dir)
+    return ix.daily_index(quotes, weights(spark, sf_dir, quotes), BASE_DATE)
 
 
 def range_sql(price: str) -> str:
@@ -264,7 +268,8 @@ def range_sql(price: str) -> str:
 
 @query(f"SELECT *, 'BASE_FARE' AS price_series FROM ({range_sql('base_fare')}) UNION ALL SELECT *, 'TOTAL_FARE' AS price_series FROM ({range_sql('total_fare')})")
 def index_range(spark, sf_dir):
-    return ix.index_range(fares(spark, sf_dir), weights(spark, sf_dir), "1996-01-01", "1997-12-01")
+    quotes = fares(spark, sf_dir)
+    return ix.index_range(quotes, weights(spark, sf_dir, quotes), "1996-01-01", "1997-12-01")
 
 
 @query(cell_sql("SELECT route, count(*) AS cells, sum(quotes)::BIGINT AS observations FROM (SELECT route, obs_date, horizon, sum(quotes) AS quotes FROM surv GROUP BY ALL) GROUP BY ROLLUP (route)"))

@@ -60,8 +60,9 @@ def fares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, FARES)
 
 
-def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, WEIGHTS, fares=fares(spark, sf_dir))
+def weights(spark: SparkSession, sf_dir: str, quotes: DataFrame | None = None) -> DataFrame:
+    """Weights of the given quotes, by default all: a query that has the quotes passes them, and files are listed once."""
+    return view(spark, sf_dir, WEIGHTS, fares=fares(spark, sf_dir) if quotes is None else quotes)
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
