@@ -125,7 +125,9 @@ def laspeyres(spark, sf_dir):
 
 @query(cell_sql("SELECT route, obs_date, horizon, round(base, 4) AS base FROM based"))
 def with_base(spark, sf_dir):
-    return based(spark, sf_dir).select(*KEY, F.round("base", 4).alias("base"))
+    p = c.representative_price(fares(spark, sf_dir), estimator="JEVONS")
+    base = p.where(F.col("obs_date") == BASE_DATE).select("route", "horizon", "price")
+    return ix.with_base(p, base, ["route", "horizon"]).select(*KEY, F.round("base", 4).alias("base"))
 
 
 @query(cell_sql("""SELECT route, horizon, obs_date, round(price / base, 4) AS relative, round(100 * (price / base), 2) AS route_index,
