@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, ngram_join, quality_rules, quote_links, secret_scan, sharding, url_filter, warc
+import public_tokenizers
+
+from . import decontaminate, line_dedup, mixing, ngram_join, pieces, prefix_trie, quality_rules, quote_links, secret_scan, sharding, turn_repair, url_filter, warc
 from .common import table
 
 
@@ -46,8 +48,26 @@ def op10_dictionary_warc(spark, sf_dir):
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_piece_encoding(spark, sf_dir):
+    return pieces.digests(pieces.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op13_turn_repair(spark, sf_dir):
+    return turn_repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_hash_tree_sharding, op3_quality_decision_list, op4_source_mixing, op5_template_line_dedup, op6_url_filter, op7_spaced_seed_decontamination, op8_secret_forest, op9_quotation_linking, op10_dictionary_warc)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_ngram_jaccard_join, op2_hash_tree_sharding, op3_quality_decision_list, op4_source_mixing, op5_template_line_dedup, op6_url_filter, op7_spaced_seed_decontamination,
+            op8_secret_forest, op9_quotation_linking, op10_dictionary_warc, op11_prefix_trie, op12_piece_encoding, op13_turn_repair,
+        )
+    }
 
 
 def oracle_sql():
