@@ -12,17 +12,6 @@ from . import joins as j
 from . import timeseries as t
 
 
-def core_index(fares: DataFrame, weights: DataFrame, calendar: DataFrame, base_date: str) -> DataFrame:
-    """The index without peak travel days: its base is the nearest day to the base date that is no peak day."""
-    guarded = ix.core_guard(fares, calendar)
-    cells = c.representative_price(guarded, estimator="JEVONS")
-    anchors = ix.core_anchor(cells, calendar, base_date, days=366).where("anchor is not null")
-    # Anchors differ by date only where the nearest day was not there yet.
-    base = cells.select("route", "horizon", F.col("obs_date").alias("anchor"), F.col("price").alias("__b"))
-    rows = cells.join(anchors, "obs_date").join(base, ["route", "horizon", "anchor"], "left").withColumn("base", F.coalesce(F.when(F.col("__b") > 0, F.col("__b")), F.col("price")))
-    return ix.laspeyres(rows.drop("__b", "anchor"), weights)
-
-
 def dual_series(headline: DataFrame, core: DataFrame, on: list[str]) -> DataFrame:
     return j.compare_series(headline, core, on, "index_value")
 
@@ -86,12 +75,6 @@ def live_series(fares: DataFrame, scope: str = "national", method: str = "median
     return t.rebase(rows, ["k"], "obs_date", "value").drop("k")
 
 
-def index_now(index: DataFrame, keys: list[str], day: str) -> DataFrame:
-    from pricewell.functions.columns import confidence_band
-
-    return j.latest_per(index, keys, [day]).withColumn("band", confidence_band(F.col("quality_score")))
-
-
 def index_between(index: DataFrame, day: str, lo: str, hi: str, **more) -> DataFrame:
     return j.where_any(index, **{f"{day}_from": lo, f"{day}_to": hi}, **more).orderBy(day)
 

@@ -277,14 +277,20 @@ def publish_weights(old: DataFrame, new: DataFrame, from_date: str, key: str = "
     return kept.unionByName(new.withColumn("effective_from", day).withColumn("effective_to", F.lit(None).cast("date")), allowMissingColumns=True)
 
 
-def core_anchor(cells: DataFrame, calendar: DataFrame, base_date: str, date: str = "obs_date", days: int = 21) -> DataFrame:
-    """Per observation date the day nearest to the base that is not in the calendar and not after that date; forward wins ties."""
-    have = cells.select(F.col(date).alias("day")).distinct().join(calendar.select(F.col("day")), "day", "left_anti")
+def core_anchor(cells: DataFrame, calendar: DataFrame, base_date: str, date: str = "obs_date", days: int = 21, keys: list[str] | None = None, lead: int = 0) -> DataFrame:
+    """Per observation date (and key) the day nearest to the base that is not in the calendar and not after that date; forward wins ties.
+
+    With a ``lead`` it is the day so many days later, that of travel, which must not be in the calendar.
+    """
+    keys = keys or []
+    have = cells.select(*keys, F.col(date).alias("day")).distinct().join(calendar.select(F.date_sub("day", lead).alias("day")).distinct(), "day", "left_anti")
     base = F.lit(base_date).cast("date")
-    near = have.withColumn("off", F.datediff("day", base)).where(F.abs("off") <= days)
-    obs = cells.select(date).distinct()
+    near = have.withColumn("off", F.datediff("day", base)).where(F.abs("off") <= days).withColumnsRenamed({c: f"__{c}" for c in keys})
+    obs = cells.select(*keys, date).distinct()
     pick = F.min_by("day", F.struct(F.abs("off"), F.when(F.col("off") < 0, 1).otherwise(0)))
-    return obs.join(F.broadcast(near), F.col("day") <= F.col(date)).groupBy(date).agg(pick.alias("anchor"))  # at most 2 x days + 1 rows
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
+    on = reduce(lambda x, y: x & y, same, F.col("day") <= F.col(date))
+    return obs.join(F.broadcast(near), on).groupBy(*keys, date).agg(pick.alias("anchor"))  # at most 2 x days + 1 rows a key
 
 
 def core_guard(df: DataFrame, calendar: DataFrame, travel: str = "travel_date", status: str = "status", quality: str | None = None) -> DataFrame:
@@ -295,47 +301,6 @@ def core_guard(df: DataFrame, calendar: DataFrame, travel: str = "travel_date",
     return df.join(calendar.select(F.col("day").alias(travel)), travel, "left_anti")
 
 
-def national_rows(cells: DataFrame, weights: DataFrame, series: list[str] = SERIES, route: str = "route", all_routes: int = 25) -> DataFrame:
-    """Index, coverage, jackknife error and quality of every series key from one pass: a window and a group over the same keys, so the cells are shuffled once."""
-    total = weights.agg(F.sum("weight").alias("__total"))
-    rows = cells.join(weights.select(route, "weight"), route, "left").withColumn("__used", (F.col("price") > 0) & (F.col("base") > 0) & F.col("weight").isNotNull())
-    used = lambda c: F.when(F.col("__used"), c)
-    w = Window.partitionBy(*series)
-    rows = rows.withColumn("__wr", used(F.col("weight") * F.col("price") / F.col("base"))).withColumn("__w", used(F.col("weight")))
-    rows = rows.withColumn("__sum_wr", F.sum("__wr").over(w)).withColumn("__sum_w", F.sum("__w").over(w)).withColumn("__n", F.count("__w").over(w))
-    left_out = used(F.when(F.col("__n") > 1, 100 * (F.col("__sum_wr") - F.col("__wr")) / F.nullif(F.col("__sum_w") - F.col("__w"), F.lit(0.0))))
-    rows = rows.withColumn("__pseudo", F.col("__n") * 100 * F.col("__sum_wr") / F.col("__sum_w") - (F.col("__n") - 1) * left_out)
-    out = rows.groupBy(*series).agg(
-        F.max("__sum_wr").alias("S"), F.max("__sum_w").alias("W"), F.max("__n").alias("n_routes"), F.round(F.sqrt(F.var_samp("__pseudo") / F.count("__pseudo")), 4).alias("standard_error"),
-        F.count(F.lit(1)).alias("routes"), F.avg("carriers").alias("carriers"), F.avg("feed_quality").alias("feed"), F.sum("removed").alias("outliers"),
-    )
-    out = out.where("n_routes > 0").crossJoin(F.broadcast(total)).select(*series, "n_routes", "standard_error", "routes", "carriers", "feed", "outliers", F.round(100 * F.col("S") / F.col("W"), 4).alias("index_value"), F.round(100 * F.col("W") / F.col("__total"), 2).alias("coverage"))  # one row
-    score, status = quality_of(all_routes)
-    return out.select(*series, "index_value", "coverage", "n_routes", "standard_error", F.round(score, 1).alias("quality_score"), status.alias("index_status"))
-
-
-def daily_index(fares: DataFrame, weights: DataFrame, base_date: str, price: str = "base_fare", estimator: str = "JEVONS") -> DataFrame:
-    """National and route rows of the index for all dates and horizons in one plan: value, coverage, standard error, quality.
-
-    Base prices are those of ``base_date`` by route and horizon, or the current price where they are missing.
-    """
-    from .cells import cell_report
-
-    report = cell_report(fares, price=price, estimator=estimator)
-    cells = with_base_date(report, base_date, ["route", "horizon"])
-    columns = ["route", *SERIES, "index_value", "coverage", "n_routes", "standard_error", "quality_score", "index_status"]
-    national = national_rows(cells, weights).withColumn("route", F.lit(None).cast("string")).select(*columns)
-    routes = cells.where("price > 0 and base > 0").select("route", *SERIES, F.round(100 * F.col("price") / F.col("base"), 4).alias("index_value"))
-    return national.unionByName(routes, allowMissingColumns=True)
-
-
-def index_range(fares: DataFrame, weights: DataFrame, first: str, last: str, prices: tuple = ("base_fare", "total_fare"), estimator: str = "JEVONS") -> DataFrame:
-    """``daily_index`` of every price series over a range of days, against the range's first day; column ``price_series``. Each series is one job over all days."""
-    days = fares.where(F.col("obs_date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
-    parts = [daily_index(days, weights, first, price, estimator).withColumn("price_series", F.lit(price.upper())) for price in prices]
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
 def coverage_rollup(cells: DataFrame, route: str = "route") -> DataFrame:
     """Cells and observations by route, and of all (null route)."""
     return cells.rollup(route).agg(F.count(F.lit(1)).alias("cells"), F.sum("n_obs").alias("observations"))

@@ -251,29 +251,6 @@ def index_quality(spark, sf_dir):
     return ix.index_quality(r, ix.laspeyres(r, weights(spark, sf_dir)), all_routes=25)
 
 
-DAILY = f"""SELECT NULL::VARCHAR AS route, horizon, obs_date, index_value, coverage, l.n_routes, standard_error, quality_score, index_status FROM ({_R_LASP}) l
- JOIN (SELECT horizon, obs_date, standard_error FROM ({_R_JACK})) j USING (horizon, obs_date) JOIN ({QUALITY.format(n=25, i=_R_LASP)}) q USING (horizon, obs_date)
- UNION ALL SELECT route, horizon, obs_date, round(100 * price / base, 4), NULL, NULL, NULL, NULL, NULL FROM rbased WHERE price > 0 AND base > 0"""
-
-
-@query(cell_sql("", "weights").rstrip() + ", " + REPORT + DAILY)
-def daily_index(spark, sf_dir):
-    quotes = fares(spark, sf_dir)
-    return ix.daily_index(quotes, weights(spark, sf_dir, quotes), BASE_DATE)
-
-
-def range_sql(price: str) -> str:
-    """``DAILY`` of one price series from 1996 to 1997, against January 1996; the weights are those of all days."""
-    ranged = cell_sql("", "weights").rstrip().replace("valid AS (SELECT", f"ranged AS (SELECT * REPLACE ({price} AS base_fare) FROM fares WHERE obs_date BETWEEN DATE '1996-01-01' AND DATE '1997-12-01'),\nvalid AS (SELECT")
-    return (ranged.replace("AS w FROM fares WHERE", "AS w FROM ranged WHERE") + ", " + REPORT + DAILY).replace("1995-01-01", "1996-01-01")
-
-
-@query(f"SELECT *, 'BASE_FARE' AS price_series FROM ({range_sql('base_fare')}) UNION ALL SELECT *, 'TOTAL_FARE' AS price_series FROM ({range_sql('total_fare')})")
-def index_range(spark, sf_dir):
-    quotes = fares(spark, sf_dir)
-    return ix.index_range(quotes, weights(spark, sf_dir, quotes), "1996-01-01", "1997-12-01")
-
-
 @query(cell_sql("SELECT route, count(*) AS cells, sum(quotes)::BIGINT AS observations FROM (SELECT route, obs_date, horizon, sum(quotes) AS quotes FROM surv GROUP BY ALL) GROUP BY ROLLUP (route)"))
 def coverage_rollup(spark, sf_dir):
     return ix.coverage_rollup(c.cell_report(fares(spark, sf_dir)))
