@@ -3,6 +3,9 @@
 The symbols of a text begin as its characters. An agenda holds the adjacent pairs that together are a piece, the best score first and the leftmost of equal ones; the
 best pair is merged, its new neighbours join the agenda, and entries whose symbols have changed since are passed over. Characters left that are no piece become
 their UTF-8 bytes. No piece reaches across the start of a word, so words are merged each for itself, and those that come again are looked up.
+
+The new words of a batch are merged side by side in numpy: a column holds the agenda of a word, one entry for each place where a pair may begin, and each round takes the
+least entry of every column. Long words have an agenda of their own, a heap.
 """
 
 from __future__ import annotations
@@ -10,15 +13,20 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Words that a Python worker remembers, and their greatest length.
-REMEMBERED, LONGEST = 1 << 19, 48
+#: Words that a Python worker remembers, and the greatest length of words that are merged side by side and remembered.
+REMEMBERED, LONGEST = 1 << 19, 32
+#: Words merged side by side at once.
+MANY = 1 << 16
+NONE, GONE, NEVER = -1, -2, np.iinfo(np.int32).max
 #: Characters of texts that are held at once with their ids.
 SLICE = 1 << 22
 #: Kinds of pieces in the model file, fixed values.
@@ -26,7 +34,7 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
 class Encoder:
-    """One vocabulary: ``encode`` gives the ids of texts by the agenda, ``library`` is the reference implementation."""
+    """One vocabulary: ``encode_many`` gives the ids of texts by the agenda, ``library`` is the reference implementation."""
 
     def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -45,7 +53,27 @@ class Encoder:
         self.bytes = [by_name[f"<0x{b:02X}>"] for b in range(256)] if spec.trainer_spec.byte_fallback else None
         words = all(MARK not in piece.lstrip(MARK) for piece in self.ids)
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if words else re.compile(".+", re.DOTALL)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self._pairs(spec)
+
+    def _pairs(self, spec) -> None:
+        """Tables of the symbols: a character's symbol; for a pair of symbols the one they make and the rank of its score (equal scores have one rank)."""
+        pieces = list(self.ids)
+        symbols = {piece: self.ids[piece] for piece in pieces}
+        for char in sorted(set(chain.from_iterable(pieces)) - symbols.keys()):
+            symbols[char] = len(spec.pieces) + len(symbols)
+        self.of_char = np.full(0x110000, NONE, np.int32)
+        for s, i in symbols.items():
+            if len(s) == 1:
+                self.of_char[ord(s)] = i
+        self.span = max(symbols.values()) + 1
+        pairs = {symbols[p[:k]] * self.span + symbols[p[k:]]: self.ids[p] for p in pieces for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols}
+        self.pair_keys = np.array(sorted(pairs), np.int64)
+        self.pair_makes = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int32)
+        costs = np.array([-p.score for p in spec.pieces])
+        self.pair_rank = np.unique(costs, return_inverse=True)[1].astype(np.int32)[self.pair_makes]
+        self.objects = np.array([*range(len(spec.pieces))], object)
+        self.pieces = len(spec.pieces)
 
     def merged(self, word: str) -> list[str]:
         """The symbols that are left of a word when no adjacent pair is a piece any more."""
@@ -77,28 +105,87 @@ class Encoder:
                     heappush(agenda, (cost[pair], prior, left, len(pair)))
         return [s for s in symbols if s]
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> tuple[int, ...]:
         out: list[int] = []
         for s in self.merged(word):
             if s in self.ids:
                 out.append(self.ids[s])
-            elif self.bytes:
-                out += [self.bytes[b] for b in s.encode()]
             else:
-                out.append(self.unknown)
+                out += self._spell(s)
+        return tuple(out)
+
+    def merge_many(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Ids of words of at most LONGEST characters, merged side by side: row i, column j is the symbol that begins at place i of word j."""
+        n, lengths = len(words), np.fromiter(map(len, words), np.int64, len(words))
+        high = int(lengths.max())
+        chars = np.frombuffer("".join(w.ljust(high) for w in words).encode("utf-32-le"), np.uint32).reshape(n, high)
+        symbol = np.ascontiguousarray(np.where(np.arange(high) < lengths[:, None], self.of_char[chars], GONE).T)
+        after = np.repeat(np.arange(1, high + 1, dtype=np.int32)[:, None], n, axis=1)
+        before = after - 2
+        agenda = np.full((high, n), NEVER, np.int32)  # rank of the pair that begins here, then its place: the least is the best, the leftmost of equals
+        makes = np.zeros((high, n), np.int32)
+
+        def enter(row: np.ndarray, column: np.ndarray, right: np.ndarray) -> None:
+            """Put the pairs of the symbols at (row, column) and (right, column) on the agenda; what was there for this place is void."""
+            x, y = symbol[row, column], symbol[right, column]
+            key = np.where((x >= 0) & (y >= 0), x.astype(np.int64) * self.span + y, -1)
+            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+            hit = self.pair_keys[at] == key
+            agenda[row, column] = np.where(hit, self.pair_rank[at] * LONGEST + row, NEVER)
+            makes[row, column] = self.pair_makes[at]
+
+        for i in range(high - 1):
+            columns = np.flatnonzero(lengths > i + 1)
+            enter(np.full(len(columns), i), columns, np.full(len(columns), i + 1))
+        while True:
+            best = agenda.min(axis=0)
+            columns = np.flatnonzero(best != NEVER)
+            if not len(columns):
+                break
+            left = best[columns] % LONGEST
+            right = after[left, columns]
+            symbol[left, columns] = makes[left, columns]
+            symbol[right, columns] = GONE
+            follow = after[right, columns]
+            after[left, columns] = follow
+            agenda[left, columns] = agenda[right, columns] = NEVER
+            some = follow < lengths[columns]
+            before[follow[some], columns[some]] = left[some]
+            enter(left[some], columns[some], follow[some])
+            prior = before[left, columns]
+            some = prior >= 0
+            enter(prior[some], columns[some], left[some])
+        symbol, found = symbol.T, symbol.T != GONE
+        flat, ends = symbol[found], np.cumsum(found.sum(axis=1))
+        odd = np.flatnonzero((flat < 0) | (flat >= self.pieces))  # characters that are no piece
+        ids = self.objects[np.where((flat < 0) | (flat >= self.pieces), 0, flat)].tolist()
+        spelled = dict(zip(odd.tolist(), chars[found][odd].tolist(), strict=True))
+        words_with = set(np.searchsorted(ends, odd, "right").tolist())
+        bounds = [0, *ends.tolist()]
+        out = []
+        for j in range(n):
+            a, b = bounds[j], bounds[j + 1]
+            out.append(tuple(chain.from_iterable(self._spell(chr(spelled[k])) if k in spelled else [ids[k]] for k in range(a, b))) if j in words_with else tuple(ids[a:b]))
         return out
 
-    def encode(self, text: str) -> list[int]:
-        known, out = self.known, []
-        for word in self.words.findall(self.library.normalize(text)):
-            ids = known.get(word)
-            if ids is None:
-                ids = self.word(word)
-                if len(word) <= LONGEST:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[word] = ids
-            out += ids
+    def _spell(self, char: str) -> list[int]:
+        return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
+
+    def encode_many(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text."""
+        words = [self.words.findall(t) for t in self.library.normalize(texts)] if texts else []
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        known = self.known
+        new = [w for w in set(chain.from_iterable(words)) if w not in known]
+        long = {w: self.word(w) for w in new if len(w) > LONGEST}
+        new = sorted((w for w in new if len(w) <= LONGEST), key=len)
+        for k in range(0, len(new), MANY):
+            known.update(zip(new[k : k + MANY], self.merge_many(new[k : k + MANY]), strict=True))
+        known.update(long)
+        out = [list(chain.from_iterable(map(known.__getitem__, ws))) for ws in words]
+        for w in long:  # only short words are remembered
+            del known[w]
         return out
 
 
@@ -141,7 +228,7 @@ def encode_texts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in _slices(texts):
                 part = texts[a:b]
-                ids = [own.encode(t) for t in part]
+                ids = own.encode_many(part)
                 checked = own.library.encode(part, num_threads=1)
                 decoded = own.library.decode(ids, num_threads=1)
                 agrees = [x == y for x, y in zip(ids, checked, strict=True)]
