@@ -16,12 +16,6 @@ def dual_series(headline: DataFrame, core: DataFrame, on: list[str]) -> DataFram
     return j.compare_series(headline, core, on, "index_value")
 
 
-def cohort_correlation(fares: DataFrame, one: str, two: str, keys: list[str], day: str, x: str = "base_fare", floor: float = 0.7) -> DataFrame:
-    """r of two feeds' mean prices over days, per key; diverging below ``floor``."""
-    rows = j.pair_cohorts(fares, "feed_type", [*keys, day], x, one, two)
-    return a.pearson(rows, "a", "b", keys).withColumn("diverging", F.coalesce(F.col("r") < floor, F.lit(False)))
-
-
 def correlation_history(corrs: DataFrame, order: str, floor: float = 0.7) -> DataFrame:
     return corrs.withColumn("flagged", F.coalesce(F.col("r") < floor, F.lit(False))).orderBy(F.desc(order), F.asc_nulls_last("r"))
 
@@ -67,14 +61,6 @@ def common_flights(quotes: DataFrame, cluster: list[str], source: str, x: str, d
     return a.canonical_price(quotes, cluster, source, x, direct).where(F.col("sources") >= least)
 
 
-def live_series(fares: DataFrame, scope: str = "national", method: str = "median", x: str = "base_fare") -> DataFrame:
-    """Median of carrier minima, or the least price, by day (and route), as an index of its first day."""
-    keys = ["obs_date"] if scope == "national" else ["route", "obs_date"]
-    per = fares.groupBy(*keys, "carrier").agg(F.min(x).alias("p")).groupBy(*keys).agg((F.median("p") if method == "median" else F.min("p")).alias("value"))
-    rows = per.withColumn("k", F.lit(1)) if scope == "national" else per.withColumn("k", F.col("route"))
-    return t.rebase(rows, ["k"], "obs_date", "value").drop("k")
-
-
 def index_between(index: DataFrame, day: str, lo: str, hi: str, **more) -> DataFrame:
     return j.where_any(index, **{f"{day}_from": lo, f"{day}_to": hi}, **more).orderBy(day)
 
@@ -93,17 +79,35 @@ def briefing(index: DataFrame, carriers: DataFrame, vol: DataFrame, curve: DataF
     return top.crossJoin(leader).crossJoin(spread).crossJoin(saved)
 
 
-def digest(**tables: DataFrame) -> DataFrame:
-    """(name, row) for every row of the tables, as JSON."""
-    parts = [df.select(F.lit(name).alias("name"), F.to_json(F.struct("*")).alias("row")) for name, df in tables.items()]
-    return j.union_feeds(*parts)
+def digest(published: DataFrame, weights: DataFrame, carriers: DataFrame, volatility: DataFrame, curve: DataFrame, escalation: DataFrame, fuel: DataFrame, horizon: int = 15) -> DataFrame:
+    """Five rows (matrix, body): headline, carriers, corridors, lead time and fuel, each as one JSON text for a reader that takes text only.
+
+    The lists in a body have an entry for each carrier, corridor, horizon or route, not for quotes. ``fuel``: (day, fuel); its revision is that of the last day against the record before.
+    """
+    def one(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.lit(name).alias("matrix"), F.to_json(F.struct("*")).alias("body"))
+
+    def listed(df: DataFrame, columns: list[str], order: list[str]) -> Column:
+        return F.transform(F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*columns).alias("v")))), lambda x: x["v"])
+
+    national = published.where((F.col("price_series") == "BASE_FARE") & (F.col("series_type") == "HEADLINE") & (F.col("horizon") == horizon) & F.col("route").isNull())
+    latest = national.agg(F.max_by(F.struct("obs_date", "index_value", "change_1d", "change_7d", "change_30d", "coverage"), "obs_date").alias("r")).select("r.*")
+    basket = weights.agg(listed(weights, ["route", "weight_pct"], ["route"]).alias("basket")) if "weight_pct" in weights.columns else weights.withColumn("weight_pct", F.round(100 * F.col("weight"), 2)).agg(listed(weights, ["route", "weight_pct"], ["route"]).alias("basket"))
+    headline = one(latest.crossJoin(basket), "headline")  # one row each
+    last = j.latest_per(carriers.where(F.col("horizon") == horizon), ["carrier"], ["obs_date"])
+    score = last.agg(F.round(F.max("index_value") - F.min("index_value"), 4).alias("spread"), F.max(F.struct("index_value", "carrier"))["carrier"].alias("leader"), F.min(F.struct("index_value", "carrier"))["carrier"].alias("value_leader"), listed(last, ["carrier", "index_value", "n_routes"], ["carrier"]).alias("carriers"))
+    surge = F.col("volatility_status") == "SURGE_ALERT"
+    corridors = volatility.agg(F.count(F.lit(1)).alias("monitored"), F.round(F.avg("spread_pct"), 2).alias("average_spread_pct"), F.count_if(surge).alias("surging"), listed(volatility, volatility.columns, ["route"]).alias("corridors"))
+    at = lambda h: F.max(F.when(F.col("horizon") == h, F.col("fare")))
+    by_route = curve.groupBy("route").agg(F.round(F.try_divide(at(1), at(45)), 2).alias("multiplier"), listed(curve, ["horizon", "fare"], ["horizon"]).alias("curve"))
+    steps = escalation.groupBy("route").agg(listed(escalation, ["carrier", "escalation"], ["carrier"]).alias("carriers"))
+    lead = by_route.join(steps, "route", "left").agg(listed(by_route, ["route", "multiplier", "curve", "carriers"], ["route"]).alias("routes"))
+    recent = fuel.orderBy(F.desc("day")).limit(2).agg(F.sort_array(F.collect_list(F.struct("day", "fuel")), asc=False).alias("f"))
+    move = recent.select(F.get("f", F.lit(0))["day"].alias("day"), F.get("f", F.lit(0))["fuel"].alias("fuel"), F.round(100 * (F.get("f", F.lit(0))["fuel"] - F.get("f", F.lit(1))["fuel"]) / F.nullif(F.get("f", F.lit(1))["fuel"], F.lit(0.0)), 2).alias("revision_pct"))
+    return j.union_feeds(headline, one(score, "carriers"), one(corridors, "corridors"), one(lead, "lead_time"), one(move, "fuel"))
 
 
 def backtest(index: DataFrame, official: DataFrame, month: str = "month") -> DataFrame:
     """Monthly means against an official series: r, mean absolute deviation in percent, months in common."""
     rows = j.month_compare(index, official, month).where("missing is null")
     return rows.agg(F.count(F.lit(1)).alias("months"), F.round(a.safe_corr("a", "b"), 4).alias("r"), F.round(F.avg(F.abs("deviation_pct")), 4).alias("mean_deviation_pct"))
-
-
-def validation_summary(df: DataFrame, by: list[str], actual: str, pred: str) -> DataFrame:
-    return a.error_metrics(df, actual, pred, by)

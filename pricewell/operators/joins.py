@@ -219,6 +219,34 @@ def overlay(a: DataFrame, b: DataFrame, date: str, x: str, y: str) -> DataFrame:
     return a.select(date, x).join(b.select(date, y), date, "left")
 
 
+def asof_join(df: DataFrame, other: DataFrame, keys: list[str], date: str, x: str, out: str, span: int = 64) -> DataFrame:
+    """Rows of ``df`` with ``out``, the last ``x`` of ``other`` at or before their day by ``keys`` (none: one series for all), and ``<out>_age``, its days since.
+
+    Days are dealt into spans, so that a key, or no key at all, is many tasks: within a span both tables are put in order together and the last value runs on; a span without an
+    earlier value takes the last one of the spans before it. Of several values of a day the greatest counts; null values and null days of ``other`` don't. Rows without a day get null.
+    """
+    day = F.datediff(F.col(date), F.lit("1970-01-01"))
+    span_of = F.floor(F.col("__day") / span)
+    mine = [f"__k{i}" for i in range(len(keys))]
+    keyed = lambda t: [F.col(k).alias(m) for k, m in zip(keys, mine, strict=True)] if t else mine
+    left = df.select(*keyed(True), day.alias("__day"), F.struct("*").alias("__row")).withColumn("__span", span_of)
+    right = other.select(*keyed(True), day.alias("__day"), F.col(x).alias("__x")).where("__day is not null and __x is not null").withColumn("__span", span_of)
+    value = F.struct(F.col("__day").alias("day"), F.col("__x").alias("x"))
+    part = [*mine, "__span"]
+    both = left.select(*part, "__day", "__row", F.lit(None).cast(right.select(value).schema[0].dataType).alias("__v"), F.lit(1).alias("__side"))
+    both = both.unionByName(right.select(*part, "__day", F.lit(None).cast(left.schema["__row"].dataType).alias("__row"), value.alias("__v"), F.lit(0).alias("__side")))
+    near = F.last("__v", ignorenulls=True).over(Window.partitionBy(*part).orderBy("__day", "__side", "__v").rowsBetween(Window.unboundedPreceding, 0))
+    near_rows = both.withColumn("__near", near).where("__side = 1")
+    # One row a key and span: the last value of the spans before.
+    tops = right.groupBy(*part).agg(F.max(value).alias("__top"))
+    tops = tops.unionByName(left.select(*part).distinct(), allowMissingColumns=True).groupBy(*part).agg(F.max("__top").alias("__top"))
+    before = F.last("__top", ignorenulls=True).over(Window.partitionBy(*mine).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1))
+    carried = tops.withColumn("__before", before).select(*[F.col(c).alias(f"{c}_") for c in part], "__before")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in part])
+    found = near_rows.join(carried, same, "left").withColumn("__hit", F.coalesce("__near", "__before"))
+    return found.select("__row.*", F.when(F.col("__day").isNotNull(), F.col("__hit.x")).alias(out), (F.col("__day") - F.col("__hit.day")).alias(f"{out}_age"))
+
+
 def with_data(dim: DataFrame, fact: DataFrame, key: str) -> DataFrame:
     return dim.join(fact.select(key), key, "left_semi")
 

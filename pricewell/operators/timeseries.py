@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricewell.functions.columns import severity
+from pricewell.functions.columns import money, severity
 
 from .analytics import safe_corr
+from .joins import asof_join
 
 
 def _day(c: str) -> Column:
@@ -108,10 +109,11 @@ def calendar_features(df: DataFrame, date: str) -> DataFrame:
     return df.withColumns({"dow": F.weekday(d), "week": F.weekofyear(d), "month": F.month(d), "quarter": F.quarter(d), "doy": F.dayofyear(d), "month_start": F.dayofmonth(d) == 1, "month_end": d == F.last_day(d)})
 
 
-def classify_elevation(df: DataFrame, keys: list[str], date: str, x: str, calendar: DataFrame | None = None, breadth: Column | int = 0, fuel_move: Column | float = 0.0, threshold: float = 5.0, transient: int = 14, structural: int = 21, fuel_threshold: float = 2.0) -> DataFrame:
+def classify_elevation(df: DataFrame, keys: list[str], date: str, x: str, calendar: DataFrame | None = None, breadth: Column | int = 0, fuel_move: Column | float = 0.0, threshold: float = 5.0, transient: int = 14, structural: int = 21, fuel_threshold: float = 2.0, evidence: DataFrame | None = None) -> DataFrame:
     """Each series' elevation over the median of its first half, how long its last run above it is, and what that evidence makes it.
 
     Structural evidence: a long run, three or more carriers, a fuel move. Transient: a short run, a peak day in the run or within two days of its start, one carrier.
+    ``evidence`` (keys, breadth, fuel_move) gives each series its own carriers and fuel move, which are returned with it.
     """
     w = Window.partitionBy(*keys)
     rows = df.withColumn("__i", F.row_number().over(w.orderBy(date))).withColumn("__n", F.count(F.lit(1)).over(w))
@@ -131,7 +133,11 @@ def classify_elevation(df: DataFrame, keys: list[str], date: str, x: str, calend
         F.max("__base").alias("baseline"), F.max_by(x, "__i").alias("latest"), F.count_if("__tail").cast("int").alias("persistence"), F.min(F.when(F.col("__tail"), F.col(date))).alias("episode_start"), F.bool_or("__hit").alias("calendar_aligned")
     )
     as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
-    b, m = as_col(breadth), as_col(fuel_move)
+    b, m, more = as_col(breadth), as_col(fuel_move), []
+    if evidence is not None:
+        out = out.join(evidence.select(*keys, "breadth", "fuel_move"), keys, "left")
+        b, m = F.coalesce("breadth", F.lit(0)), F.coalesce("fuel_move", F.lit(0.0))
+        more = [b.alias("carrier_breadth"), money(m).alias("fuel_move_pct"), (m >= fuel_threshold).alias("fuel_aligned")]
     pct = 100 * (F.col("latest") - F.col("baseline")) / F.nullif(F.col("baseline"), F.lit(0.0))
     i = lambda c: c.cast("int")
     s = i(F.col("persistence") >= structural) + i(b >= 3) + i(m >= fuel_threshold)
@@ -140,15 +146,43 @@ def classify_elevation(df: DataFrame, keys: list[str], date: str, x: str, calend
         F.when(F.col("baseline").isNull() | (F.col("baseline") <= 0), "NO_DATA").when(pct < threshold, "NO_ELEVATION").when((s >= 2) & (s >= t), "STRUCTURAL")
         .when((t >= 2) & (t > s), "TRANSIENT").when((s == 1) & (t == 0), "STRUCTURAL").when((t == 1) & (s == 0), "TRANSIENT").otherwise("MIXED")
     )
-    return out.select(*keys, F.round("baseline", 2).alias("baseline"), F.round("latest", 2).alias("latest"), F.round(pct, 2).alias("elevation_pct"), "persistence", "episode_start", "calendar_aligned", s.alias("structural_score"), t.alias("transient_score"), mode.alias("mode"))
+    return out.select(*keys, F.round("baseline", 2).alias("baseline"), F.round("latest", 2).alias("latest"), F.round(pct, 2).alias("elevation_pct"), "persistence", "episode_start", "calendar_aligned", s.alias("structural_score"), t.alias("transient_score"), mode.alias("mode"), *more)
 
 
-def policy_signal(df: DataFrame, keys: list[str], date: str, x: str, calendar: DataFrame | None = None, points: int = 60, min_n: int = 5, **evidence) -> DataFrame:
-    """``classify_elevation`` over the last points of every series that has ``min_n``, with a one-line label."""
+def episode_evidence(rows: DataFrame, keys: list[str], date: str, quotes: DataFrame, fuel: DataFrame, same: tuple[str, ...] = ("horizon",)) -> DataFrame:
+    """(keys, breadth, fuel_move) of each series' own window, the days from its first to its last row.
+
+    breadth: carriers with an available price on the series' last day, among ``quotes`` that agree in the columns ``same``; fuel_move: change of ``fuel`` (day, fuel) in percent from the
+    first to the last record within the window, 0 with under two or from nothing. Windows are laid out as days and joined by equality; a series has at most a few hundred.
+    """
+    windows = rows.groupBy(*keys).agg(F.min(date).alias("__a"), F.max(date).alias("__b"))
+    priced = quotes.where((F.upper(F.coalesce("status", F.lit("AVAILABLE"))) == "AVAILABLE") & (F.col("base_fare") > 0))
+    on_last = priced.select(*same, F.col(date).alias("__b"), "carrier").distinct().join(windows.select(*keys, "__b"), [*same, "__b"])
+    breadth = on_last.groupBy(*keys).agg(F.count_distinct("carrier").alias("breadth"))
+    days = windows.select(*keys, F.explode(F.sequence("__a", "__b")).alias("day")).join(fuel.where("fuel is not null").select("day", "fuel"), "day")
+    first, last = F.min_by("fuel", "day"), F.max_by("fuel", "day")
+    move = days.groupBy(*keys).agg(F.when((F.count(F.lit(1)) >= 2) & (first != 0), 100 * (last - first) / F.nullif(first, F.lit(0.0))).otherwise(0.0).alias("fuel_move"))
+    return windows.select(*keys).join(breadth, keys, "left").join(move, keys, "left")
+
+
+def policy_signal(df: DataFrame, keys: list[str], date: str, x: str, calendar: DataFrame | None = None, points: int = 60, min_n: int = 5, quotes: DataFrame | None = None, fuel: DataFrame | None = None, same: tuple[str, ...] = ("horizon",), **options) -> DataFrame:
+    """``classify_elevation`` over the last ``points`` of every series, with a line that says what it rests on; series of under ``min_n`` points are INSUFFICIENT_DATA.
+
+    With ``quotes`` and ``fuel`` the evidence is that of ``episode_evidence``.
+    """
     w = Window.partitionBy(*keys)
-    rows = df.withColumn("__r", F.row_number().over(w.orderBy(F.desc(date)))).withColumn("__c", F.count(F.lit(1)).over(w)).where((F.col("__r") <= points) & (F.col("__c") >= min_n)).drop("__r", "__c")
-    out = classify_elevation(rows, keys, date, x, calendar, **evidence)
-    return out.withColumn("label", F.format_string("%s: %.2f%% over baseline for %d day(s)", "mode", "elevation_pct", "persistence"))
+    rows = df.withColumn("__r", F.row_number().over(w.orderBy(F.desc(date)))).withColumn("points", F.least(F.lit(points), F.count(F.lit(1)).over(w))).where(F.col("__r") <= points).drop("__r")
+    enough = rows.where(F.col("points") >= min_n)
+    evidence = episode_evidence(enough, keys, date, quotes, fuel, same) if quotes is not None and fuel is not None else None
+    out = classify_elevation(enough.drop("points"), keys, date, x, calendar, evidence=evidence, **options)
+    line = F.format_string("%s: %.2f%% over baseline for %d day(s)", "mode", "elevation_pct", "persistence")
+    if evidence is not None:
+        carriers = F.format_string(", %d carrier(s), fuel %.2f%%", "carrier_breadth", "fuel_move_pct")
+        until = F.when(F.col("mode") == "TRANSIENT", F.concat(F.lit(", over by "), F.date_add("episode_start", options.get("transient", 14)).cast("string"))).otherwise("")
+        line = F.concat(line, carriers, until)
+    counts = rows.groupBy(*keys).agg(F.max("points").alias("points"))
+    named = out.withColumn("label", F.when(F.col("mode") != "NO_DATA", line))
+    return counts.join(named, keys, "left").withColumn("status", F.when(F.col("points") >= min_n, "COMPLETED").otherwise("INSUFFICIENT_DATA"))
 
 
 def window_move(df: DataFrame, keys: list[str], date: str, x: str, days: int = 30) -> DataFrame:
@@ -288,11 +322,22 @@ def read_snapshots(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def forecast_features(df: DataFrame, keys: list[str], date: str, x: str) -> DataFrame:
-    """Lags, rolling statistics, momentum, volatility, calendar and targets of every series and day."""
+def forecast_features(df: DataFrame, keys: list[str], date: str, x: str, weights: DataFrame | None = None, fuel: DataFrame | None = None) -> DataFrame:
+    """Features and targets of every series and day: lags and changes against them, rolling statistics, momentum, volatility, calendar; of what is there besides:
+    ``is_headline`` (column ``horizon``), ``is_base_fare`` (column ``price_series``), the mean and concentration of ``weights``, and the last ``fuel`` (day, fuel) at or before the day.
+    """
     for f in (lags, rolling, momentum, rolling_vol):
         df = f(df, keys, date, x)
-    return targets(calendar_features(df, date), keys, date, x)
+    df = df.withColumns({f"lag_{k}_pct": F.col(x) / F.nullif(F.col(f"lag_{k}"), F.lit(0.0)) - 1 for k in (1, 2, 3, 7, 14, 21, 28)})
+    df = calendar_features(df, date).withColumn("weekend", F.col("dow") >= 5)
+    if "horizon" in df.columns:
+        df = df.withColumn("is_headline", (F.col("horizon") == 15).cast("int"))
+    if "price_series" in df.columns:
+        df = df.withColumn("is_base_fare", (F.col("price_series") == "BASE_FARE").cast("int"))
+    if weights is not None:  # one row
+        df = df.crossJoin(F.broadcast(weights.agg(F.avg("weight").alias("market_weight"), F.sum(F.col("weight") * F.col("weight")).alias("market_concentration"))))
+    df = targets(df, keys, date, x)
+    return asof_join(df, fuel.withColumnRenamed("day", date) if date != "day" else fuel, [], date, "fuel", "fuel") if fuel is not None else df
 
 
 def fit_gbt(features: DataFrame, target: str, date: str, inputs: list[str], holdout_days: int = 28, **params):

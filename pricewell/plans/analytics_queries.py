@@ -76,7 +76,6 @@ add("weekly_mean", with_views("SELECT series, cast(date_trunc('week', day) AS DA
 CURVE = "SELECT route, horizon, round(base_fare, 2) AS fare FROM (SELECT route, horizon, base_fare, row_number() OVER (PARTITION BY route, horizon ORDER BY base_fare) AS i, count(*) OVER (PARTITION BY route, horizon) AS n FROM fares) WHERE i = n // 2 + 1"
 add("lead_time_curve", with_views(CURVE, "fares"), lambda s, d: a.lead_time_curve(fares(s, d), ["route"], "base_fare"))
 add("lead_time_multiplier", with_views(f"SELECT route, round(max(fare) FILTER (horizon = 1) / nullif(max(fare) FILTER (horizon = 45), 0), 4) AS multiplier FROM ({CURVE}) GROUP BY route", "fares"), lambda s, d: a.lead_time_multiplier(a.lead_time_curve(fares(s, d), ["route"], "base_fare"), ["route"]))
-add("carrier_escalation", with_views("SELECT route, carrier, round(min(base_fare) FILTER (horizon = 1) / coalesce(min(base_fare) FILTER (horizon = 45), min(base_fare) FILTER (horizon = 30)), 4) AS escalation FROM fares GROUP BY route, carrier", "fares"), lambda s, d: a.carrier_escalation(fares(s, d), ["route", "carrier"], "base_fare"))
 add("elasticity", with_views("SELECT route, horizon, round(min(base_fare), 2) AS min, round(median(base_fare), 2) AS median, round(avg(base_fare), 2) AS avg, round(max(base_fare), 2) AS max, count(base_fare) AS n FROM fares GROUP BY route, horizon", "fares"), lambda s, d: a.elasticity(fares(s, d), ["route"], "base_fare"))
 add("heatmap", with_views("SELECT obs_date, horizon, round(avg(base_fare), 2) AS value, round(min(base_fare), 2) AS lowest, count(base_fare) AS n FROM fares GROUP BY obs_date, horizon", "fares"), lambda s, d: a.heatmap(fares(s, d), "obs_date", "base_fare"))
 Q = "CASE feed_type WHEN 'CARRIER_DIRECT' THEN 100 WHEN 'RPC_FALLBACK' THEN 90 WHEN 'OTA_AGGREGATOR' THEN 70 ELSE 30 END"

@@ -26,9 +26,6 @@ def view_series(s, d, name):
     return series(s, d).where(F.col("series") == name)
 
 
-COH = "SELECT route, round(CASE WHEN count(*) > 1 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) END, 4) AS r, count(*) AS n FROM (SELECT route, obs_date, avg(base_fare) FILTER (feed_type = 'CARRIER_DIRECT') AS a, avg(base_fare) FILTER (feed_type = 'OTA_AGGREGATOR') AS b FROM fares GROUP BY ALL) WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY route"
-add("cohort_correlation", with_views(f"SELECT *, coalesce(r < 0.7, false) AS diverging FROM ({COH})", "fares"), lambda s, d: k.cohort_correlation(fares(s, d), "CARRIER_DIRECT", "OTA_AGGREGATOR", ["route"], "obs_date"))
-add("correlation_history", with_views(f"SELECT *, coalesce(r < 0.7, false) AS flagged FROM ({COH})", "fares"), lambda s, d: k.correlation_history(k.cohort_correlation(fares(s, d), "CARRIER_DIRECT", "OTA_AGGREGATOR", ["route"], "obs_date").drop("diverging"), "route"))
 EXP = "ex AS (SELECT series, day, concat_ws(',', CASE WHEN (SELECT min(c.day) FROM cal c WHERE abs(c.day - series.day) <= 1) IS NOT NULL THEN 'calendar:' || (SELECT min(c.day) FROM cal c WHERE abs(c.day - series.day) <= 1) END, CASE WHEN day(day) % 4 = 0 THEN 'fuel' END, CASE WHEN n > 70 THEN 'sold-out' END, CASE WHEN dayname(day) IN ('Friday', 'Sunday') THEN 'weekday:' || dayname(day)[:3] END) AS signals FROM series WHERE series = 'view')"
 
 
@@ -54,8 +51,6 @@ LAST = "lastc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY carri
 add("carrier_scorecard", with_views("", "fares", "weights").rstrip() + CARRIER + ", " + LAST + " SELECT horizon, round(max(index_value) - min(index_value), 4) AS spread, arg_max(carrier, (index_value, carrier)) AS leader, arg_min(carrier, (index_value, carrier)) AS value_leader, count(*) AS carriers FROM lastc GROUP BY horizon", lambda s, d: k.carrier_scorecard(carr(s, d)))
 add("trajectory", with_views("SELECT flight, travel_date, base_fare FROM fares WHERE route = 'ASIA>BUILDING'", "fares"), lambda s, d: k.trajectory(fares(s, d), "ASIA>BUILDING", ["base_fare", "flight"]).select("flight", "travel_date", "base_fare"))
 add("common_flights", with_views("SELECT carrier, obs_date, count(DISTINCT source_id) AS sources, round(min(total_fare), 6) AS lowest FROM fares GROUP BY 1, 2 HAVING count(DISTINCT source_id) >= 2", "fares"), lambda s, d: k.common_flights(fares(s, d), ["carrier", "obs_date"], "source_id", "total_fare", direct()).select("carrier", "obs_date", "sources", "lowest"))
-LIVE = "SELECT obs_date, median(p) AS v FROM (SELECT obs_date, carrier, min(base_fare) AS p FROM fares GROUP BY ALL) GROUP BY obs_date"
-add("live_series", with_views(f"SELECT obs_date, v AS value, round(100 * v / first_value(v) OVER (ORDER BY obs_date), 4) AS rebased FROM ({LIVE})", "fares"), lambda s, d: k.live_series(fares(s, d)))
 add("index_between", cell_sql(f"SELECT * FROM ({LASPEYRES}) WHERE horizon = 15 AND obs_date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'", "weights"), lambda s, d: k.index_between(lasp(s, d), "obs_date", "1996-01-01", "1997-12-31", horizon=15))
 add("weights_history", with_views(f"SELECT route, round(weight, 6) AS weight, effective_from FROM {SCD}", "weights"), lambda s, d: k.weights_history(scd(s, d)).select("route", F.round("weight", 6).alias("weight"), "effective_from"))
 add("backtest", cell_sql("", "weights").rstrip() + f", ap AS (SELECT strftime(obs_date, '%Y-%m') AS month, avg(index_value) AS a FROM ({LASPEYRES}) GROUP BY 1), ob AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, avg(o_totalprice) AS b FROM orders GROUP BY 1) SELECT count(*) AS months, round(covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)), 3) AS r, round(avg(abs(100 * (a - b) / b)), 3) AS mean_deviation_pct FROM ap JOIN ob USING (month)", lambda s, d: k.backtest(lasp(s, d).groupBy(F.date_format("obs_date", "yyyy-MM").alias("month")).agg(F.avg("index_value").alias("value")), read(s, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.avg("o_totalprice").alias("value"))).withColumns({"r": F.round("r", 3), "mean_deviation_pct": F.round("mean_deviation_pct", 3)}))
@@ -65,4 +60,3 @@ vol AS ({VOL.replace(', horizon', '')}), curve AS ({CURVE})
 SELECT as_of, headline, (SELECT arg_max(carrier, (index_value, carrier)) FROM lastc WHERE r = 1) AS dearest_carrier, (SELECT round(avg(spread_pct), 2) FROM vol) AS avg_spread,
  (SELECT round(100 * (avg(fare) FILTER (horizon = 1) - avg(fare) FILTER (horizon = 45)) / nullif(avg(fare) FILTER (horizon = 1), 0), 2) FROM curve) AS early_saving_pct FROM head"""
 add("briefing", cell_sql("", "weights").rstrip() + CARRIER + BRIEF, lambda s, d: k.briefing(lasp(s, d).where("horizon = 15"), carr(s, d).where("horizon = 15"), a.corridor_volatility(fares(s, d), ["route"], "base_fare"), a.lead_time_curve(fares(s, d), ["route"], "base_fare")))
-add("digest", with_views(f"SELECT 'volatility' AS name, route, volatility_status, NULL::DOUBLE AS volume FROM ({VOL}) UNION ALL SELECT 'weights', route, NULL, round(volume, 2) FROM weights", "weights"), lambda s, d: k.digest(volatility=a.corridor_volatility(fares(s, d), ["route", "horizon"], "base_fare"), weights=weights(s, d)).withColumns({c: F.get_json_object("row", f"$.{c}") for c in ("route", "volatility_status")}).withColumn("volume", F.round(F.get_json_object("row", "$.volume").cast("double"), 2)).drop("row"))

@@ -71,7 +71,6 @@ SELECT series, round(baseline, 2) AS baseline, round(latest, 2) AS latest, round
  CASE WHEN baseline IS NULL OR baseline <= 0 THEN 'NO_DATA' WHEN pct < 0.5 THEN 'NO_ELEVATION' WHEN s >= 2 AND s >= t THEN 'STRUCTURAL' WHEN t >= 2 AND t > s THEN 'TRANSIENT' WHEN s = 1 AND t = 0 THEN 'STRUCTURAL' WHEN t = 1 AND s = 0 THEN 'TRANSIENT' ELSE 'MIXED' END AS mode FROM e5"""
 _elev = with_views("", "series").rstrip() + ", " + CAL + ", " + ELEV
 add("classify_elevation", _elev, lambda s, d: t.classify_elevation(series(s, d), K, "day", "value", calendar(s, d), breadth=3, threshold=0.5))
-add("policy_signal", _elev.replace("SELECT series, round(baseline, 2)", "SELECT *, printf('%s: %.2f%% over baseline for %d day(s)', mode, elevation_pct, persistence) AS label FROM (SELECT series, round(baseline, 2)") + ")", lambda s, d: t.policy_signal(series(s, d), K, "day", "value", calendar(s, d), breadth=3, threshold=0.5))
 add("window_move", with_views("SELECT series, round(100 * (arg_max(value, day) - arg_min(value, day)) / nullif(arg_min(value, day), 0), 4) AS move_pct, count(*) AS n FROM (SELECT *, max(day) OVER (PARTITION BY series) AS last FROM series) WHERE last - day <= 14 GROUP BY series", "series"), lambda s, d: t.window_move(series(s, d), K, "day", "value", 14))
 LL = pair_sql("").rstrip() + """, ll0 AS (SELECT day, v, c, v - lag(v) OVER (ORDER BY day) AS dv, c - lag(c) OVER (ORDER BY day) AS dc FROM pairs), ll AS (""" + " UNION ALL ".join(f"SELECT {k} AS lag, v AS x, dv AS dx, lead(c, {k}) OVER (ORDER BY day) AS y, lead(dc, {k}) OVER (ORDER BY day) AS dy FROM ll0" for k in range(5)) + f"""),
 res AS (SELECT lag, round(coalesce({corr_sql('x', 'y')}, 0), 3) AS r, round(100 * avg((sign(dx) = sign(dy))::INT), 1) AS accuracy, count(*) AS n FROM ll WHERE y IS NOT NULL GROUP BY lag) SELECT 'view>click' AS pair, lag, r, accuracy, n, row_number() OVER (ORDER BY abs(r) DESC, lag) = 1 AS best FROM res"""
@@ -128,7 +127,6 @@ MODELS = with_views("", "series").rstrip() + ", " + SEAS + f", models AS ({PERS}
 add("ensemble", MODELS + " SELECT series, target, " + ", ".join(f"round(sum(w * {q}) / sum(w), 1) AS {q}" for q in ("p10", "p50", "p90")) + ", count(*) AS models FROM (SELECT *, CASE WHEN abs(p90 / p50 - 1.05) < 0.00001 AND abs(p10 / p50 - 0.95) < 0.00001 THEN 0.4 ELSE 0.6 END::DOUBLE AS w FROM models) GROUP BY series, target", lambda s, d: t.ensemble(_models(s, d), ["series", "target"], "model", {"persistence": 0.4, "trend": 0.6}).select("series", "target", *[F.round(q, 1).alias(q) for q in ("p50", "p10", "p90")], "models"))
 add("model_confidence", MODELS + " SELECT series, target, round(round(CASE WHEN count(*) = 1 THEN 0.5 ELSE greatest(0.1, least(1, 1 - stddev_pop(p50) / greatest(abs(avg(p50)), 1))) END, 4), 3) AS confidence FROM models GROUP BY series, target", lambda s, d: t.model_confidence(_models(s, d), ["series", "target"]).withColumn("confidence", F.round("confidence", 3)))
 add("history", with_views("SELECT series, day, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY day DESC) AS r, count(*) OVER (PARTITION BY series) AS c FROM series) WHERE r <= 20 AND c >= 10", "series"), lambda s, d: t.history(series(s, d), K, "day", 20).select("series", "day", F.round("value", 6).alias("value")))
-add("forecast_features", with_views(f"SELECT series, day, round(value, 6) AS value, round(lag(value, 7) OVER w, 6) AS lag_7, round(value / nullif(lag(value, 7) OVER w, 0) - 1, 6) AS mom_7, (isodow(day) - 1)::INTEGER AS dow, round(lead(value, 1) OVER w, 6) AS target_1 FROM series {WD}", "series").replace("SELECT series, day, round(value, 6)", "SELECT * FROM (SELECT series, day, round(value, 6)") + ") WHERE target_1 IS NOT NULL", lambda s, d: t.forecast_features(series(s, d), K, "day", "value").select("series", "day", *[F.round(c, 6).alias(c) for c in ("value", "lag_7", "mom_7")], "dow", F.round("target_1", 6).alias("target_1")))
 
 
 INPUTS = [*[f"lag_{k}" for k in (1, 2, 3, 7, 14, 21, 28)], *[f"{n}_{k}" for k in (7, 14, 28) for n in ("mean", "std", "min", "max")], *[f"mom_{k}" for k in (7, 14, 28)], "vol_7", "vol_28", "dow"]
@@ -141,12 +139,3 @@ def fit_gbt(s, d):
 
 
 add("fit_gbt", None, fit_gbt)
-NAT = f"nat AS ({LASPEYRES})"
-add("fare_benchmark", cell_sql("", "weights").rstrip() + ", " + NAT + ", official AS (SELECT cast(date_trunc('month', o_orderdate) AS DATE) AS obs_date, avg(o_totalprice / 100) AS official FROM orders GROUP BY 1) SELECT horizon, round(avg(abs(index_value / 100 * 1500 - official)), 3) AS mae, count(*) AS n FROM nat JOIN official USING (obs_date) GROUP BY horizon", lambda s, d: _bench(s, d))
-
-
-def _bench(s, d):
-    from pricewell.operators import index as ix
-
-    official = read(s, d, "orders").groupBy(F.to_date(F.date_trunc("month", "o_orderdate")).alias("obs_date")).agg(F.avg(F.col("o_totalprice") / 100).alias("official"))
-    return a.fare_benchmark(ix.laspeyres(based(s, d), weights(s, d)), official, "obs_date", ["horizon"])
