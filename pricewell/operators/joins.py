@@ -92,11 +92,32 @@ def _pair_off(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by, "__open", "__n", "__l", "__r").agg(*rest).drop("__open", "__n", "__l", "__r")
 
 
+#: Islands of a key that are matched together.
+ISLANDS = 64
+
+
+def islands(rows: DataFrame, keys: list[str], x: str, gap: float, out: str = "island") -> DataFrame:
+    """Column ``out``: numbers the runs of a key's values in which no two neighbours are more than ``gap`` apart; rows without a value are left out.
+
+    Values are dealt into buckets as wide as the gap, within which no run can end; the least and greatest of each bucket tell where one does. So the
+    order of a key is kept over its buckets, not over its rows, and a hot key is never sorted as a whole.
+    """
+    width = max(float(gap), 1e-9)
+    rows = rows.where(F.col(x).isNotNull()).withColumn("__bucket", F.floor(F.col(x) / width))
+    spans = rows.groupBy(*keys, "__bucket").agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))
+    w = Window.partitionBy(*keys).orderBy("__bucket")
+    runs = spans.withColumn(out, F.sum(F.coalesce((F.col("__lo") - F.lag("__hi").over(w) > gap).cast("long"), F.lit(0))).over(w))
+    runs = runs.select(*[F.col(c).alias(f"__{c}") for c in keys], F.col("__bucket").alias("__b"), out)
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
+    return rows.join(runs, reduce(and_, same, F.col("__bucket") == F.col("__b"))).drop("__bucket", "__b", *[f"__{c}" for c in keys])
+
+
 def match_nearest(left: DataFrame, right: DataFrame, key: list[str], minutes: str, tol: int = 35, lid: str = "lid", rid: str = "rid", exact: str | None = None) -> DataFrame:
     """One-to-one matches (lid, rid, delta): equal ``exact`` columns first, then pairs that are each other's nearest by (delta, ids), until none is left.
 
     Rows with a null key match nothing, malformed times (null, NaN or below 0) match by ``exact`` only. An id names one row. Equal ``exact`` values and equal
-    times are paired by number, in order of the ids. Of each minute only one side is left then; these quotes of one key are matched in one task, without their pairs.
+    times are paired by number, in order of the ids. Of each minute only one side is left then; a key's quotes are cut into ``islands`` wherever more than the tolerance lies
+    between neighbours, as these can't match each other, and ISLANDS of them are matched in a task, without their pairs.
     """
     import pandas as pd
 
@@ -116,15 +137,18 @@ def match_nearest(left: DataFrame, right: DataFrame, key: list[str], minutes: st
     rows = _pair_off(rows.drop("x"), [*keys, "minutes"])
     paired = F.col("lid").isNotNull() & F.col("rid").isNotNull()
 
-    def match(_, one, two):
-        # times are judged here and not in Spark, so that all uses of ``rows`` share one exchange
-        one, two = one.set_axis([*keys, "minutes", "lid"], axis=1), two.set_axis([*keys, "minutes", "rid"], axis=1)
-        return pd.DataFrame(_greedy(one[one["minutes"].notna()], two[two["minutes"].notna()], tol), columns=["lid", "rid", "delta"])
+    # What is left of ``rows`` is told by the result of the pairing, not by the times, so that all uses of ``rows`` share one exchange.
+    free = islands(rows.select(*keys, F.when(~paired, F.col("minutes")).alias("minutes"), "lid", "rid"), keys, "minutes", tol)
+    free = free.withColumn("__group", F.floor(F.col("island") / ISLANDS))
+
+    # Ids stay what they are: a null among integers would make pandas take them for floats.
+    whole = lambda c, df, name: F.coalesce(c, F.lit(0).cast(kind(df, name))).alias(c)
+    free = free.select(*keys, "__group", "minutes", F.col("lid").isNotNull().alias("is_left"), whole("lid", left, lid), whole("rid", right, rid))
+
+    def match(pdf):
+        return pd.DataFrame(_greedy(pdf[pdf["is_left"]], pdf[~pdf["is_left"]], tol), columns=["lid", "rid", "delta"])
 
-    # names of their own: columns of one origin on both sides would be taken for each other
-    lefts, rights = (rows.where(F.col(other).isNull()).select(*[F.col(c).alias(f"{own}_{c}") for c in (*keys, "minutes", own)]) for own, other in (("lid", "rid"), ("rid", "lid")))
-    groups = lefts.groupBy(*[f"lid_{k}" for k in keys]).cogroup(rights.groupBy(*[f"rid_{k}" for k in keys]))
-    near = groups.applyInPandas(match, f"lid {kind(left, lid)}, rid {kind(right, rid)}, delta double")
+    near = free.groupBy(*keys, "__group").applyInPandas(match, f"lid {kind(left, lid)}, rid {kind(right, rid)}, delta double")
     pairs = rows.where(paired).select("lid", "rid", F.lit(0.0).alias("delta")).unionByName(near)
     return pairs.select("lid", "rid", F.col("delta").cast(left.schema[minutes].dataType).alias("delta"))
 

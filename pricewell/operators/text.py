@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator, Sequence
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 # Fixed patterns.
 PRICE = r"(?:₹|INR|Rs\.?)\s*([0-9][0-9,]*(?:\.[0-9]+)?)"
@@ -13,7 +20,7 @@ TIME = r"\b([01]?[0-9]|2[0-3]):([0-5][0-9])\b"
 STOPS = r"(?i)([0-9]+)\s*stops?"
 DURATION = r"([0-9]{1,2})\s*h(?:\s*([0-9]{1,2})\s*m)?"
 DATES = r"([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[- ][A-Z][a-z]{2}[- ][0-9]{4}|[A-Z][a-z]{2} [0-9]{1,2},? [0-9]{4}|[0-9]{1,2} [A-Z][a-z]{2}\b|[A-Z][a-z]{2} [0-9]{1,2}\b)"
-PRICE_KEYS = ["price", "fare", "total_fare", "amount", "totalprice", "total"]
+PRICE_KEYS = ["fareamount", "totalfare", "totalprice", "grandtotal", "totalamount"]
 
 
 def card_fields(df: DataFrame, text: str) -> DataFrame:
@@ -63,33 +70,58 @@ def read_word_rows(spark, path: str) -> DataFrame:
     return rows.where("level = '5' and trim(text) <> ''").select(num("page_num").cast("long").alias("page"), "text", num("left").alias("x1"), num("top").alias("y1"), (num("left") + num("width")).alias("x2"), (num("top") + num("height")).alias("y2"), (num("conf") / 100).alias("score"))
 
 
-def json_depth(payload: Column) -> Column:
-    """How deep the objects and lists of a JSON text are nested; brackets within strings don't count."""
-    brackets = F.regexp_replace(F.regexp_replace(payload, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', ""), r"[^\[\]{}]", "")
-    step = lambda a, c: F.struct((a["at"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("at"), F.greatest(a["top"], a["at"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("top"))
-    chars = F.filter(F.split(brackets, ""), lambda c: c != "")
-    return F.aggregate(chars, F.struct(F.lit(0).alias("at"), F.lit(0).alias("top")), step, lambda a: a["top"])
-
-
-def json_values(df: DataFrame, payload: str, key: str, depth: int | None = None) -> DataFrame:
-    """Every value under ``key`` at any level, as text: one row each. ``depth``: levels to look at, by default those that the deepest payload has."""
-    if depth is None:
-        depth = max(1, df.agg(F.max(json_depth(F.col(payload)))).first()[0] or 1)
-    level = df.withColumn("__v", F.try_parse_json(payload)).drop(payload)
-    out = None
-    base = level.columns[:-1]
-    for _ in range(depth):
-        level = level.select(*base, "__v").lateralJoin(level.sparkSession.tvf.variant_explode_outer(F.col("__v").outer())).select(*base, F.col("key"), F.col("value").alias("__v")).where("__v is not null")
-        hit = level.where(F.col("key") == key).select(*base, F.coalesce(F.try_variant_get("__v", "$", "string"), F.to_json("__v")).alias("value"))
-        out = hit if out is None else out.unionByName(hit)
-    return out
-
-
-def json_prices(df: DataFrame, payload: str, id_: str, lo: float = 1500.0, hi: float = 60000.0, n: int = 6, keys: list[str] = PRICE_KEYS) -> DataFrame:
-    """Distinct candidate prices under known keys within a band, the n least per payload."""
-    found = F.regexp_extract_all(payload, F.lit(r'(?i)"(?:' + "|".join(keys) + r')"\s*:\s*"?([0-9]+(?:\.[0-9]+)?)'), 1)
-    prices = F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda x: x.try_cast("double")), lambda x: x.between(lo, hi))))
-    return df.select(id_, F.posexplode(F.slice(prices, 1, n)).alias("rank", "price"))
+def json_pairs(payload: str | None) -> Iterator[tuple[str, object]]:
+    """Every (key, value) of a JSON text's objects at any depth, an object's key before what is within its value; nothing if the text is no JSON."""
+    try:
+        todo = [json.loads(payload)] if payload is not None else []
+    except (ValueError, RecursionError):
+        return
+    while todo:
+        node = todo.pop()
+        if isinstance(node, tuple):
+            yield node
+            node = node[1]
+        if isinstance(node, dict):
+            todo.extend(reversed(node.items()))
+        elif isinstance(node, list):
+            todo.extend(reversed(node))
+
+
+def _from_payloads(df: DataFrame, payload: str, find, name: str, kind: str) -> DataFrame:
+    """The rows of ``df`` without ``payload``, repeated for each value that ``find(payload)`` gives, which is in column ``name``. One scan in Arrow batches, however deep the payloads are."""
+    base = [c for c in df.columns if c != payload]
+    schema = StructType([*(df.schema[c] for c in base), StructField(name, _parse_datatype_string(kind))])
+    value = to_arrow_type(schema[name].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [list(find(p)) for p in batch.column(len(base)).to_pylist()]
+            rows = batch.select(base).take(pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())) if base else None
+            values = pa.array([v for f in found for v in f], value)
+            yield pa.RecordBatch.from_arrays([*(rows.columns if rows is not None else []), values], [*base, name])
+
+    return df.select(*base, payload).mapInArrow(run, schema)
+
+
+def json_values(df: DataFrame, payload: str, key: str, most: int | None = None) -> DataFrame:
+    """Every value under ``key`` at any level, as text, in the order of the payload: one row each, at most ``most`` (None: all) a payload. A null is the text null."""
+
+    def find(p):
+        hits = (v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, separators=(",", ":")) for k, v in json_pairs(p) if k == key)
+        return islice(hits, most)
+
+    return _from_payloads(df, payload, find, "value", "string")
+
+
+def json_prices(df: DataFrame, payload: str, id_: str, lo: float = 1500.0, hi: float = 60000.0, n: int = 6, keys: Sequence[str] = PRICE_KEYS) -> DataFrame:
+    """Distinct numbers within a band under known keys (of any case, at any level), the n least per payload with their rank. Numbers in quotes are texts and don't count."""
+    known = frozenset(k.lower() for k in keys)
+
+    def find(p):
+        prices = {float(v) for k, v in json_pairs(p) if k.lower() in known and isinstance(v, (int, float)) and not isinstance(v, bool) and lo <= v <= hi}
+        return [{"rank": i, "price": x} for i, x in enumerate(sorted(prices)[:n])]
+
+    return _from_payloads(df.select(id_, payload), payload, find, "found", "struct<rank:int,price:double>").select(id_, "found.*")
 
 
 AVAILABILITY = "struct<trips:array<struct<journeys:array<struct<flight:string,departure:string,fares:array<struct<key:string,seats:int>>>>>>,catalog:map<string,double>>"

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewell.functions.columns import money, severity
 
-from .analytics import safe_corr
+from .analytics import order_stats, quantile_ranks, safe_corr
 from .joins import asof_join
 
 
@@ -16,19 +19,32 @@ def _day(c: str) -> Column:
 
 
 def robust_scores(df: DataFrame, keys: list[str], date: str, x: str, days: int | None = None, floor: float = 0.02) -> DataFrame:
-    """Robust z and Tukey fences of the last ``days`` of every series, with severity; moves under ``floor`` of the median are NONE. Rows that are not finite are out."""
-    w = Window.partitionBy(*keys)
-    rows = df.where(F.col(x).isNotNull() & ~F.isnan(x))
+    """Robust z and Tukey fences of the last ``days`` of every series, with severity; moves under ``floor`` of the median are NONE. Rows that are not finite are out.
+
+    Medians and quartiles are those of ``order_stats``, joined back by series, so that no series is sorted as a whole.
+    """
+    rows = df.where(F.col(x).isNotNull() & ~F.isnan(x)).drop("n", "median", "mad")
     if days:
-        rows = rows.withColumn("__last", F.max(date).over(w)).where(F.datediff("__last", date) < days).drop("__last")
-    rows = rows.withColumn("n", F.count(x).over(w)).withColumn("median", F.median(x).over(w)).withColumn("__q", F.percentile(x, [0.25, 0.75]).over(w)).withColumn("__d", F.abs(F.col(x) - F.col("median")))
-    rows = rows.withColumn("mad", F.median("__d").over(w))
+        last = rows.groupBy(*keys).agg(F.max(date).alias("__last"))
+        rows = _with(rows, last, keys).where(F.datediff("__last", date) < days).drop("__last")
+    ranks, values = quantile_ranks(median=0.5, __q1=0.25, __q3=0.75)
+    middle = order_stats(rows, keys, x, ranks).select(*keys, "n", *[v.alias(c) for c, v in values.items()])
+    rows = _with(rows, middle, keys).withColumn("__d", F.abs(F.col(x) - F.col("median")))
+    ranks, values = quantile_ranks(mad=0.5)
+    rows = _with(rows, order_stats(rows, keys, "__d", ranks).select(*keys, values["mad"].alias("mad")), keys)
     z = F.when((F.col("n") < 3) | (F.col("mad") == 0), 0.0).otherwise(0.6745 * (F.col(x) - F.col("median")) / F.nullif(F.col("mad"), F.lit(0.0)))
-    lo, hi = F.col("__q")[0], F.col("__q")[1]
+    lo, hi = F.col("__q1"), F.col("__q3")
     outside = lambda m: (F.col(x) < lo - m * (hi - lo)) | (F.col(x) > hi + m * (hi - lo))
     dev = F.coalesce(F.abs(F.col(x) - F.col("median")) / F.nullif(F.col("median"), F.lit(0.0)), F.lit(0.0))
     rows = rows.withColumn("z", z).withColumn("inner_breach", outside(1.5)).withColumn("outer_breach", outside(3.0))
-    return rows.withColumn("severity", F.when(dev < floor, "NONE").otherwise(severity(F.col("z"), F.col("inner_breach"), F.col("outer_breach")))).drop("__q", "__d")
+    return rows.withColumn("severity", F.when(dev < floor, "NONE").otherwise(severity(F.col("z"), F.col("inner_breach"), F.col("outer_breach")))).drop("__q1", "__q3", "__d")
+
+
+def _with(rows: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the columns of their series in ``stats``, null keys included."""
+    named = stats.withColumnsRenamed({k: f"__of_{k}" for k in keys})
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys]) if keys else F.lit(True)
+    return rows.join(named, on).drop(*[f"__of_{k}" for k in keys])
 
 
 def anomaly_report(scored: DataFrame, keys: list[str]) -> DataFrame:
@@ -224,10 +240,9 @@ def expand_shares(hist: DataFrame, day: str, share: str, n: int = 1000) -> DataF
 
 def conformal(residuals: DataFrame, keys: list[str], r: str, alpha: float = 0.1) -> DataFrame:
     """Half width of the split-conformal interval: the ceil((n + 1)(1 - alpha))-th least |residual| (the greatest if there are too few)."""
-    w = Window.partitionBy(*keys)
-    rows = residuals.withColumn("__a", F.abs(F.col(r))).withColumn("__k", F.row_number().over(w.orderBy("__a"))).withColumn("n", F.count(F.lit(1)).over(w))
-    k = F.least(F.col("n"), F.ceil((F.col("n") + 1) * (1 - alpha)))
-    return rows.where(F.col("__k") == k).select(*keys, F.round("__a", 4).alias("half_width"), "n")
+    k = F.least(F.col("n"), F.ceil((F.col("n") + 1) * (1 - alpha))) - 1
+    stats = order_stats(residuals.withColumn("__a", F.abs(F.col(r))), keys, "__a", {"half_width": k})
+    return stats.select(*keys, F.round("half_width", 4).alias("half_width"), "n")
 
 
 def model_metrics(pred: DataFrame, by: list[str], actual: str, p: str, lo: str, hi: str) -> DataFrame:

@@ -42,13 +42,32 @@ add("stream_sessions", "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SE
 
 
 def late_repair(s, d):
+    """Events in three batches by their number; most of the second and third batch are behind the ones before."""
+    out = o.sink_dir(s)
+    for k in range(3):  # files of their own, read in the order of their times
+        events(s, d).where(f"event_id % 3 = {k}").coalesce(1).write.mode("append").parquet(f"{out}-in")
+    arriving = s.readStream.schema(events(s, d).schema).option("maxFilesPerTrigger", 1).parquet(f"{out}-in")
+    per_day = lambda rows: rows.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    table, late = o.repair_stream(arriving, out, "ts", per_day)
+    behind = late.groupBy("day").agg(F.count(F.lit(1)).alias("late"))
+    return table.join(behind, "day", "left").select("day", "n", "total", F.coalesce("late", F.lit(0)).alias("late"))
+
+
+LATE_SQL = """WITH marks AS (SELECT max(ts) FILTER (event_id % 3 = 0) AS m0, max(ts) FILTER (event_id % 3 < 2) AS m1 FROM events)
+SELECT cast(ts AS DATE) AS day, count(*) AS n, round(sum(value), 4) AS total,
+  count(*) FILTER ((event_id % 3 = 1 AND ts < m0 - INTERVAL 1 HOUR) OR (event_id % 3 = 2 AND ts < m1 - INTERVAL 1 HOUR)) AS late
+FROM events, marks GROUP BY 1"""
+add("late_repair", LATE_SQL, late_repair)
+
+
+def repaired_batch(s, d):
     """The daily table without its last ten days, repaired by a batch of late rows."""
     e = events(s, d).withColumn("day", F.to_date("ts"))
     daily = lambda x: x.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
     return o.late_repair(daily(e.where("day < '2024-01-21' and event_id % 2 = 0")), e.where("day >= '2024-01-10'"), ["day"], lambda keys: daily(e.join(keys, "day", "left_semi")))
 
 
-add("late_repair", "SELECT cast(ts AS DATE) AS day, count(*) FILTER (cast(ts AS DATE) >= DATE '2024-01-10' OR event_id % 2 = 0) AS n FROM events GROUP BY 1", late_repair)
+add("repaired_batch", "SELECT cast(ts AS DATE) AS day, count(*) FILTER (cast(ts AS DATE) >= DATE '2024-01-10' OR event_id % 2 = 0) AS n FROM events GROUP BY 1", repaired_batch)
 _F = "map('flight_number', '6E-100', 'origin_airport', if(event_id % 31 = 0, '', 'DEL'), 'destination_airport', 'BOM', 'travel_date', '2024-01-01', 'total_fare', cast(value + 1 as string))"
 add("stream_drift", "SELECT count(*) AS records_checked, count(*) FILTER (event_id % 31 <> 0) AS clean_count, count(*) FILTER (event_id % 31 = 0) AS drift_count, false AS is_drifting, false AS collapsed, 0 AS batch FROM events", lambda s, d: o.stream_drift(stream(s, d).select(F.expr(_F).alias("fields"))))
 add("stream_enrich", "SELECT c_mktsegment, count(*) AS n FROM events JOIN customer ON user_id = c_custkey GROUP BY 1", lambda s, d: o.drain(o.stream_enrich(stream(s, d).withColumnRenamed("user_id", "c_custkey"), (read(s, d, "customer"), "c_custkey")).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")), "complete"))

@@ -26,7 +26,8 @@ add("card_fields", "SELECT p_partkey, p_retailprice AS price, 'DEL' AS origin, '
 add("card_dates", "SELECT o_orderkey, cast(o_orderdate AS DATE) AS travel_date, cast(o_orderdate + INTERVAL 3 DAY AS DATE) AS return_date FROM orders", lambda s, d: t.card_dates(read(s, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("ref"), F.expr("'from ' || date_format(o_orderdate, 'd MMM yyyy') || ' back ' || date_format(date_add(o_orderdate, 3), 'yyyy-MM-dd')").alias("text")), "text", "ref").select("o_orderkey", "travel_date", "return_date"))
 add("cluster_tokens", "SELECT l_orderkey AS page, count(*) AS tokens, count(DISTINCT l_linenumber) AS cards FROM lineitem GROUP BY 1", lambda s, d: t.cluster_tokens(read(s, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_returnflag").alias("text"), F.col("l_partkey").cast("double").alias("x1"), (F.col("l_linenumber") * 100.0).alias("y1"), (F.col("l_partkey") + 10.0).alias("x2"), (F.col("l_linenumber") * 100.0 + 10).alias("y2")), "page").groupBy("page").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("cards")))
 add("json_values", "SELECT event_id, cast(json_extract(props, '$.k') AS VARCHAR) AS value FROM events", lambda s, d: t.json_values(events(s, d).select("event_id", F.expr("'{\"a\":[{\"b\":' || props || '}]}'").alias("payload")), "payload", "k"))
-add("json_prices", "SELECT o_orderkey, 0 AS rank, o_totalprice AS price FROM orders WHERE o_totalprice BETWEEN 1500 AND 60000", lambda s, d: t.json_prices(read(s, d, "orders").select("o_orderkey", F.expr("to_json(struct(struct(o_totalprice as price, 12 as fare) as x, cast(o_totalprice as string) as amount))").alias("payload")), "payload", "o_orderkey"))
+PRICED = "to_json(struct(struct(o_totalprice as totalPrice, 12 as fareAmount, array(struct(o_totalprice + 100 as GRANDTOTAL, o_custkey as price)) as legs) as x, cast(o_totalprice as string) as totalamount, struct(struct(o_totalprice as totalFare) as y) as total))"
+add("json_prices", "SELECT o_orderkey, rank::INTEGER AS rank, round(price, 2) AS price FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY price) - 1 AS rank FROM (SELECT o_orderkey, unnest([o_totalprice, o_totalprice + 100]) AS price FROM orders) WHERE price BETWEEN 1500 AND 60000)", lambda s, d: t.json_prices(read(s, d, "orders").select("o_orderkey", F.expr(PRICED).alias("payload")), "payload", "o_orderkey").withColumn("price", F.round("price", 2)))
 AV = "to_json(struct(array(struct(array(struct(concat('6E-', o_orderkey) as flight, '06:30' as departure, array(struct('a' as key, 3 as seats), struct('b' as key, 0 as seats)) as fares)) as journeys)) as trips, map('a', o_totalprice, 'b', o_totalprice + 10) as catalog))"
 add("flatten_availability", "SELECT o_orderkey, '6E-' || o_orderkey AS flight, '06:30' AS departure, o_totalprice AS price, 3 AS seats FROM orders", lambda s, d: t.flatten_availability(read(s, d, "orders").select("o_orderkey", F.expr(AV).alias("payload")), "payload", "o_orderkey"))
 OF = "to_json(struct(array(struct(o_totalprice as total, cast(o_orderkey % 2 as int) as seats, array(struct(concat('6E-', o_orderkey) as flight, '06:30' as departure)) as flights), struct(o_totalprice + 5 as total, 4 as seats, array(struct(concat('6E-', o_orderkey) as flight, '06:30' as departure)) as flights)) as offers))"

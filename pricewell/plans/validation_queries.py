@@ -53,7 +53,7 @@ SELECT route, {money_sql("avg(abs(index_fare - official))")} AS mae, {money_sql(
   {money_sql("100 * avg(abs(index_fare - official) / greatest(official, 1))")} AS mape, {money_sql("avg(index_fare - official)")} AS bias,
   {money_sql("avg(deviation_pct)")} AS mean_deviation_pct, {money_sql("100 * avg(same)", 1)} AS directional_accuracy,
   {money_sql(corr_sql("official", "index_fare"), 3)} AS correlation, count(*) AS n_months
-FROM steps GROUP BY ROLLUP (route)"""))
+FROM steps GROUP BY ROLLUP (route) HAVING count(*) > 0"""))
 def fare_benchmark(spark, sf_dir):
     return v.fare_benchmark(compared(spark, sf_dir))
 
@@ -65,7 +65,7 @@ each AS (
     coalesce({corr_sql("official", "index_fare")}, 0) AS correlation
   FROM steps GROUP BY ALL)
 SELECT route, {", ".join(f"{money_sql(f'avg({m})', 4)} AS mean_{m}" for m in ("mae", "rmse", "mape", "bias", "directional_accuracy", "correlation"))}, count(*) AS n_periods
-FROM each GROUP BY ROLLUP (route)"""))
+FROM each GROUP BY ROLLUP (route) HAVING count(*) > 0"""))
 def validation_summary(spark, sf_dir):
     """Years are the periods, so that direction and correlation are defined."""
     return v.validation_summary(compared(spark, sf_dir), F.substring("month", 1, 4))

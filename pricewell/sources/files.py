@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pricewell.operators.joins import latest_per, replace_by_key
 
@@ -16,13 +18,13 @@ TAX = "effective_from date, effective_to string, tax_type string, rate double, s
 MONTHLY = "route_code string, period string, sector string, fare double"
 
 
-def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _csv(spark: SparkSession, path: str, schema: str, *more: Column) -> DataFrame:
     """The schema's columns by their names in the header, in whatever order; values that are not of their type are null. A missing column is an error, further ones are left out."""
     rows = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     wanted = [c.strip().split(" ") for c in schema.split(",")]
     if missing := [name for name, _ in wanted if name not in rows.columns]:
         raise ValueError(f"missing columns: {missing}")
-    return rows.select(*[F.col(name).try_cast(kind).alias(name) for name, kind in wanted])
+    return rows.select(*[F.col(name).try_cast(kind).alias(name) for name, kind in wanted], *more)
 
 
 def _upsert(rows: DataFrame, old: DataFrame | None, keys: list[str]) -> DataFrame:
@@ -49,19 +51,30 @@ def read_tax(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_monthly_fares(spark: SparkSession, path: str, routes: DataFrame) -> DataFrame:
-    """Known routes only, of a route, month and sector the first row of the file; a file without the required columns is an error."""
-    rows = _csv(spark, path, MONTHLY).withColumn("__at", F.monotonically_increasing_id())
+    """Known routes only, of a route, month and sector the first row of the file, of several files that of the first by name; a file without the required columns is an error.
+
+    A row's place is its file, the start of its split in it, and its number within the task, which rises along a split.
+    """
+    rows = _csv(spark, path, MONTHLY, F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("__at"))
     rows = rows.join(routes.select("route_code"), "route_code", "left_semi")
     first = rows.groupBy("route_code", "period", "sector").agg(F.min_by("fare", "__at").alias("fare"))
     return first
 
 
-def scan_fares(df: DataFrame, day=None, horizon: int | None = None, route: str | None = None) -> DataFrame:
-    """Equality filters that reach the scan."""
+def write_fares(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Quotes in folders by day and horizon, so that ``scan_fares`` reads only those it is asked for. A hot day is written by several tasks."""
+    df.hint("rebalance", "obs_date", "horizon").write.mode(mode).partitionBy("obs_date", "horizon").parquet(path)
+
+
+def scan_fares(df: DataFrame, day=None, horizon: int | None = None, route: str | None = None, days: DataFrame | None = None) -> DataFrame:
+    """Equality filters that reach the scan; of a table written by ``write_fares`` the folders of other days and horizons are not read.
+
+    ``days`` (obs_date) keeps the quotes of its days; folders are then chosen while the query runs. It has a row a day of the calendar at most, so it is broadcast.
+    """
     for c, v in (("obs_date", day), ("horizon", horizon), ("route", route)):
         if v is not None:
             df = df.where(F.col(c) == F.lit(v))
-    return df
+    return df if days is None else df.join(F.broadcast(days.select("obs_date").where("obs_date is not null").distinct()), "obs_date", "left_semi")
 
 
 def align_schema(df: DataFrame, target: dict[str, tuple[str, object]]) -> DataFrame:
@@ -115,15 +128,45 @@ def hashed(df: DataFrame, content: str = "content") -> DataFrame:
     return df.withColumn("payload_hash", F.sha2(F.col(content).cast("binary"), 256))
 
 
-def store_payloads(df: DataFrame, path: str, ts: str = "ts", content: str = "content", old: DataFrame | None = None) -> DataFrame:
-    """Write each new payload once, by day; what is in the store already is left as it is. The rows written, read back: each run has its number in ``run``."""
-    run = uuid.uuid4().hex
-    rows = latest_per(hashed(df, content), ["payload_hash"], [ts])
-    if old is not None:
-        rows = rows.join(old.select("payload_hash"), "payload_hash", "left_anti")
+def _folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of the folders that match."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return sorted(f.getPath().toString() for f in found or [])
+
+
+def store_payloads(df: DataFrame, path: str, ts: str = "ts", content: str = "content") -> DataFrame:
+    """Write each new payload once, by content hash; what is in the store already is left as it is. The rows written, read back.
+
+    The store is dealt into 256 folders by the hash, within these by run. The hashes of the folders concerned are read, not the payloads, and a manifest names the folders that a run
+    wrote, which alone are read back. Runs at the same time may both write a hash: ``stored_payloads`` takes that of the earlier run.
+    """
+    spark, run = df.sparkSession, f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    rows = latest_per(hashed(df, content), ["payload_hash"], [ts]).withColumn("prefix", F.substring("payload_hash", 1, 2))
+    if _folders(spark, f"{path}/prefix=*"):
+        rows = rows.join(spark.read.parquet(path).select("prefix", "payload_hash"), ["prefix", "payload_hash"], "left_anti")
     rows = rows.withColumns({"y": F.year(ts), "m": F.month(ts), "d": F.dayofmonth(ts), "run": F.lit(run)})
-    rows.write.mode("append").partitionBy("y", "m", "d").parquet(path)
-    return df.sparkSession.read.parquet(path).where(F.col("run") == run)
+    rows.write.mode("append").partitionBy("prefix", "run").parquet(path)
+    written = _folders(spark, f"{path}/prefix=*/run={run}")  # at most 256
+    manifest = spark.createDataFrame([(run, w.rsplit("prefix=", 1)[1].split("/")[0]) for w in written], "run string, prefix string")
+    manifest.coalesce(1).write.mode("append").json(f"{path}/_manifests/run={run}")
+    return payloads_of_run(spark, path, run, rows.schema)
+
+
+def payloads_of_run(spark: SparkSession, path: str, run: str, schema: StructType | None = None) -> DataFrame:
+    """What a run wrote, from the folders that its manifest names."""
+    names = [r["prefix"] for r in spark.read.schema("prefix string").json(f"{path}/_manifests/run={run}").collect()]
+    if not names:
+        return spark.createDataFrame([], schema or spark.read.parquet(path).schema)
+    reader = spark.read.option("basePath", path)
+    return (reader.schema(schema) if schema else reader).parquet(*[f"{path}/prefix={n}/run={run}" for n in names])
+
+
+def stored_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """The store, each hash once: as the earliest run wrote it."""
+    rows = spark.read.parquet(path)
+    first = rows.groupBy("prefix", "payload_hash").agg(F.min("run").alias("run"))
+    return rows.join(first, ["prefix", "payload_hash", "run"], "left_semi")
 
 
 def verify_payloads(df: DataFrame, content: str = "content", stored: str | Column = "payload_hash") -> DataFrame:

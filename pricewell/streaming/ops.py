@@ -133,6 +133,32 @@ def late_repair(table: DataFrame, batch: DataFrame, keys: list[str], recompute)
     return replace_by_key(table, recompute(batch.select(*keys).distinct()), keys)
 
 
+def repair_stream(sdf: DataFrame, out: str, ts: str, recompute, delay: float = 3600.0) -> tuple[DataFrame, DataFrame]:
+    """Run a stream into a table of days that late rows repair: (the table, the late rows).
+
+    A row is late if its day's results were final: its time is more than ``delay`` seconds before the latest of the batches before its own. Each batch's rows are kept by day, late
+    ones in a side table as well, and the days that a batch touches are computed anew from all their rows by ``recompute(rows)`` (column ``day``) and replaced; other days are not
+    read. A batch that runs again after a failure writes the same files.
+    """
+    spark = sdf.sparkSession
+
+    def step(batch: DataFrame, k: int) -> None:
+        marks = [r["mark"] for r in spark.read.schema("batch int, mark double").json(f"{out}/marks").where(F.col("batch") < k).collect()] if k else []
+        seconds = F.col(ts).cast("timestamp").cast("double")
+        late = seconds < F.lit(max(marks, default=float("-inf")) - delay)
+        rows = batch.withColumn("day", F.to_date(ts)).withColumn("late", F.coalesce(late, F.lit(False)))
+        rows.write.mode("overwrite").partitionBy("day").parquet(f"{out}/rows/batch={k}")
+        mine = spark.read.parquet(f"{out}/rows/batch={k}")
+        mine.where("late").write.mode("overwrite").parquet(f"{out}/late/batch={k}")
+        facts = mine.agg(F.max(seconds).alias("mark"), F.collect_set("day").alias("days")).first()  # days of a batch, not rows
+        spark.createDataFrame([(k, facts["mark"] if facts["mark"] is not None else float("-inf"))], "batch int, mark double").coalesce(1).write.mode("overwrite").json(f"{out}/marks/batch={k}")
+        touched = spark.read.option("basePath", f"{out}/rows").parquet(f"{out}/rows").where(F.col("day").isin(facts["days"]) & (F.col("batch") <= k))
+        recompute(touched.drop("batch", "late")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{out}/table")
+
+    sdf.writeStream.foreachBatch(step).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/table"), spark.read.parquet(f"{out}/late")
+
+
 def stream_drift(sdf: DataFrame, fields: str = "fields") -> DataFrame:
     """A drift report for every micro-batch: (batch, counts, is_drifting)."""
     spark, out = sdf.sparkSession, sink_dir(sdf.sparkSession)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricewell.functions.columns import money
-from pricewell.operators import analytics, clean
+from pricewell.operators import analytics, clean, joins
 from pricewell.operators import index as ix
 from pricewell.operators import text
 from pricewell.operators import timeseries as t
@@ -109,7 +109,7 @@ def test_store_returns_what_it_wrote(spark, tmp_path):
     day = dt.datetime(2024, 1, 2)
     df = lambda *texts: spark.createDataFrame([(x, day) for x in texts], "content string, ts timestamp")
     assert sorted(r["content"] for r in files.store_payloads(df("a", "b", "a"), path).collect()) == ["a", "b"]
-    new = files.store_payloads(df("b", "c"), path, old=spark.read.parquet(path))
+    new = files.store_payloads(df("b", "c"), path)
     assert [r["content"] for r in new.collect()] == ["c"] and spark.read.parquet(path).count() == 3
 
 
@@ -177,3 +177,119 @@ def test_summary_without_keys_or_rows(spark):
     empty = analytics.summary(df.where("x < 0"), [], "x").collect()
     assert len(empty) == 1 and empty[0]["mid_lo"] is None
     assert analytics.summary(df.where("x < 0").selectExpr("x", "'a' AS g"), ["g"], "x").collect() == []
+
+
+def test_islands(spark):
+    rows = [("a", float(m)) for m in (0, 10, 34, 69, 105, 140, 141, 300)] + [("b", 5.0), ("b", 41.0), (None, 1.0), (None, 36.0), ("a", None)]
+    got = {(r["k"], r["m"]): r["island"] for r in joins.islands(spark.createDataFrame(rows, "k string, m double"), ["k"], "m", 35).collect()}
+    assert got == {("a", 0.0): 0, ("a", 10.0): 0, ("a", 34.0): 0, ("a", 69.0): 0, ("a", 105.0): 1, ("a", 140.0): 1, ("a", 141.0): 1, ("a", 300.0): 2, ("b", 5.0): 0, ("b", 41.0): 1, (None, 1.0): 0, (None, 36.0): 0}
+
+
+def test_hot_key_is_matched_in_many_groups(spark):
+    left = spark.range(3000).selectExpr("'x' as k", "id as lid", "cast(id * 100 as double) as minutes")
+    right = spark.range(3000).selectExpr("'x' as k", "id as rid", "cast(id * 100 + id % 50 as double) as minutes")
+    got = joins.match_nearest(left, right, ["k"], "minutes")
+    assert {(r["lid"], r["rid"]) for r in got.collect()} == {(i, i) for i in range(3000) if i % 50 <= 35}
+    free = joins.islands(left, ["k"], "minutes", 35).selectExpr("island div 64 as g").distinct().count()
+    assert free > 40
+
+
+def test_first_row_of_the_first_file(spark, tmp_path):
+    routes = spark.createDataFrame([("A-B",), ("C-D",)], "route_code string")
+    folder = tmp_path / "fares"
+    folder.mkdir()
+    lines = [f"A-B,2024-{m:02d},x,{m}" for m in range(1, 13)] + ["C-D,2024-01,x,7"] * 200 + [f"A-B,2024-{m:02d},x,{m + 100}" for m in range(1, 13)]
+    write(folder / "a.csv", "route_code,period,sector,fare\n" + "\n".join(lines) + "\n")
+    write(folder / "b.csv", "route_code,period,sector,fare\nA-B,2024-01,x,999\nE-F,2024-01,x,5\nC-D,2025-01,x,8\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")  # several splits of the first file
+    try:
+        rows = files.read_monthly_fares(spark, str(folder), routes)
+        assert rows.rdd.getNumPartitions() > 0
+        got = {(r["route_code"], r["period"]): r["fare"] for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {**{("A-B", f"2024-{m:02d}"): float(m) for m in range(1, 13)}, ("C-D", "2024-01"): 7.0, ("C-D", "2025-01"): 8.0}
+
+
+def test_scan_reads_only_the_folders_asked_for(spark, tmp_path):
+    path = str(tmp_path / "fares")
+    days = [dt.date(2024, 1, d) for d in range(1, 11)]
+    quotes = spark.createDataFrame([(d, h, r, float(h)) for d in days for h in (1, 15) for r in ("A", "B")], "obs_date date, horizon int, route string, price double")
+    files.write_fares(quotes, path)
+    table = spark.read.parquet(path)
+    one = files.scan_fares(table, days[2], 15, "B")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(obs_date" in plan and "EqualTo(route,B)" in plan
+    assert [tuple(r) for r in one.select("route", "price").collect()] == [("B", 15.0)]
+    wanted = spark.createDataFrame([(days[0], "peak"), (days[9], "peak"), (days[4], "other")], "obs_date date, kind string").where("kind = 'peak'")
+    some = files.scan_fares(table, days=wanted)
+    assert "dynamicpruning" in some._jdf.queryExecution().executedPlan().toString()
+    assert some.count() == 8 and some.inputFiles()
+
+
+def test_store_by_hash(spark, tmp_path):
+    path = str(tmp_path / "store")
+    df = lambda *texts: spark.createDataFrame([(x, dt.datetime(2024, 1, 2)) for x in texts], "content string, ts timestamp")
+    files.store_payloads(df(*[f"page {i}" for i in range(50)]), path)
+    new = files.store_payloads(df("page 1", "page 50"), path)
+    assert [r["content"] for r in new.collect()] == ["page 50"]
+    assert all("/run=" in f for f in new.inputFiles()) and len(new.inputFiles()) == 1  # of some 50 files in the store
+    assert files.store_payloads(df("page 1"), path).count() == 0
+    first = spark.read.parquet(path).where("content = 'page 7'")
+    first.withColumn("run", F.lit("9")).write.mode("append").partitionBy("prefix", "run").parquet(path)  # a second run at the same time
+    assert spark.read.parquet(path).count() == 52 and files.stored_payloads(spark, path).count() == 51
+
+
+def test_stream_repairs_days(spark, tmp_path):
+    at = lambda day, hour: dt.datetime(2024, 1, day, hour)
+    batches = [[(1, at(1, 1)), (2, at(1, 20)), (3, at(2, 10))], [(4, at(1, 5)), (5, at(2, 11))], [(6, at(3, 1))]]
+    arriving = str(tmp_path / "in")
+    for rows in batches:
+        spark.createDataFrame(rows, "id long, ts timestamp").coalesce(1).write.mode("append").parquet(arriving)
+    seen = []
+
+    def recompute(rows):
+        seen.append(sorted(str(r["day"]) for r in rows.select("day").distinct().collect()))
+        return rows.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+
+    stream = spark.readStream.schema("id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(arriving)
+    table, late = ops.repair_stream(stream, str(tmp_path / "out"), "ts", recompute)
+    assert sorted((str(r["day"]), r["n"]) for r in table.collect()) == [("2024-01-01", 3), ("2024-01-02", 2), ("2024-01-03", 1)]
+    assert [r["id"] for r in late.collect()] == [4]
+    assert seen == [["2024-01-01", "2024-01-02"], ["2024-01-01", "2024-01-02"], ["2024-01-03"]]
+
+
+def test_json_prices_are_numbers_under_known_keys(spark):
+    rows = [(1, '{"a":[{"TotalFare":2000},{"grandTotal":"3000","totalprice":[{"fareAmount":2500.5}]}],"price":4000,"note":"\\"totalFare\\": 5000"}'), (2, '{"totalFare":true,"totalAmount":1499.9}'), (3, "broken"), (4, None), (5, json.dumps([{"totalFare": 1500 + i} for i in range(9)]))]
+    got = sorted((r["id"], r["rank"], r["price"]) for r in text.json_prices(spark.createDataFrame(rows, "id int, p string"), "p", "id").collect())
+    assert got == [(1, 0, 2000.0), (1, 1, 2500.5), *[(5, i, 1500.0 + i) for i in range(6)]]
+    small = len(text.json_values(spark.createDataFrame(rows[:1], "id int, p string"), "p", "k")._jdf.queryExecution().executedPlan().toString())
+    deep = spark.createDataFrame([(1, '{"x":' * 500 + '{"k":1}' + "}" * 500)], "id int, p string")
+    assert [r["value"] for r in text.json_values(deep, "p", "k").collect()] == ["1"]
+    assert len(text.json_values(deep, "p", "k")._jdf.queryExecution().executedPlan().toString()) == small
+
+
+def test_order_stats(spark):
+    rng = random.Random(9)
+    values = {"a": [rng.choice([rng.uniform(-5, 5), float(rng.randint(0, 3)), 1e6]) for _ in range(501)], "b": [2.0], None: [1.0, 4.0]}
+    df = spark.createDataFrame([(k, x) for k, v in values.items() for x in v] + [("c", None)], "k string, x double")
+    ranks, quantiles = analytics.quantile_ranks(mid=0.5, q9=0.9)
+    got = analytics.order_stats(df, ["k"], "x", {**ranks, "last": F.col("n") - 1, "beyond": F.col("n")})
+    for r in got.select("k", "n", "last", "beyond", *[v.alias(c) for c, v in quantiles.items()]).collect():
+        v = values[r["k"]]
+        assert (r["n"], r["last"], r["beyond"]) == (len(v), max(v), None)
+        assert r["mid"] == pytest.approx(np.quantile(v, 0.5)) and r["q9"] == pytest.approx(np.quantile(v, 0.9))
+    assert got.count() == 3
+
+
+def test_estimator_of_ones_own(spark):
+    from pricewell.operators import cells
+
+    cells.ESTIMATORS["MIDRANGE"] = lambda x, w: (F.min(x) + F.max(x)) / 2
+    try:
+        rows = [("r", dt.date(2024, 1, 1), 15, c, p, "AVAILABLE", "CARRIER_DIRECT", "BASIC", "ECONOMY") for c, p in (("A", 100.0), ("B", 104.0), ("C", 112.0))]
+        quotes = spark.createDataFrame(rows, "route string, obs_date date, horizon int, carrier string, base_fare double, status string, feed_type string, fare_family string, cabin string")
+        assert cells.representative_price(quotes, estimator="MIDRANGE").first()["price"] == 106.0
+    finally:
+        del cells.ESTIMATORS["MIDRANGE"]
