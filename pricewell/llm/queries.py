@@ -41,7 +41,8 @@ def op8_secret_forest(spark, sf_dir):
 
 
 def op9_quotation_linking(spark, sf_dir):
-    return quote_links.link_quotes(table(spark, sf_dir, "conversations"))
+    """The table holds no quotes, so each message quotes an earlier one of its conversation first."""
+    return quote_links.link_quotes(quote_links.with_quotes(table(spark, sf_dir, "conversations")))
 
 
 def op10_dictionary_warc(spark, sf_dir):
@@ -71,4 +72,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_source_mixing": mixing.SQL, "op6_url_filter": url_filter.SQL, "op10_dictionary_warc": warc.SQL}
+    return {"op4_source_mixing": mixing.SQL, "op6_url_filter": url_filter.SQL, "op9_quotation_linking": quote_links.SQL, "op10_dictionary_warc": warc.SQL}

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import pytest
 import xxhash
@@ -178,12 +179,17 @@ def test_threads_equal_brute_force(spark, monkeypatch):
     got = {(r["conv_id"], r["turn"]): r for r in quote_links.link_quotes(df).collect()}
     want = threads(rows)
     assert len(want) > 20 and {k: r["reply_to"] for k, r in got.items() if r["reply_to"] is not None} == want
-    for (c, t), r in got.items():
+    paths = {}
+    for c, t in got:
         path, at = [t], t
         while (c, at) in want:
             at = want[c, at]
             path.insert(0, at)
-        assert r["path"] == path and r["root"] == path[0] and r["depth"] == len(path) - 1
+        paths[c, t] = path
+    for (c, t), r in got.items():
+        path = paths[c, t]
+        tree = sorted(p for k, p in paths.items() if k[0] == c and p[0] == path[0])
+        assert (r["root"], r["depth"], r["place"]) == (path[0], len(path) - 1, tree.index(path))
 
 
 def test_deep_quotes_and_passages(spark):
@@ -194,6 +200,16 @@ def test_deep_quotes_and_passages(spark):
     assert got == {1: None, 2: 1, 3: None, 4: None, 5: 4}
 
 
+def test_one_message_of_many_passages(spark):
+    lines = [f"passage {i}" if i % 2 else "" for i in range(200_000)]
+    rows = [("c", 1, "\n".join(lines)), ("c", 2, "\n".join("> " + x for x in lines) + "\nyes"), ("c", 3, "\n".join(["one line"] * 100_000)), ("c", 4, "\n".join(["> one line"] * 100_000))]
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id string, turn long, role string, text string")
+    began = time.time()
+    got = {r["turn"]: (r["reply_to"], r["n_quoted"]) for r in quote_links.link_quotes(df).select("turn", "reply_to", "n_quoted").collect()}
+    assert got == {1: (None, 0), 2: (1, 200_000), 3: (None, 0), 4: (3, 100_000)}
+    assert time.time() - began < 90  # a list that is copied for each passage takes hours
+
+
 def mask(line):
     return tuple("<*>" if re.search("[0-9]", w) else w for w in WORD.findall(line))
 
