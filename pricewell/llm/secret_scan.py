@@ -1,8 +1,8 @@
 """Secret scans with a random forest against false positives (operator 8).
 
-Candidates are the long runs of key characters in all words, several of a word where it holds them. Each gets statistics of its run (length, transitions
-between kinds of characters, distinct characters, coverage by the corpus's own dictionary), of its path and of the words around it. A random forest
-trained from labelled findings gives the probability that it is a secret.
+Candidates are the long runs of key characters in all words, several of a word where it holds them, and shorter ones that an assignment announces (``password=hunter2!``). Each gets
+statistics of its run (length, transitions between kinds of characters, distinct characters, coverage by the corpus's own dictionary), of its path and of the words in front of it, which
+count by what the labelled findings say of them. A random forest trained from labelled findings gives the probability that it is a secret.
 
 Where there are no reviewed findings, labels come from evidence that is none of the features: key prefixes of known services, check digits, how many
 documents hold the run, and how surprising its letters are to the corpus (bits a character by pairs of letters).
@@ -11,6 +11,7 @@ documents hold the run, and how surprising its letters are to the corpus (bits a
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -20,23 +21,27 @@ from pyspark.sql import functions as F
 
 from .common import keep, lower_ascii, words
 
-#: Equal signs belong to a run only where they fill it up at its end; ``name=`` stays in front of the run.
-RUN = r"[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
-#: Fixed lists: words that announce a secret, words that announce something else, words of paths with code or settings.
-SECRET_WORDS = ["token", "key", "apikey", "secret", "password", "passwd", "pwd", "credential", "auth", "bearer", "private"]
-OTHER_WORDS = ["sha", "sha1", "sha256", "md5", "hash", "commit", "uuid", "guid", "id", "checksum", "digest", "example", "version"]
-PATH_WORDS = ["config", "env", "settings", "secrets", "deploy", "docker", "code", "src", "git"]
+#: A run of 16 key characters or more, where equal signs belong to it only if they fill it up at its end (``name=`` stays in front of it); or one of 6 or more characters of
+#: passwords right behind an equal sign or colon, with or without a quote between.
+RUN = (
+    r"[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
+    r"|(?:(?<=[=:])|(?<=[=:][\"'`]))(?!/)[A-Za-z0-9+/_!@#$%^*.~-]{5,}[A-Za-z0-9+/_!@#$%^*~-]"
+)
+#: Words in front of a run and parts of paths are dealt into this many buckets by their hashes.
+BUCKETS = 1024
 #: Fixed: how keys of known services begin.
 KNOWN_KEYS = r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}$|gh[opsu]_[0-9A-Za-z]{36}|glpat-|xox[abpr]-|sk_live_|rk_live_|AIza[0-9A-Za-z_-]{35}$|npm_[0-9A-Za-z]{36}$)"
-FEATURES = ["run_length", "kinds", "transitions", "distinct_share", "digit_share", "hex_only", "dictionary_share", "path_words", "secret_before", "other_before", "assigned", "quoted"]
+FEATURES = ["run_length", "kinds", "transitions", "distinct_share", "digit_share", "hex_only", "dictionary_share", "path_odds", "before_high", "before_low", "assigned", "quoted"]
 #: Letters that pairs are counted of; all other characters are one sign.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
-def corpus_words(docs: DataFrame, text: str = "text", size: int = 4000) -> dict[str, int]:
-    """The ``size`` most frequent words of 3 to 20 letters in all texts (a-z, any case) with their counts: the dictionary of the features."""
+def corpus_words(docs: DataFrame, text: str = "text", share: float = 1e-5) -> dict[str, int]:
+    """Words of 3 to 20 letters (a-z, any case) that are at least ``share`` of all such words in all texts, with their counts: the dictionary of the features. There are at most 1 / share of them."""
     found = docs.select(F.explode(words(lower_ascii(F.col(text)))).alias("w")).where(F.col("w").rlike("^[a-z]{3,20}$")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return {r["w"]: r["n"] for r in found.orderBy(F.desc("n"), "w").limit(size).collect()}
+    found = keep(found, "words")
+    total = found.agg(F.sum("n")).first()[0] or 0
+    return {r["w"]: r["n"] for r in found.where(F.col("n") >= share * total).orderBy(F.desc("n"), "w").collect()}
 
 
 def pair_bits(counts: dict[str, int]) -> dict[str, float]:
@@ -50,17 +55,20 @@ def pair_bits(counts: dict[str, int]) -> dict[str, float]:
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "source", dictionary: dict[str, int] | None = None) -> DataFrame:
-    """One row per candidate: key, word_index (from 0), run_index (from 0, of the word's long runs), run, and the features. ``path`` None: no column names where a text is from.
+    """One row per candidate: key, word_index (from 0), run_index (from 0, of the word's runs), run, the features of the run itself, ``near_words`` (up to three words in front of it, lower case) and
+    ``path_parts``. ``path`` None: no column names where a text is from.
 
-    In front of a run stand the word's characters back to the run before it, that run, and for the first one the words before.
+    In front of a run stand the word's characters back to the run before it, that run, and for the first one the words before. A word behind one that ends in an equal sign or colon is announced by it.
     ``dictionary``: by default that of the corpus. Null and empty texts have no candidates.
     """
     dictionary = corpus_words(docs, text) if dictionary is None else dictionary
     rows = docs.select(F.col(key).alias("id"), (F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")).alias("path"), words(F.col(text)).alias("w"))
-    at = F.filter(F.transform("w", lambda w, i: F.when((F.length(w) >= 16) & w.rlike(RUN), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("at", at).where(F.size("at") > 0).select("id", "path", "w", F.explode("at").alias("i"))
+    announced = lambda i: F.coalesce(F.right(F.get("w", i - 1), F.lit(1)).isin("=", ":"), F.lit(False))
+    rows = rows.withColumn("v", F.transform("w", lambda w, i: F.when(announced(i), F.concat(F.lit("="), w)).otherwise(w)))
+    at = F.filter(F.transform("v", lambda v, i: F.when(((F.length(v) >= 16) | v.contains("=") | v.contains(":")) & v.rlike(RUN), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("at", at).where(F.size("at") > 0).select("id", "path", "w", "v", F.explode("at").alias("i"))
     near = lambda c: lower_ascii(F.regexp_replace(c, r"[^A-Za-z0-9]", ""))
-    word = F.get("w", F.col("i"))
+    word = F.get("v", F.col("i"))
     rows = rows.select(
         "id", "path", F.col("i").alias("word_index"), F.regexp_extract_all(word, F.lit(RUN), F.lit(0)).alias("runs"), F.split(word, RUN, -1).alias("gaps"),
         F.transform(F.slice("w", F.greatest(F.lit(1), F.col("i") - 2), F.least(F.lit(3), F.col("i"))), near).alias("words"),
@@ -73,12 +81,11 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     rows = rows.withColumn("before", before).withColumn("before", F.slice("before", F.greatest(F.lit(1), F.size("before") - 2), F.lit(3)))
     first = (F.col("run_index") == 0) & ~F.col("gap").rlike("[A-Za-z0-9]")
     n = F.length("run")
-    kind = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace("run", "[a-z]", "a"), "[A-Z]", "b"), "[0-9]", "0"), "+/_=-", ".....")
+    kind = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("run", "[a-z]", "a"), "[A-Z]", "b"), "[0-9]", "0"), "[^ab0]", ".")
     rows = rows.withColumn("kind", kind)
     pieces = F.transform(F.expr("regexp_extract_all(run, '[A-Z]?[a-z]{2,}|[A-Z]{3,}', 0)"), lower_ascii)
     known = F.aggregate(pieces, F.lit(0), lambda a, x: a + F.when(x.isin(list(dictionary)), F.length(x)).otherwise(0)) if dictionary else F.lit(0)
     number = lambda c: c.cast("double")
-    any_of = lambda a, names: number(F.arrays_overlap(a, F.array(*map(F.lit, names))))
     return rows.select(
         F.col("id").alias(key), "word_index", "run_index", "run",
         number(n).alias("run_length"),
@@ -88,32 +95,65 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
         ((n - F.length(F.translate("run", "0123456789", ""))) / n).alias("digit_share"),
         number(F.col("run").rlike("^[0-9a-fA-F]+$")).alias("hex_only"),
         (known / n).alias("dictionary_share"),
-        number(F.size(F.array_intersect(F.split(lower_ascii(F.col("path")), "[^a-z]+"), F.array(*map(F.lit, PATH_WORDS))))).alias("path_words"),
-        any_of(F.col("before"), SECRET_WORDS).alias("secret_before"),
-        any_of(F.col("before"), OTHER_WORDS).alias("other_before"),
         number((first & F.col("last").rlike("[=:]$")) | F.col("gap").rlike("[=:][^A-Za-z0-9]*$")).alias("assigned"),
-        number(F.col("gap").rlike("[\"'][^A-Za-z0-9]*$")).alias("quoted"),
+        number(F.col("gap").rlike("[\"'`][^A-Za-z0-9]*$")).alias("quoted"),
+        F.filter("before", lambda x: x != "").alias("near_words"),
+        F.array_distinct(F.filter(F.split(lower_ascii(F.col("path")), "[^a-z]+"), lambda x: x != "")).alias("path_parts"),
     )
 
 
-def train(found: DataFrame, label: str = "label", max_findings: int = 20_000, trees: int = 20, depth: int = 6, seed: int = 11) -> RandomForestClassificationModel | None:
-    """A forest from candidates with a 0/1 label, None if not both labels occur.
+@dataclass
+class SecretModel:
+    """A forest, and what the labelled findings say of the words in front of a run and of the parts of a path: log odds of a secret by bucket."""
+
+    forest: RandomForestClassificationModel
+    near: list[float]
+    path: list[float]
+
+
+def log_odds(found: DataFrame, column: str, label: str = "label") -> list[float]:
+    """By bucket: the log of how much likelier a word of ``column`` stands with a secret than with another finding. Each count is taken as one higher."""
+    bucket = F.pmod(F.xxhash64("w"), F.lit(BUCKETS))
+    each = found.select(F.explode(F.array_distinct(column)).alias("w"), label).groupBy(bucket.alias("b")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
+    all_p, all_q = found.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).first()
+    odds = [math.log((all_q + 2) / (all_p + 2))] * BUCKETS
+    for r in each.collect():  # at most BUCKETS
+        odds[r["b"]] = math.log((r["p"] + 1) / (all_p + 2)) - math.log((r["q"] + 1) / (all_q + 2))
+    return [0.0 if not (all_p and all_q) else o for o in odds]
+
+
+def with_odds(found: DataFrame, near: list[float], path: list[float]) -> DataFrame:
+    """The features that rest on learned words: the greatest and least odds of the words in front of a run, the sum over the parts of its path; 0 without words."""
+
+    def of(column: str, odds: list[float]) -> Column:
+        table = F.array(*[F.lit(float(o)) for o in odds])
+        return F.transform(column, lambda w: F.get(table, F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
+
+    most, least = F.coalesce(F.array_max(of("near_words", near)), F.lit(0.0)), F.coalesce(F.array_min(of("near_words", near)), F.lit(0.0))
+    return found.withColumns({"path_odds": F.aggregate(of("path_parts", path), F.lit(0.0), lambda a, x: a + x), "before_high": most, "before_low": least})
+
+
+def train(found: DataFrame, label: str = "label", max_findings: int = 20_000, trees: int = 20, depth: int = 6, seed: int = 11) -> SecretModel | None:
+    """A forest and the odds of words from candidates with a 0/1 label, None if not both labels occur.
 
     ``max_findings``: of each label at most half as many findings are used, and at least one (those with the least hashes); a forest needs no more.
     """
-    rows = found.where(F.col(label).isin(0, 1)).select(*FEATURES, F.col(label).cast("double").alias("label"), F.xxhash64(*FEATURES, label, "run", "word_index", "run_index").alias("h"))
+    of_run = [c for c in FEATURES if c in found.columns]
+    rows = found.where(F.col(label).isin(0, 1)).select(*of_run, "near_words", "path_parts", F.col(label).cast("double").alias("label"), F.xxhash64(*of_run, "near_words", "path_parts", label, "run", "word_index", "run_index").alias("h"))
     some = [keep(rows.where(F.col("label") == x).orderBy("h").limit(max(1, max_findings // 2)), "findings") for x in (0.0, 1.0)]
     if not all(s.limit(1).count() for s in some):
         return None
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(some[0].union(some[1]))
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=2).fit(vectors)
+    both = some[0].union(some[1])
+    near, path = log_odds(both, "near_words"), log_odds(both, "path_parts")
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_odds(both, near, path))
+    return SecretModel(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=2).fit(vectors), near, path)
 
 
-def score(found: DataFrame, model: RandomForestClassificationModel | None, key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
+def score(found: DataFrame, model: SecretModel | None, key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """key, word_index, run_index, run, score, is_secret. Without a model every candidate scores 1, as nothing tells false ones apart."""
     if model is None:
         return found.select(key, "word_index", "run_index", "run", F.lit(1.0).alias("score"), F.lit(True).alias("is_secret"))
-    scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found))
+    scored = model.forest.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_odds(found, model.near, model.path)))
     return scored.select(key, "word_index", "run_index", "run", F.round(vector_to_array("probability")[1], 6).alias("score")).withColumn("is_secret", F.col("score") >= threshold)
 
 

@@ -56,37 +56,73 @@ RUN = re.compile(secret_scan.RUN)
 
 
 def features(text, dictionary):
-    """(word, run number, run): length, kinds, transitions, distinct share, digit share, hex only, dictionary share."""
+    """(word, run number, run): length, kinds, transitions, distinct share, digit share, hex only, dictionary share, assigned, quoted, words in front."""
     out = {}
-    for i, w in enumerate(WORD.findall(text or "")):
-        for k, r in enumerate(RUN.findall(w)):
+    said = WORD.findall(text or "")
+    for i, w in enumerate(said):
+        if i and said[i - 1][-1] in "=:":
+            w = "=" + w
+        last = -1
+        for k, m in enumerate(RUN.finditer(w)):
+            r, gap, prior = m[0], w[max(last, 0) : m.start()], w[:0] if last < 0 else before_run
+            before_run, last = r, m.end()
+            bare = lambda x: re.sub("[^a-z0-9]", "", x.lower())
+            front = [x for x in re.split("[^a-z0-9]+", f"{prior} {gap}".lower()) if x]
+            if k == 0:
+                front = [bare(x) for x in said[max(0, i - 3) : i]] + front
+            first = k == 0 and not re.search("[A-Za-z0-9]", gap)
+            more = (float(bool(first and i and said[i - 1][-1] in "=:") or bool(re.search("[=:][^A-Za-z0-9]*$", gap))), float(bool(re.search("[\"'`][^A-Za-z0-9]*$", gap))), [x for x in front[-3:] if x])
             kind = [c.islower() and "a" or c.isupper() and "b" or c.isdigit() and "0" or "." for c in r]
             pieces = [p.lower() for p in re.findall("[A-Z]?[a-z]{2,}|[A-Z]{3,}", r)]
             out[i, k, r] = (
-                len(r), len(set(kind)), (1 + sum(a != b for a, b in zip(kind, kind[1:], strict=False))) / len(r), len(set(r)) / len(r), sum(c.isdigit() for c in r) / len(r), float(bool(re.fullmatch("[0-9a-fA-F]+", r))), sum(len(p) for p in pieces if p in dictionary) / len(r),
+                len(r), len(set(kind)), (1 + sum(a != b for a, b in zip(kind, kind[1:], strict=False))) / len(r), len(set(r)) / len(r), sum(c.isdigit() for c in r) / len(r), float(bool(re.fullmatch("[0-9a-fA-F]+", r))), sum(len(p) for p in pieces if p in dictionary) / len(r), *more,
             )
     return out
 
 
 def test_secret_features_equal_brute_force(spark):
     rng = random.Random(8)
-    parts = ["abc", "Def", "GHI", "123", "_", "-", "/", "+", "=", "==", '"', ":", ".", "return", "Value", "deadbeef"]
+    parts = ["abc", "Def", "GHI", "123", "_", "-", "/", "+", "=", "==", '"', ":", ".", "!", "return", "Value", "deadbeef"]
     texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(12)) for _ in range(60)] + [None, "", "x" * 100_000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     dictionary = {"return": 3, "value": 2}
     got = {}
     for r in secret_scan.candidates(df, path=None, dictionary=dictionary).collect():
-        got.setdefault(r["doc_id"], {})[r["word_index"], r["run_index"], r["run"]] = tuple(r[c] for c in secret_scan.FEATURES[:7])
+        got.setdefault(r["doc_id"], {})[r["word_index"], r["run_index"], r["run"]] = (*(r[c] for c in secret_scan.FEATURES[:7]), r["assigned"], r["quoted"], r["near_words"])
     for i, t in enumerate(texts):
         want = features(t, dictionary)
         assert got.get(i, {}).keys() == want.keys()
         for k in want:
-            assert got[i][k] == pytest.approx(want[k])
+            assert got[i][k][:-1] == pytest.approx(want[k][:-1]) and got[i][k][-1] == want[k][-1], (t, k)
+
+
+def test_short_secrets_are_candidates(spark):
+    texts = ["password=hunter2!short", "api_key: abc123DEF456", "the key: 'pass' and 12:30:45 http://a.b/c x=1.5.", 'token="s3cr3t." done', "no announcement hunter2!short"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["run"], r["assigned"], r["quoted"], tuple(r["near_words"])) for r in secret_scan.candidates(df, path=None).collect()}
+    assert got == {(0, "hunter2!short", 1.0, 0.0, ("password",)), (1, "abc123DEF456", 1.0, 0.0, ("apikey",)), (3, "s3cr3t", 1.0, 1.0, ("token",))}
+
+
+def test_odds_of_words_equal_brute_force(spark):
+    rng = random.Random(3)
+    names = ["token", "commit", "id", "sha", "key", "the"]
+    rows = [([rng.choice(names) for _ in range(rng.randint(0, 3))], ["src"] if i % 3 else [], i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "near_words array<string>, path_parts array<string>, label int")
+    signed = lambda w: chained(w) - (1 << 64) * (chained(w) >> 63)
+    bucket = lambda w: signed(w) % secret_scan.BUCKETS
+    near, path = secret_scan.log_odds(df, "near_words"), secret_scan.log_odds(df, "path_parts")
+    for w in names:
+        with_it = [y for a, _, y in rows if any(bucket(x) == bucket(w) for x in a)]
+        assert near[bucket(w)] == pytest.approx(math.log((sum(with_it) + 1) / 32) - math.log((len(with_it) - sum(with_it) + 1) / 32))
+    for r in secret_scan.with_odds(df, near, path).collect():
+        odds = [near[bucket(w)] for w in r["near_words"]]
+        assert (r["before_high"], r["before_low"]) == pytest.approx((max(odds, default=0.0), min(odds, default=0.0)))
+        assert r["path_odds"] == pytest.approx(sum(path[bucket(w)] for w in r["path_parts"]))
 
 
 def test_dictionary_surprise_and_check_digits(spark):
     df = spark.createDataFrame([(1, "the river The stone"), (2, "the RIVER x1 zz"), (3, None)], "doc_id long, text string")
-    assert secret_scan.corpus_words(df) == {"the": 3, "river": 2, "stone": 1} and secret_scan.corpus_words(df, size=1) == {"the": 3}
+    assert secret_scan.corpus_words(df) == {"the": 3, "river": 2, "stone": 1} and secret_scan.corpus_words(df, share=0.4) == {"the": 3}
     bits = secret_scan.pair_bits({"the": 3, "river": 2, "stone": 1})
     runs = ["theriverstonethe", "x9Kq2ZwL0vBn8Jt4", "4111111111111111", "4111111111111112"]
     rows = spark.createDataFrame([(r,) for r in runs], "run string").select("run", secret_scan.surprise(F.col("run"), bits).alias("s"), secret_scan.luhn(F.col("run")).alias("l")).collect()
