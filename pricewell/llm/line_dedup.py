@@ -24,6 +24,8 @@ from .text_hash import _buffers, line_hashes
 
 #: Bits of the filter by which the second pass over the texts finds the leaves whose lines it gives.
 FILTER_BITS = 22
+#: Hashes of lines that go which are sent to all tasks, so that texts are judged where they are read; beyond it texts and hashes are joined.
+KNOWN_LINES = 1 << 22
 
 
 def masked_words(line: Column) -> Column:
@@ -33,20 +35,19 @@ def masked_words(line: Column) -> Column:
 
 
 def _hashes(min_words: int, depth: int, short_docs: int | None, long_words: int):
-    """(id, exact, leaf, long) of every line with its leaf; short and long lines also as they are, with a null leaf."""
+    """(id, row, exact, leaf, long) of every line with its leaf; short and long lines also as they are, with a null leaf."""
 
     def run(batches):
         for batch in batches:
-            for x in line_hashes(batch.column(1), depth):
+            for x in line_hashes(batch.column(2), depth):
                 masked, as_is = x["n"] >= min_words, x["n"] > long_words
                 if short_docs is not None:
                     as_is |= x["n"] < min_words
-                row = np.concatenate([x["row"][masked], x["row"][as_is]])
-                no_leaf = np.arange(len(row)) >= masked.sum()
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row)), pa.array(np.concatenate([x["exact"][masked], x["whole"][as_is]])), pa.array(np.concatenate([x["leaf"][masked], x["leaf"][as_is]]), mask=no_leaf), pa.array(no_leaf & (np.concatenate([x["n"][masked], x["n"][as_is]]) > long_words))],
-                    ["id", "exact", "leaf", "long"],
-                )
+                at = pa.array(np.concatenate([x["row"][masked], x["row"][as_is]]))
+                no_leaf = np.arange(len(at)) >= masked.sum()
+                long = pa.array(no_leaf & (np.concatenate([x["n"][masked], x["n"][as_is]]) > long_words))
+                exact, leaf = (pa.array(np.concatenate([x[one][masked], x[two][as_is]]), mask=m) for one, two, m in (("exact", "whole", None), ("leaf", "leaf", no_leaf)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), exact, leaf, long], ["id", "row", "exact", "leaf", "long"])
 
     return run
 
@@ -69,32 +70,68 @@ def _lines_in(wanted, min_words: int, depth: int):
     return run
 
 
+def _stripped(text: str, min_words: int, depth: int, long_words: int, template_gone, as_is_gone) -> tuple[int, str]:
+    """(lines dropped, what stays) of a text; the functions tell which hashes go, of lines with wildcards and of short and long lines as they are."""
+    lines = text.split("\n")
+    breaks = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 10)
+    for x in line_hashes(pa.array([text]), depth):
+        out = (x["n"] >= min_words) & template_gone(x["exact"])
+        out |= ((x["n"] < min_words) | (x["n"] > long_words)) & as_is_gone(x["whole"])
+        for i in np.searchsorted(breaks, x["start"][out]):
+            lines[i] = None
+    stay = [x for x in lines if x is not None]
+    return len(lines) - len(stay), "\n".join(stay)
+
+
+def _answer(batch, at: np.ndarray, changed: list[tuple[int, str]]):
+    """(id, n_lines, n_dropped, text) of a batch (id, row, text, ..) whose rows ``at`` become ``changed``."""
+    text = batch.column(2)
+    n = pc.fill_null(pc.add(pc.count_substring(text, "\n").cast(pa.int64()), 1), 0)
+    dropped, mask = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
+    if changed:
+        dropped[at], mask[at] = [k for k, _ in changed], True
+        text = pc.replace_with_mask(text, pa.array(mask), pa.array([t for _, t in changed], text.type))
+    return pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(dropped), text], ["id", "n_lines", "n_dropped", "text"])
+
+
 def _stay(min_words: int, depth: int, long_words: int):
-    """(id, n_lines, n_dropped, text) of (id, text, gone): the text without the lines whose hashes are gone."""
-
-    def one(text, gone):
-        lines = text.split("\n")
-        breaks = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 10)
-        for x in line_hashes(pa.array([text]), depth):
-            out = (x["n"] >= min_words) & np.isin(x["exact"], gone)
-            out |= ((x["n"] < min_words) | (x["n"] > long_words)) & np.isin(x["whole"], gone)
-            for i in np.searchsorted(breaks, x["start"][out]):
-                lines[i] = None
-        stay = [x for x in lines if x is not None]
-        return len(lines) - len(stay), "\n".join(stay)
+    """(id, n_lines, n_dropped, text) of (id, row, text, gone): the text without the lines whose hashes are in the row's list."""
 
     def run(batches):
         for batch in batches:
-            text, lists = batch.column(1), batch.column(2)
-            n = pc.fill_null(pc.add(pc.count_substring(text, "\n").cast(pa.int64()), 1), 0)
-            dropped = np.zeros(batch.num_rows, np.int64)
-            some = pc.and_(lists.is_valid(), text.is_valid())
-            at = np.flatnonzero(np.asarray(some))
-            changed = [one(text[i].as_py(), lists[i].values.to_numpy()) for i in at.tolist()]
-            if changed:
-                dropped[at] = [k for k, _ in changed]
-                text = pc.replace_with_mask(text, some, pa.array([t for _, t in changed], text.type))
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(dropped), text], ["id", "n_lines", "n_dropped", "text"])
+            text, lists = batch.column(2), batch.column(3)
+            at = np.flatnonzero(np.asarray(pc.and_(lists.is_valid(), text.is_valid())))
+            gone = [lists[i].values.to_numpy() for i in at.tolist()]
+            changed = [_stripped(text[i].as_py(), min_words, depth, long_words, *[lambda h, g=g: np.isin(h, g)] * 2) for i, g in zip(at.tolist(), gone, strict=True)]
+            yield _answer(batch, at, changed)
+
+    return run
+
+
+def _judge(known, min_words: int, depth: int, long_words: int):
+    """As ``_stay`` for (id, row, text), by the hashes of all lines that go: sorted arrays of those that go everywhere, with and without wildcards, and of long lines with the id that keeps each."""
+
+    def run(batches):
+        templates, short, long, keeper = known.value
+        among = lambda h, a: a[np.minimum(np.searchsorted(a, h), len(a) - 1)] == h if len(a) else np.zeros(len(h), bool)
+        for batch in batches:
+            ids, text = batch.column(0).to_pylist(), batch.column(2)
+
+            def as_is(h, mine):
+                out = among(h, short)
+                for k in np.flatnonzero(among(h, long)):
+                    out[k] |= keeper[int(np.searchsorted(long, h[k]))] != mine
+                return out
+
+            # Lines are hashed for the whole batch first; only texts that lose one are taken apart.
+            hit = np.zeros(batch.num_rows, bool)
+            for x in line_hashes(text, depth):
+                some = (x["n"] >= min_words) & among(x["exact"], templates)
+                some |= ((x["n"] < min_words) | (x["n"] > long_words)) & (among(x["whole"], short) | among(x["whole"], long))
+                hit[x["row"][some]] = True
+            at = np.flatnonzero(hit)
+            changed = [_stripped(text[i].as_py(), min_words, depth, long_words, lambda h: among(h, templates), lambda h, i=i: as_is(h, ids[i])) for i in at.tolist()]
+            yield _answer(batch, at, changed)
 
     return run
 
@@ -108,9 +145,12 @@ def _templates(texts: DataFrame, similarity: float, min_docs: int) -> DataFrame:
     while True:
         places = rest.select("leaf", "exact", "docs", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
         words_ = places.groupBy("leaf", "pos", "word").agg(F.sum("docs").alias("k"))
-        constants = words_.groupBy("leaf", "pos").agg(F.max(F.struct("k", "word")).alias("top"), F.sum("k").alias("all")).where(2 * F.col("top.k") >= F.col("all")).select("leaf", "pos", F.col("top.word").alias("word"))
-        same = places.join(constants, ["leaf", "pos", "word"]).groupBy("leaf", "exact").agg(F.count(F.lit(1)).alias("same"), F.max("n").alias("n"))
-        fits = keep(same.where(F.col("same") >= similarity * F.col("n")).select("leaf", "exact", F.lit(number).alias("round")), "fits")
+        top = words_.groupBy("leaf", "pos").agg(F.max(F.struct("k", "word")).alias("top"), F.sum("k").alias("all")).where(2 * F.col("top.k") >= F.col("all"))
+        # A leaf's constants are one array, by place; a line is compared with it where it is.
+        constants = top.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", "top.word"))).alias("constant")).select(F.col("leaf").alias("__leaf"), "constant")
+        same = F.size(F.filter("w", lambda w, i: w == F.element_at("constant", i)))
+        fits = rest.join(constants, F.col("leaf") == F.col("__leaf")).where(same >= similarity * F.size("w"))
+        fits = keep(fits.select("leaf", "exact", F.lit(number).alias("round")), "fits")
         found.append(fits)
         # Leaves that gave a template go on with the rest, if several lines of enough documents are left.
         left = rest.join(fits.select("leaf").distinct(), "leaf", "left_semi").join(fits.select("exact"), "exact", "left_anti")
@@ -128,14 +168,15 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_docs
     ``long_words`` words that recurs, be it in two documents, stays only in the one with the least key (all go from ``min_docs`` on). A null text stays null and has no lines; an empty text has one
     empty line. Documents are counted by key, so rows with one key, or without one, count once; each row loses the lines that it holds itself. Further columns are not read.
     """
-    docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    # A row is known by its id and text, so rows without an id, or with one of many rows, are spread, and rows that are equal in both lose the same lines.
+    docs = df.select(F.col(key).alias("id"), F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    hashes = keep(docs.where("text <> ''").mapInArrow(_hashes(min_words, depth, short_docs, long_words), f"id {kind}, exact long, leaf long, long boolean").distinct(), "lines")
-    lines = hashes.where("leaf is not null").select("id", "exact", "leaf")
-    as_is = hashes.where("leaf is null")
-    again = as_is.groupBy("exact", "long").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"))
-    again = again.where(F.when(F.col("long"), F.col("docs") > 1).otherwise(F.col("docs") >= (short_docs or 1))).select("exact", "first")
-    as_is = as_is.join(again, "exact").where(~F.col("long") | ~F.col("id").eqNullSafe(F.col("first.id"))).select("id", "exact")
+    hashes = docs.where("text <> ''").mapInArrow(_hashes(min_words, depth, short_docs, long_words), f"id {kind}, row long, exact long, leaf long, long boolean")
+    hashes = keep(hashes.distinct(), "lines")
+    per_id = hashes if _one_row_an_id(hashes) else keep(hashes.select("id", "exact", "leaf", "long").distinct(), "lines-of-ids")
+    lines = per_id.where("leaf is not null").select("id", "exact", "leaf")
+    again = per_id.where("leaf is null").groupBy("exact", "long").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"))
+    again = keep(again.where(F.when(F.col("long"), F.col("docs") > 1).otherwise(F.col("docs") >= (short_docs or 1))).select("exact", "long", "first"), "again")
     often = keep(lines.groupBy("exact", "leaf").agg(F.count(F.lit(1)).alias("docs")), "exact")
     recurring = often.where(F.col("docs") >= min_docs).select("exact")
     # Leaves that several documents reach, counted with other lines than those that recur alone.
@@ -154,7 +195,28 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_docs
     fits = _templates(texts, similarity, min_docs)
     reached = lines.join(fits, ["leaf", "exact"]).select("leaf", "round", "id").distinct().groupBy("leaf", "round").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("leaf", "round")
     dropped = keep(recurring.union(fits.join(reached, ["leaf", "round"]).select("exact")).distinct(), "dropped")
-    per_doc = lines.join(dropped, "exact").select("id", "exact").union(as_is).groupBy("id").agg(F.collect_set("exact").alias("gone")).withColumnRenamed("id", "gone_id")
-    out = docs.join(per_doc, F.col("id").eqNullSafe(F.col("gone_id")), "left").select("id", "text", "gone")
-    out = out.mapInArrow(_stay(min_words, depth, long_words), f"id {kind}, n_lines long, n_dropped long, text string")
+    schema = f"id {kind}, n_lines long, n_dropped long, text string"
+    if dropped.count() + again.count() <= KNOWN_LINES:
+        known = df.sparkSession.sparkContext.broadcast(_known(dropped, again))
+        out = docs.mapInArrow(_judge(known, min_words, depth, long_words), schema)
+    else:
+        # Texts meet the hashes of their own lines that go, by row.
+        all_lines = hashes.select("id", "row", "exact", "leaf", "long")
+        as_is = all_lines.where("leaf is null").join(again, ["exact", "long"]).where(~F.col("long") | ~F.col("id").eqNullSafe(F.col("first.id"))).select("row", "exact")
+        gone = all_lines.where("leaf is not null").join(dropped, "exact").select("row", "exact").union(as_is)
+        per_row = gone.groupBy("row").agg(F.collect_set("exact").alias("gone")).withColumnRenamed("row", "gone_row")  # lines of one text
+        out = docs.join(per_row, F.col("row") == F.col("gone_row"), "left").select("id", "row", "text", "gone").mapInArrow(_stay(min_words, depth, long_words), schema)
     return out.select(F.col("id").alias(key), "n_lines", "n_dropped", "text")
+
+
+def _one_row_an_id(hashes: DataFrame) -> bool:
+    """Whether no id has two rows with different texts; then lines by row are lines by id."""
+    return not hashes.groupBy("id").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a <> b").limit(1).count()
+
+
+def _known(dropped: DataFrame, again: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """At most KNOWN_LINES hashes: sorted ones with wildcards, short ones, long ones, and the ids that keep these."""
+    templates = np.sort(np.array([r[0] for r in dropped.select("exact").toLocalIterator()], np.int64))
+    rows = sorted(((r["exact"], r["long"], r["first"]["id"]) for r in again.toLocalIterator()), key=lambda r: r[0])
+    short = np.array([e for e, long, _ in rows if not long], np.int64)
+    return templates, short, np.array([e for e, long, _ in rows if long], np.int64), [i for _, long, i in rows if long]

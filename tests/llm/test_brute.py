@@ -355,3 +355,34 @@ def test_many_rules_and_equal_prefixes(spark, monkeypatch):
         fit = [(len(h + p), h, p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
         want = max(fit, default=None)
         assert got[i] == ((want[1] + want[2], want[3]) if want else (None, "allow"))
+
+
+@pytest.mark.parametrize("known", [0, 1 << 22])
+def test_line_dedup_by_join_and_by_known_lines(spark, monkeypatch, known):
+    monkeypatch.setattr(line_dedup, "KNOWN_LINES", known)
+    rng = random.Random(12)
+    long = " ".join(f"word{i % 7} of a long passage" for i in range(20))
+    stock = ["short line", "one two three four five six", "served 10 of 20 requests in 5 ms", long, ""]
+    docs = [(i, "\n".join([rng.choice(stock) if rng.random() < 0.4 else f"own line {i} with {rng.randint(0, 99)} and words {rng.choice('abc')}" for _ in range(rng.randint(0, 6))])) for i in range(60)]
+    docs += [(None, f"{long}\nkept by nobody"), (None, "short line\nx"), (None, None), (3, long), (3, "short line\nserved 1 of 2 requests in 3 ms"), docs[5], docs[5]]
+    df = spark.createDataFrame([(d, t, 1, 2) for d, t in docs], "doc_id long, text string, row int, gone int")
+    got = [tuple(r) for r in line_dedup.dedup_lines(df, min_docs=5, short_docs=5, long_words=50).collect()]
+    held = {}
+    for d, t in docs:
+        for line in (t or "").split("\n"):
+            held.setdefault(line, set()).add(d)
+    goes = templates([(d, t) for d, t in docs], 5, 5, 4, 0.6)
+    first = min((d for d in held[long] if d is not None))
+
+    def stays(d, line):
+        n = len(WORD.findall(line))
+        if n >= 5 and mask(line) in goes or 0 < n < 5 and len(held[line]) >= 5:
+            return False
+        return not (n > 50 and len(held[line]) > 1 and d != first)
+
+    want = []
+    for d, t in docs:
+        lines = [] if t is None else t.split("\n")
+        left = [x for x in lines if stays(d, x)]
+        want.append((d, len(lines), len(lines) - len(left), None if t is None else "\n".join(left)))
+    assert sorted(got, key=str) == sorted(want, key=str)
