@@ -70,7 +70,6 @@ def records(s, d):
 
 
 ISS = "(part_id % 29 = 0)::INT + (part_id % 31 = 0)::INT + (part_id % 37 = 0)::INT"
-add("validate_records", with_views(f"SELECT ({ISS}) AS issues, count(*) AS n FROM fares GROUP BY 1", "fares"), lambda s, d: c.validate_records(records(s, d)).groupBy(F.size("issues").alias("issues")).agg(n()))
 add("drift_report", with_views(f"SELECT count(*) AS records_checked, count(*) FILTER ({ISS} = 0) AS clean_count, count(*) FILTER ({ISS} > 0) AS drift_count, count(*) FILTER ({ISS} > 0) > greatest(2, floor(count(*) * 0.1)) AS is_drifting, count(*) > 0 AND count(*) FILTER ({ISS} > 0) = count(*) AS collapsed FROM fares", "fares"), lambda s, d: c.drift_report(c.validate_records(records(s, d))))
 AGREE = "ag AS (SELECT *, round(avg((abs(base_fare - m) / m <= 0.1)::INT) OVER (PARTITION BY route, horizon), 4) AS agreement FROM (SELECT *, median(base_fare) OVER (PARTITION BY route, horizon) AS m FROM fares))"
 add("agreement", with_views("", "fares").rstrip() + ", " + AGREE + " SELECT DISTINCT route, horizon, agreement FROM ag", lambda s, d: c.agreement(fares(s, d), ["route", "horizon"], "base_fare").select("route", "horizon", "agreement").distinct())
@@ -81,7 +80,6 @@ add("confidence", with_views(f"SELECT feed_type, round({Q}::DOUBLE * 0.94 * (0.9
 add("feed_weight", with_views("SELECT feed_type, CASE feed_type WHEN 'CARRIER_DIRECT' THEN 1.0 WHEN 'RPC_FALLBACK' THEN 0.9 WHEN 'OTA_AGGREGATOR' THEN 0.7 ELSE 0.3 END::DOUBLE AS weight, CASE feed_type WHEN 'CARRIER_DIRECT' THEN 100 WHEN 'RPC_FALLBACK' THEN 90 WHEN 'OTA_AGGREGATOR' THEN 70 ELSE 30 END AS score, count(*) AS n FROM fares GROUP BY ALL", "fares"), lambda s, d: fares(s, d).groupBy("feed_type", fn.feed_weight(F.col("feed_type")).alias("weight"), fn.feed_score(F.col("feed_type")).alias("score")).agg(n()))
 add("canonical_flight", "SELECT p_partkey, '6E-' || p_partkey AS flight FROM part WHERE p_partkey > 0", lambda s, d: read(s, d, "part").where("p_partkey > 0").select("p_partkey", fn.canonical_flight(F.expr("CASE p_partkey % 4 WHEN 0 THEN '6e-' || p_partkey WHEN 1 THEN 'IndiGo ' || p_partkey WHEN 2 THEN cast(p_partkey as string) ELSE '6E ' || p_partkey END")).alias("flight")))
 add("carrier_code", "SELECT p_brand, p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'IX' WHEN 1 THEN 'AI' ELSE '6E' END AS code FROM part", lambda s, d: read(s, d, "part").select("p_brand", "p_partkey", fn.carrier_code(F.expr("CASE p_partkey % 3 WHEN 0 THEN 'Air India Express ' WHEN 1 THEN 'air india ' ELSE '' END || p_brand")).alias("code")))
-add("is_synthetic", with_views("SELECT feed_type = 'SYNTHETIC_BASELINE' AS synthetic, count(*) AS n FROM fares GROUP BY 1", "fares"), lambda s, d: fares(s, d).groupBy(fn.is_synthetic(F.col("feed_type"), F.lit(None).cast("string")).alias("synthetic")).agg(n()))
 
 
 def sources(s, d):

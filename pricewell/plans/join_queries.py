@@ -29,8 +29,6 @@ def calendar(s, d):
 
 
 CAL = "cal AS (SELECT DISTINCT cast(ts AS DATE) AS day FROM events WHERE event_type = 'signup' AND hour(ts) < 1)"
-add("enrich", "SELECT n_name, r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2", lambda s, d: j.enrich(read(s, d, "customer").withColumnRenamed("c_nationkey", "n_nationkey"), (read(s, d, "nation").withColumnRenamed("n_regionkey", "r_regionkey"), "n_nationkey"), (read(s, d, "region"), "r_regionkey")).groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("n")))
-add("lookup_default", with_views("SELECT carrier, coalesce(weight, 0.1) AS weight, count(*) AS n FROM fares LEFT JOIN (SELECT 'C' || n_nationkey AS carrier, n_regionkey / 2.0::DOUBLE AS weight FROM nation WHERE n_nationkey < 4) USING (carrier) GROUP BY 1, 2", "fares"), lambda s, d: j.lookup_default(fares(s, d), read(s, d, "nation").where("n_nationkey < 4").select(F.concat(F.lit("C"), "n_nationkey").alias("carrier"), (F.col("n_regionkey") / 2.0).alias("weight")), "carrier", "weight", 0.1).groupBy("carrier", "weight").agg(F.count(F.lit(1)).alias("n")))
 add("compare_series", with_views("SELECT day, a.value AS a, b.value AS b, round(a.value - b.value, 4) AS gap, round(100 * (a.value - b.value) / nullif(b.value, 0), 4) AS gap_pct FROM (SELECT day, round(value, 6) AS value FROM series WHERE series = 'view' AND day < DATE '2024-01-20') a FULL OUTER JOIN (SELECT day, round(value, 6) AS value FROM series WHERE series = 'click' AND day > DATE '2024-01-05') b USING (day)", "series"), lambda s, d: j.compare_series(S(s, d, "view").where("day < '2024-01-20'").withColumn("value", F.round("value", 6)), S(s, d, "click").where("day > '2024-01-05'").withColumn("value", F.round("value", 6)), ["day"]))
 add("align", with_views("SELECT day, round(a.value, 6) AS a, round(b.value, 6) AS b FROM (SELECT * FROM series WHERE series = 'view') a JOIN (SELECT * FROM series WHERE series = 'click') b USING (day)", "series"), lambda s, d: j.align(S(s, d, "view").select("day", F.round("value", 6).alias("a")), S(s, d, "click").select("day", F.round("value", 6).alias("b")), ["day"]))
 add("pair_cohorts", with_views("SELECT route, obs_date, round(a, 6) AS a, round(b, 6) AS b FROM (SELECT route, obs_date, avg(base_fare) FILTER (feed_type = 'CARRIER_DIRECT') AS a, avg(base_fare) FILTER (feed_type = 'OTA_AGGREGATOR') AS b FROM fares GROUP BY ALL) WHERE a IS NOT NULL AND b IS NOT NULL", "fares"), lambda s, d: j.pair_cohorts(fares(s, d), "feed_type", ["route", "obs_date"], "base_fare", "CARRIER_DIRECT", "OTA_AGGREGATOR").select("route", "obs_date", F.round("a", 6).alias("a"), F.round("b", 6).alias("b")))
@@ -93,7 +91,6 @@ def _months(s, d, status, cond):
 
 add("month_compare", f"SELECT month, round(a.value, 4) AS a, round(b.value, 4) AS b, round(100 * (a.value - b.value) / nullif(b.value, 0), 4) AS deviation_pct, CASE WHEN a.value IS NULL THEN 'A' WHEN b.value IS NULL THEN 'B' END AS missing FROM ({MN.format('O', 'year(o_orderdate) > 1995')}) a FULL OUTER JOIN ({MN.format('F', 'year(o_orderdate) < 2000')}) b USING (month)", lambda s, d: j.month_compare(_months(s, d, "O", "year(o_orderdate) > 1995"), _months(s, d, "F", "year(o_orderdate) < 2000")))
 add("replace_by_key", with_views("SELECT series, day, round(value, 6) AS value FROM series WHERE day < DATE '2024-01-20' AND (series, day) NOT IN (SELECT series, day FROM series WHERE day > DATE '2024-01-10' AND series = 'view') UNION ALL SELECT series, day, 0 FROM series WHERE day > DATE '2024-01-10' AND series = 'view'", "series"), lambda s, d: j.replace_by_key(series(s, d).where("day < '2024-01-20'").select("series", "day", F.round("value", 6).alias("value")), series(s, d).where("day > '2024-01-10' and series = 'view'").select("series", "day", F.lit(0.0).alias("value")), ["series", "day"]))
-add("union_feeds", with_views("SELECT feed_type, count(*) AS n FROM fares WHERE feed_type <> 'SYNTHETIC_BASELINE' GROUP BY 1", "fares"), lambda s, d: j.union_feeds(*[fares(s, d).where(F.col("feed_type") == f) for f in ("CARRIER_DIRECT", "RPC_FALLBACK", "OTA_AGGREGATOR")]).groupBy("feed_type").agg(F.count(F.lit(1)).alias("n")))
 _A, _B = ("SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal < 0", "SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000")
 
 
@@ -131,7 +128,6 @@ def scd(s, d):
     return w.withColumn("effective_from", day("1995-01-01")).withColumn("effective_to", day("1997-12-31")).union(w.select("route", F.col("weight") * 2, day("1998-01-01"), F.lit(None).cast("date")))
 
 
-add("active_on", with_views(f"SELECT f.route, obs_date, count(*) AS n, round(max(weight), 6) AS weight FROM fares f JOIN {SCD} w ON f.route = w.route AND effective_from <= obs_date AND (effective_to IS NULL OR effective_to >= obs_date) GROUP BY 1, 2", "weights"), lambda s, d: ix.active_on(fares(s, d), scd(s, d), "obs_date", "route").groupBy("route", "obs_date").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("weight"), 6).alias("weight")))
 add("publish_weights", with_views(f"SELECT route, round(weight, 6) AS weight, effective_from, CASE WHEN effective_to IS NULL THEN DATE '2000-12-31' ELSE effective_to END AS effective_to FROM {SCD} UNION ALL SELECT route, round(weight, 6), DATE '2001-01-01', NULL FROM weights", "weights"), lambda s, d: ix.publish_weights(scd(s, d), weights(s, d).select("route", "weight"), "2001-01-01").withColumn("weight", F.round("weight", 6)))
 add("core_guard", with_views(f"SELECT {SUM} FROM fares WHERE status <> 'SOLD_OUT' AND travel_date NOT IN (SELECT DISTINCT cast(o_orderdate AS DATE) FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P')", "fares"), lambda s, d: total(ix.core_guard(fares(s, d), read(s, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'").select(F.to_date("o_orderdate").alias("day")).distinct())))
 add("core_anchor", "WITH " + CAL + ", have AS (SELECT DISTINCT cast(ts AS DATE) AS day FROM events), near AS (SELECT day, day - DATE '2024-01-08' AS off FROM have WHERE day NOT IN (SELECT day FROM cal) AND abs(day - DATE '2024-01-08') <= 21) SELECT h.day AS obs_date, arg_min(n.day, (abs(off), CASE WHEN off < 0 THEN 1 ELSE 0 END)) AS anchor FROM have h JOIN near n ON n.day <= h.day GROUP BY h.day", lambda s, d: ix.core_anchor(events(s, d).select(F.to_date("ts").alias("obs_date")), calendar(s, d), "2024-01-08"))

@@ -70,4 +70,3 @@ def repaired_batch(s, d):
 add("repaired_batch", "SELECT cast(ts AS DATE) AS day, count(*) FILTER (cast(ts AS DATE) >= DATE '2024-01-10' OR event_id % 2 = 0) AS n FROM events GROUP BY 1", repaired_batch)
 _F = "map('flight_number', '6E-100', 'origin_airport', if(event_id % 31 = 0, '', 'DEL'), 'destination_airport', 'BOM', 'travel_date', '2024-01-01', 'total_fare', cast(value + 1 as string))"
 add("stream_drift", "SELECT count(*) AS records_checked, count(*) FILTER (event_id % 31 <> 0) AS clean_count, count(*) FILTER (event_id % 31 = 0) AS drift_count, false AS is_drifting, false AS collapsed, 0 AS batch FROM events", lambda s, d: o.stream_drift(stream(s, d).select(F.expr(_F).alias("fields"))))
-add("stream_enrich", "SELECT c_mktsegment, count(*) AS n FROM events JOIN customer ON user_id = c_custkey GROUP BY 1", lambda s, d: o.drain(o.stream_enrich(stream(s, d).withColumnRenamed("user_id", "c_custkey"), (read(s, d, "customer"), "c_custkey")).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")), "complete"))

@@ -40,7 +40,7 @@ def drain(sdf: DataFrame, mode: str) -> DataFrame:
     sdf.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
     if not last:
         return spark.createDataFrame([], sdf.schema)
-    return spark.read.schema(sdf.schema).parquet(f"{out}/batch={last[-1]}" if mode == "complete" else out)
+    return spark.read.schema(sdf.schema).parquet(f"{out}/batch={last[-1]}" if mode == "complete" else out).select(*sdf.columns)
 
 
 def stream_window_stats(sdf: DataFrame, ts: str, x: str, size: str = "6 hours", delay: str = "1 hour", keys: list[str] | None = None) -> DataFrame:
