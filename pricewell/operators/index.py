@@ -128,18 +128,27 @@ def _per_cell(arrays: DataFrame, cell: list[str], f, columns: str, rows: int) ->
 def bootstrap_index(cells: DataFrame, weights: DataFrame, base: DataFrame, cell: list[str], series: list[str], replications: int = REPLICATIONS, seed: int = 7, level: float = 0.95, route: str = "route") -> DataFrame:
     """Bootstrap of the national index by series key: standard error, percentile interval (which holds the observed index), bias and normal interval.
 
-    ``cells``: (cell, carrier, price) rows that survived the outlier filter; ``base``: (cell without dates, base price). Each cell draws its
-    replications in one array; rows are then grouped by series and replication, so a hot series is spread over its replications.
+    ``cells``: (cell, carrier, price) rows that survived the outlier filter; ``base``: (cell without dates, base price). The cells of a series key, one a route, meet before any replication
+    is drawn, and their replications are added up in one array, so no replication is shuffled.
     """
-    prices = _per_cell(cell_arrays(cells, cell, seed), cell, lambda v, c: (np.append(np.exp(np.log(v).mean()), _means(v, c, replications)),), "prices array<double>", 64)
-    rows = prices.join(base, [c for c in base.columns if c != "base"]).join(weights.select(route, "weight"), route).where("base > 0")
-    # Replication 0 is the observed index.
-    rows = rows.select(*series, "weight", (F.col("weight") / F.col("base")).alias("by"), F.posexplode("prices").alias("rep", "price"))
-    each = rows.groupBy(*series, "rep").agg((100 * F.sum(F.col("by") * F.col("price")) / F.sum("weight")).alias("i"), F.count(F.lit(1)).alias("routes"))
-    drawn, tail = F.when(F.col("rep") > 0, F.col("i")), (1 - level) / 2
-    out = each.groupBy(*series).agg(
-        F.max("routes").alias("n_routes"), F.count(drawn).alias("replications"), F.avg(drawn).alias("mean"), F.median(drawn).alias("mid"), F.stddev_samp(drawn).alias("sd"), F.percentile(drawn, F.lit(tail)).alias("lo"), F.percentile(drawn, F.lit(1 - tail)).alias("hi"), F.max(F.when(F.col("rep") == 0, F.col("i"))).alias("seen")
-    )
+    tail, kinds = (1 - level) / 2, [cells.schema[c] for c in series]
+    names = ["n_routes", "replications", "mean", "mid", "sd", "lo", "hi", "seen"]
+
+    def summed(group: pa.Table) -> pa.Table:
+        prices, starts, shares, bases = group.column("v").to_pylist(), group.column("c").to_numpy(), group.column("weight").to_numpy(), group.column("base").to_numpy()
+        drawn, seen = np.zeros(replications), 0.0
+        for v, c, w, b in zip(prices, starts, shares, bases, strict=True):
+            v = np.array(v)
+            drawn += w / b * _means(v, int(c), replications)
+            seen += w / b * float(np.exp(np.log(v).mean()))
+        drawn, seen = 100 * drawn / shares.sum(), 100 * seen / shares.sum()
+        lo, mid, hi = np.quantile(drawn, [tail, 0.5, 1 - tail])
+        row = [len(prices), replications, drawn.mean(), mid, drawn.std(ddof=1) if replications > 1 else None, lo, hi, seen]
+        return pa.table([*(group.column(c).slice(0, 1) for c in series), *([x] for x in row)], schema=pa.schema([*(group.schema.field(c) for c in series), *((n, pa.int64() if i < 2 else pa.float64()) for i, n in enumerate(names))]))
+
+    rows = cell_arrays(cells, cell, seed).join(base, [c for c in base.columns if c != "base"]).join(weights.select(route, "weight"), route).where("base > 0")
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kinds), *(f"{n} {'long' if i < 2 else 'double'}" for i, n in enumerate(names))])
+    out = rows.select(*series, "v", "c", "weight", "base").groupBy(*series).applyInArrow(summed, schema)
     half = NormalDist().inv_cdf(1 - tail) * F.col("sd")
     columns = {"mean_index": F.col("mean"), "median_index": F.col("mid"), "standard_error": F.col("sd"), "ci_lower": F.least("lo", "seen"), "ci_upper": F.greatest("hi", "seen"), "observed_index": F.col("seen"), "bias": F.col("mean") - F.col("seen") + 0.0, "normal_lower": F.col("seen") - half, "normal_upper": F.col("seen") + half}
     return out.select(*series, "n_routes", "replications", *[F.round(c, 4).alias(name) for name, c in columns.items()])
