@@ -135,16 +135,18 @@ def _folders(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(f.getPath().toString() for f in found or [])
 
 
-def store_payloads(df: DataFrame, path: str, ts: str = "ts", content: str = "content") -> DataFrame:
+def store_payloads(df: DataFrame, path: str, ts: str = "ts", content: str = "content", old: DataFrame | None = None) -> DataFrame:
     """Write each new payload once, by content hash; what is in the store already is left as it is. The rows written, read back.
 
     The store is dealt into 256 folders by the hash, within these by run. The hashes of the folders concerned are read, not the payloads, and a manifest names the folders that a run
-    wrote, which alone are read back. Runs at the same time may both write a hash: ``stored_payloads`` takes that of the earlier run.
+    wrote, which alone are read back. Runs at the same time may both write a hash: ``stored_payloads`` takes that of the earlier run. ``old`` (payload_hash): what another store has.
     """
     spark, run = df.sparkSession, f"{time.time_ns():020d}-{uuid.uuid4().hex}"
     rows = latest_per(hashed(df, content), ["payload_hash"], [ts]).withColumn("prefix", F.substring("payload_hash", 1, 2))
     if _folders(spark, f"{path}/prefix=*"):
         rows = rows.join(spark.read.parquet(path).select("prefix", "payload_hash"), ["prefix", "payload_hash"], "left_anti")
+    if old is not None:
+        rows = rows.join(old.select("payload_hash"), "payload_hash", "left_anti")
     rows = rows.withColumns({"y": F.year(ts), "m": F.month(ts), "d": F.dayofmonth(ts), "run": F.lit(run)})
     rows.write.mode("append").partitionBy("prefix", "run").parquet(path)
     written = _folders(spark, f"{path}/prefix=*/run={run}")  # at most 256

@@ -8,7 +8,15 @@ import pytest
 import __spark_entry__ as entry
 
 DIR = "/root/testdata/sf0.001"
-NAMES = ["cell_report", "laspeyres", "jackknife", "bootstrap_index", "bootstrap_route", "daily_index", "index_range", "core_index", "dual_series", "leading_indicator", "briefing", "missing_variance", "platform_markup", "digest", "json_values", "targets", "breaker_state", "unexpected", "carrier_index", "weighted_median", "corridor_volatility", "hhi", "canonical_price", "match_nearest", "reconcile", "source_pair_audit", "robust_scores", "escalate", "classify_elevation", "lead_lag", "seasonal_trend", "forecast_accuracy", "normalize_quotes", "score_quality", "stream_window_stats", "stream_sessions", "flatten_offers", "active_on"]
+NAMES = [
+    "cell_report", "laspeyres", "jackknife", "bootstrap_index", "bootstrap_route", "daily_index", "index_range", "core_index", "dual_series",
+    "leading_indicator", "briefing", "missing_variance", "platform_markup", "digest", "json_values", "targets", "breaker_state", "unexpected",
+    "carrier_index", "weighted_median", "corridor_volatility", "hhi", "canonical_price", "match_nearest", "reconcile", "source_pair_audit",
+    "robust_scores", "escalate", "classify_elevation", "lead_lag", "seasonal_trend", "forecast_accuracy", "normalize_quotes", "score_quality",
+    "stream_window_stats", "stream_sessions", "flatten_offers", "active_on", "index_now", "asof_join", "forecast_features", "policy_signal",
+    "fare_benchmark", "validation_summary", "live_series_weekly", "cohort_correlation", "carrier_escalation", "late_repair", "json_prices",
+    "conformal", "lead_summary", "store_payloads", "read_benchmark", "read_monthly_fares", "append_snapshot", "validate_records", "stream_enrich",
+]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="the tables are not here")
 
 
