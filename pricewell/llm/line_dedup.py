@@ -70,17 +70,11 @@ def _lines_in(wanted, min_words: int, depth: int):
     return run
 
 
-def _stripped(text: str, min_words: int, depth: int, long_words: int, template_gone, as_is_gone) -> tuple[int, str]:
-    """(lines dropped, what stays) of a text; the functions tell which hashes go, of lines with wildcards and of short and long lines as they are."""
-    lines = text.split("\n")
-    breaks = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 10)
-    for x in line_hashes(pa.array([text]), depth):
-        out = (x["n"] >= min_words) & template_gone(x["exact"])
-        out |= ((x["n"] < min_words) | (x["n"] > long_words)) & as_is_gone(x["whole"])
-        for i in np.searchsorted(breaks, x["start"][out]):
-            lines[i] = None
-    stay = [x for x in lines if x is not None]
-    return len(lines) - len(stay), "\n".join(stay)
+def _without(raw: np.ndarray, starts: np.ndarray) -> tuple[int, str]:
+    """(lines dropped, what stays) of a text's bytes; ``starts``: a place in each line that goes."""
+    lines = raw.tobytes().split(b"\n")
+    gone = set(np.searchsorted(np.flatnonzero(raw == 10), starts).tolist())
+    return len(gone), b"\n".join(x for i, x in enumerate(lines) if i not in gone).decode()
 
 
 def _answer(batch, at: np.ndarray, changed: list[tuple[int, str]]):
@@ -94,46 +88,59 @@ def _answer(batch, at: np.ndarray, changed: list[tuple[int, str]]):
     return pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(dropped), text], ["id", "n_lines", "n_dropped", "text"])
 
 
-def _stay(min_words: int, depth: int, long_words: int):
-    """(id, n_lines, n_dropped, text) of (id, row, text, gone): the text without the lines whose hashes are in the row's list."""
+def _dropping(goes, min_words: int, depth: int, long_words: int):
+    """(id, n_lines, n_dropped, text) of (id, row, text, ..): ``goes`` tells from the batch and a slice's lines (rows, hashes with wildcards, as they are, and which of both count) what goes."""
 
     def run(batches):
         for batch in batches:
-            text, lists = batch.column(2), batch.column(3)
-            at = np.flatnonzero(np.asarray(pc.and_(lists.is_valid(), text.is_valid())))
-            gone = [lists[i].values.to_numpy() for i in at.tolist()]
-            changed = [_stripped(text[i].as_py(), min_words, depth, long_words, *[lambda h, g=g: np.isin(h, g)] * 2) for i, g in zip(at.tolist(), gone, strict=True)]
+            text, rows, starts = batch.column(2), [], []
+            data, offsets = _buffers(text)
+            judge = goes(batch)
+            for x in line_hashes(text, depth):
+                out = judge(x["row"], x["exact"], x["whole"], x["n"] >= min_words, (x["n"] < min_words) | (x["n"] > long_words))
+                rows.append(x["row"][out])
+                starts.append(x["start"][out])
+            rows, starts = (np.concatenate(a) if a else np.empty(0, np.int64) for a in (rows, starts))
+            at, first = np.unique(rows, return_index=True)
+            last = np.append(first[1:], len(rows))[: len(at)]
+            changed = [_without(data[offsets[i] : offsets[i + 1]], starts[a:b] - offsets[i]) for i, a, b in zip(at.tolist(), first, last, strict=True)]
             yield _answer(batch, at, changed)
 
     return run
 
 
-def _judge(known, min_words: int, depth: int, long_words: int):
-    """As ``_stay`` for (id, row, text), by the hashes of all lines that go: sorted arrays of those that go everywhere, with and without wildcards, and of long lines with the id that keeps each."""
+def _by_lists(batch):
+    """Lines of a row go whose hashes are in its list ``gone``."""
+    lists = batch.column(3)
 
-    def run(batches):
+    def judge(row, exact, whole, masked, as_is):
+        out = np.zeros(len(row), bool)
+        for i in np.unique(row).tolist():
+            if lists[i].is_valid:
+                mine, gone = row == i, lists[i].values.to_numpy()
+                out |= mine & ((masked & np.isin(exact, gone)) | (as_is & np.isin(whole, gone)))
+        return out
+
+    return judge
+
+
+def _by_known(known):
+    """Lines go by the hashes of all that do: sorted arrays of those that go everywhere, with and without wildcards, and of long lines with the id that keeps each."""
+
+    def goes(batch):
         templates, short, long, keeper = known.value
         among = lambda h, a: a[np.minimum(np.searchsorted(a, h), len(a) - 1)] == h if len(a) else np.zeros(len(h), bool)
-        for batch in batches:
-            ids, text = batch.column(0).to_pylist(), batch.column(2)
+        ids = batch.column(0)
 
-            def as_is(h, mine):
-                out = among(h, short)
-                for k in np.flatnonzero(among(h, long)):
-                    out[k] |= keeper[int(np.searchsorted(long, h[k]))] != mine
-                return out
+        def judge(row, exact, whole, masked, as_is):
+            out = (masked & among(exact, templates)) | (as_is & among(whole, short))
+            for k in np.flatnonzero(as_is & ~out & among(whole, long)).tolist():
+                out[k] = keeper[int(np.searchsorted(long, whole[k]))] != ids[int(row[k])].as_py()
+            return out
 
-            # Lines are hashed for the whole batch first; only texts that lose one are taken apart.
-            hit = np.zeros(batch.num_rows, bool)
-            for x in line_hashes(text, depth):
-                some = (x["n"] >= min_words) & among(x["exact"], templates)
-                some |= ((x["n"] < min_words) | (x["n"] > long_words)) & (among(x["whole"], short) | among(x["whole"], long))
-                hit[x["row"][some]] = True
-            at = np.flatnonzero(hit)
-            changed = [_stripped(text[i].as_py(), min_words, depth, long_words, lambda h: among(h, templates), lambda h, i=i: as_is(h, ids[i])) for i in at.tolist()]
-            yield _answer(batch, at, changed)
+        return judge
 
-    return run
+    return goes
 
 
 def _templates(texts: DataFrame, similarity: float, min_docs: int) -> DataFrame:
@@ -198,14 +205,14 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_docs
     schema = f"id {kind}, n_lines long, n_dropped long, text string"
     if dropped.count() + again.count() <= KNOWN_LINES:
         known = df.sparkSession.sparkContext.broadcast(_known(dropped, again))
-        out = docs.mapInArrow(_judge(known, min_words, depth, long_words), schema)
+        out = docs.mapInArrow(_dropping(_by_known(known), min_words, depth, long_words), schema)
     else:
         # Texts meet the hashes of their own lines that go, by row.
         all_lines = hashes.select("id", "row", "exact", "leaf", "long")
         as_is = all_lines.where("leaf is null").join(again, ["exact", "long"]).where(~F.col("long") | ~F.col("id").eqNullSafe(F.col("first.id"))).select("row", "exact")
         gone = all_lines.where("leaf is not null").join(dropped, "exact").select("row", "exact").union(as_is)
         per_row = gone.groupBy("row").agg(F.collect_set("exact").alias("gone")).withColumnRenamed("row", "gone_row")  # lines of one text
-        out = docs.join(per_row, F.col("row") == F.col("gone_row"), "left").select("id", "row", "text", "gone").mapInArrow(_stay(min_words, depth, long_words), schema)
+        out = docs.join(per_row, F.col("row") == F.col("gone_row"), "left").select("id", "row", "text", "gone").mapInArrow(_dropping(_by_lists, min_words, depth, long_words), schema)
     return out.select(F.col("id").alias(key), "n_lines", "n_dropped", "text")
 
 
