@@ -10,7 +10,10 @@ documents hold the run, and how surprising its letters are to the corpus (bits a
 
 from __future__ import annotations
 
+import json
 import math
+import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -27,7 +30,7 @@ RUN = (
     r"[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
     r"|(?:(?<=[=:])|(?<=[=:][\"'`]))(?!/)[A-Za-z0-9+/_!@#$%^*.~-]{5,}[A-Za-z0-9+/_!@#$%^*~-]"
 )
-#: Words in front of a run and parts of paths are dealt into this many buckets by their hashes.
+#: Words in front of a run, parts of paths and the dictionary are dealt into this many buckets by their hashes.
 BUCKETS = 1024
 #: Fixed: how keys of known services begin.
 KNOWN_KEYS = r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}$|gh[opsu]_[0-9A-Za-z]{36}|glpat-|xox[abpr]-|sk_live_|rk_live_|AIza[0-9A-Za-z_-]{35}$|npm_[0-9A-Za-z]{36}$)"
@@ -54,6 +57,15 @@ def pair_bits(counts: dict[str, int]) -> dict[str, float]:
     return {a + b: math.log2(sum(seen[a + c] for c in signs) / seen[a + b]) for a in signs for b in signs}
 
 
+def among(word: Column, names: Iterable[str]) -> Column:
+    """Whether a word is one of up to some hundred thousand ``names``: these are one constant, dealt into buckets by CRC, so that a plan stays small and a word is compared with a few."""
+    buckets: list[list[str]] = [[] for _ in range(BUCKETS)]
+    for name in names:
+        buckets[zlib.crc32(name.encode()) % BUCKETS].append(name)
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<array<string>>")
+    return F.array_contains(F.get(table, (F.crc32(word) % BUCKETS).cast("int")), word)
+
+
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "source", dictionary: dict[str, int] | None = None) -> DataFrame:
     """One row per candidate: key, word_index (from 0), run_index (from 0, of the word's runs), run, the features of the run itself, ``near_words`` (up to three words in front of it, lower case) and
     ``path_parts``. ``path`` None: no column names where a text is from.
@@ -62,9 +74,9 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     ``dictionary``: by default that of the corpus. Null and empty texts have no candidates.
     """
     dictionary = corpus_words(docs, text) if dictionary is None else dictionary
-    rows = docs.select(F.col(key).alias("id"), (F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")).alias("path"), words(F.col(text)).alias("w"))
-    announced = lambda i: F.coalesce(F.right(F.get("w", i - 1), F.lit(1)).isin("=", ":"), F.lit(False))
-    rows = rows.withColumn("v", F.transform("w", lambda w, i: F.when(announced(i), F.concat(F.lit("="), w)).otherwise(w)))
+    # A word behind one that ends in an equal sign or colon begins with an equal sign in ``v``, which has the same words else.
+    marked = F.regexp_replace(F.col(text), r"([=:])([\x20\x09-\x0D]+)(?=[^\x20\x09-\x0D])", "$1$2=")
+    rows = docs.select(F.col(key).alias("id"), (F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")).alias("path"), words(F.col(text)).alias("w"), words(marked).alias("v"))
     at = F.filter(F.transform("v", lambda v, i: F.when(((F.length(v) >= 16) | v.contains("=") | v.contains(":")) & v.rlike(RUN), i)), lambda i: i.isNotNull())
     rows = rows.withColumn("at", at).where(F.size("at") > 0).select("id", "path", "w", "v", F.explode("at").alias("i"))
     near = lambda c: lower_ascii(F.regexp_replace(c, r"[^A-Za-z0-9]", ""))
@@ -84,7 +96,7 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     kind = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("run", "[a-z]", "a"), "[A-Z]", "b"), "[0-9]", "0"), "[^ab0]", ".")
     rows = rows.withColumn("kind", kind)
     pieces = F.transform(F.expr("regexp_extract_all(run, '[A-Z]?[a-z]{2,}|[A-Z]{3,}', 0)"), lower_ascii)
-    known = F.aggregate(pieces, F.lit(0), lambda a, x: a + F.when(x.isin(list(dictionary)), F.length(x)).otherwise(0)) if dictionary else F.lit(0)
+    known = F.aggregate(pieces, F.lit(0), lambda a, x: a + F.when(among(x, dictionary), F.length(x)).otherwise(0)) if dictionary else F.lit(0)
     number = lambda c: c.cast("double")
     return rows.select(
         F.col("id").alias(key), "word_index", "run_index", "run",
