@@ -153,9 +153,9 @@ def peak(spark, sf_dir):
     return read(spark, sf_dir, "orders").where(SEASON.format(d="o_orderdate")).select(F.to_date("o_orderdate").alias("day")).distinct()
 
 
-def headline(spark, sf_dir):
+def headline(spark, sf_dir, base=BASE):
     quotes = daily(spark, sf_dir)
-    return pub.daily_index(quotes, weights(spark, sf_dir, quotes), BASE)
+    return pub.daily_index(quotes, weights(spark, sf_dir, quotes), base)
 
 
 def core(spark, sf_dir):
