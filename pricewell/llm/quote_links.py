@@ -123,14 +123,14 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     split = rows.withColumn("all", F.split("text", "\n"))
     with_turn = rows.where("turn is not null")
     has_quotes = F.col("text").rlike(r"(?:^|\n)[ \t]*>")
-    quoted = with_turn.where(has_quotes).select("conv", "turn", F.inline(pieces(F.col("text")))).where("level > 0")
-    quoted = keep(quoted.distinct(), "quoted")
     parents = None
-    if quoted.limit(1).count():
-        asked = quoted.select("conv", "h").distinct()
-        said = with_turn.select("conv", "turn", F.inline(pieces(F.col("text")))).where("level = 0")
-        said = said.join(asked.toDF("c", "a"), F.col("conv").eqNullSafe(F.col("c")) & (F.col("h") == F.col("a")), "left_semi").distinct()
-        hits = _latest_before(said.select("conv", "h", "turn", "level").union(quoted.select("conv", "h", "turn", "level")))
+    if with_turn.where(has_quotes).limit(1).count():
+        every = keep(with_turn.select("conv", "turn", F.inline(pieces(F.col("text")))).distinct(), "pieces")
+        quoted = every.where("level > 0")
+        asked = quoted.select(F.col("conv").alias("c"), F.col("h").alias("a")).distinct()
+        said = every.where("level = 0").join(asked, F.col("conv").eqNullSafe(F.col("c")) & (F.col("h") == F.col("a")), "left_semi")
+        asking = keep(said.select("conv", "h", "turn", "level").union(quoted.select("conv", "h", "turn", "level")), "said-and-quoted")
+        hits = _latest_before(asking)
         counts = hits.groupBy("conv", "turn", "level", "src").agg(F.count(F.lit(1)).alias("k"))
         best = counts.groupBy("conv", "turn").agg(F.max(F.struct((-F.col("level")).alias("near"), "k", "src")).alias("best"))
         parents = keep(best.select("conv", "turn", F.col("best.src").alias("parent")), "replies")
