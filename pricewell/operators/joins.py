@@ -36,13 +36,6 @@ def pair_cohorts(df: DataFrame, cohort: str, on: list[str], x: str, one: str, tw
     return df.where(F.col(cohort).isin(one, two)).groupBy(*on).agg(m(one).alias("a"), m(two).alias("b")).where("a is not null and b is not null")
 
 
-def _near(left: DataFrame, right: DataFrame, key: list[str], minutes: str, tol: int, lid: str, rid: str) -> DataFrame:
-    """Candidate pairs of one key with at most ``tol`` minutes between them. Time buckets as wide as the tolerance keep it an equi-join."""
-    a = left.where(F.col(minutes) >= 0).select(*key, F.col(lid).alias("lid"), F.col(minutes).alias("lm"), F.explode(F.array(*[F.floor(F.col(minutes) / tol) + i for i in (-1, 0, 1)])).alias("__b"))
-    b = right.where(F.col(minutes) >= 0).select(*key, F.col(rid).alias("rid"), F.col(minutes).alias("rm"), F.floor(F.col(minutes) / tol).alias("__b"))
-    return a.join(b, [*key, "__b"]).withColumn("delta", F.abs(F.col("lm") - F.col("rm"))).where(F.col("delta") <= tol).select(*key, "lid", "rid", "delta")
-
-
 def _greedy(left, right, tol: int):
     """Pairs (lid, rid, delta) of one key, least (delta, lid, rid) first, until no pair is left.
 
@@ -154,12 +147,27 @@ def match_nearest(left: DataFrame, right: DataFrame, key: list[str], minutes: st
 
 
 def nearest_min(left: DataFrame, right: DataFrame, key: list[str], minutes: str, price: str, tol: int = 25, lid: str = "lid", rid: str = "rid", band: float = 0.15) -> DataFrame:
-    """Many-to-one: the least right price at the nearest slot, and whether the left price is within ``band`` of it."""
-    near = _near(left, right, key, minutes, tol, lid, rid).join(right.select(F.col(rid).alias("rid"), F.col(price).alias("rp")), "rid")
-    best = near.groupBy("lid").agg(F.min(F.struct("delta", "rp")).alias("m"))
-    out = left.select(F.col(lid).alias("lid"), F.col(price).alias("lp")).join(best, "lid")
+    """Many-to-one: the least right price at the nearest slot, and whether the left price is within ``band`` of it.
+
+    Quotes of one time are one slot, with its least price, before slots meet, so no pairs of quotes are made. A right slot is dealt to the time bucket, as wide as the
+    tolerance, that it is in and the two beside it; within a bucket the last slot before a left one and the first after it are all that it can take.
+    """
+    keys = [f"k{i}" for i in range(len(key))]
+    named = [F.col(c).alias(k) for c, k in zip(key, keys, strict=True)]
+    bucket = F.floor(F.col("minutes") / tol)
+    side = lambda df, i: df.dropna(subset=[*key, i]).where(F.col(minutes) >= 0)
+    a = side(left, lid).select(*named, F.col(minutes).alias("minutes"), F.col(lid).alias("lid"), F.col(price).alias("lp"))
+    b = side(right, rid).select(*named, F.col(minutes).alias("minutes"), F.col(price).alias("rp")).groupBy(*keys, "minutes").agg(F.min("rp").alias("rp"))
+    asked = a.select(*keys, "minutes").distinct().withColumn("__b", bucket).withColumn("slot", F.lit(None).cast(b.select(F.struct("minutes", "rp").alias("x")).schema[0].dataType))
+    given = b.select(*keys, "minutes", F.explode(F.array(*[bucket + i for i in (-1, 0, 1)])).alias("__b"), F.struct("minutes", "rp").alias("slot"))
+    w = Window.partitionBy(*keys, "__b").rowsBetween(Window.unboundedPreceding, 0)
+    # right slots come first among equal times going up, and going down the slot of the same time has been met already
+    near = lambda order: F.last("slot", ignorenulls=True).over(w.orderBy(order, F.col("slot").isNull()))
+    slots = asked.unionByName(given).withColumn("__before", near(F.col("minutes"))).withColumn("__after", near(F.col("minutes").desc())).where("slot is null")
+    gap = lambda c: F.when(F.abs(F.col("minutes") - F.col(c)["minutes"]) <= tol, F.struct(F.abs(F.col("minutes") - F.col(c)["minutes"]).alias("delta"), F.col(c)["rp"].alias("rp")))
+    best = slots.select(*keys, "minutes", F.least(gap("__before"), gap("__after")).alias("m")).where("m is not null")
     diff = (F.col("lp") - F.col("m.rp")) / F.col("m.rp")
-    return out.select("lid", F.col("m.delta").alias("delta"), F.round("m.rp", 4).alias("price"), F.when(F.abs(diff) <= band, "MATCH").when(diff > 0, "HIGHER").otherwise("LOWER").alias("label"))
+    return a.join(best, [*keys, "minutes"]).select("lid", F.col("m.delta").alias("delta"), F.round("m.rp", 4).alias("price"), F.when(F.abs(diff) <= band, "MATCH").when(diff > 0, "HIGHER").otherwise("LOWER").alias("label"))
 
 
 def unmatched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

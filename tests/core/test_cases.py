@@ -231,3 +231,26 @@ def test_cards(spark):
     assert (r["travel_date"], r["return_date"]) == (dt.date(2026, 12, 24), dt.date(2027, 1, 3))
     tokens = spark.createDataFrame([(1, w, float(x), float(y), x + 10.0, y + 10.0) for w, x, y in [("b", 50, 0), ("a", 0, 0), ("c", 0, 100), ("d", 0, 112)]], "page int, text string, x1 double, y1 double, x2 double, y2 double")
     assert [r["text"] for r in text.cluster_tokens(tokens, "page").orderBy("card").collect()] == ["a b", "c d"]
+
+
+def test_nearest_slot_makes_no_pairs_of_quotes(spark):
+    """A hot slot: 3,000 quotes of a side at two times. Slots meet, not quotes; the results are those of brute force."""
+    import random
+
+    rng = random.Random(3)
+    left = [(rng.choice("ab"), float(rng.randrange(0, 300)) / rng.choice([1, 4]), rng.randrange(90, 130) * 1.0, i) for i in range(300)]
+    right = [(rng.choice("ab"), float(rng.randrange(0, 300)) / rng.choice([1, 4]), rng.randrange(90, 130) * 1.0, i) for i in range(60)]
+    left += [("hot", 600.0, 100.0, 1000 + i) for i in range(3000)] + [(None, 5.0, 1.0, 9001), ("a", -1.0, 1.0, 9002), ("a", None, 1.0, 9003), ("a", 900.0, 1.0, 9004)]
+    right += [("hot", 600.0 + 25 * (i % 2), 80.0 + i, 1000 + i) for i in range(3000)]
+    make = lambda rows, i: spark.createDataFrame(rows, f"carrier string, minutes double, price double, {i} long")
+    found = j.nearest_min(make(left, "lid"), make(right, "rid"), ["carrier"], "minutes", "price")
+    want = {}
+    for c, m, p, i in left:
+        near = [(abs(m - rm), rp) for rc, rm, rp, _ in (right if c != "hot" else right[60:62]) if c is not None and m is not None and m >= 0 and rc == c and abs(m - rm) <= 25]
+        if near:
+            delta, rp = min(near)
+            want[i] = (delta, rp, "MATCH" if abs((p - rp) / rp) <= 0.15 else "HIGHER" if p > rp else "LOWER")
+    assert {r["lid"]: (r["delta"], r["price"], r["label"]) for r in found.collect()} == want and len(want) > 3000
+    found.write.format("noop").mode("overwrite").save()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "min(struct(" not in plan and "SortAggregate" not in plan  # no pair is made that would be cut down afterwards
