@@ -55,10 +55,12 @@ def read_monthly_fares(spark: SparkSession, path: str, routes: DataFrame) -> Dat
 
     A row's place is its file, the start of its split in it, and its number within the task, which rises along a split.
     """
-    rows = _csv(spark, path, MONTHLY, F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("__at"))
+    rows = _csv(spark, path, MONTHLY, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__at"))
     rows = rows.join(routes.select("route_code"), "route_code", "left_semi")
-    first = rows.groupBy("route_code", "period", "sector").agg(F.min_by("fare", "__at").alias("fare"))
-    return first
+    key = ["route_code", "period", "sector"]
+    # Within a split the place is a number, and numbers are compared without a sort; a row a split and key is left for the places of splits.
+    splits = rows.groupBy(*key, "__file", "__start").agg(F.min_by("fare", "__at").alias("fare"))
+    return splits.groupBy(*key).agg(F.min_by("fare", F.struct("__file", "__start")).alias("fare"))
 
 
 def write_fares(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

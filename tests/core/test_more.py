@@ -293,3 +293,25 @@ def test_estimator_of_ones_own(spark):
         assert cells.representative_price(quotes, estimator="MIDRANGE").first()["price"] == 106.0
     finally:
         del cells.ESTIMATORS["MIDRANGE"]
+
+
+def test_first_rows_are_found_without_a_sort(spark, tmp_path):
+    routes = spark.createDataFrame([("A-B",)], "route_code string")
+    (tmp_path / "m").mkdir()
+    write(tmp_path / "m" / "part-00001.csv", "route_code,period,sector,fare\nA-B,2024-01,x,9\nA-B,2024-02,x,4\n")
+    write(tmp_path / "m" / "part-00000.csv", "route_code,period,sector,fare\nA-B,2024-01,x,5\nA-B,2024-01,x,6\n")
+    rows = files.read_monthly_fares(spark, str(tmp_path / "m"), routes)
+    assert {(r["period"], r["fare"]) for r in rows.collect()} == {("2024-01", 5.0), ("2024-02", 4.0)}
+    assert "HashAggregate(" in rows._jdf.queryExecution().executedPlan().toString()  # only the rows of splits are sorted
+
+
+def test_monthly_fares_are_written_by_several_tasks(spark, monkeypatch):
+    import os
+
+    from pricewell.plans import source_queries
+
+    folders = []
+    monkeypatch.setattr(source_queries.f, "read_monthly_fares", lambda s, path, known: folders.append(path) or s.read.csv(path, header=True))
+    source_queries.read_monthly_fares(spark, "/root/testdata/sf0.001")
+    folder = folders[0].removeprefix("file:")
+    assert len([x for x in os.listdir(folder) if x.endswith(".csv")]) > 1
