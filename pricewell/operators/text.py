@@ -54,9 +54,12 @@ def card_dates(df: DataFrame, text: str, ref: str | Column) -> DataFrame:
 
 def cluster_tokens(tokens: DataFrame, page: str, floor: float = 12.0, factor: float = 1.8) -> DataFrame:
     """Tokens of a page as cards: a vertical gap over max(floor, factor x median height) begins a new one; text in reading order."""
+    # A task for each shuffle partition: tasks that are sized by compressed bytes hold too many of these narrow rows.
+    tokens = tokens.repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), page)
     w = Window.partitionBy(page)
     order = w.orderBy("y1", "x1")
-    rows = tokens.withColumn("__h", F.median(F.col("y2") - F.col("y1")).over(w)).withColumn("__below", F.max("y2").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    # The ordered window comes first, so that its sort serves all three.
+    rows = tokens.withColumn("__below", F.max("y2").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("__h", F.median(F.col("y2") - F.col("y1")).over(w))
     new = F.coalesce((F.col("y1") - F.col("__below") > F.greatest(F.lit(floor), factor * F.col("__h"))).cast("int"), F.lit(0))
     rows = rows.withColumn("card", F.sum(new).over(order))
     items = F.sort_array(F.collect_list(F.struct("y1", "x1", "text")))

@@ -315,3 +315,11 @@ def test_monthly_fares_are_written_by_several_tasks(spark, monkeypatch):
     source_queries.read_monthly_fares(spark, "/root/testdata/sf0.001")
     folder = folders[0].removeprefix("file:")
     assert len([x for x in os.listdir(folder) if x.endswith(".csv")]) > 1
+
+
+def test_cards_need_one_sort_and_all_shuffle_partitions(spark):
+    tokens = spark.range(400).selectExpr("id % 40 as page", "cast(id as string) as text", "cast(id % 7 as double) as x1", "cast(id as double) as y1", "cast(id % 7 + 5 as double) as x2", "cast(id + 5 as double) as y2")
+    cards = text.cluster_tokens(tokens, "page")
+    assert cards.agg(F.sum("tokens")).first()[0] == 400
+    plan = cards.select("page", "card", "tokens")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "REPARTITION_BY_NUM" in plan
