@@ -56,8 +56,15 @@ def _replace(text: str, name: str) -> str:
     return re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", text)
 
 
+#: Lines of a task in which lines and orders meet, and the least number of such tasks for which lines are dealt out by number.
+TASK_LINES, LEAST_TASKS = 500_000, 24
+
+
 def fares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, FARES)
+    """Many lines meet their orders in tasks of TASK_LINES each: Spark sizes tasks by compressed bytes, of which these narrow rows have few, and a task would sort tens of millions."""
+    lines = read(spark, sf_dir, "lineitem")
+    tasks = lines.count() // TASK_LINES  # read from the footers
+    return view(spark, sf_dir, FARES, **({"lineitem": lines.repartition(tasks, "l_orderkey")} if tasks >= LEAST_TASKS else {}))
 
 
 def weights(spark: SparkSession, sf_dir: str, quotes: DataFrame | None = None) -> DataFrame:

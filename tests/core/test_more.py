@@ -323,3 +323,15 @@ def test_cards_need_one_sort_and_all_shuffle_partitions(spark):
     assert cards.agg(F.sum("tokens")).first()[0] == 400
     plan = cards.select("page", "card", "tokens")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_many_lines_meet_orders_in_tasks_by_number(spark, monkeypatch):
+    from pricewell.plans import views
+
+    sf = "/root/testdata/sf0.001"
+    few = views.fares(spark, sf)
+    monkeypatch.setattr(views, "TASK_LINES", 200)
+    many = views.fares(spark, sf)
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_NUM" not in few._jdf.queryExecution().executedPlan().toString()
