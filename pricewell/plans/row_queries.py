@@ -14,7 +14,7 @@ from .clean_queries import records
 from .join_queries import SCD, scd
 from .registry import query
 from .stream_queries import stream
-from .views import fares, read, with_views
+from .views import fares, kept, read, with_views
 
 QUOTE = ["order_id", "line_no", "part_id", "supp_id"]
 _Q = ", ".join(QUOTE)
@@ -39,7 +39,7 @@ def lookup_default(spark, sf_dir):
 FROM fares WHERE feed_type <> 'SYNTHETIC_BASELINE'""", "fares"))
 def union_feeds(spark, sf_dir):
     """One of the feeds has a column that the others lack."""
-    quotes = fares(spark, sf_dir).select(*QUOTE, "feed_type", F.round("base_fare", 4).alias("base_fare"), "source_id")
+    quotes = kept(fares(spark, sf_dir).select(*QUOTE, "feed_type", F.round("base_fare", 4).alias("base_fare"), "source_id").where("feed_type <> 'SYNTHETIC_BASELINE'"))
     part = lambda f: quotes.where(F.col("feed_type") == f)
     return j.union_feeds(part("CARRIER_DIRECT").drop("source_id"), part("RPC_FALLBACK").drop("source_id"), part("OTA_AGGREGATOR"))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pricewell.streaming.ops import sink_dir
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages"]
 
 #: One row per quote. order_id and line_no don't identify it: together with part_id, supp_id and the prices they break ties.
@@ -67,6 +69,17 @@ def fares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, FARES, **({"lineitem": lines.repartition(tasks, "l_orderkey")} if tasks >= LEAST_TASKS else {}))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, for queries that read it several times: its joins run once. The schema is passed on, so that reading needs no job."""
+    path = sink_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: What indices and reports read of a quote.
+QUOTED = ["obs_date", "search_date", "travel_date", "route", "carrier", "horizon", "base_fare", "total_fare", "status", "feed_type", "fare_family", "cabin", "pax"]
+
+
 def weights(spark: SparkSession, sf_dir: str, quotes: DataFrame | None = None) -> DataFrame:
     """Weights of the given quotes, by default all: a query that has the quotes passes them, and files are listed once."""
     return view(spark, sf_dir, WEIGHTS, fares=fares(spark, sf_dir) if quotes is None else quotes)

@@ -335,3 +335,12 @@ def test_many_lines_meet_orders_in_tasks_by_number(spark, monkeypatch):
     assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
     plan = many._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_NUM" not in few._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["union_feeds"])
+def test_quotes_are_joined_once(spark, name):
+    """What is read several times is read from a table; the orders are met before."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") <= (name == "digest")  # its fuel prices are another reading
