@@ -11,7 +11,7 @@ from pricewell.operators import index as ix
 from .analytics_queries import CURVE, VOL, add, corr_sql, direct
 from .index_queries import BASE_DATE, CARRIER, LASPEYRES, based, cell_sql
 from .join_queries import CAL, SCD, calendar, scd
-from .views import fares, read, series, weights, with_views
+from .views import QUOTED, fares, kept, read, series, weights, with_views
 
 
 def lasp(s, d):
@@ -54,9 +54,16 @@ add("common_flights", with_views("SELECT carrier, obs_date, count(DISTINCT sourc
 add("index_between", cell_sql(f"SELECT * FROM ({LASPEYRES}) WHERE horizon = 15 AND obs_date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'", "weights"), lambda s, d: k.index_between(lasp(s, d), "obs_date", "1996-01-01", "1997-12-31", horizon=15))
 add("weights_history", with_views(f"SELECT route, round(weight, 6) AS weight, effective_from FROM {SCD}", "weights"), lambda s, d: k.weights_history(scd(s, d)).select("route", F.round("weight", 6).alias("weight"), "effective_from"))
 add("backtest", cell_sql("", "weights").rstrip() + f", ap AS (SELECT strftime(obs_date, '%Y-%m') AS month, avg(index_value) AS a FROM ({LASPEYRES}) GROUP BY 1), ob AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, avg(o_totalprice) AS b FROM orders GROUP BY 1) SELECT count(*) AS months, round(covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)), 3) AS r, round(avg(abs(100 * (a - b) / b)), 3) AS mean_deviation_pct FROM ap JOIN ob USING (month)", lambda s, d: k.backtest(lasp(s, d).groupBy(F.date_format("obs_date", "yyyy-MM").alias("month")).agg(F.avg("index_value").alias("value")), read(s, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.avg("o_totalprice").alias("value"))).withColumns({"r": F.round("r", 3), "mean_deviation_pct": F.round("mean_deviation_pct", 3)}))
+def briefing(s, d):
+    quotes = kept(fares(s, d).select(*QUOTED))
+    w = weights(s, d, quotes)
+    index = ix.laspeyres(based(s, d, quotes), w).where("horizon = 15")
+    return k.briefing(index, ix.carrier_index(quotes, w, BASE_DATE).where("horizon = 15"), a.corridor_volatility(quotes, ["route"], "base_fare"), a.lead_time_curve(quotes, ["route"], "base_fare"))
+
+
 BRIEF = f""", head AS (SELECT obs_date AS as_of, index_value AS headline FROM ({LASPEYRES}) WHERE horizon = 15 ORDER BY obs_date DESC LIMIT 1),
 lastc AS (SELECT carrier, index_value, row_number() OVER (PARTITION BY carrier ORDER BY obs_date DESC) AS r FROM carrier_index WHERE horizon = 15),
 vol AS ({VOL.replace(', horizon', '')}), curve AS ({CURVE})
 SELECT as_of, headline, (SELECT arg_max(carrier, (index_value, carrier)) FROM lastc WHERE r = 1) AS dearest_carrier, (SELECT round(avg(spread_pct), 2) FROM vol) AS avg_spread,
  (SELECT round(100 * (avg(fare) FILTER (horizon = 1) - avg(fare) FILTER (horizon = 45)) / nullif(avg(fare) FILTER (horizon = 1), 0), 2) FROM curve) AS early_saving_pct FROM head"""
-add("briefing", cell_sql("", "weights").rstrip() + CARRIER + BRIEF, lambda s, d: k.briefing(lasp(s, d).where("horizon = 15"), carr(s, d).where("horizon = 15"), a.corridor_volatility(fares(s, d), ["route"], "base_fare"), a.lead_time_curve(fares(s, d), ["route"], "base_fare")))
+add("briefing", cell_sql("", "weights").rstrip() + CARRIER + BRIEF, briefing)
