@@ -165,9 +165,9 @@ def core_index(fares: DataFrame, weights: DataFrame, calendar: DataFrame, base_d
     return _rows(points, "CORE", with_routes=False)
 
 
-def published_index(fares: DataFrame, weights: DataFrame, calendar: DataFrame, base_date: str, horizon: int = 15) -> DataFrame:
-    """Headline and core rows together."""
-    headline = daily_index(fares, weights, base_date)
+def published_index(fares: DataFrame, weights: DataFrame, calendar: DataFrame, base_date: str, horizon: int = 15, headline: DataFrame | None = None) -> DataFrame:
+    """Headline and core rows together. The headline is read twice; a caller that has stored it passes it."""
+    headline = daily_index(fares, weights, base_date) if headline is None else headline
     return headline.unionByName(core_index(fares, weights, calendar, base_date, headline, horizon))
 
 

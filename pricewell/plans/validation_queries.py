@@ -14,9 +14,9 @@ from pricewell.operators import validation as v
 from .analytics_queries import CURVE, VOL, corr_sql
 from .evidence_queries import FUEL, fuel
 from .index_queries import BASE_DATE, CARRIER, W
-from .published_queries import BASE, daily, headline, sql
+from .published_queries import BASE, by_search, daily, headline, sql
 from .registry import query
-from .views import fares, money_sql, weights, with_views
+from .views import QUOTED, fares, kept, money_sql, weights, with_views
 
 #: Official fares are the mean total fares of a route and month.
 COMPARED = f""", official AS (
@@ -170,10 +170,11 @@ UNION ALL SELECT 'fuel', (SELECT round(100 * (x.fuel - y.fuel) / y.fuel, 2) FROM
 
 @query(sql(DIGEST).replace("\n, fuel AS", CARRIER + ", fuel AS", 1))
 def digest(spark, sf_dir):
-    quotes, by_month = daily(spark, sf_dir), fares(spark, sf_dir)
+    by_month = kept(fares(spark, sf_dir).select(*QUOTED))
+    quotes = by_search(by_month)
     w = weights(spark, sf_dir, quotes)
     rows = k.digest(
-        headline(spark, sf_dir), w, ix.carrier_index(by_month, w, BASE_DATE), a.corridor_volatility(by_month.where("horizon = 15"), ["route"], "base_fare"), a.lead_time_curve(by_month, ["route"], "base_fare"),
+        headline(spark, sf_dir, quotes=quotes), w, ix.carrier_index(by_month, w, BASE_DATE), a.corridor_volatility(by_month.where("horizon = 15"), ["route"], "base_fare"), a.lead_time_curve(by_month, ["route"], "base_fare"),
         a.carrier_escalation(by_month, ["route", "carrier"], "base_fare", far=(45, 15)), fuel(spark, sf_dir),
     )
     at = lambda path: F.get_json_object("body", path)

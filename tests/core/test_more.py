@@ -337,7 +337,7 @@ def test_many_lines_meet_orders_in_tasks_by_number(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_NUM" not in few._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["union_feeds"])
+@pytest.mark.parametrize("name", ["union_feeds", "briefing", "digest", "index_now"])
 def test_quotes_are_joined_once(spark, name):
     """What is read several times is read from a table; the orders are met before."""
     import __spark_entry__ as entry
