@@ -132,6 +132,53 @@ def test_pieces_long_and_empty(spark):
     assert pieces.encode_texts(docs.limit(0), path).count() == 0
 
 
+def vocabulary():
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        return pieces.Encoder(f.read())
+
+
+def test_pieces_of_words_that_come_again(monkeypatch):
+    """Words met in several batches stay known when others are forgotten, and memory stays bounded."""
+    monkeypatch.setattr(pieces, "REMEMBERED", 40)
+    own, merged, merge_many = vocabulary(), Counter(), pieces.Encoder.merge_many
+    monkeypatch.setattr(own, "merge_many", lambda words: (merged.update(words), merge_many(own, words))[1])
+    for k in range(30):
+        own.encode_many([f"the river and the stone {' '.join(f'x{k}y{i}' for i in range(8))}", "stone"])
+        assert len(own.known) < 40 + 13
+    assert [merged["▁" + w] for w in ("the", "river", "and", "stone")] == [1] * 4 and merged["▁x3y5"] == 1
+
+
+@pytest.mark.parametrize("parted", [True, False])
+def test_pieces_equal_the_library(monkeypatch, parted):
+    """Borders of texts, words about as long as LONGEST, words forgotten meanwhile, several batches merged at once, texts taken as one word each."""
+    monkeypatch.setattr(pieces, "REMEMBERED", 300)
+    monkeypatch.setattr(pieces, "MANY", 7)
+    own, rng = vocabulary(), random.Random(12)
+    own.parted = parted
+    fixed = ["", "▁", "▁▁", "a▁", "▁b", " ", "", "é", "\x00", "😀" * 33, "日本語" * 11, *("ab1é"[i % 4] * n for i, n in enumerate(range(28, 37))), *("the" * 12)[:3]]
+    for k in range(12):
+        texts = fixed[k:] + ["".join(rng.choice(" ▁aeiouthns.,\n\té日😀1<>") for _ in range(rng.randint(0, 60))) for _ in range(40)] + fixed[:k]
+        ids, bounds = own.encode_many(texts)
+        assert [ids[i:j].tolist() for i, j in itertools.pairwise(bounds)] == own.library.encode(texts), k
+    for texts in ([""], ["", ""], ["▁"]):
+        ids, bounds = own.encode_many(texts)
+        assert [ids[i:j].tolist() for i, j in itertools.pairwise(bounds)] == own.library.encode(texts)
+
+
+def test_table_of_pairs():
+    """Every split of a piece into two symbols is found, other pairs are not."""
+    own = vocabulary()
+    names = {i: p for p, i in own.ids.items()}
+    keys = own.pair_keys[own.pair_keys >= 0]
+    at, hit = own._places(keys)
+    assert hit.all() and (own.pair_keys[at] == keys).all() and len(set(keys.tolist())) == len(keys)
+    for key, makes in zip(keys[:2000].tolist(), own.pair_makes[at[:2000]].tolist(), strict=True):
+        x, y = divmod(key, own.span)
+        assert x not in names or y not in names or names[x] + names[y] == names[makes]
+    assert own._places(keys + 1)[1].sum() == len({*(keys + 1).tolist()} & {*keys.tolist()})
+    assert not own._places(keys * 0 - 1)[1].any()
+
+
 # --- turn repair -------------------------------------------------------------
 
 
