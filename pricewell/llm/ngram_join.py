@@ -12,12 +12,14 @@ differ bound the shingles that differ from below, so a pair is dropped only if i
 
 Skew. Equal sets are one node from the start. A posting list over ``max_list`` nodes is never expanded into pairs: each node in
 one is verified against its best leader, verified links contract nodes into components, and what is left is verified between
-units of at most about ``unit_docs`` nodes of like size, where units of one component are not compared and signatures are tried first. No link between components is
+units of at most about ``unit_docs`` nodes of like size, where units of one component are not compared and signatures are tried first. Pairs of units meet in cells of
+CELL by CELL units, so that a unit is sent once to a cell and not once for each partner. No link between components is
 lost; links within one component may be left out.
 
-Memory. A task holds about PIECE bytes of text, one bucket of postings, two units, or two sets. Buckets stand for 16 MB of text each up to MOST_BUCKETS of
-them, and for more text beyond. Only the sketch of frequent shingles and a bitmap reach the driver, both of fixed size; more input makes them coarser, which costs
-time and not results.
+Memory. A task holds about PIECE bytes of text, one bucket of postings, a cell of units, or two sets. Buckets stand for 16 MB of text each up to MOST_BUCKETS of
+them, and for more text beyond. Only the sketch of frequent shingles and a bitmap reach the driver. The bitmap is of fixed size; more input makes it coarser, which costs
+time and not results. The sketch has at least four slots for each shingle in it and holds the most frequent ones, MOST_FREQUENT at most: more input asks for a higher count.
+In a sketch that were filled, shingles of empty slots would pass for rare, and these are mostly those that the first count leaves out.
 """
 
 from __future__ import annotations
@@ -35,16 +37,19 @@ from .common import keep
 from .components import connected_components
 from .text_hash import fingerprint, mix, shingle_sets
 
-SKETCH_BITS = 21
+#: Shingles in the sketch at most; it has four slots or more for each, of one byte: eighths of the count's binary logarithm.
+MOST_FREQUENT = 1 << 22
+LEVELS = np.exp2(np.arange(256) / 8).astype(np.float32)
 FILTER_BITS = 22
 #: Shingles that a task packs together, and the bounds of the number of buckets they are packed for.
 FLUSH = 1 << 20
 LEAST_BUCKETS, MOST_BUCKETS = 512, 1 << 18
 #: Parts into which the joins on a shingle with a long list are split.
 SALTS = 16
+#: Units of one group and size class that share a side of a cell.
+CELL = 32
 #: Fingerprints that a task remembers, so that copies it meets again send no postings.
 SEEN = 1 << 16
-SLOT = np.uint64((1 << SKETCH_BITS) - 1)
 
 
 def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
@@ -119,7 +124,10 @@ def _scan(buckets: int, percent: int):
 
 
 def _count(frequent: int):
-    """Of one bucket: the rows, and the shingles counted at least ``frequent`` times."""
+    """Of one bucket: the rows, and the shingles counted at least ``frequent`` times as often as the middle one, which counts 1.
+
+    Where most texts are there several times, all shingles are counted as often, which makes none of them frequent.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, tokens = pdf[pdf["rows"]], pdf[~pdf["rows"]]
@@ -135,7 +143,9 @@ def _count(frequent: int):
         token, times = token[order], times[order]
         starts = np.flatnonzero(np.diff(token, prepend=token[:1] + np.uint32(1))) if len(token) else np.empty(0, np.int64)
         sums = np.add.reduceat(times, starts) if len(starts) else np.empty(0, np.int64)
-        slots = (token[starts][sums >= frequent].astype(np.uint64) & SLOT).astype(np.int64)
+        if len(sums):
+            sums = sums // np.partition(sums, len(sums) // 2)[len(sums) // 2]
+        slots = token[starts][sums >= frequent].astype(np.int64)
         sums = sums[sums >= frequent]
         k = len(sums)
         ids = pd.array(np.concatenate([found[:, 0], np.zeros(k, np.int64)]), "Int64")
@@ -147,13 +157,25 @@ def _count(frequent: int):
 
 
 def _estimates(scan: DataFrame) -> np.ndarray:
-    """Frequency by sketch slot; only frequent shingles are in the sketch, the others count 1. It has 2 ** SKETCH_BITS slots at most."""
-    got = scan.where("slot >= 0").groupBy("slot").agg(F.sum("times").alias("times")).toArrow()
-    out = np.ones(1 << SKETCH_BITS, np.float32)
-    out[got["slot"].to_numpy()] = got["times"].to_numpy()
+    """Level of the frequency by sketch slot; only the most frequent shingles are in the sketch, the others are of level 0 and count 1."""
+    level = F.least(F.floor(8 * F.log2("times")), F.lit(len(LEVELS) - 1)).cast("short")
+    found = scan.where("slot >= 0").select("slot", "times", level.alias("level"))
+    least, size = len(LEVELS), 0
+    for r in sorted(found.groupBy("level").agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):
+        if size + r["k"] > MOST_FREQUENT:
+            break
+        least, size = r["level"], size + r["k"]
+    out = np.zeros(1 << max(16, (4 * size - 1).bit_length()), np.uint8)
+    slots = found.where(F.col("level") >= least).groupBy(F.expr(f"cast(slot & {len(out) - 1} as int)").alias("slot")).agg(F.sum("times").alias("times"))
+    got = slots.select("slot", level.alias("level")).toArrow()
+    out[got["slot"].to_numpy()] = got["level"].to_numpy()
     return out
 
 
+def _frequency(levels: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    return LEVELS[levels[tokens & np.uint64(len(levels) - 1)]]
+
+
 def _prefixes(estimates, percent: int, choices: tuple[int, ...], verify_cost: float):
     """(node, l, prefix): the node is one half of the set's fingerprint. Copies that the task remembers are left out."""
 
@@ -169,7 +191,7 @@ def _prefixes(estimates, percent: int, choices: tuple[int, ...], verify_cost: fl
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(mark)
-                e = est[tokens & SLOT]
+                e = _frequency(est, tokens)
                 need = -(-percent * n // 100)
                 most = n - need + max(choices)
                 if (e > 1).any():
@@ -211,7 +233,7 @@ def _pack(estimates, buckets: int, hot: float):
                 node = np.repeat(np.array(nodes, np.int64), [len(t) for t in tokens])
                 least = np.repeat(np.array(ls, np.uint8), [len(t) for t in tokens])
                 token = np.concatenate(tokens)
-                frequent = est[token & SLOT] >= hot
+                frequent = _frequency(est, token) >= hot
                 spread = np.where(frequent, mix(node.astype(np.uint64)), token)
                 bucket = _bucket(spread, buckets) * 2 + frequent
                 order = np.argsort(bucket, kind="stable")
@@ -299,7 +321,7 @@ def _passing(percent: int):
 
 
 def _passing_units(percent: int):
-    """The pairs of units in which some pair of signatures allows a link. Only small blocks of signatures are laid against each other."""
+    """The pairs of units of a cell in which some pair of signatures allows a link. Only small blocks of signatures are laid against each other."""
 
     def blocks(rows):
         by: dict[int, list] = {}
@@ -307,13 +329,11 @@ def _passing_units(percent: int):
             by.setdefault(len(m["signature"]), []).append(m)
         return [(np.stack([np.frombuffer(m["signature"], np.uint8) for m in ms]), np.array([m["n"] for m in ms], np.int64)) for ms in by.values()]
 
-    def run(batches):
-        for batch in batches:
-            good = []
-            for i in range(batch.num_rows):
-                x, y = blocks(batch.column(2)[i].as_py()), blocks(batch.column(3)[i].as_py())
-                good.append(any(_may_link(p[j : j + 1], n[j], q, m, percent).any() for p, n in x for q, m in y for j in range(len(n))))
-            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+    def run(pairs, units):
+        of = {u: blocks(held) for u, held in zip(units["unit"].to_pylist(), units["held"].to_pylist(), strict=True)}
+        pairs = pairs.select(["u", "v"])
+        good = [any(_may_link(p[j : j + 1], n[j], q, m, percent).any() for p, n in of[u] for q, m in of[v] for j in range(len(n))) for u, v in zip(pairs["u"].to_pylist(), pairs["v"].to_pylist(), strict=True)]
+        return pairs.filter(pa.array(good, pa.bool_()))
 
     return run
 
@@ -334,33 +354,32 @@ def _verify(percent: int):
 
 
 def _verify_units(percent: int):
-    """Links between the sets of two units, without those that close a circle."""
-
-    def run(batches):
-        for batch in batches:
-            found = []
-            for row in batch.select(["x", "y"]).to_pylist():
-                x, y = ([(m["node"], np.frombuffer(m["tokens"], np.uint64)) for m in row[side]] for side in "xy")
-                words = np.unique(np.concatenate([t for _, t in x + y]))
-                one, two = (np.zeros((len(s), len(words)), np.float32) for s in (x, y))
-                for grid, side in ((one, x), (two, y)):
-                    for k, (_, t) in enumerate(side):
-                        grid[k, np.searchsorted(words, t)] = 1
-                same = np.rint(one @ two.T).astype(np.int64)
-                sizes = np.array([len(t) for _, t in x])[:, None] + np.array([len(t) for _, t in y])[None]
-                root: dict[int, int] = {}
-
-                def top(v, root=root):
-                    while root.setdefault(v, v) != v:
-                        v = root[v] = root[root[v]]
-                    return v
-
-                for i, j in zip(*np.nonzero(100 * same >= percent * (sizes - same)), strict=True):
-                    a, b = x[i][0], y[j][0]
-                    if top(a) != top(b):
-                        root[top(a)] = top(b)
-                        found.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+    """Links between the sets of the paired units of a cell, without those that close a circle."""
+
+    def run(pairs, units):
+        of = {u: [(m["node"], np.frombuffer(m["tokens"], np.uint64)) for m in held] for u, held in zip(units["unit"].to_pylist(), units["held"].to_pylist(), strict=True)}
+        found, root = [], {}
+
+        def top(v):
+            while root.setdefault(v, v) != v:
+                v = root[v] = root[root[v]]
+            return v
+
+        for u, v in zip(pairs["u"].to_pylist(), pairs["v"].to_pylist(), strict=True):
+            x, y = of[u], of[v]
+            words = np.unique(np.concatenate([t for _, t in x + y]))
+            one, two = (np.zeros((len(s), len(words)), np.float32) for s in (x, y))
+            for grid, side in ((one, x), (two, y)):
+                for k, (_, t) in enumerate(side):
+                    grid[k, np.searchsorted(words, t)] = 1
+            same = np.rint(one @ two.T).astype(np.int64)
+            sizes = np.array([len(t) for _, t in x])[:, None] + np.array([len(t) for _, t in y])[None]
+            for i, j in zip(*np.nonzero(100 * same >= percent * (sizes - same)), strict=True):
+                a, b = x[i][0], y[j][0]
+                if top(a) != top(b):
+                    root[top(a)] = top(b)
+                    found.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return run
 
@@ -476,10 +495,13 @@ def _between_units(postings, led, links, sets, known, percent, unit_docs, unit_t
     def held(what: DataFrame, *columns: str) -> DataFrame:
         return what.groupBy("unit").agg(F.collect_list(F.struct(*columns)).alias("held"))
 
-    def both(pairs: DataFrame, units: DataFrame) -> DataFrame:
-        return pairs.join(units.toDF("v", "y"), "v").join(units.toDF("u", "x"), "u").select("u", "v", "x", "y")
+    def in_cells(pairs: DataFrame, units: DataFrame, run, schema: str) -> DataFrame:
+        block = lambda c: F.concat_ws("/", F.substring_index(c, "/", len(by)), F.floor(F.substring_index(c, "/", -1).cast("long") / CELL))
+        cells = pairs.select("u", "v", F.least(block("u"), block("v")).alias("i"), F.greatest(block("u"), block("v")).alias("j"))
+        there = cells.select(F.col("i").alias("k"), F.col("j").alias("l"), F.explode(F.array("u", "v")).alias("unit")).distinct().join(units, "unit")
+        return cells.groupBy("i", "j").cogroup(there.groupBy("k", "l")).applyInArrow(run, schema)
 
-    pairs = keep(both(pairs, held(members, "n", "signature")).mapInArrow(_passing_units(percent), "u string, v string"), "unit-pairs")
+    pairs = keep(in_cells(pairs, held(members, "n", "signature"), _passing_units(percent), "u string, v string"), "unit-pairs")
     needed = pairs.select(F.explode(F.array("u", "v")).alias("unit")).distinct()
     units = keep(held(members.join(needed, "unit").join(sets, "node"), "node", "tokens"), "units")
-    return keep(both(pairs, units).mapInArrow(_verify_units(percent), "a long, b long"), "unit-links")
+    return keep(in_cells(pairs, units, _verify_units(percent), "a long, b long"), "unit-links")

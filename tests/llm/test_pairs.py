@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -65,6 +66,50 @@ def test_components_equal_brute_force(spark, options):
     assert sorted(got, key=str) == brute(rows)
 
 
+def kept_rows(monkeypatch):
+    """Rows of the tables that the join keeps, by name."""
+    rows, keep = {}, ngram_join.keep
+
+    def counted(df, name):
+        out = keep(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "keep", counted)
+    return rows
+
+
+def test_copies_do_not_pass_for_frequent(spark, monkeypatch):
+    """Every text five times, 40 of 100 with one passage: its shingles stay out of the prefixes, as without copies."""
+    rng, kept = random.Random(3), kept_rows(monkeypatch)
+    passage = [f"p{i}" for i in range(30)]
+    texts = [" ".join([f"w{rng.randrange(10**9)}" for _ in range(80)] + (passage if i < 40 else [])) for i in range(100)]
+    df = spark.createDataFrame([(100 * k + i, t) for k in range(5) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = ngram_join.similar_components(df).collect()
+    assert kept["postings"] == 0
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(i, i % 100) for i in range(500)]
+
+
+def test_sketch_stays_sparse(spark, monkeypatch):
+    """Of too many frequent shingles the most frequent are in the sketch, whose slots stay a quarter full at most."""
+    monkeypatch.setattr(ngram_join, "MOST_FREQUENT", 1 << 14)
+    scan = spark.range(100_000).selectExpr("(id * 2654435761) & 4294967295 AS slot", "if(id < 12000, 640L, 3L) AS times").union(spark.createDataFrame([(-1, 0)], "slot long, times long"))
+    levels = ngram_join._estimates(scan)
+    assert len(levels) == 1 << 16 and 0 < (levels > 0).sum() <= 12_000
+    tokens = np.array([i * 2654435761 % 2**32 | 1 << 40 for i in (0, 5, 11_999)], np.uint64)
+    assert (ngram_join._frequency(levels, tokens) >= 580).all()
+
+
+def test_units_meet_in_cells(spark, monkeypatch):
+    """Units of a long list are sent to cells, however many partners they have there; no link is lost."""
+    monkeypatch.setattr(ngram_join, "CELL", 2)
+    kept, words = kept_rows(monkeypatch), [f"w{i}" for i in range(700)]
+    rows = [(i, " ".join(words[8 * i : 8 * i + 100])) for i in range(60)]  # each links with its neighbours only
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in ngram_join.similar_components(df, max_list=1, unit_docs=2, unit_tokens=2000).collect()]
+    assert sorted(got, key=str) == brute(rows) and kept["unit-links"] > 0
+
+
 def test_empty_table_and_null_ids(spark):
     assert ngram_join.similar_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     text = " ".join(f"v{i}" for i in range(30))
